@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,11 +23,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of a Python worker: batches of whole texts stay small."""
+    """Get the session ready for Python workers: the package at hand, and small batches of whole texts."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_docmill_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[2]
+    path = os.path.join(tempfile.mkdtemp(), "docmill_workers.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((top / "docmill").rglob("*.py")):
+            z.write(f, f.relative_to(top))
+    context.addPyFile(path)
+    context._docmill_shipped = True
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docmill-{name}-{uuid.uuid4().hex}"
 
