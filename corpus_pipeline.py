@@ -1,26 +1,58 @@
-"""A corpus pipeline out of four operators; each stage is written and read again before the next."""
+"""A corpus pipeline out of four operators; each stage is written and read again before the next.
+
+Toxic documents go, one document of each near-duplicate group stays, the sources are mixed to their
+target weights (a document taken twice is two rows), and what is left is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docmill.llm import queries as q
-from docmill.llm import sentencepiece_wfst
+from docmill.llm import minhash, mixing, sentencepiece_wfst, toxicity
 from docmill.llm.common import table, written
+from docmill.llm.queries import tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the toxicity operator doesn't reject; nothing else about them changes."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=tuple(docs.columns)).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of the smallest doc_id of each near-duplicate group, one of them if it is repeated; rows without doc_id stay."""
+    judged = written(minhash.near_duplicates(docs).select("doc_id", "kept"), "judged")
+    repeated = judged.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    out = docs.join(judged.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    if repeated.limit(1).count():
+        one = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(repeated, "doc_id", "left_anti").unionByName(one)
+    return out.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it."""
+    return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_wfst.encode(docs, q.tokenizer_path("piece_bpe_32k.model"))
+    """Piece ids of every text, with the digest of what they decode to."""
+    return sentencepiece_wfst.encode(docs, tokenizer_path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"))
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("SentencePiece", encode),
+]
+#: No stage can be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
