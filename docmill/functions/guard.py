@@ -1,0 +1,242 @@
+"""Guardrails as columns: redaction, injection and leak scans, budgets, content checks, grounding, markdown repair.
+
+Patterns use explicit ASCII classes, so that Java's engine and others that check results read them alike.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .text import content_tokens, overlap, token_estimate
+
+# Patterns, markers, tokens and limits that results depend on.
+REDACTIONS = (
+    ("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "[REDACTED_EMAIL]"),
+    ("\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b", "[REDACTED_SSN]"),
+    ("\\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\\b", "[REDACTED_AADHAAR]"),
+)
+PHONE = "(?<![A-Za-z0-9_])(?:\\+?[0-9]{1,3}[\\s.-]?)?(?:\\(?[0-9]{3}\\)?[\\s.-]?)?[0-9]{3}[\\s.-]?[0-9]{4}(?![A-Za-z0-9_])"
+_SOURCE = "(?:retrieved|provided|source|uploaded)\\s+(?:documents?|context|chunks?|evidence|sources?)\\b"
+INJECTION = (
+    "\\bignore\\s+(?:all\\s+)?previous\\s+instructions\\b",
+    "\\bdisregard\\s+(?:all\\s+)?(?:prior|previous)\\s+instructions\\b",
+    "\\b(?:ignore|disregard|forget|bypass|skip)\\s+(?:the\\s+)?" + _SOURCE,
+    "\\b(?:answer|respond)\\s+(?:without|outside\\s+of|regardless\\s+of)\\s+(?:the\\s+)?" + _SOURCE,
+    "\\bdo\\s+not\\s+(?:use|follow|consider|look\\s+at)\\s+(?:the\\s+)?" + _SOURCE,
+    "\\b(?:use|follow)\\s+(?:only\\s+)?(?:my|the\\s+user'?s)\\s+(?:instructions?|claims?|facts?)\\s+(?:instead\\s+of|over)\\s+(?:the\\s+)?" + _SOURCE,
+    "\\bsystem\\s+override\\b",
+    "\\bdeveloper\\s+mode\\b",
+    "\\byou\\s+are\\s+now\\s+(?:an?\\s+)?(?:unconstrained|unrestricted|uncensored)\\s+ai\\b",
+    "\\bshow\\s+me\\s+(?:your\\s+)?system\\s+prompt\\b",
+    "\\b(?:reveal|print)\\s+(?:the\\s+)?(?:system|developer)\\s+(?:prompt|message|instructions)\\b",
+    "\\b(?:hidden|internal|backend)\\s+(?:prompt|message|instructions)\\b",
+    "\\b(?:system|developer)\\s+prompts?\\b",
+    "\\b(?:internal|hidden|backend)\\s+(?:rules|instructions|controls|policy|policies)\\b",
+    "\\b(?:safety\\s+mechanisms?|guardrails?|system\\s+controls?)\\b",
+    "\\b(?:database|qdrant|vector\\s+store|collection)\\s+(?:schema|structure|contents?|metadata|payload|fields?)\\b",
+    "\\bpretend\\s+(?:that\\s+)?you\\s+are\\s+(?:the\\s+)?(?:administrator|admin|root|system)\\b",
+    "\\bact\\s+as\\s+(?:the\\s+)?(?:administrator|admin|root|system)\\b",
+    "\\bdatabase\\s+password\\b",
+    "\\b(?:api|secret|private)\\s+key\\b",
+    "\\bexfiltrate\\b|\\bdata\\s+exfiltration\\b",
+    "\\b(?:sudo|rm\\s+-rf|curl\\s+.*\\|\\s*sh|wget\\s+.*\\|\\s*sh)\\b",
+    "<\\s*(?:script|iframe|object|embed|meta|link)\\b",
+    "```[\\s\\S]*?(?:system|developer|override|ignore|password|secret)[\\s\\S]*?```",
+)
+MARKERS = ("```", "<script", "</", "{{", "}}", "$(", "${")
+PROMPT_LEAK = (
+    "\\byou are an assistant modified to\\b",
+    "\\byour core instructions are\\b",
+    "\\byou must always maintain the persona\\b",
+    "\\bsystem prompt\\b",
+    "\\bdeveloper instructions\\b",
+    "\\binternal configuration rules\\b",
+    "\\bhidden chain[- ]of[- ]thought\\b",
+    "\\bthe following are my instructions\\b",
+    "\\bdo not reveal these instructions\\b",
+)
+DATA_LEAK = (
+    "\\b[a-z0-9.-]+[.]internal\\b",
+    "\\bstaging-db-[0-9]+[a-z0-9.-]*\\b",
+    "\\bprod-db-[0-9]+[a-z0-9.-]*\\b",
+    "\\b(?:prod|staging|dev)-(?:cluster|k8s|redis|qdrant|vector|gateway)-[a-z0-9-]+\\b",
+    "\\b(?:aws|gcp|azure)_(?:secret|access)_key\\b",
+    "\\b(?:postgres|mysql|mongodb|redis)://[^ \\t\\n\\r]+",
+    "\\b(?:10|172[.](?:1[6-9]|2[0-9]|3[01])|192[.]168)[.][0-9]{1,3}[.][0-9]{1,3}\\b",
+)
+WHOLE_DOCUMENT = "\\b(?:entire|whole|complete|full|all)\\s+(?:pdf|document|report|file|uploaded\\s+document|uploaded\\s+file)\\b"
+EXHAUSTIVE = "\\b(?:every|all)\\s+(?:chapters?|tables?|figures?|box|boxes|citations?|footnotes?|pages?|sections?)\\b"
+WHOLE_CHAPTER = "\\b(?:whole|entire|full|complete)\\s+chapter(?:\\s+[0-9]+)?\\b"
+CHAPTER_DUMP = "\\b(?:give|print|show|display|return|provide)\\s+(?:me\\s+)?(?:(?:the\\s+)?(?:whole|entire|full|complete)\\s+)?chapter(?:\\s+[0-9]+)?\\b"
+LARGE_OUTPUT = "\\b([0-9]{1,3}(?:,[0-9]{3})+|[0-9]{4,})\\s*(?:words?|tokens?|pages?)\\b"
+BROAD = "\\b(?:summari[sz]e|digest|review|extract|include|cover)\\b"
+MAX_CHARS, MAX_TOKENS, MAX_OUTPUT_WORDS, FAITHFUL = 2000, 500, 3000, 0.40
+
+
+def any_of(patterns: tuple[str, ...], flags: str = "(?i)") -> str:
+    return flags + "|".join(f"(?:{p})" for p in patterns)
+
+
+def redacted(c: Column, phones: bool = True) -> Column:
+    for pattern, token in REDACTIONS:
+        c = F.regexp_replace(c, pattern, token)
+    return F.regexp_replace(c, PHONE, "[REDACTED_PHONE]") if phones else c
+
+
+def redaction_count(c: Column, phones: bool = True) -> Column:
+    """Hits of each pattern on what the ones before it have left."""
+    total = F.lit(0).cast("long")
+    for pattern, token in REDACTIONS:
+        total = total + F.regexp_count(c, F.lit(pattern))
+        c = F.regexp_replace(c, pattern, token)
+    return total + F.regexp_count(c, F.lit(PHONE)) if phones else total
+
+
+def carried_markers(answer: Column, sources: Column) -> Column:
+    """Redaction markers of the sources that the answer lacks, sorted."""
+    marks = F.lit("\\[REDACTED_[A-Z]+\\]")
+    return F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all(sources, marks, 0)), F.regexp_extract_all(answer, marks, 0)))
+
+
+def occurrences(c: Column, marker: str) -> Column:
+    return ((F.length(c) - F.length(F.replace(c, F.lit(marker), F.lit("")))) / len(marker)).cast("long")
+
+
+def injected(c: Column) -> Column:
+    marks = sum((occurrences(c, m) for m in MARKERS[1:]), occurrences(c, MARKERS[0]))
+    return c.rlike(any_of(INJECTION)) | (marks >= 2)
+
+
+def data_leak(c: Column) -> Column:
+    return c.rlike(any_of(DATA_LEAK))
+
+
+def prompt_leak(c: Column) -> Column:
+    return c.rlike(any_of(PROMPT_LEAK))
+
+
+def over_length(c: Column) -> Column:
+    return F.length(c) > MAX_CHARS
+
+
+def over_tokens(c: Column) -> Column:
+    return token_estimate(c) > MAX_TOKENS
+
+
+def repeated_run(c: Column) -> Column:
+    return c.rlike("([\\s\\S])\\1{20,}")
+
+
+def weak_content(c: Column, runs: bool = True) -> Column:
+    """Why a request says too little, or null: empty, run, no tokens, one token dominates, few distinct, few meaningful."""
+    text = F.trim(c)
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9][a-z0-9_.-]*"), 0)
+    n = F.size(words)
+    distinct = F.array_distinct(words)
+    # the size of the largest run of equal words once they are sorted
+    most = F.aggregate(
+        F.array_sort(words),
+        F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("most")),
+        lambda s, w: F.struct(w.alias("word"), F.when(s["word"] == w, s["run"] + 1).otherwise(1).alias("run"), F.greatest(s["most"], F.when(s["word"] == w, s["run"] + 1).otherwise(1)).alias("most")),
+        lambda s: s["most"],
+    )
+    same = lambda w: F.length(F.replace(w, F.substring(w, 1, 1), F.lit(""))) == 0
+    meaningful = F.size(F.filter(words, lambda w: (F.length(w) >= 3) & w.rlike("[a-z]") & ~same(w)))
+    out = F.when((c.isNull()) | (text == ""), F.lit("empty"))
+    if runs:
+        out = out.when(repeated_run(text), F.lit("run"))
+    return (
+        out.when(n == 0, F.lit("no_tokens"))
+        .when((n < 8) & (F.length(text) < 80), F.lit(None))
+        .when(most >= 0.7 * n, F.lit("dominant"))
+        .when((n >= 25) & (F.size(distinct) < 0.15 * n), F.lit("few_distinct"))
+        .when(meaningful < 0.2 * n, F.lit("few_meaningful"))
+    )
+
+
+def over_coverage(c: Column) -> Column:
+    """Requests for whole documents, exhaustive lists with long output, or whole chapters."""
+    exhaustive = F.regexp_count(c, F.lit("(?i)" + EXHAUSTIVE))
+    wanted = F.transform(F.regexp_extract_all(c, F.lit("(?i)" + LARGE_OUTPUT), 1), lambda x: F.try_to_number(F.replace(x, F.lit(","), F.lit("")), F.lit("9999999999999999")))
+    long_output = F.exists(wanted, lambda x: x > MAX_OUTPUT_WORDS)
+    whole = c.rlike("(?i)" + WHOLE_DOCUMENT) & ((exhaustive >= 2) | long_output)
+    broad = c.rlike("(?i)" + BROAD) & long_output & (exhaustive >= 2)
+    return F.coalesce(whole | broad | c.rlike("(?i)" + WHOLE_CHAPTER) | c.rlike("(?i)" + CHAPTER_DUMP), F.lit(False))
+
+
+def faithfulness(answer: Column, sources: Column) -> Column:
+    """Share of the answer's content tokens that its sources have; 1 without source tokens, null for an answer without any."""
+    a, s = content_tokens(answer), content_tokens(sources)
+    return F.when(F.size(s) == 0, F.lit(1.0)).when(F.size(a) > 0, overlap(a, s))
+
+
+QUOTE = '"([^"\\n]{4,500})"'
+NUMBER = "[0-9]{1,3}(?:,[0-9]{3})+(?:[.][0-9]+)?|[0-9]+(?:[.][0-9]+)?%"
+STRUCTURAL = "(?i)\\b(?:figure|fig[.]?|chart|table|diagram|panel)\\s+[A-Za-z]?[0-9]+(?:[.-][0-9]+)*[A-Za-z]?\\b"
+PROPER = "\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){1,4}\\b"
+
+
+def quotes(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(QUOTE), 1)
+
+
+def entities(c: Column) -> Column:
+    """Numbers with units, structural references and phrases of proper nouns, first of each (whatever its case)."""
+    every = F.concat(F.regexp_extract_all(c, F.lit(NUMBER), 0), F.regexp_extract_all(c, F.lit(STRUCTURAL), 0), F.regexp_extract_all(c, F.lit(PROPER), 0))
+    return F.filter(every, lambda x, k: F.array_position(F.transform(every, lambda y: F.lower(y)), F.lower(x)) == k + 1)
+
+
+def ungrounded(items: Column, source: Column) -> Column:
+    """Items that the source doesn't contain, whatever the case."""
+    return F.filter(items, lambda x: ~F.contains(F.lower(source), F.lower(x)))
+
+
+def numbers_close(answer: Column, source: Column, by: float = 1e-4) -> Column:
+    """Whether each number of the answer is within ``by`` of one of the source."""
+    of = lambda c: F.transform(F.regexp_extract_all(c, F.lit("[0-9]+(?:[.][0-9]+)?"), 0), lambda x: x.cast("double"))
+    known = of(source)
+    return F.forall(of(answer), lambda v: F.exists(known, lambda x: F.abs(x - v) < by))
+
+
+def valid_box(box: Column) -> Column:
+    inside = (F.size(box) == 4) & F.forall(box, lambda x: x.isNotNull() & (x >= 0) & (x <= 1))
+    return F.coalesce(inside & (F.get(box, F.lit(0)) <= F.get(box, F.lit(2))) & (F.get(box, F.lit(1)) <= F.get(box, F.lit(3))), F.lit(False))
+
+
+def schema_fault(c: Column, required: dict[str, str]) -> Column:
+    """First fault of a JSON object against required keys and their types (STRING, ARRAY, ...), or null."""
+    v = F.try_parse_json(c)
+    out = F.when(v.isNull(), F.lit("not_json"))
+    for key, kind in required.items():
+        said = F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
+        out = out.when(said.isNull() | (said == "VOID"), F.lit(f"missing_{key}")).when(~said.startswith(kind), F.lit(f"type_{key}"))
+    return out
+
+
+def repaired_markdown(c: Column) -> Column:
+    """Close bold, code, bracket and parenthesis marks that are open at the end."""
+    c = F.when(occurrences(c, "**") % 2 == 1, F.concat(c, F.lit("**"))).otherwise(c)
+    c = F.when(occurrences(c, "`") % 2 == 1, F.concat(c, F.lit("`"))).otherwise(c)
+    for a, b in ("[]", "()"):
+        c = F.concat(c, F.repeat(F.lit(b), F.greatest(occurrences(c, a) - occurrences(c, b), F.lit(0)).cast("int")))
+    return c
+
+
+def banned_phrase(c: Column, phrases: list[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.lower(c), F.lower(p)))
+
+
+CRITICAL = ("rate_limit", "pii", "injection", "budget", "content", "coverage", "data_leak", "prompt_leak", "schema")
+WARNING = ("faithfulness", "context", "relevance", "markdown")
+
+
+def verdict(layers: list[tuple[str, bool, Column]]) -> Column:
+    """struct(passed, failed_layer, warnings, confidence): layers (name, critical, violated) in order.
+
+    The first violated critical layer decides; warnings cap the confidence at 0.5.
+    """
+    failed = F.coalesce(*[F.when(v, F.lit(n)) for n, critical, v in layers if critical])
+    warnings = F.array_compact(F.array(*[F.when(v, F.lit(n)) for n, critical, v in layers if not critical]))
+    confidence = F.when(failed.isNotNull(), F.lit(0.0)).when(F.size(warnings) > 0, F.lit(0.5)).otherwise(F.lit(1.0))
+    return F.struct(failed.isNull().alias("passed"), failed.alias("failed_layer"), F.array_join(warnings, ",").alias("warnings"), confidence.alias("confidence"))
