@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import forget, small_batches, written
 
 #: The band, as shares of all documents: inverse document frequencies from ln 4 to ln 1000.
 RARE, COMMON = 0.001, 0.25
@@ -67,12 +67,14 @@ def lexicon(docs: DataFrame, text: str = "text", rare: float = RARE, common: flo
     """Sorted hashes of the terms within the band: at least 2 and ``rare`` of all documents, at most ``common`` of them (or 2)."""
     small_batches(docs.sparkSession)
     n = docs.count()
-    counted = frequencies(docs, text).filter("df > 1")
+    counted = written(frequencies(docs, text).filter("df > 1"), "frequencies")
     # no more than most terms can each be in pairs / most documents
     pairs = n and counted.filter(F.col("df") >= max(2.0, rare * n)).agg(F.sum("df")).first()[0] or 0
     least = max(2.0, rare * n, pairs / most)
     band = counted.filter((F.col("df") >= least) & (F.col("df") <= max(2.0, common * n)))
-    return np.sort(np.array([r["term"] for r in band.select("term").collect()], np.int64))
+    found = band.select("term").toArrow()["term"].to_numpy().astype(np.int64)
+    forget(counted)
+    return np.sort(found)
 
 
 class Printer:
