@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from docmill.functions import guard, quality, text, understand
-from docmill.operators import chunking, index, session, tabular
+from docmill.operators import assets, chunking, index, session, tabular
 from docmill.plans import pipelines
 from docmill.sources import files
 from docmill.streaming import stateful, windows
@@ -155,3 +155,38 @@ def test_files(spark, tmp_path):
     images = spark.createDataFrame([("p", bytearray(b"1")), ("q", bytearray(b"2"))], "path string, content binary")
     cache = images.filter("path = 'p'").select(F.md5("content").alias("image_hash"), F.lit("v1").alias("prompt_version"))
     assert [r.path for r in files.missing_captions(images, cache, "v1").collect()] == ["q"]
+
+
+def test_token_packing_and_isolation_equal_restatements(spark):
+    rng = random.Random(9)
+
+    def pack(parts, most):
+        out, now = [], []
+        for p in parts:
+            ws = p.split()
+            if len(ws) > most:
+                out += [" ".join(now)] * bool(now) + [" ".join(ws[k : k + most]) for k in range(0, len(ws), most)]
+                now = []
+            elif len(now) + len(ws) > most:
+                out, now = out + [" ".join(now)] * bool(now), ws
+            else:
+                now = now + ws
+        return out + [" ".join(now)] * bool(now)
+
+    def isolate(t, label, reach):
+        at, spans = t.find(label), []
+        while at >= 0:
+            lo, hi = max(at - reach, 0), at + len(label) + reach
+            if spans and spans[-1][1] >= at - reach:
+                spans[-1][1] = hi
+            else:
+                spans.append([lo, hi])
+            at = t.find(label, at + len(label))
+        return " ... ".join(t[a:b] for a, b in spans)
+
+    lists = [[" ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(1, 25))) for _ in range(rng.randint(0, 9))] for _ in range(40)]
+    texts = ["".join(rng.choice("xer ") for _ in range(rng.randint(0, 120))) for _ in range(40)]
+    df = spark.createDataFrame([(k, lists[k], texts[k]) for k in range(40)], "id int, ps array<string>, t string")
+    for r in df.select("id", assets.packed_tokens(F.col("ps"), 10).alias("p"), assets.isolated(F.col("t"), "er", 5).alias("i")).collect():
+        assert r.p == pack(lists[r.id], 10)
+        assert r.i == isolate(texts[r.id], "er", 5)
