@@ -528,3 +528,10 @@ def test_pipeline_stages(spark, sf):
     out = cp.run(spark, sf)
     assert out.filter("not round_trip").count() == 0 and out.count() > 0
     assert [n for n, _ in cp.STAGES] == ["toxicity", "near duplicates", "mixing", "SentencePiece"]
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, sf, name):
+    from tests.compare import compare
+
+    assert compare(spark, sf, name, queries.queries()[name], queries.oracle_sql()[name]) is None
