@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import io
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
 
 #: Rows of an Arrow batch handed to Python; texts may be long, so fewer than Spark's default.
-ARROW_ROWS = 1000
+ARROW_ROWS = 400
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,15 +30,20 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package to the Python workers, wherever the driver found it."""
+    """Give the package to the Python workers by way of the shared folder, wherever the driver found it."""
     context = spark.sparkContext
     if getattr(context, "_docmill_shipped", False):
         return
     top = Path(__file__).resolve().parents[2]
-    path = os.path.join(tempfile.mkdtemp(), "docmill_workers.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for f in sorted((top / "docmill").rglob("*.py")):
             z.write(f, f.relative_to(top))
+    path = f"{shared_dir(spark)}/docmill-{uuid.uuid4().hex}.zip"
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
     context.addPyFile(path)
     context._docmill_shipped = True
 
@@ -70,5 +75,24 @@ def forget(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bits for each key of a bitmap, and the most bits of one: 2**27 are two million words of 64 bits.
+BITS_PER_KEY, MOST_BITS = 16, 2**27
+
+
+def marked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` with a column _maybe: false for rows whose key is surely none of ``keys`` (one column).
+
+    A bitmap of key hashes, bounded in size whatever the number of keys, is broadcast. So rows that carry
+    whole texts needn't be shuffled to meet the few that have a key; the others still have to be joined.
+    """
+    name = keys.columns[0]
+    bits = min(MOST_BITS, max(1024, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = keys.select(at(F.col(name)).alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("_bits"))
+    met = rows.withColumn("_at", at(F.col(key))).withColumn("_w", F.shiftright("_at", 6)).join(F.broadcast(words), F.col("_w") == F.col("_word"), "left")  # at most MOST_BITS / 64 rows
+    maybe = F.coalesce(F.expr("(shiftright(_bits, cast(_at & 63 as int)) & 1L) = 1L"), F.lit(False))
+    return met.withColumn("_maybe", maybe & F.col(key).isNotNull()).select(*rows.columns, "_maybe")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

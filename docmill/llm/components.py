@@ -26,6 +26,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return near.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every edge points down, from a node that has no other edge down and isn't pointed at."""
+    ends = edges.select(F.col("u").alias("n"), (F.col("v") < F.col("u")).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(None).cast("boolean").alias("down")))
+    bad = ends.groupBy("n").agg(F.count_if(F.col("down")).alias("out"), F.count_if(F.col("down").isNull()).alias("held"), F.count_if(~F.col("down")).alias("up"))
+    return not bad.filter("up > 0 OR out > 1 OR (out = 1 AND held > 0)").limit(1).count()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Columns node, component (the smallest node reachable) of every node of ``edges`` (u, v long).
 
@@ -34,12 +41,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the step at hand.
     """
     now = written(edges.filter("u <> v").select("u", "v").distinct(), "edges")
-    before = None
-    while True:
-        size = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if size == before or not size[0]:
-            break
-        before = size
+    while not _is_forest_of_stars(now):
         after = written(_small_star(_large_star(now)), "edges")
         forget(now)
         now = after

@@ -2,14 +2,15 @@
 
 1. Each whole text becomes the set of its distinct word shingles (64-bit hashes); texts with equal
    sets form a class that its smallest id stands for.
-2. Universal hash minima of a class give a signature; bands of it are the keys of buckets. With
+2. Universal hash minima of a class give a signature; bands of it are the keys of buckets, and its lower 16 bits are kept for verification. With
    45 bands of 6 minima a pair of similarity 0.8 shares no bucket with a probability of 1e-6.
 3. In each bucket every member is compared with the smallest one only: members - 1 pairs. Pairs
    pass a signature check and are then confirmed on the full sets.
 4. Components of the confirmed links. Only buckets in which a comparison failed can hold further
-   links, between members of different components: their signatures are compared block by block
-   inside a task, which emits just the pairs that may be links; these are confirmed on full sets too.
-   So there is no cap on buckets, and no list of all pairs of a group either.
+   links, between members of different components: their signatures are compared block by block inside
+   a task, each pair in the first bucket it shares. Members with such a pair come back with their full
+   sets, and the task emits the confirmed links that join components, fewer than it has members. So
+   there is no cap on buckets, and no list of all pairs of a group either.
 """
 
 from __future__ import annotations
@@ -18,19 +19,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, small_batches, written
+from .common import forget, marked, small_batches, written
 from .components import connected_components
 
 BANDS, ROWS = 45, 6
-#: Minima of a signature that verification compares.
-CHECKED = 128
 #: Verification lets a pair pass from this many standard deviations below the wanted similarity.
-SLACK = 5.0
+SLACK = 4.5
 #: Members of a bucket whose signatures meet in one task.
 BLOCK = 1024
+#: Shingles of a block that meet in one task, on average.
+BLOCK_SHINGLES = 1_000_000
 MEMO_WORDS = 400_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -117,7 +118,7 @@ def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-_SIGNED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, minima array<int>"
+_SIGNED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, minima array<smallint>"
 
 
 def _lists(flat: np.ndarray, width: int, kind) -> pa.ListArray:
@@ -136,7 +137,7 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> DataF
             set_a = np.array([np.bitwise_xor.reduce(_mixed(s ^ _GOLDEN)) if len(s) else 0 for s in sets], np.uint64)
             set_b = np.array([_mixed(s + _MIX).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), _lists(keys.reshape(-1).view(np.int64), bands, pa.int64()), _lists(np.ascontiguousarray(minima[:, :CHECKED]).reshape(-1).view(np.int32), min(CHECKED, bands * rows), pa.int32())],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), _lists(keys.reshape(-1).view(np.int64), bands, pa.int64()), _lists(minima.astype(np.uint16).reshape(-1).view(np.int16), bands * rows, pa.int16())],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "minima"],
             )
 
@@ -167,37 +168,86 @@ def confirm(pairs: DataFrame, docs: DataFrame, signed: DataFrame, width: int, pe
         .join(marks.select(F.col("doc_id").alias("v"), F.col("minima").alias("mv")), "v")
         .filter(F.expr(f"aggregate(zip_with(mu, mv, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x) >= {least}"))
         .select("u", "v")
-        .distinct()
     )
     near = written(near, "near-pairs")
     needed = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = written(_full_sets(docs.join(needed, "doc_id", "left_semi"), width), "shingle-sets")
+    sets = written(_full_sets(marked(docs, "doc_id", needed).filter("_maybe").select("doc_id", "text"), width), "shingle-sets")
     met = near.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv")), "v")
     common = met.select("u", "v", F.size(F.array_intersect("su", "sv")).cast("long").alias("i"), (F.size("su") + F.size("sv")).cast("long").alias("n"))
-    links = written(common.filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("u", "v").distinct(), "links")
+    links = written(common.filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("u", "v"), "links")
     forget(near, sets)
     return links
 
 
-def _across(least: int):
-    """Pairs of a bucket's block, or of two of its blocks, whose signatures agree and components differ."""
+def _open_pairs(group: pd.DataFrame, least: int, bands: int, rows: int):
+    """Of each member of a block, or of two, the later ones that may be linked to it, in another component.
+
+    Their signatures agree often enough, and this bucket is the first that the two share, so that no
+    other bucket has to look at the pair.
+    """
+    ids, parts, blocks = (group[c].to_numpy() for c in ("v", "component", "block"))
+    minima = np.stack(group["minima"].to_numpy())
+    band, one = group["band"].iloc[0], group["i"].iloc[0] == group["j"].iloc[0]
+    for k in range(len(ids) - 1):
+        may = (parts[k + 1 :] != parts[k]) & (ids[k + 1 :] != ids[k])
+        if not one:
+            may &= blocks[k + 1 :] != blocks[k]
+        at = np.flatnonzero(may) + k + 1
+        if len(at):
+            equal = minima[at] == minima[k]
+            near = equal.sum(1) >= least
+            at, equal = at[near], equal[near]
+            at = at[equal.reshape(len(at), bands, rows).all(2).argmax(1) == band]
+        if len(at):
+            yield k, at
+
+
+_GROUP = ["bucket", "band", "i", "j"]
+
+
+def _active(least: int, bands: int, rows: int):
+    """Members that some pair of their block asks for."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("v", kind="stable")
+        wanted = np.zeros(len(group), bool)
+        for k, at in _open_pairs(group, least, bands, rows):
+            wanted[k] = wanted[at] = True
+        return group.loc[wanted, [*_GROUP, "block", "v", "component"]]
+
+    return run
+
+
+def _joining(least: int, bands: int, rows: int, percent: int):
+    """Links of a block that join components, confirmed on full sets: fewer than its members."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("v", kind="stable")
-        ids, parts, blocks = (group[c].to_numpy() for c in ("v", "component", "block"))
-        minima = np.stack(group["minima"].to_numpy())
-        one = group["i"].iloc[0] == group["j"].iloc[0]
-        out_u, out_v = [], []
-        for k in range(len(ids) - 1):
-            rest = slice(k + 1, None)
-            may = (parts[rest] != parts[k]) & (ids[rest] != ids[k])
-            if not one:
-                may &= blocks[rest] != blocks[k]
-            at = np.flatnonzero(may) + k + 1
-            at = at[(minima[at] == minima[k]).sum(1) >= least] if len(at) else at
-            out_u.extend([ids[k]] * len(at))
-            out_v.extend(ids[at])
-        return pd.DataFrame({"u": np.array(out_u, np.int64), "v": np.array(out_v, np.int64)})
+        ids, parts = group["v"].to_numpy(), group["component"].to_numpy()
+        sets = [np.asarray(x, np.int64).view(np.uint64) for x in group["shingles"]]  # sorted as unsigned
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        out = []
+        for k, at in _open_pairs(group, least, bands, rows):
+            own, mine = sets[k], find(parts[k])
+            at = [x for x in at.tolist() if find(parts[x]) != mine]
+            if not at:
+                continue
+            flat = np.concatenate([sets[x] for x in at])
+            sizes = np.array([len(sets[x]) for x in at])
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+            for x in np.flatnonzero(common * 100 >= (sizes + len(own) - common) * percent).tolist():
+                a, b = find(parts[k]), find(parts[at[x]])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((ids[k], ids[at[x]]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
 
     return run
 
@@ -211,35 +261,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     with equal sets are linked however many they are. Rows of one id are one node. A row without an
     id has no component and is kept. Other columns don't matter; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
-    minima = min(CHECKED, bands * rows)
+    spark = docs.sparkSession
+    small_batches(spark)
+    minima = bands * rows
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     signed = written(sign(docs, width, bands, rows, seed), "signed")
     some = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
     reps = some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    buckets = reps.select(F.col("doc_id").alias("v"), F.explode("bands").alias("bucket")).repartition("bucket")
+    buckets = reps.select(F.col("doc_id").alias("v"), F.posexplode("bands").alias("band", "bucket")).repartition("bucket")
     firsts = buckets.groupBy("bucket").agg(F.min("v").alias("u"), F.count("*").alias("members")).filter("members > 1")
-    candidates = written(buckets.join(firsts, "bucket").filter("u <> v").select("bucket", "members", "u", "v"), "candidates")
+    candidates = written(buckets.join(firsts, "bucket").filter("u <> v").select("bucket", "band", "members", "u", "v"), "candidates")
 
     links = confirm(candidates.select("u", "v").distinct(), docs, some, width, percent, minima)
     found = written(connected_components(links), "components")
 
     failed = candidates.filter("members > 2").join(links, ["u", "v"], "left_anti").select("bucket").distinct()
-    members = candidates.join(failed, "bucket", "left_semi").select("bucket", "members", F.explode(F.array("u", "v")).alias("v")).distinct()
+    members = candidates.join(failed, "bucket", "left_semi").select("bucket", "band", "members", F.explode(F.array("u", "v")).alias("v")).distinct()
     labelled = members.join(found.withColumnRenamed("node", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     open_ = written(labelled.join(mixed, "bucket", "left_semi"), "open-buckets")
+    facts = some.select(F.col("doc_id").alias("v"), "n_shingles", "minima").dropDuplicates(["v"])
+    room = Window.partitionBy("bucket")
+    rows_in = open_.join(facts, "v").withColumn("blocks", F.ceil(F.greatest(F.count("*").over(room) / BLOCK, F.sum("n_shingles").over(room) / BLOCK_SHINGLES)).cast("int"))
     pieces = (
-        open_.join(some.select(F.col("doc_id").alias("v"), "minima"), "v")
-        .withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+        rows_in.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "v", "component", "minima")
+        .select("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "v", "component", "minima")
     )
-    across = written(pieces.groupBy("bucket", "i", "j").applyInPandas(_across(_least_equal(percent / 100, minima)), "u bigint, v bigint").distinct(), "across")
-    more = confirm(across, docs, some, width, percent, minima)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = _least_equal(percent / 100, minima)
+    ask = pieces.repartition(tasks, *_GROUP).groupBy(*_GROUP).applyInPandas(_active(least, bands, rows), "bucket bigint, band int, i int, j int, block int, v bigint, component bigint")
+    ask = written(ask, "active")
+    needed = ask.select(F.col("v").alias("doc_id")).distinct()
+    sets = written(_full_sets(marked(docs, "doc_id", needed).filter("_maybe").select("doc_id", "text"), width), "shingle-sets")
+    met = ask.join(facts.select("v", "minima"), "v").join(sets.select(F.col("doc_id").alias("v"), "shingles").dropDuplicates(["v"]), "v")
+    more = met.repartition(tasks, *_GROUP).groupBy(*_GROUP).applyInPandas(_joining(least, bands, rows, percent), "u bigint, v bigint")
+    more = written(more, "links")
     if more.limit(1).count():
         label = found.select("node", "component")
         ends = (
@@ -253,7 +312,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         joined = written(inner.unionByName(outer), "components")
         forget(found)
         found = joined
-    forget(candidates, links, open_, across, more)
+    forget(candidates, links, open_, ask, sets, more)
 
     roots = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("root"))
     rows_ = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(roots, ["set_a", "set_b", "n_shingles"], "left")
