@@ -38,6 +38,8 @@ UNKNOWN_PENALTY = 10.0
 MEMO_PARTS = 300_000
 MEMO_PREFIXES = 500_000
 NO_PIECE = float("inf")
+#: Ids whose surfaces are gathered at a time.
+GATHERED = 500_000
 MEMO_PAIRS = 1_000_000
 
 
@@ -302,9 +304,13 @@ class Codec:
         ids = np.frombuffer(b"".join(packed), "<i4")
         sizes = self.surface_size[ids]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.surface_start[ids] - (ends - sizes), sizes) + np.arange(total)
-        data = self.surface_bytes[at].tobytes()
+        stretches = []
+        for k in range(0, len(ids), GATHERED):
+            some = sizes[k : k + GATHERED]
+            before = np.cumsum(some) - some
+            at = np.repeat(self.surface_start[ids[k : k + GATHERED]] - before, some) + np.arange(some.sum())
+            stretches.append(self.surface_bytes[at].tobytes())
+        data = b"".join(stretches)
         bounds = np.concatenate([[0], ends])[np.cumsum([0, *(len(p) // 4 for p in packed)])].tolist()
         out = []
         for a, b in zip(bounds, bounds[1:]):
