@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm import minhash, mixing, sentencepiece_wfst, toxicity
-from docmill.llm.common import table, written
+from docmill.llm.common import marked, table, written
 from docmill.llm.queries import tokenizer_path
 
 
@@ -24,11 +24,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The row of the smallest doc_id of each near-duplicate group, one of them if it is repeated; rows without doc_id stay."""
     judged = written(minhash.near_duplicates(docs).select("doc_id", "kept"), "judged")
     repeated = judged.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    out = docs.join(judged.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    dropped = judged.filter("not kept").select("doc_id").distinct()
+    # only rows that may be dropped or repeated are shuffled
+    doubt = marked(docs, "doc_id", dropped.unionByName(repeated))
+    left = doubt.filter("_maybe").join(dropped, "doc_id", "left_anti")
     if repeated.limit(1).count():
-        one = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(repeated, "doc_id", "left_anti").unionByName(one)
-    return out.select(*docs.columns)
+        one = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        left = left.join(repeated, "doc_id", "left_anti").unionByName(one)
+    return doubt.filter("not _maybe").select(*docs.columns).unionByName(left.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
