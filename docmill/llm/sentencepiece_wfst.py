@@ -278,7 +278,7 @@ class Codec:
         if not text:
             return b""
         plain = self.charmap is None and self.escape and self.dummy and self.cuts and (self.byte_fallback or self.kind == BPE)
-        if plain and not self.squeeze and "  " not in text and text[0] != " " and text[-1] != " ":
+        if plain and not self.squeeze and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
             if "\n" not in text or self.line_end is None:
                 return b"".join(map(self.after_mark.__getitem__, text.split(" ")))
             out = []
