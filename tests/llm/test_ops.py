@@ -321,10 +321,11 @@ def test_cache_is_used_and_extended(spark, tmp_path):
     first = token_counts.count_tokens(d, path, cache).collect()
     assert len(first) == len(ODD) + 2
     known = spark.read.parquet(cache)
-    assert known.count() == known.select("content_digest").distinct().count() == len({x or "" for x in ODD}) + 1
+    before = known.count()
+    assert before == known.select("content_digest").distinct().count() == len({x or "" for x in ODD}) + 1
     more = d.unionByName(spark.createDataFrame([(99, "a new text", None, None, None, None, None)], DOCS))
     got = {r.doc_id: r for r in token_counts.count_tokens(more, path, cache).collect()}
-    assert spark.read.parquet(cache).count() == known.count() and got[99].n_tokens == 3 and got[1].n_bytes == got[1].n_tokens == 0
+    assert spark.read.parquet(cache).count() == before + 1 and got[99].n_tokens == 3 and got[1].n_bytes == got[1].n_tokens == 0
     assert not any(r.over_limit for r in got.values() if r.n_tokens <= 1024)
     assert token_counts.count_tokens(no_docs(spark), path).count() == 0
 
@@ -353,7 +354,7 @@ def test_toxicity_odd_tables(spark):
     got = toxicity.score(odd_docs(spark), model).collect()
     assert len(got) == len(ODD) + 2 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(no_docs(spark), model).count() == 0
-    assert toxicity.plain("(1d!0t),") == ("idiot", True) and toxicity.plain("Clown!") == ("clown", False)
+    assert toxicity.plain("(1d10t),") == ("idiot", True) and toxicity.plain("Clown!") == ("clown", False)
 
 
 def test_trees_and_isotonic_fit():
