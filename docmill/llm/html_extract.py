@@ -40,6 +40,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORDS = re.compile(r"[a-z]+(?:-ad\b)?")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 _ENDS = re.compile(r"[.!?,;:]")
 
 
@@ -101,9 +102,13 @@ def parse(page: str) -> Node:
             links -= tag == "a"
             skipping -= tag in SKIPPED
 
-    i, n = 0, len(page)
+    # behind the last ">" no tag ends: what looks like the start of one there is dropped, the text before it stays
+    n = page.rfind(">") + 1
+    rest = _UNFINISHED.split(page[n:], maxsplit=1)[0]
+    page = page[:n] + rest
+    i, ends, n = 0, n, len(page)
     while i < n:
-        m = _TOKEN.search(page, i)
+        m = _TOKEN.search(page, i, ends)
         upto = m.start() if m else n
         if upto > i and not skipping:
             text = page[i:upto]
