@@ -278,7 +278,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     found = written(connected_components(links), "components")
 
     failed = candidates.filter("members > 2").join(links, ["u", "v"], "left_anti").select("bucket").distinct()
-    members = candidates.join(failed, "bucket", "left_semi").select("bucket", "band", "members", F.explode(F.array("u", "v")).alias("v")).distinct()
+    unsettled = candidates.join(failed, "bucket", "left_semi")
+    members = unsettled.select("bucket", "band", "members", "v").unionByName(unsettled.select("bucket", "band", "members", F.col("u").alias("v"))).distinct()
     labelled = members.join(found.withColumnRenamed("node", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     open_ = written(labelled.join(mixed, "bucket", "left_semi"), "open-buckets")
