@@ -112,8 +112,9 @@ def keyword_fallback(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
+    """Every vector is a query and a candidate."""
     e = read(spark, sf_dir, "embeddings")
-    return e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
+    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
 
 
 COS_SQL = "cs AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, b.label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 10)"
