@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import understand
 from ..operators import assets, chunking, entities, retrieve
-from .catalogue_retrieval import BM25_SQL, QUERY_TOKENS, questions
+from .catalogue_retrieval import BM25_SQL, questions
 from .probes import ASKED_SQL, asked, quoted
 from .registry import query, read
 
@@ -43,7 +43,7 @@ def minimum_relevance(spark, sf_dir):
 @query(f"WITH {BM25_SQL}, r AS (SELECT *, doc_id % 4 = 0 AS ok FROM bm_ranked WHERE rank <= 4), e AS (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS hit FROM r) SELECT query_id, doc_id FROM e WHERE ok OR NOT hit")
 def prerank_filter(spark, sf_dir):
     """Only candidates of the asked asset, unless none is."""
-    r = retrieve.bm25(questions(spark, sf_dir), read(spark, sf_dir, "documents"), 4, QUERY_TOKENS)
+    r = retrieve.bm25(questions(spark, sf_dir), read(spark, sf_dir, "documents"), 4)
     return assets.unless_empty(r, F.col("doc_id") % 4 == 0).select("query_id", "doc_id")
 
 
@@ -61,7 +61,7 @@ def asset_fields(spark, sf_dir):
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, round(score + CASE WHEN contains(lower(text), 'er') THEN 25.0 ELSE 0 END + CASE WHEN regexp_matches(lower(text), 'summary|header') THEN 0.05 ELSE 0 END, 4) AS boosted FROM bm_ranked JOIN documents USING (doc_id) WHERE rank <= 5")
 def score_boosts(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    r = retrieve.bm25(questions(spark, sf_dir), d, 5, QUERY_TOKENS).join(d.select("doc_id", "text"), "doc_id")
+    r = retrieve.bm25(questions(spark, sf_dir), d, 5).join(d.select("doc_id", "text"), "doc_id")
     return r.select("query_id", "doc_id", F.round(assets.boosted(F.col("score"), F.col("text"), F.lit(True), F.contains(F.lower("text"), F.lit("er"))), 4).alias("boosted"))
 
 

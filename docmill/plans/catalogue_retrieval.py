@@ -9,6 +9,7 @@ from ..functions import quality, text
 from ..operators import index, retrieve
 from .registry import query, read
 
+#: Of the SQL only; the queries take whole questions.
 QUERY_TOKENS = 12
 
 
@@ -42,12 +43,12 @@ sp_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM bm_ranked WHERE rank <= 20")
 def bm25_topk(spark, sf_dir):
-    return retrieve.bm25(questions(spark, sf_dir), read(spark, sf_dir, "documents"), 20, QUERY_TOKENS).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return retrieve.bm25(questions(spark, sf_dir), read(spark, sf_dir, "documents"), 20).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {SPARSE_SQL} SELECT query_id, doc_id, score, rank FROM sp_ranked WHERE rank <= 20")
 def sparse_topk(spark, sf_dir):
-    return retrieve.sparse_top_k(questions(spark, sf_dir), read(spark, sf_dir, "documents"), 20, QUERY_TOKENS).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return retrieve.sparse_top_k(questions(spark, sf_dir), read(spark, sf_dir, "documents"), 20).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 RRF_SQL = """
@@ -58,7 +59,7 @@ fused_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sco
 
 def _legs(spark, sf_dir):
     q, d = questions(spark, sf_dir), read(spark, sf_dir, "documents")
-    return [("bm25", retrieve.bm25(q, d, 20, QUERY_TOKENS)), ("sparse", retrieve.sparse_top_k(q, d, 20, QUERY_TOKENS))]
+    return [("bm25", retrieve.bm25(q, d, 20)), ("sparse", retrieve.sparse_top_k(q, d, 20))]
 
 
 QUALITY_SQL = f"""
@@ -104,7 +105,7 @@ def weighted_rrf(spark, sf_dir):
 SELECT query_id, doc_id, round(1.0::DOUBLE / (60 + rank), 8) AS score, 'dense' AS path FROM dense UNION ALL SELECT query_id, doc_id, round(1.0::DOUBLE / (60 + rank), 8), 'keyword' FROM kw WHERE query_id NOT IN (SELECT query_id FROM dense)""")
 def keyword_fallback(spark, sf_dir):
     """Where the first leg (here: of even queries) finds nothing, the keyword list stands in."""
-    kw = retrieve.bm25(questions(spark, sf_dir), read(spark, sf_dir, "documents"), 10, QUERY_TOKENS)
+    kw = retrieve.bm25(questions(spark, sf_dir), read(spark, sf_dir, "documents"), 10)
     dense = kw.filter("query_id % 2 = 0").withColumn("path", F.lit("dense"))
     both = dense.unionByName(kw.withColumn("path", F.lit("keyword")))
     out = retrieve.cascade(both, [F.col("path") == "dense", F.col("path") == "keyword"])
@@ -190,7 +191,7 @@ SUB = f"""WITH {BM25_SQL}, sub AS (SELECT query_id // 2 AS query_id, 's' || (que
 @query(SUB + " SELECT query_id, doc_id, max(score) AS score, string_agg(DISTINCT sub_query, ',' ORDER BY sub_query) AS found_by FROM sub GROUP BY ALL")
 def merge_sub_queries(spark, sf_dir):
     """The best few of each sub-query, merged by document."""
-    r = retrieve.bm25(questions(spark, sf_dir), read(spark, sf_dir, "documents"), 5, QUERY_TOKENS)
+    r = retrieve.bm25(questions(spark, sf_dir), read(spark, sf_dir, "documents"), 5)
     r = r.withColumn("sub_query", F.concat(F.lit("s"), F.col("query_id") % 2)).withColumn("query_id", F.floor(F.col("query_id") / 2))
     return retrieve.merge_by_id(r)
 
@@ -199,7 +200,7 @@ def merge_sub_queries(spark, sf_dir):
 SELECT query_id, parent_id, min(rank) AS rank, count(*) AS children, any_value(size) AS size FROM r JOIN p USING (parent_id) GROUP BY query_id, parent_id""")
 def expand_parents(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    r = retrieve.bm25(questions(spark, sf_dir), d, 20, QUERY_TOKENS).withColumn("parent_id", F.floor(F.col("doc_id") / 10))
+    r = retrieve.bm25(questions(spark, sf_dir), d, 20).withColumn("parent_id", F.floor(F.col("doc_id") / 10))
     parents = d.groupBy(F.floor(F.col("doc_id") / 10).alias("parent_id")).agg(F.count("*").alias("size"))
     return retrieve.expand_parents(r, parents).select("query_id", "parent_id", F.col("rank").cast("long").alias("rank"), "children", "size")
 
@@ -207,7 +208,7 @@ def expand_parents(spark, sf_dir):
 @query(f"""WITH {BM25_SQL} SELECT query_id, doc_id, new_rank, promotion FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY promotion, rank, doc_id) AS new_rank FROM (
 SELECT query_id, doc_id, rank, CAST(CASE WHEN doc_id % 7 = 0 THEN 0 WHEN doc_id % 5 = 0 THEN 1 WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END AS BIGINT) AS promotion FROM bm_ranked WHERE rank <= 20)) WHERE new_rank <= 5""")
 def promotion_overrides(spark, sf_dir):
-    r = retrieve.bm25(questions(spark, sf_dir), read(spark, sf_dir, "documents"), 20, QUERY_TOKENS)
+    r = retrieve.bm25(questions(spark, sf_dir), read(spark, sf_dir, "documents"), 20)
     out = retrieve.promoted(r, F.col("doc_id") % 5 == 0, F.col("doc_id") % 7 == 0, F.col("doc_id") % 3 == 0, 5)
     return out.select("query_id", "doc_id", F.col("new_rank").cast("long").alias("new_rank"), F.col("promotion").cast("long").alias("promotion"))
 

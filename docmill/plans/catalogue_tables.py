@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entities, evaluate, retrieve, session, tabular
 from ..streaming import windows
-from .catalogue_retrieval import BM25_SQL, QUERY_TOKENS, questions
+from .catalogue_retrieval import BM25_SQL, questions
 from .probes import probes, PROBES_SQL
 from .registry import query, read
 
@@ -207,7 +207,7 @@ def companions(spark, sf_dir):
 SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS n FROM s) WHERE n <= 5""")
 def co_retrieval(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    r = retrieve.bm25(questions(spark, sf_dir), d, 3, QUERY_TOKENS).select("query_id", F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 50).alias("entity"))
+    r = retrieve.bm25(questions(spark, sf_dir), d, 3).select("query_id", F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 50).alias("entity"))
     store = d.select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 50).alias("entity"))
     return entities.co_retrieved(r, store, "query_id", 5).select("query_id", "chunk_id")
 
@@ -253,7 +253,7 @@ RELEVANT = "rel AS (SELECT DISTINCT b.item_id AS query_id, d.doc_id FROM benchma
 @query(f"WITH {BM25_SQL}, rel AS (SELECT query_id, doc_id FROM bm_ranked WHERE rank % 3 = 1 AND rank <= 12) SELECT query_id, round(count(*) FILTER (rank <= 5) / count(*), 6)::DOUBLE AS recall FROM rel JOIN bm_ranked USING (query_id, doc_id) GROUP BY query_id")
 def recall_at_k(spark, sf_dir):
     """Recall at 5 where every third of the twelve best counts as relevant."""
-    r = retrieve.bm25(questions(spark, sf_dir), read(spark, sf_dir, "documents"), 12, QUERY_TOKENS)
+    r = retrieve.bm25(questions(spark, sf_dir), read(spark, sf_dir, "documents"), 12)
     return evaluate.recall_at_k(r, r.filter("rank % 3 = 1"), 5).withColumn("recall", F.round("recall", 6))
 
 

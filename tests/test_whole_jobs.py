@@ -1,5 +1,9 @@
 """Queries that once did a part of their job, against restatements of the whole."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -23,3 +27,35 @@ def test_every_vector_is_looked_up(spark, sf):
     others = cos - 2 * np.eye(len(ids))
     assert {r.query_id for r in QUERIES["cache_lookup"](spark, sf).collect()} == set(np.flatnonzero(np.round(others.max(1), 6) >= 0.95).tolist())
     assert {r.query_id for r in QUERIES["filter_cascade"](spark, sf).collect()} == set(ids)
+
+
+BY_QUESTION = "hybrid_rrf_topk bm25_topk sparse_topk rrf_fusion weighted_rrf keyword_fallback merge_sub_queries expand_parents promotion_overrides prerank_filter score_boosts recall_at_k co_retrieval".split()
+
+
+@pytest.mark.parametrize("name", BY_QUESTION)
+def test_words_behind_the_twelfth_count(spark, tmp_path, name):
+    """Only the thirteenth word of the question is in any document."""
+    question = " ".join(f"none{k}" for k in range(12)) + " harbour"
+    prose = "The harbour of the town was closed for ships that came late in the year because of ice and wind. "
+    docs = [(k, prose * (k % 3 + 1) if k < 30 else "Nothing about ships is written here, only a line on trees and rivers of the north.", "en", "s", 100) for k in range(120)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, question)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert QUERIES[name](spark, str(tmp_path)).count() > 0
+
+
+def test_scores_of_whole_questions(spark, sf):
+    docs = {r.doc_id: re.findall("[a-z0-9]+", r.text.lower()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    asked = {r.item_id: re.findall("[a-z0-9]+", r.text.lower()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    tf, mean = {d: Counter(ws) for d, ws in docs.items()}, sum(map(len, docs.values())) / len(docs)
+    df = Counter(w for c in tf.values() for w in c)
+    idf = {w: math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    got = {}
+    for r in QUERIES["bm25_topk"](spark, sf).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.score))
+    assert any(len(ws) > 12 for ws in asked.values())
+    for q, ws in asked.items():
+        score = {d: sum(idf[w] * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * len(docs[d]) / mean)) for w in set(ws) if w in c) for d, c in tf.items()}
+        best = sorted((s for s in score.values() if s > 0), reverse=True)[:20]
+        mine = sorted(got[q])
+        assert [s for _, _, s in mine] == pytest.approx(best, abs=2e-6)
+        assert all(s == pytest.approx(score[d], abs=2e-6) for _, d, s in mine)
