@@ -135,7 +135,7 @@ _ENT = f"list_concat(list_concat(regexp_extract_all(text, {G(guard.NUMBER)}), re
 @query(f"""WITH p AS (SELECT query_id, text FROM ({ASKED_SQL[len('asked AS ('):-1]}) WHERE query_id < 100), e AS (SELECT query_id, {_ENT} AS es FROM p),
 x AS (SELECT query_id, unnest(es) AS entity, generate_subscripts(es, 1) AS k FROM e) SELECT query_id, entity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(entity) ORDER BY k) AS r FROM x) WHERE r = 1""")
 def entity_extract(spark, sf_dir):
-    return asked(spark, sf_dir).filter("query_id < 100").select("query_id", F.explode(guard.entities(F.col("text"))).alias("entity"))
+    return asked(spark, sf_dir).select("query_id", F.explode(guard.entities(F.col("text"))).alias("entity"))
 
 
 @query("SELECT vec_id, list_sort([abs(embedding[1]), abs(embedding[2])]) = [abs(embedding[1]), abs(embedding[2])] AND abs(embedding[3]) <= abs(embedding[4]) IS NOT NULL AND abs(embedding[1]) <= abs(embedding[3]) AND abs(embedding[2]) <= abs(embedding[4]) AS valid FROM embeddings")
@@ -272,7 +272,7 @@ def plan_steps(spark, sf_dir):
     words = text.tokens(t)
     entities = F.filter(F.array(*map(F.lit, ("india", "china", "brazil"))), lambda x: F.array_contains(words, x))
     steps = understand.plan_steps(entities, understand.metrics(t), understand.year(t))
-    return asked(spark, sf_dir).filter("query_id < 100").select("query_id", F.explode(steps).alias("step"))
+    return asked(spark, sf_dir).select("query_id", F.explode(steps).alias("step"))
 
 
 @query("""SELECT doc_id, sha1(text) AS sha1_id, md5(text) AS md5_id, substr(sha1(text), 1, 12) AS short_id, 'parent-' || substr(sha256(source || '|' || lang), 1, 24) AS parent_id FROM documents""")

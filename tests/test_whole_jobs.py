@@ -59,3 +59,19 @@ def test_scores_of_whole_questions(spark, sf):
         mine = sorted(got[q])
         assert [s for _, _, s in mine] == pytest.approx(best, abs=2e-6)
         assert all(s == pytest.approx(score[d], abs=2e-6) for _, d, s in mine)
+
+
+def test_turns_are_read_not_only_probes(spark, tmp_path):
+    said = [(0, 0, "user", "What was the GDP of India in 2020? [1, 2, 3, 4] [] ()"), (0, 1, "assistant", "Table 2.1 of the World Bank says 12%."), (3, 2, "user", "hi")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {n: [tuple(r) for r in QUERIES[n](spark, str(tmp_path)).filter("query_id >= 100").collect()] for n in ("strip_brackets", "entity_extract", "plan_steps")}
+    assert {q: p.split(" Source")[0] for q, p, _ in got["strip_brackets"]} == {100000: "What was the GDP of India in 2020?", 100001: "Table 2.1 of the World Bank says 12%.", 400002: "hi"}
+    assert {(100001, "12%"), (100001, "Table 2.1"), (100001, "World Bank")} <= set(got["entity_extract"])
+    assert got["plan_steps"] == [(100000, "gdp of india 2020")]
+
+
+def test_every_turn_loses_its_brackets(spark, sf):
+    turns = {(r.conv_id + 1) * 100000 + r.turn: r.text for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    got = {r.query_id: r.plain for r in QUERIES["strip_brackets"](spark, sf).filter("query_id >= 100").collect()}
+    assert set(got) == set(turns)
+    assert all(got[q].startswith(" ".join(t.split())[:20]) for q, t in turns.items() if not set("[(") & set(t))
