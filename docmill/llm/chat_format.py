@@ -40,7 +40,11 @@ def fingerprint(paths: list[str]) -> str:
 
 @dataclass(frozen=True)
 class Layout:
-    """How records of one schema say turns: ``fields`` one turn each, or ``messages`` a list with role and text fields."""
+    """How records of one schema say turns.
+
+    ``fields`` one turn each, ``messages`` a list with role and text fields, or, with ``turn``, a record is one
+    turn: its place in the conversation, role and text.
+    """
 
     name: str
     paths: tuple[str, ...]
@@ -48,6 +52,7 @@ class Layout:
     messages: str = ""
     role: str = ""
     text: str = ""
+    turn: str = ""
 
     @property
     def fingerprint(self) -> str:
@@ -64,6 +69,9 @@ LAYOUTS = (
     Layout("messages", ("messages[].role:string", "messages[].content:string"), messages="messages", role="role", text="content"),
     Layout("conversations", ("conversations[].from:string", "conversations[].value:string"), messages="conversations", role="from", text="value"),
     Layout("turns", ("turns[].role:string", "turns[].text:string"), messages="turns", role="role", text="text"),
+    Layout("turn-rows", ("turn:number", "role:string", "text:string"), role="role", text="text", turn="turn"),
+    Layout("turn-rows-content", ("turn:number", "role:string", "content:string"), role="role", text="content", turn="turn"),
+    Layout("turn-rows-from", ("turn:number", "from:string", "value:string"), role="from", text="value", turn="turn"),
 )
 #: Other names of the canonical roles.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -85,17 +93,25 @@ def _turns_of(record: Column, layout: Layout) -> Column:
     return F.filter(F.array(*turns), lambda t: t["text"].isNotNull() & (t["text"] != "")).cast(f"array<{TURN}>")
 
 
+def _layout_of(records: DataFrame, key: str, layouts: list[Layout]) -> Layout | None:
+    known = {p.split(":")[0].split("[")[0].split(".")[0] for x in layouts for p in x.paths}
+    fields = T.StructType([f for f in records.schema.fields if f.name != key and f.name in known])
+    return {x.fingerprint: x for x in layouts}.get(fingerprint(field_paths(fields)))
+
+
 def table_turns(records: DataFrame, key: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Canonical turns (key, turn, role, text) of a table whose own schema, without ``key``, is a known layout.
 
-    Columns besides the layout's are left out of the fingerprint if no layout has them.
+    Columns besides the layout's are left out of the fingerprint if no layout has them. Layouts of a row per
+    turn are looked up after the others.
     """
-    known = {p.split(":")[0].split("[")[0].split(".")[0] for x in layouts for p in x.paths}
-    fields = T.StructType([f for f in records.schema.fields if f.name != key and f.name in known])
-    found = {x.fingerprint: x for x in layouts}.get(fingerprint(field_paths(fields)))
+    found = _layout_of(records, key, [x for x in layouts if not x.turn]) or _layout_of(records, key, [x for x in layouts if x.turn])
     if not found:
-        raise ValueError(f"no layout has the fields {field_paths(fields)}")
-    record = F.struct(*[records[f.name] for f in fields.fields])
+        raise ValueError(f"no layout has the fields {field_paths(records.drop(key).schema)}")
+    if found.turn:
+        return records.select(records[key], records[found.turn].alias("turn"), canonical_role(records[found.role]).alias("role"), records[found.text].alias("text"))
+    names = {p.split(":")[0].split("[")[0] for p in found.paths}
+    record = F.struct(*[records[c] for c in records.columns if c in names])
     return records.select(records[key], F.explode(_turns_of(record, found)).alias("t")).select(key, "t.turn", "t.role", "t.text")
 
 
@@ -120,7 +136,7 @@ def json_turns(records: DataFrame, key: str, record: str, layouts: tuple[Layout,
     """
     rows = records.select(records[key].alias("_key"), records[record].alias("_json"), json_fingerprint(records[record]).alias("_print"))
     turns, name = F.lit(None).cast(f"array<{TURN}>"), F.lit(None).cast("string")
-    for x in layouts:
+    for x in (x for x in layouts if not x.turn):
         want = hashlib.sha256(_variant_schema(x).encode()).hexdigest()[:16]
         shape = f"{x.messages} array<struct<`{x.role}`: string, `{x.text}`: string>>" if x.messages else ", ".join(f"`{p.split(':')[0]}` string" for p in x.paths)
         turns = F.when(F.col("_print") == want, _turns_of(F.from_json("_json", shape), x)).otherwise(turns)

@@ -35,7 +35,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    talks = chat_format.table_turns(table(spark, sf_dir, "conversations"), "conv_id")
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     return chat_format.digests(chat_format.formatted(talks.unionByName(more)))

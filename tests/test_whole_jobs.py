@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from docmill.llm import queries
 from docmill.plans.catalogue import QUERIES
 
 
@@ -75,3 +76,24 @@ def test_every_turn_loses_its_brackets(spark, sf):
     got = {r.query_id: r.plain for r in QUERIES["strip_brackets"](spark, sf).filter("query_id >= 100").collect()}
     assert set(got) == set(turns)
     assert all(got[q].startswith(" ".join(t.split())[:20]) for q, t in turns.items() if not set("[(") & set(t))
+
+
+def test_chat_query_selects_a_layout(spark, tmp_path):
+    """Tables of other roles and columns than the given ones' keep their turns and their loss."""
+    plain = [(1, 0, "user", "ask"), (1, 1, "assistant", "say")]
+    tables = {
+        "rows": (plain, "conv_id long, turn long, role string, text string"),
+        "names": ([(1, 0, "human", "ask"), (1, 1, "GPT", "say")], "conv_id long, turn long, role string, text string"),
+        "from": ([(1, 0, "human", "ask"), (1, 1, "gpt", "say")], "conv_id long, turn int, from string, value string"),
+        "lists": ([(1, [("human", "ask"), ("gpt", "say")])], "conv_id long, conversations array<struct<from: string, value: string>>"),
+        "fields": ([(1, "ask", "say")], "conv_id long, prompt string, completion string"),
+    }
+    got = {}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/conversations.parquet")
+        got[name] = sorted(tuple(r) for r in queries.op4_chat_format(spark, f"{tmp_path}/{name}").collect())
+    assert got["rows"][1][:2] == (1, 2) and got["rows"][1][3] == 3
+    assert all(x == got["rows"] for x in got.values())
+    spark.createDataFrame([(1, 2)], "conv_id long, other long").write.parquet(f"{tmp_path}/none/conversations.parquet")
+    with pytest.raises(ValueError):
+        queries.op4_chat_format(spark, f"{tmp_path}/none")
