@@ -25,6 +25,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 #: Elements whose content is never text of a page.
 SKIPPED = frozenset("head script style noscript template textarea select button svg math iframe object canvas audio video title noembed noframes".split())
 RAW = frozenset("script style textarea title iframe noembed noframes noscript template".split())
+#: What may stand in a head; the start tag of another element ends an open head.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag that ends an open element of these kinds.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -80,7 +82,7 @@ def parse(page: str) -> Node:
     at = root  # innermost open block
     opened: list[tuple[str, Node | None]] = []  # open elements; inline ones without a node
     parts: list[tuple[str, bool]] = []
-    links = skipping = 0
+    links = skipping = heads = 0  # open elements of these kinds
 
     def flush() -> None:
         if parts:
@@ -93,7 +95,7 @@ def parse(page: str) -> Node:
             parts.clear()
 
     def close(k: int) -> None:
-        nonlocal at, links, skipping
+        nonlocal at, links, skipping, heads
         while len(opened) > k:
             tag, node = opened.pop()
             if node is not None:
@@ -101,6 +103,10 @@ def parse(page: str) -> Node:
                 at = node.parent
             links -= tag == "a"
             skipping -= tag in SKIPPED
+            heads -= tag == "head"
+
+    def leave_head() -> None:
+        close(next(k for k, (tag, _) in enumerate(opened) if tag == "head"))
 
     # behind the last ">" no tag ends: what looks like the start of one there is dropped, the text before it stays
     n = page.rfind(">") + 1
@@ -110,6 +116,8 @@ def parse(page: str) -> Node:
     while i < n:
         m = _TOKEN.search(page, i, ends)
         upto = m.start() if m else n
+        if heads and page[i:upto].strip():
+            leave_head()
         if upto > i and not skipping:
             text = page[i:upto]
             parts.append((html.unescape(text) if "&" in text else text, links > 0))
@@ -128,6 +136,8 @@ def parse(page: str) -> Node:
                 if tag not in BLOCKS and opened[k][1] is not None:
                     break  # an inline end tag doesn't close blocks
             continue
+        if heads and tag not in IN_HEAD:
+            leave_head()
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, i)
             i = end.end() if end else n
@@ -156,7 +166,10 @@ def parse(page: str) -> Node:
         if tag == "a":
             links += 1
         if tag in SKIPPED:
+            if tag != "head" and (m[3] or m[6] or "").endswith("/"):
+                continue
             skipping += 1
+            heads += tag == "head"
         if tag in BLOCKS and not skipping:
             flush()
             if tag == "hr":
@@ -166,7 +179,7 @@ def parse(page: str) -> Node:
             at = Node(tag, at)
             _attributes(at, m[3] or m[6] or "")
             opened.append((tag, at))
-        elif not (m[3] or m[6] or "").endswith("/"):
+        elif tag == "head" or not (m[3] or m[6] or "").endswith("/"):
             opened.append((tag, None))
             if tag not in SKIPPED:
                 at.tags += 1

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from docmill.llm import queries
+from docmill.llm import html_extract, queries
 from docmill.plans.catalogue import QUERIES
 
 
@@ -97,3 +97,21 @@ def test_chat_query_selects_a_layout(spark, tmp_path):
     spark.createDataFrame([(1, 2)], "conv_id long, other long").write.parquet(f"{tmp_path}/none/conversations.parquet")
     with pytest.raises(ValueError):
         queries.op4_chat_format(spark, f"{tmp_path}/none")
+
+
+@pytest.mark.parametrize(
+    "head",
+    ["<head><title>T</title><body>", "<head><title>T</title>", "<head><meta name=a><style>p {}</style><script>x</script>\n<body class=x>", "<head/><title>T</title></head><body>", "<head><title>T</title></head><body>", "<body><svg/>"],
+)
+def test_pages_without_an_end_of_head(head):
+    def texts(page):
+        return [x.text for x in html_extract.in_order(html_extract.parse(page)) if x.text]
+
+    article = "<article><h1>On ice</h1><p>The harbour was closed.</p><p>Ships came late, in spring.</p></article>"
+    whole = f"<html><head><title>T</title></head><body>{article}</body></html>"
+    assert texts(f"<html>{head}{article}</body></html>") == texts(whole) == ["On ice", "The harbour was closed.", "Ships came late, in spring."]
+    assert html_extract.main_texts([f"<html>{head}{article}"], html_extract.model()) == ["On ice\n\nThe harbour was closed.\n\nShips came late, in spring."]
+
+
+def test_text_ends_an_open_head():
+    assert [x.text for x in html_extract.in_order(html_extract.parse("<head><title>T</title>Plain words<b>, bold</b>")) if x.text] == ["Plain words, bold"]
