@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
-Vectors are dealt into shards by a hash of their id. A shard becomes one row: ids, vectors and, level by
-level, a flat array of neighbours with a fixed number of places per node. A query goes through the
+Vectors are dealt into shards by a hash of their id. Equal vectors of a shard are one node, whose ids stand
+beside it. A shard becomes one row: ids, vectors and, level by level, a flat array of neighbours with a
+fixed number of places per node. A query goes through the
 graph of each shard from the top level down; the shards' results are merged by exact distance.
 Queries travel in blocks, one row for a block and a shard.
 """
@@ -47,6 +48,16 @@ def _diverse(d: np.ndarray, between: np.ndarray, most: int) -> list[int]:
     return chosen
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows in order of their ids: first row of each distinct vector, rows node by node, and where each node's start."""
+    _, first, node = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    turn = np.argsort(first)
+    place = np.empty_like(turn)
+    place[turn] = np.arange(len(turn))
+    node = place[node.reshape(-1)]
+    return first[turn], np.argsort(node, kind="stable"), np.r_[0, np.cumsum(np.bincount(node))]
+
+
 def build(ids: np.ndarray, vectors: np.ndarray, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
     """Levels from the ground up: member positions, and their neighbours as a flat array (-1: none).
 
@@ -94,18 +105,22 @@ def _thinned(node: int, own: list[int], x: np.ndarray, s: np.ndarray, most: int)
 
 
 class Shard:
-    def __init__(self, ids: bytes, vectors: bytes, dim: int, members: list[bytes], neighbours: list[bytes]):
-        self.ids = np.frombuffer(ids, "<i8")
+    def __init__(self, ids: bytes, starts: bytes, vectors: bytes, dim: int, members: list[bytes], neighbours: list[bytes]):
+        self.ids, self.starts = np.frombuffer(ids, "<i8"), np.frombuffer(starts, "<i8")
         self.vectors = np.frombuffer(vectors, "<f8").reshape(-1, dim)
         self.levels = []
         for k, (m, f) in enumerate(zip(members, neighbours)):
             m, f = np.frombuffer(m, "<i4"), np.frombuffer(f, "<i4")
             rows = f.reshape(len(m), -1)
-            at = np.full(len(self.ids), -1, np.int32)
+            at = np.full(len(self.vectors), -1, np.int32)
             at[m] = np.arange(len(m))
             self.levels.append((at, rows))
         self.entry = int(np.frombuffer(members[-1], "<i4")[0])
 
+    def least_ids(self, node: int, most: int) -> list[int]:
+        """The smallest ids of a node's vector."""
+        return self.ids[self.starts[node] : min(self.starts[node] + most, self.starts[node + 1])].tolist()
+
     def search(self, q: np.ndarray, ef: int) -> list[tuple[float, int]]:
         """(squared distance, position) of the nearest nodes found, unordered."""
         x = self.vectors
@@ -148,7 +163,7 @@ class Shard:
         return [(-d, k) for d, k in best]
 
 
-INDEX = "dim int, shard int, ids binary, vectors binary, members array<binary>, neighbours array<binary>"
+INDEX = "dim int, shard int, ids binary, starts binary, vectors binary, members array<binary>, neighbours array<binary>"
 
 
 def usable(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -171,14 +186,16 @@ def index(vectors: DataFrame, shard: int = SHARD, seed: int = 5) -> DataFrame:
         order = np.lexsort([*x.T[::-1], group["vec_id"].to_numpy()])
         ids = group["vec_id"].to_numpy()[order]
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        ids, x = ids[first], x[order][first]
-        levels = build(ids, x, seed)
+        ids, x = ids[first], x[order][first] + 0.0  # no negative zeros
+        nodes, rows, starts = _distinct(x)
+        levels = build(ids[nodes], x[nodes], seed)
         return pd.DataFrame(
             {
                 "dim": [x.shape[1]],
                 "shard": [group["shard"].iloc[0]],
-                "ids": [ids.astype("<i8").tobytes()],
-                "vectors": [x.astype("<f8").tobytes()],
+                "ids": [ids[rows].astype("<i8").tobytes()],
+                "starts": [starts.astype("<i8").tobytes()],
+                "vectors": [x[nodes].astype("<f8").tobytes()],
                 "members": [[m.astype("<i4").tobytes() for m, _ in levels]],
                 "neighbours": [[f.astype("<i4").tobytes() for _, f in levels]],
             }
@@ -205,19 +222,19 @@ def search(queries: DataFrame, indexed: DataFrame, k: int = 10, ef: int = EF_SEA
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                graph = Shard(row["ids"], row["vectors"], row["dim"], row["members"], row["neighbours"])
+                graph = Shard(row["ids"], row["starts"], row["vectors"], row["dim"], row["members"], row["neighbours"])
                 out = []
                 for q in row["qs"]:
                     x = np.array(q["v"], float)
                     found = graph.search(x, max(ef, k + 1))
                     at = np.array([p for _, p in found])
                     exact = np.sqrt(((graph.vectors[at] - x) ** 2).sum(1))
-                    best = sorted((d, i) for d, i in zip(exact.tolist(), graph.ids[at].tolist()) if i != q["vec_id"])[:k]
+                    best = sorted((d, i) for d, p in zip(exact.tolist(), at.tolist()) for i in graph.least_ids(p, k + 1) if i != q["vec_id"])[:k]
                     out += [(q["vec_id"], i, d) for d, i in best]
                 columns = list(zip(*out)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    near = met.select("dim", "qs", "ids", "vectors", "members", "neighbours").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    near = met.select("dim", "qs", "ids", "starts", "vectors", "members", "neighbours").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from docmill.llm import html_extract, queries
+from docmill.llm import hnsw, html_extract, queries
 from docmill.plans.catalogue import QUERIES
 
 
@@ -115,3 +115,23 @@ def test_pages_without_an_end_of_head(head):
 
 def test_text_ends_an_open_head():
     assert [x.text for x in html_extract.in_order(html_extract.parse("<head><title>T</title>Plain words<b>, bold</b>")) if x.text] == ["Plain words, bold"]
+
+
+def test_neighbours_where_a_third_is_equal(spark):
+    rng = np.random.RandomState(3)
+    x = np.concatenate([rng.randn(2000, 16), np.repeat(rng.randn(1, 16), 1500, 0), np.zeros((1000, 16))])
+    x[3500:] = x[2000] + 0.3 * rng.randn(1000, 16)
+    x = x[rng.permutation(len(x))].astype(np.float32).astype(float)
+    rows = [(k, v) for k, v in enumerate(x.tolist())]
+    got = {}
+    for r in hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for q in range(0, len(x), 20):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [k for k in np.lexsort((np.arange(len(d)), d)).tolist() if k != q][:10]
+        mine = [k for _, k, _ in sorted(got[q])]
+        hits += len(set(mine) & set(want))
+        if d[want[-1]] == 0:
+            assert mine == want
+    assert hits / (10 * len(got)) >= 0.95
