@@ -26,7 +26,7 @@ def payload_normalise(spark, sf_dir):
 def visual_gates(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     none = F.lit(None).cast("string")
-    low = assets.low_value_visual(F.substring("text", 1, 12), none, F.when(F.col("doc_id") % 2 == 1, F.lit("caption")))
+    low = assets.low_value_visual(F.col("text"), none, F.when(F.col("doc_id") % 2 == 1, F.lit("caption")))
     gate = assets.visual_gate(F.when(F.col("lang") == "fr", "paragraph").otherwise("figure"), F.col("n_chars") / 10000)
     return d.select("doc_id", low.alias("low_value"), gate.alias("gated"))
 

@@ -228,7 +228,7 @@ def composite_dedupe(spark, sf_dir):
 SELECT query_id, rank FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.query_id = a.query_id AND b.rank < a.rank AND (contains(a.t, b.t) OR contains(b.t, a.t)))""")
 def containment_dedupe(spark, sf_dir):
     """Among a query's candidates, in order, those that neither contain a kept one nor are part of one."""
-    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.substring("text", 1, 40).alias("text"))
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), "text")
     return index.containment_dedupe(c, "query_id", "rank", "text").select("query_id", "rank")
 
 

@@ -135,3 +135,25 @@ def test_neighbours_where_a_third_is_equal(spark):
         if d[want[-1]] == 0:
             assert mine == want
     assert hits / (10 * len(got)) >= 0.95
+
+
+def test_containment_of_whole_turns(spark, tmp_path):
+    opening = "These fifty characters are the same in every turn "
+    said = [opening + "and then the first goes on to ships.", opening + "and then the second goes on to trees.", "trees", "Goes  ON to\nships.", "rivers"]
+    spark.createDataFrame([(0, k, "user", t) for k, t in enumerate(said)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(tuple(r) for r in QUERIES["containment_dedupe"](spark, str(tmp_path)).collect()) == [(0, 0), (0, 1), (0, 4)]
+
+
+def test_whole_turns_equal_restatement(spark, sf):
+    talks = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        kept, t = talks.setdefault(r.conv_id, []), " ".join(r.text.lower().split())
+        if not any(t in k or k in t for _, k in kept):
+            kept.append((r.turn, t))
+    assert {tuple(r) for r in QUERIES["containment_dedupe"](spark, sf).collect()} == {(c, turn) for c, kept in talks.items() for turn, _ in kept}
+
+
+def test_gates_read_whole_documents(spark, tmp_path):
+    docs = [(0, "extraordinarily long words come first", "en", "s", 5000), (2, "two words", "en", "s", 5000)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.low_value for r in QUERIES["visual_gates"](spark, str(tmp_path)).collect()} == {0: False, 2: True}
