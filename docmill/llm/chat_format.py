@@ -66,6 +66,7 @@ LAYOUTS = (
     Layout("instruction", ("instruction:string", "output:string"), (("user", "instruction"), ("assistant", "output"))),
     Layout("instruction-input", ("instruction:string", "input:string", "output:string"), (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("system-instruction", ("system:string", "instruction:string", "output:string"), (("system", "system"), ("user", "instruction"), ("assistant", "output"))),
+    Layout("system-instruction-input", ("system:string", "instruction:string", "input:string", "output:string"), (("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("messages", ("messages[].role:string", "messages[].content:string"), messages="messages", role="role", text="content"),
     Layout("conversations", ("conversations[].from:string", "conversations[].value:string"), messages="conversations", role="from", text="value"),
     Layout("turns", ("turns[].role:string", "turns[].text:string"), messages="turns", role="role", text="text"),
@@ -115,32 +116,58 @@ def table_turns(records: DataFrame, key: str, layouts: tuple[Layout, ...] = LAYO
     return records.select(records[key], F.explode(_turns_of(record, found)).alias("t")).select(key, "t.turn", "t.role", "t.text")
 
 
-def json_fingerprint(record: Column) -> Column:
-    """Fingerprint of each JSON record: a hash of its nested field paths and types; null for what isn't JSON."""
-    schema = F.schema_of_variant(F.try_parse_json(record))
-    return F.substring(F.sha2(schema, 256), 1, 16)
+def json_paths(record: Column, layouts: tuple[Layout, ...]) -> Column:
+    """Field paths that some layout knows, said ones and null ones, of each parsed record (a variant); others are left out.
 
+    A known field of another type is a path that no layout has, so that its record isn't read without it.
+    """
 
-def _variant_schema(layout: Layout) -> str:
-    """The text that describes records of ``layout``: fields in order of their names."""
-    if layout.messages:
-        inner = ", ".join(f"{n}: STRING" for n in sorted((layout.role, layout.text)))
-        return f"OBJECT<{layout.messages}: ARRAY<OBJECT<{inner}>>>"
-    return "OBJECT<" + ", ".join(f"{p.split(':')[0]}: STRING" for p in sorted(layout.paths)) + ">"
+    def kind(v: Column, name: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+
+    def kinds_of(x: Layout) -> Column:
+        return F.transform(
+            F.try_variant_get(record, f"$.{x.messages}", "array<variant>"),
+            lambda m: F.struct(F.schema_of_variant(m).alias("whole"), kind(m, x.role).alias("role"), kind(m, x.text).alias("text")),
+        )
+
+    def fits(kinds: Column) -> Column:
+        text = lambda t: t.isNull() | t.isin("STRING", "VOID")
+        each = F.forall(kinds, lambda m: (m["whole"].startswith("OBJECT") | (m["whole"] == "VOID")) & text(m["role"]) & text(m["text"]))
+        return F.coalesce(each & F.exists(kinds, lambda m: m["role"].isNotNull()) & F.exists(kinds, lambda m: m["text"].isNotNull()), F.lit(False))
+
+    said, null = [], []
+    for name in sorted({p.split(":")[0] for x in layouts for _, p in x.fields}):
+        k = kind(record, name)
+        said.append(F.when(k != "VOID", F.array(F.concat(F.lit(f"{name}:"), F.when(k == "STRING", F.lit("string")).otherwise(k)))))
+        null.append(F.when(k == "VOID", F.array(F.lit(f"{name}:string"))))
+    for x in (x for x in layouts if x.messages):
+        k = kind(record, x.messages)
+        said.append(F.when(k != "VOID", F.when(fits(kinds_of(x)), F.array(*map(F.lit, x.paths))).otherwise(F.array(F.concat(F.lit(f"{x.messages}:"), k)))))
+    empty = F.array().cast("array<string>")
+    return F.struct(F.concat(*[F.coalesce(p, empty) for p in said]).alias("said"), F.concat(*[F.coalesce(p, empty) for p in null]).alias("null"))
+
+
+def json_fingerprint(paths: Column, layout: Layout) -> Column:
+    """Fingerprint of each record's known paths; a null field stands for the field of ``layout``, or for none."""
+    held = F.array_intersect(paths["null"], F.array(*map(F.lit, layout.paths)))
+    return F.substring(F.sha2(F.array_join(F.array_sort(F.concat(paths["said"], held)), "\n"), 256), 1, 16)
 
 
 def json_turns(records: DataFrame, key: str, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Canonical turns (key, turn, role, text, layout) of a column of JSON records of many layouts.
 
-    A record of no known layout, or none at all, gives one row with a null layout and no turn.
+    Fields that no layout has don't matter, null ones may be any text field. A record of no known layout, or none at all, gives one row with a null layout and no turn.
     """
-    rows = records.select(records[key].alias("_key"), records[record].alias("_json"), json_fingerprint(records[record]).alias("_print"))
+    records_of = [x for x in layouts if not x.turn]
+    rows = records.select(records[key].alias("_key"), records[record].alias("_json"), F.try_parse_json(records[record]).alias("_v"))
+    rows = rows.select("_key", "_json", json_paths(F.col("_v"), records_of).alias("_paths"))
     turns, name = F.lit(None).cast(f"array<{TURN}>"), F.lit(None).cast("string")
-    for x in (x for x in layouts if not x.turn):
-        want = hashlib.sha256(_variant_schema(x).encode()).hexdigest()[:16]
+    for x in sorted(records_of, key=lambda x: len(x.paths)):  # where null fields leave a choice, the layout of most fields
+        fits = json_fingerprint(F.col("_paths"), x) == x.fingerprint
         shape = f"{x.messages} array<struct<`{x.role}`: string, `{x.text}`: string>>" if x.messages else ", ".join(f"`{p.split(':')[0]}` string" for p in x.paths)
-        turns = F.when(F.col("_print") == want, _turns_of(F.from_json("_json", shape), x)).otherwise(turns)
-        name = F.when(F.col("_print") == want, F.lit(x.name)).otherwise(name)
+        turns = F.when(fits, _turns_of(F.from_json("_json", shape), x)).otherwise(turns)
+        name = F.when(fits, F.lit(x.name)).otherwise(name)
     return rows.select(F.col("_key").alias(key), name.alias("layout"), F.explode_outer(turns).alias("t")).select(key, "t.turn", "t.role", "t.text", "layout")
 
 

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from docmill.llm import hnsw, html_extract, queries
+from docmill.llm import chat_format, hnsw, html_extract, queries
 from docmill.plans.catalogue import QUERIES
 
 
@@ -157,3 +157,25 @@ def test_gates_read_whole_documents(spark, tmp_path):
     docs = [(0, "extraordinarily long words come first", "en", "s", 5000), (2, "two words", "en", "s", 5000)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.low_value for r in QUERIES["visual_gates"](spark, str(tmp_path)).collect()} == {0: False, 2: True}
+
+
+def test_uneven_json_records_keep_their_turns(spark):
+    said = {
+        '{"instruction":"i","input":null,"output":"o"}': [("user", "i"), ("assistant", "o")],
+        '{"id":7,"source":"s","prompt":"a","completion":"b"}': [("user", "a"), ("assistant", "b")],
+        '{"prompt":"a","completion":"b","system":null,"messages":null}': [("user", "a"), ("assistant", "b")],
+        '{"prompt":"a","completion":null,"system":null}': [("user", "a")],
+        '{"system":"s","instruction":"i","input":"n","output":"o"}': [("system", "s"), ("user", "i"), ("user", "n"), ("assistant", "o")],
+        '{"messages":[{"role":"human","content":"x","name":"n"},{"role":"gpt","content":null},{"role":"gpt"}],"id":{"a":1}}': [("user", "x"), ("assistant", None), ("assistant", None)],
+        '{"conversations":[{"from":"human","value":"x","weight":0.5}],"model":"m"}': [("user", "x")],
+        '{"instruction":"i","input":5,"output":"o"}': [(None, None)],
+        '{"messages":[{"role":"user","content":["x"]}]}': [(None, None)],
+        '{"messages":[7]}': [(None, None)],
+        '{"messages":"x"}': [(None, None)],
+        "[1]": [(None, None)],
+    }
+    got = {}
+    for r in chat_format.json_turns(spark.createDataFrame(list(enumerate(said)), "id long, j string"), "id", "j").orderBy("id", "turn").collect():
+        got.setdefault(r.id, []).append((r.role, r.text))
+        assert (r.layout is None) == (r.role is None)
+    assert list(got.values()) == list(said.values())
