@@ -6,11 +6,13 @@
    45 bands of 6 minima a pair of similarity 0.8 shares no bucket with a probability of 1e-6.
 3. In each bucket every member is compared with the smallest one only: members - 1 pairs. Pairs
    pass a signature check and are then confirmed on the full sets.
-4. Components of the confirmed links. Only buckets in which a comparison failed can hold further
-   links, between members of different components: their signatures are compared block by block inside
-   a task, each pair in the first bucket it shares. Members with such a pair come back with their full
-   sets, and the task emits the confirmed links that join components, fewer than it has members. So
-   there is no cap on buckets, and no list of all pairs of a group either.
+4. Components of the confirmed links. Only a bucket with a failed pair whose ends are still in different
+   components can hold further links. In a small one all signatures meet inside a task, each pair in the
+   first bucket it shares. Members of a large one are dealt again by an exact prefix filter: sets as
+   similar as wanted share one of the rarest shingles of each, so only members with such a shingle in
+   common meet. Members with a pair that may be linked come back with their full sets, and the task
+   emits the confirmed links that join components, fewer than it has members. So there is no cap on
+   buckets, and no list of all pairs of a group either.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, marked, small_batches, written
@@ -28,10 +30,10 @@ from .components import connected_components
 BANDS, ROWS = 45, 6
 #: Verification lets a pair pass from this many standard deviations below the wanted similarity.
 SLACK = 4.5
-#: Members of a bucket whose signatures meet in one task.
-BLOCK = 1024
-#: Shingles of a block that meet in one task, on average.
-BLOCK_SHINGLES = 1_000_000
+#: Members of a bucket whose signatures meet in one task, and their shingles (on average, if it is cut in blocks).
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Slots in which shingles are counted to tell rare from frequent ones; any count gives the same links.
+SLOT_BITS = 16
 MEMO_WORDS = 400_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -179,11 +181,41 @@ def confirm(pairs: DataFrame, docs: DataFrame, signed: DataFrame, width: int, pe
     return links
 
 
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """Columns v, component, n_shingles, bucket: for each set (doc_id, component, shingles) the shingles of which a set linked to it must have one among its own.
+
+    In any order of all shingles two sets with 100 * intersection >= ``percent`` * union share one of the first
+    n - ceil(percent * n / 100) + 1 of each. The order here is from rare to frequent, as far as the counts of
+    2**SLOT_BITS hash slots tell; these counts, not the shingles, go through the driver.
+    """
+    spark = sets.sparkSession
+    slot = F.shiftrightunsigned("s", 64 - SLOT_BITS).cast("int")
+    counted = sets.select(F.explode("shingles").alias("s")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toArrow()  # at most 2**SLOT_BITS rows
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    counts[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def run(batches):
+        for batch in batches:
+            sizes, tokens = [], []
+            for x in batch.column("shingles"):
+                own = np.asarray(x.values).view(np.uint64)
+                order = np.lexsort((own, shared.value[own >> np.uint64(64 - SLOT_BITS)]))
+                sizes.append(len(own))
+                tokens.append(own[order[: len(own) + percent * len(own) // -100 + 1]])
+            many = [len(t) for t in tokens]
+            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+            told = [np.repeat(np.array(x, np.int64), many) for x in (batch.column("doc_id").to_pylist(), batch.column("component").to_pylist(), sizes)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, told), pa.array(flat.view(np.int64))], names=["v", "component", "n_shingles", "bucket"])
+
+    return sets.mapInArrow(run, "v bigint, component bigint, n_shingles bigint, bucket bigint")
+
+
 def _open_pairs(group: pd.DataFrame, least: int, bands: int, rows: int):
     """Of each member of a block, or of two, the later ones that may be linked to it, in another component.
 
     Their signatures agree often enough, and this bucket is the first that the two share, so that no
-    other bucket has to look at the pair.
+    other bucket has to look at the pair (members dealt by a shingle have band -1 and may meet more than once).
     """
     ids, parts, blocks = (group[c].to_numpy() for c in ("v", "component", "block"))
     minima = np.stack(group["minima"].to_numpy())
@@ -197,7 +229,8 @@ def _open_pairs(group: pd.DataFrame, least: int, bands: int, rows: int):
             equal = minima[at] == minima[k]
             near = equal.sum(1) >= least
             at, equal = at[near], equal[near]
-            at = at[equal.reshape(len(at), bands, rows).all(2).argmax(1) == band]
+            if band >= 0:
+                at = at[equal.reshape(len(at), bands, rows).all(2).argmax(1) == band]
         if len(at):
             yield k, at
 
@@ -270,24 +303,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     classes = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
     reps = some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    buckets = reps.select(F.col("doc_id").alias("v"), F.posexplode("bands").alias("band", "bucket")).repartition("bucket")
-    firsts = buckets.groupBy("bucket").agg(F.min("v").alias("u"), F.count("*").alias("members")).filter("members > 1")
-    candidates = written(buckets.join(firsts, "bucket").filter("u <> v").select("bucket", "band", "members", "u", "v"), "candidates")
+    buckets = reps.select(F.col("doc_id").alias("v"), "n_shingles", F.posexplode("bands").alias("band", "bucket")).repartition("bucket")
+    firsts = buckets.groupBy("bucket").agg(F.min("v").alias("u"), F.count("*").alias("members"), F.sum("n_shingles").alias("held")).filter("members > 1")
+    candidates = written(buckets.join(firsts, "bucket").filter("u <> v").select("bucket", "band", "members", "held", "u", "v"), "candidates")
 
     links = confirm(candidates.select("u", "v").distinct(), docs, some, width, percent, minima)
     found = written(connected_components(links), "components")
-
-    failed = candidates.filter("members > 2").join(links, ["u", "v"], "left_anti").select("bucket").distinct()
-    unsettled = candidates.join(failed, "bucket", "left_semi")
-    members = unsettled.select("bucket", "band", "members", "v").unionByName(unsettled.select("bucket", "band", "members", F.col("u").alias("v"))).distinct()
-    labelled = members.join(found.withColumnRenamed("node", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = written(labelled.join(mixed, "bucket", "left_semi"), "open-buckets")
-    facts = some.select(F.col("doc_id").alias("v"), "n_shingles", "minima").dropDuplicates(["v"])
-    room = Window.partitionBy("bucket")
-    rows_in = open_.join(facts, "v").withColumn("blocks", F.ceil(F.greatest(F.count("*").over(room) / BLOCK, F.sum("n_shingles").over(room) / BLOCK_SHINGLES)).cast("int"))
+    label = found.select("node", "component")
+
+    def labelled(rows_: DataFrame, node: str, name: str) -> DataFrame:
+        return rows_.join(label.withColumnsRenamed({"node": node, "component": name}), node, "left").withColumn(name, F.coalesce(name, node))
+
+    failed = candidates.filter("members > 2").join(links, ["u", "v"], "left_anti").select("u", "v").distinct()
+    apart = labelled(labelled(failed, "u", "cu"), "v", "cv").filter("cu <> cv").select("u", "v")
+    opened = candidates.filter("members > 2").join(apart, ["u", "v"], "left_semi").select("bucket", "band", "members", "held", "u").distinct()
+    opened = written(opened, "open-buckets")
+    members = candidates.join(opened.select("bucket"), "bucket", "left_semi").select("bucket", "band", "members", "held", "v")
+    members = members.unionByName(opened.select("bucket", "band", "members", "held", F.col("u").alias("v"))).distinct()
+    members = written(labelled(members, "v", "component"), "open-members")
+    large = (F.col("members") > BLOCK) | (F.col("held") > BLOCK_SHINGLES)
+    in_large = written(members.filter(large).select("v", "component").distinct(), "large-members")
+    large_sets = _full_sets(marked(docs, "doc_id", in_large.select(F.col("v").alias("doc_id"))).filter("_maybe").select("doc_id", "text"), width)
+    large_sets = written(large_sets.join(in_large.withColumnRenamed("v", "doc_id"), "doc_id"), "large-sets")
+    # of shingles that lie in one component only nothing has to be compared
+    prefixes = written(_prefixes(large_sets, percent), "prefixes")
+    shared = prefixes.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    shared = shared.filter("lo <> hi").select("bucket", "members", "held")
+    dealt = prefixes.join(shared, "bucket").select("bucket", F.lit(-1).alias("band"), "members", "held", "v", "component")
+
+    facts = some.select(F.col("doc_id").alias("v"), "minima").dropDuplicates(["v"])
+    rows_in = members.filter(~large).unionByName(dealt).join(facts, "v")
+    blocks = F.when(F.col("band") < 0, F.ceil(F.greatest(F.col("members") / BLOCK, F.col("held") / BLOCK_SHINGLES))).otherwise(1)
     pieces = (
-        rows_in.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+        rows_in.withColumn("blocks", blocks.cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "v", "component", "minima")
     )
@@ -301,7 +350,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     more = met.repartition(tasks, *_GROUP).groupBy(*_GROUP).applyInPandas(_joining(least, bands, rows, percent), "u bigint, v bigint")
     more = written(more, "links")
     if more.limit(1).count():
-        label = found.select("node", "component")
         ends = (
             more.join(label.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
             .join(label.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
@@ -313,7 +361,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         joined = written(inner.unionByName(outer), "components")
         forget(found)
         found = joined
-    forget(candidates, links, open_, ask, sets, more)
+    forget(candidates, links, opened, members, in_large, large_sets, prefixes, ask, sets, more)
 
     roots = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("root"))
     rows_ = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(roots, ["set_a", "set_b", "n_shingles"], "left")
