@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
 
 #: Rows of an Arrow batch handed to Python; texts may be long, so fewer than Spark's default.
@@ -18,8 +20,11 @@ ARROW_ROWS = 400
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/")
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; it may be unset on a local master only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or LOCAL_FALLBACK).rstrip("/")
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -48,14 +53,36 @@ def ship(spark: SparkSession) -> None:
     context._docmill_shipped = True
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def own_folder(spark: SparkSession) -> str:
+    """The folder in the shared one that holds this application's intermediate tables; it is removed when Python ends."""
+    context = spark.sparkContext
+    if not hasattr(context, "_docmill_folder"):
+        context._docmill_folder = f"{shared_dir(spark)}/docmill-{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        context._docmill_paths = []
+
+        def clear() -> None:
+            if context._jsc is not None:  # else the session has ended, and with it the way to the folder
+                _remove(spark, context._docmill_folder)
+
+        atexit.register(clear)
+    return context._docmill_folder
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docmill-{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.sparkContext._docmill_paths.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again.
 
-    The files outlive any executor. ``forget`` removes them once nothing reads them.
+    The files outlive any executor. ``forget`` and ``forget_since`` remove them once nothing reads them.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -70,17 +97,48 @@ def forget(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_docmill_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(df.sparkSession, path)
+
+
+def mark(spark: SparkSession) -> int:
+    """What ``forget_since`` goes back to."""
+    own_folder(spark)
+    return len(spark.sparkContext._docmill_paths)
+
+
+def forget_since(spark: SparkSession, since: int, but: DataFrame) -> None:
+    """Remove all tables written since ``mark``, except the one behind ``but``."""
+    paths = spark.sparkContext._docmill_paths
+    for path in paths[since:]:
+        if path != but._docmill_path:
+            _remove(spark, path)
+    paths[since:] = [but._docmill_path]
+
+
+def narrowed(df: DataFrame, keep: tuple[str, ...], own: str, *inputs: Column) -> tuple[DataFrame, list[str], T.StructType]:
+    """Columns ``keep`` and then ``inputs`` of ``df``, the names of the kept ones and the schema of kept and ``own`` columns.
+
+    A kept column that has the name of one of the operator's own (a DDL string) gets ``_given`` behind its
+    name. Columns are found by their place, so no name of a table can clash with another.
+    """
+    made = T.StructType.fromDDL(own)
+    names: list[str] = []
+    for c in keep:
+        name = c
+        while name in made.names or name in names:
+            name += "_given"
+        names.append(name)
+    source = df.select(*[F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(keep)], *[c.alias(f"input_{k}") for k, c in enumerate(inputs)])
+    kept = [T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, source.schema.fields)]
+    return source, names, T.StructType(kept + made.fields)
 
 
 #: Bits for each key of a bitmap, and the most bits of one: 2**27 are two million words of 64 bits.
 BITS_PER_KEY, MOST_BITS = 16, 2**27
 
 
-def marked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """``rows`` with a column _maybe: false for rows whose key is surely none of ``keys`` (one column).
+def parted(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose key may be one of ``keys`` (one column), and those whose key surely isn't (null keys too).
 
     A bitmap of key hashes, bounded in size whatever the number of keys, is broadcast. So rows that carry
     whole texts needn't be shuffled to meet the few that have a key; the others still have to be joined.
@@ -88,10 +146,11 @@ def marked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     name = keys.columns[0]
     bits = min(MOST_BITS, max(1024, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    words = keys.select(at(F.col(name)).alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("_bits"))
-    met = rows.withColumn("_at", at(F.col(key))).withColumn("_w", F.shiftright("_at", 6)).join(F.broadcast(words), F.col("_w") == F.col("_word"), "left")  # at most MOST_BITS / 64 rows
-    maybe = F.coalesce(F.expr("(shiftright(_bits, cast(_at & 63 as int)) & 1L) = 1L"), F.lit(False))
-    return met.withColumn("_maybe", maybe & F.col(key).isNotNull()).select(*rows.columns, "_maybe")
+    words = keys.select(at(F.col(name)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    held = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), at(F.col(f"`{key}`")).alias("place"), F.col(f"`{key}`").isNotNull().alias("said"))
+    met = held.join(F.broadcast(words), F.shiftright("place", 6) == F.col("word"), "left")  # at most MOST_BITS / 64 rows
+    maybe = F.col("said") & F.coalesce(F.expr("(shiftright(bits, cast(place & 63 as int)) & 1L) = 1L"), F.lit(False))
+    return met.filter(maybe).select("row.*"), met.filter(~maybe).select("row.*")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,10 +7,10 @@
 3. In each bucket every member is compared with the smallest one only: members - 1 pairs. Pairs
    pass a signature check and are then confirmed on the full sets.
 4. Components of the confirmed links. Only a bucket with a failed pair whose ends are still in different
-   components can hold further links. In a small one all signatures meet inside a task, each pair in the
-   first bucket it shares. Members of a large one are dealt again by an exact prefix filter: sets as
-   similar as wanted share one of the rarest shingles of each, so only members with such a shingle in
-   common meet. Members with a pair that may be linked come back with their full sets, and the task
+   components can hold further links. There signatures meet block by block inside a task, each pair in the
+   first bucket it shares. Where a member would have to be dealt to more than MOST_BLOCKS blocks, the bucket's
+   members are dealt again by an exact prefix filter: sets as similar as wanted share one of the rarest
+   shingles of each, so only members with such a shingle in common meet. Members with a pair that may be linked come back with their full sets, and the task
    emits the confirmed links that join components, fewer than it has members. So there is no cap on
    buckets, and no list of all pairs of a group either.
 """
@@ -24,14 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, marked, small_batches, written
+from .common import forget, parted, small_batches, written
 from .components import connected_components
 
 BANDS, ROWS = 45, 6
 #: Verification lets a pair pass from this many standard deviations below the wanted similarity.
 SLACK = 4.5
-#: Members of a bucket whose signatures meet in one task, and their shingles (on average, if it is cut in blocks).
-BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Members of a block whose signatures meet in one task, their shingles on average, and blocks of a bucket.
+BLOCK, BLOCK_SHINGLES, MOST_BLOCKS = 1024, 1_000_000, 32
 #: Slots in which shingles are counted to tell rare from frequent ones; any count gives the same links.
 SLOT_BITS = 16
 MEMO_WORDS = 400_000
@@ -173,7 +173,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, signed: DataFrame, width: int, pe
     )
     near = written(near, "near-pairs")
     needed = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = written(_full_sets(marked(docs, "doc_id", needed).filter("_maybe").select("doc_id", "text"), width), "shingle-sets")
+    sets = written(_full_sets(parted(docs, "doc_id", needed)[0], width), "shingle-sets")
     met = near.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv")), "v")
     common = met.select("u", "v", F.size(F.array_intersect("su", "sv")).cast("long").alias("i"), (F.size("su") + F.size("sv")).cast("long").alias("n"))
     links = written(common.filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("u", "v"), "links")
@@ -321,9 +321,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     members = candidates.join(opened.select("bucket"), "bucket", "left_semi").select("bucket", "band", "members", "held", "v")
     members = members.unionByName(opened.select("bucket", "band", "members", "held", F.col("u").alias("v"))).distinct()
     members = written(labelled(members, "v", "component"), "open-members")
-    large = (F.col("members") > BLOCK) | (F.col("held") > BLOCK_SHINGLES)
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int")
+    large = blocks > MOST_BLOCKS
     in_large = written(members.filter(large).select("v", "component").distinct(), "large-members")
-    large_sets = _full_sets(marked(docs, "doc_id", in_large.select(F.col("v").alias("doc_id"))).filter("_maybe").select("doc_id", "text"), width)
+    large_sets = _full_sets(parted(docs, "doc_id", in_large.select(F.col("v").alias("doc_id")))[0], width)
     large_sets = written(large_sets.join(in_large.withColumnRenamed("v", "doc_id"), "doc_id"), "large-sets")
     # of shingles that lie in one component only nothing has to be compared
     prefixes = written(_prefixes(large_sets, percent), "prefixes")
@@ -333,9 +334,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     facts = some.select(F.col("doc_id").alias("v"), "minima").dropDuplicates(["v"])
     rows_in = members.filter(~large).unionByName(dealt).join(facts, "v")
-    blocks = F.when(F.col("band") < 0, F.ceil(F.greatest(F.col("members") / BLOCK, F.col("held") / BLOCK_SHINGLES))).otherwise(1)
     pieces = (
-        rows_in.withColumn("blocks", blocks.cast("int"))
+        rows_in.withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "v", "component", "minima")
@@ -345,7 +345,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     ask = pieces.repartition(tasks, *_GROUP).groupBy(*_GROUP).applyInPandas(_active(least, bands, rows), "bucket bigint, band int, i int, j int, block int, v bigint, component bigint")
     ask = written(ask, "active")
     needed = ask.select(F.col("v").alias("doc_id")).distinct()
-    sets = written(_full_sets(marked(docs, "doc_id", needed).filter("_maybe").select("doc_id", "text"), width), "shingle-sets")
+    sets = written(_full_sets(parted(docs, "doc_id", needed)[0], width), "shingle-sets")
     met = ask.join(facts.select("v", "minima"), "v").join(sets.select(F.col("doc_id").alias("v"), "shingles").dropDuplicates(["v"]), "v")
     more = met.repartition(tasks, *_GROUP).groupBy(*_GROUP).applyInPandas(_joining(least, bands, rows, percent), "u bigint, v bigint")
     more = written(more, "links")

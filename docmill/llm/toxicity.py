@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import forget, small_batches, written
+from .common import forget, narrowed, small_batches, written
 
 #: Rows of the fitting sample at most.
 SAMPLE = 8000
@@ -163,7 +163,11 @@ def _features_of(lexicon: dict[str, float]):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
-    """Learn from at most ``sample`` labelled rows that aren't held out; without both classes there is no model."""
+    """Learn from at most ``sample`` labelled rows that aren't held out; without both classes there is no model.
+
+    A doc_id labelled more than once is toxic if one of its labels says so; labels with a null id or another value
+    than 0 and 1 don't count; of a repeated doc_id every text is learnt from; a null text is an empty one.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -199,25 +203,44 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
     return Model(lexicon, trees, points, values)
 
 
+def _scores(model: Model, maker: Features, texts: list[str | None]) -> np.ndarray:
+    x = maker.of(texts)
+    if model.trees is None:
+        hits = np.expm1(x[:, 5])
+        return hits / (hits + 1)
+    return np.interp(model.trees.probability(x), model.points, model.values)
+
+
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """Columns ``keep``, score (0 to 1) and predicted (1 from ``threshold`` on) of each whole text.
 
     A null or empty text has features of zero and the score these get. Without a model the score
-    is known words / (known words + 1), after the seed lexicon alone. Other columns don't matter.
+    is known words / (known words + 1), after the seed lexicon alone. Other columns don't matter, a kept
+    column named like a result's gets _given behind its name, repeated rows give repeated results, an
+    empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(*[docs[c] for c in keep], docs["text"].alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    source, names, schema = narrowed(docs, keep, "score double, predicted int", F.col("text"))
 
     def run(batches):
         maker = Features(model.lexicon)
         for batch in batches:
-            x = maker.of(batch.column("_text").to_pylist())
-            if model.trees is None:
-                hits = np.expm1(x[:, 5])
-                s = hits / (hits + 1)
-            else:
-                s = np.interp(model.trees.probability(x), model.points, model.values)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
-
-    return source.mapInArrow(run, f"{kept}, score double, predicted int")
+            s = _scores(model, maker, batch.column(len(names)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score below ``threshold``, with all their columns, whatever these are called; see ``score``."""
+    small_batches(docs.sparkSession)
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches):
+        maker = Features(model.lexicon)
+        for batch in batches:
+            kept = batch.filter(pa.array(_scores(model, maker, batch.column(at).to_pylist()) < threshold))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=names)
+
+    return docs.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, docs.schema)
