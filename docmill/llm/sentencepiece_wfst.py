@@ -1,16 +1,22 @@
-"""SentencePiece encoding and decoding by shortest paths through a composed transducer.
+"""SentencePiece encoding and decoding by shortest paths through composed transducers.
 
-The model file is compiled once per Python worker into
+A model file is compiled once per Python worker into
 
-* a normaliser transducer (character map, white-space rules, dummy prefix),
-* a piece transducer: an arc for each piece, and byte arcs for characters without a piece.
+* a normaliser transducer: the character map's arcs, or one arc for each character that writes itself,
+  and for a space the space mark; a dummy prefix and squeezed spaces where the model says so,
+* a piece transducer: a state for each beginning of a piece, an arc for each character, and the id of the
+  piece in the states where one ends,
+* byte arcs, that write the bytes of a character that no piece holds.
 
-Composing both with an input gives a lattice over its characters; the tokens are the
-tropical-semiring shortest path through it. Unigram models weigh an arc by the negated log
-probability. In a BPE model an arc may only follow a piece with which it is *stable*: merging
-the two pieces' characters must give the two pieces again. Any other succession weighs infinity.
-A sequence whose neighbours are all stable is what merging gives, so exactly one path to each
-position has a finite weight, and the shortest path is the library's own encoding.
+Composition is lazy: the states of the piece transducer are walked from each position of what the
+normaliser writes for the input, and each piece that ends relaxes the position behind it (min, +). A
+position keeps the length and the piece of its best arc as two integers, so memory is linear in the
+text, also in one without a space.
+
+Unigram models weigh an arc by the negated log probability. In a BPE model an arc may only follow a
+piece with which it is *stable*: merging the two pieces' characters must give the two pieces again. Any
+other succession weighs infinity. A sequence whose neighbours are all stable is what merging gives, so
+exactly one path to each position has a finite weight, and the shortest path is the library's own.
 
 No piece of common vocabularies has a space mark behind another character. Then every mark that
 follows another character is a cut vertex of the lattice, the shortest path is the concatenation
@@ -27,20 +33,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import narrowed, small_batches
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: SentencePiece's distance of an unknown character below the worst piece of a unigram model.
 UNKNOWN_PENALTY = 10.0
-MEMO_PARTS = 300_000
-MEMO_PREFIXES = 500_000
+#: Parts, and pairs of pieces, that a worker remembers; longer parts are not remembered.
+MEMO_PARTS, MEMO_PAIRS, MEMO_LENGTH = 500_000, 1_000_000, 200
 NO_PIECE = float("inf")
 #: Ids whose surfaces are gathered at a time.
 GATHERED = 500_000
-MEMO_PAIRS = 1_000_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -108,6 +114,17 @@ class CharMap:
         return b"".join(out).decode("utf-8", "replace")
 
 
+def piece_states(ids: dict[str, int]) -> dict:
+    """Start state of the piece transducer. A state maps a character to its arc: the piece that ends there, or -1, and the next state."""
+    arcs: dict = {}
+    for piece, i in ids.items():
+        state = arcs
+        for ch in piece[:-1]:
+            state = state.setdefault(ch, [-1, {}])[1]
+        state.setdefault(piece[-1], [-1, {}])[0] = i
+    return arcs
+
+
 class Paths(dict):
     """Part of an input -> its shortest path, as little-endian int32 piece ids."""
 
@@ -117,7 +134,7 @@ class Paths(dict):
     def __missing__(self, part: str) -> bytes:
         if len(self) >= MEMO_PARTS:
             self.clear()
-        if len(part) > 200:
+        if len(part) > MEMO_LENGTH:
             return self.codec.path(self.prefix + part)
         out = self[part] = self.codec.path(self.prefix + part)
         return out
@@ -155,7 +172,6 @@ class Codec:
         self.cuts = not any(MARK in p.lstrip(MARK) for p in self.ids)
         #: A line end that no piece holds is a cut vertex too.
         self.line_end = struct.pack("<i", self.bytes_at[10]) if self.byte_fallback and 10 in self.bytes_at and not any("\n" in p for p in self.ids) else None
-        self.packed = {p: struct.pack("<i", i) for p, i in self.ids.items()}
         self.surface = [
             bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode()
             for p, _, kind in pieces
@@ -163,10 +179,11 @@ class Codec:
         self.surface_bytes = np.frombuffer(b"".join(self.surface), np.uint8)
         self.surface_size = np.array([len(x) for x in self.surface], np.int64)
         self.surface_start = np.cumsum(self.surface_size) - self.surface_size
-        self.stable_pairs: dict[tuple[str, str], bool] = {}
-        self.last_piece: dict[str, str] = {}
-        self.own = {p: p for p in self.ids}
-        self.sizes = sorted(range(1, self.longest + 1), key=lambda n: (n not in (2, 3), n))
+        self.start = piece_states(self.ids)
+        self.text_of = {i: p for p, i in self.ids.items()}
+        self.weight = {i: -self.score[p] for p, i in self.ids.items()}
+        self.stable_after: dict[int, dict[int, bool]] = {}
+        self.known_pairs = 0
         self.after_mark, self.at_start = Paths(self, MARK), Paths(self, "")
 
     def normalise(self, text: str) -> str:
@@ -193,86 +210,81 @@ class Codec:
                 costs[k] = cost.get(joined + parts[k + 1], no)
         return parts
 
-    def stable(self, left: str, right: str) -> bool:
-        """Whether the arc of ``right`` after ``left`` has a finite weight in a BPE model."""
-        pair = left, right
-        known = self.stable_pairs.get(pair)
-        if known is None:
-            if len(self.stable_pairs) >= MEMO_PAIRS:
-                self.stable_pairs.clear()
-            known = self.stable_pairs[pair] = self.merged(left + right) == [left, right]
-        return known
-
-    def path_bpe(self, text: str) -> list[str]:
-        """The one path of finite weight, found position by position.
-
-        The last piece on the path to a position depends on the text before it only, so prefixes
-        met in other inputs are taken from memory; lengths are tried from the usual to the rare.
+    def stable(self, left: int, right: int) -> bool:
+        """Whether the arc of symbol ``right`` has a finite weight in a BPE model after ``left`` (-1: at the start).
+
+        A symbol is the id of a piece, or -2 - code point for a character without one.
         """
-        n, ids, known, last = len(text), self.ids, self.stable_pairs, self.last_piece
-        j = n
-        while j and text[:j] not in last:
-            j -= 1
-        if len(last) >= MEMO_PREFIXES:
-            last.clear()
-            j = 0
-        if n - j > 200:
-            last, j = {}, 0
-        while j < n:
-            j += 1
-            for size in self.sizes:
-                i = j - size
-                if i < 0:
-                    continue
-                piece = text[i:j]
-                if size == 1 or piece in ids:
-                    if i:
-                        before = last[text[:i]]
-                        ok = known.get((before, piece))
-                        if ok is None:
-                            ok = self.stable(before, piece)
-                    else:
-                        ok = self.merged(piece) == [piece]
-                    if ok:
-                        last[text[:j]] = self.own.get(piece, piece)
-                        break
+        self.known_pairs += 1
+        own = [self.text_of[x] if x >= 0 else chr(-2 - x) for x in (left, right) if x != -1]
+        out = self.stable_after.setdefault(left, {})[right] = self.merged("".join(own)) == own
+        return out
+
+    def relaxed_bpe(self, text: str, back: list[int], symbol: list[int]) -> None:
+        """The one arc of finite weight into each position: its length in ``back``, what it writes in ``symbol``."""
+        start, longest, known = self.start, self.longest, self.stable_after
+        if self.known_pairs > MEMO_PAIRS:
+            known.clear()
+            self.known_pairs = 0
+        for i in range(len(text)):
+            before, state, j = symbol[i], start, i
+            after = known.get(before) or known.setdefault(before, {})
+            for ch in text[i : i + longest]:
+                arc = state.get(ch)
+                if arc is None:
+                    break
+                piece, state = arc
+                j += 1
+                if piece >= 0 and not back[j]:
+                    ok = after.get(piece)
+                    if ok or (ok is None and self.stable(before, piece)):
+                        back[j], symbol[j] = j - i, piece
+            if not back[i + 1]:  # no piece ends here, not even one of one character
+                back[i + 1], symbol[i + 1] = 1, -2 - ord(text[i])
+
+    def relaxed_unigram(self, text: str, back: list[int], symbol: list[int]) -> None:
+        """The arc of least cost into each position."""
+        start, longest, weight = self.start, self.longest, self.weight
+        cost = [0.0] + [float("inf")] * len(text)
+        for i in range(len(text)):
+            own, state, j = cost[i], start, i
+            for ch in text[i : i + longest]:
+                arc = state.get(ch)
+                if arc is None:
+                    break
+                piece, state = arc
+                j += 1
+                if piece >= 0 and own + weight[piece] < cost[j]:
+                    cost[j], back[j], symbol[j] = own + weight[piece], j - i, piece
+            if start.get(text[i], (-1,))[0] < 0 and own - self.worst < cost[i + 1]:
+                cost[i + 1], back[i + 1], symbol[i + 1] = own - self.worst, 1, -2 - ord(text[i])
+
+    def symbols(self, text: str) -> list[int]:
+        """What the shortest path through the lattice of normalised ``text`` writes: ids, or -2 - code point without one."""
+        n = len(text)
+        back, symbol = [0] * (n + 1), [-1] * (n + 1)
+        (self.relaxed_bpe if self.kind == BPE else self.relaxed_unigram)(text, back, symbol)
         out = []
-        while text:
-            piece = last[text]
-            out.append(piece)
-            text = text[: -len(piece)]
-        return out[::-1]
-
-    def path_unigram(self, text: str) -> list[str]:
-        n, score = len(text), self.score
-        cost, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                w = score.get(text[i:j])
-                if w is None and i == j - 1:
-                    w = self.worst
-                if w is not None and cost[i] - w < cost[j]:
-                    cost[j], back[j] = cost[i] - w, i
-        out, j = [], n
-        while j:
-            out.append(text[back[j] : j])
-            j = back[j]
-        return out[::-1]
+        while n:
+            out.append(symbol[n])
+            n -= back[n]
+        out.reverse()
+        return out
 
     def path(self, text: str) -> bytes:
-        """Shortest path through the lattice of normalised ``text``: packed piece ids."""
-        packed, out, unknown_before = self.packed, [], False
-        for piece in self.path_bpe(text) if self.kind == BPE else self.path_unigram(text):
-            got = packed.get(piece)
-            if got is not None:
-                out.append(got)
-                unknown_before = False
-            elif self.byte_fallback:
-                out.extend(struct.pack("<i", self.bytes_at[b]) for b in piece.encode())
-            elif not unknown_before:
-                out.append(struct.pack("<i", self.unknown))
-                unknown_before = True
-        return b"".join(out)
+        """Shortest path through the lattice of normalised ``text``: packed piece ids, byte arcs taken."""
+        found = self.symbols(text)
+        if min(found, default=0) < 0:
+            out: list[int] = []
+            for x in found:
+                if x >= 0:
+                    out.append(x)
+                elif self.byte_fallback:
+                    out.extend(self.bytes_at[b] for b in chr(-2 - x).encode())
+                elif not out or out[-1] != self.unknown:
+                    out.append(self.unknown)
+            found = out
+        return struct.pack(f"<{len(found)}i", *found)
 
     def encode_packed(self, text: str) -> bytes:
         if not text:
@@ -340,26 +352,22 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _column(batch: pa.RecordBatch, name: str) -> list[str]:
-    return [x or "" for x in batch.column(name).to_pylist()]
-
-
 def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, token_ids array<int>, n_tokens, decoded_sha256 and round_trip of each row.
 
     ``model`` is the path of the model file on every worker. A null text is an empty one and has
     no tokens. decoded_sha256 is the digest of the text decoded from token_ids; round_trip tells
     whether it is the normalised text (a space mark in a text comes back as a space). Repeated rows
-    give repeated results; other columns don't matter. A row's memory is that of its whole text.
+    give repeated results; other columns don't matter; a kept column named like a result's gets _given
+    behind its name; an empty table gives no rows. A row's memory is linear in its whole text.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    source, names, schema = narrowed(docs, keep, "token_ids array<int>, n_tokens bigint, decoded_sha256 string, round_trip boolean", F.col(f"`{text}`"))
 
     def run(batches):
         c = codec(model)
         for batch in batches:
-            texts = _column(batch, "_text")
+            texts = [x or "" for x in batch.column(len(names)).to_pylist()]
             packed = [c.encode_packed(x) for x in texts]
             counts = np.array([len(x) // 4 for x in packed], np.int64)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -368,24 +376,21 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
             for x, back in zip(texts, c.decode_packed(packed)):
                 digests.append(hashlib.sha256(back.encode()).hexdigest())
                 same.append(back == c.back_of(x))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in keep), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(counts), pa.array(digests, pa.string()), pa.array(same)],
-                names=[*keep, "token_ids", "n_tokens", "decoded_sha256", "round_trip"],
-            )
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], ids, pa.array(counts), pa.array(digests, pa.string()), pa.array(same)], names=schema.names)
 
-    return source.mapInArrow(run, f"{kept}, token_ids array<int>, n_tokens bigint, decoded_sha256 string, round_trip boolean")
+    return source.mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, model: str, ids: str = "token_ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and the text that each row's piece ids stand for (null ids: an empty text)."""
+    """Columns ``keep`` and text, what each row's piece ids stand for (null ids: an empty text); clashing names as in ``encode``."""
     small_batches(tokens.sparkSession)
-    source = tokens.select(*[tokens[c] for c in keep], tokens[ids].alias("_ids"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    source, names, schema = narrowed(tokens, keep, "text string", F.col(f"`{ids}`"))
 
     def run(batches):
         c = codec(model)
         for batch in batches:
-            texts = c.decode_packed([np.asarray(x or [], "<i4").tobytes() for x in batch.column("_ids").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
+            texts = c.decode_packed([np.asarray(x or [], "<i4").tobytes() for x in batch.column(len(names)).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string())], names=schema.names)
 
-    return source.mapInArrow(run, f"{kept}, text string")
+    return source.mapInArrow(run, schema)
