@@ -2,12 +2,15 @@
 
 A rule is a host and the start of a path. For a url that no rule fits, the names of its host are cut
 into words, concatenated names by a unigram Viterbi search, and multinomial naive Bayes weighs the words
-of host and path. Word frequencies and classes come from a small labelled list of hosts below; words
-that are in neither class say nothing.
+of host and path. The classes come from labelled hosts, the small list below or ones given. Frequencies
+of other words come from a public vocabulary file, whose order is by frequency (the k-th word counts as
+1/k of the first); words that are in neither class say nothing, but take their letters from words that
+do: the "ads" in "roads" is none.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -15,8 +18,9 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import narrowed, small_batches
 
 #: Hosts, in words, of the two classes that the classifier learns from.
 BLOCKED = """adult x|adult video|xxx tube|sex chat|hot sex|porn hub|free porn|nude cams|live cams|adult dating|hot singles|escort girls
@@ -37,7 +41,8 @@ NEUTRAL = frozenset("www m blog web mobile com net org info io co example en de
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: Log-odds for blocking from which a url is blocked, and what a class weighs before any word.
 MARGIN, PRIOR = 0.0, math.log(0.25)
-LONGEST = 20
+#: The longest word looked for, and what each letter of an unknown stretch costs.
+LONGEST, PER_LETTER = 20, 2.5
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -70,23 +75,34 @@ def rule_for(host: str, path: str, rules: tuple[tuple[str, str], ...] = RULES) -
     return best
 
 
+def ranked_words(path: str) -> list[str]:
+    """Words of letters of a public vocabulary file with word ends, most frequent first."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    whole = sorted((i, x[:-4]) for x, i in vocabulary.items() if x.endswith("</w>"))
+    return [w for _, w in whole if w in ("a", "i") or len(w) > 1 and w.isascii() and w.isalpha()]
+
+
 class Classifier:
-    """Unigram word model and multinomial naive Bayes, fitted to the two lists of hosts."""
+    """Unigram word model and multinomial naive Bayes, fitted to two lists of hosts and a list of words by frequency."""
 
-    def __init__(self, blocked: str = BLOCKED, allowed: str = ALLOWED):
+    def __init__(self, blocked: str = BLOCKED, allowed: str = ALLOWED, ranked: tuple[str, ...] = ()):
         self.counts = [Counter(re.split(r"[ |]", x)) for x in (allowed, blocked)]
-        words = self.counts[0] + self.counts[1]
-        words.update(NEUTRAL)
+        labelled = self.counts[0] + self.counts[1]
+        words = {w: max(1.0, len(ranked) / (50.0 + k)) for k, w in enumerate(ranked)}
+        for w in [*labelled, *NEUTRAL]:
+            if len(w) > 1 or w == "x":
+                words[w] = max(words.get(w, 0.0), len(ranked) / 2000.0) + max(1, labelled[w])
         total = sum(words.values())
-        self.cost = {w: -math.log(n / total) for w, n in words.items() if len(w) > 1 or w == "x"}
-        vocabulary = len(words)
+        self.cost = {w: -math.log(n / total) for w, n in words.items()}
+        self.unknown = math.log(total)
+        vocabulary = len(labelled)
         sums = [sum(c.values()) for c in self.counts]
         self.odds = {
             w: math.log((self.counts[1][w] + 0.5) / (sums[1] + 0.5 * vocabulary)) - math.log((self.counts[0][w] + 0.5) / (sums[0] + 0.5 * vocabulary))
-            for w in words
+            for w in labelled
             if w not in NEUTRAL
         }
-        self.unknown = math.log(total)
         self.memo: dict[str, tuple[str, ...]] = {}
 
     def segment(self, name: str) -> tuple[str, ...]:
@@ -98,12 +114,9 @@ class Classifier:
         best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
         for j in range(1, n + 1):
             for i in range(max(0, j - LONGEST), j):
-                piece = name[i:j]
-                c = best[i][0] + self.cost.get(piece, self.unknown + 2.5 * (j - i))
+                c = best[i][0] + self.cost.get(name[i:j], self.unknown + PER_LETTER * (j - i))
                 if c < best[j][0]:
                     best[j] = (c, i)
-            if n > LONGEST and best[j][0] == math.inf:
-                best[j] = (best[j - 1][0] + self.unknown + 2.5, j - 1)
         out, j = [], n
         while j:
             i = best[j][1]
@@ -117,39 +130,45 @@ class Classifier:
     def words(self, host: str, path: str) -> list[str]:
         return [w for name in _NAME.findall(host) + _NAME.findall(path.lower()) for w in self.segment(name)]
 
-    def score(self, host: str, path: str) -> float:
+    def score(self, words: list[str]) -> float:
         """Log-odds for blocking."""
-        return PRIOR + sum(self.odds.get(w, 0.0) for w in self.words(host, path))
+        return PRIOR + sum(self.odds.get(w, 0.0) for w in words)
 
 
-@lru_cache(maxsize=1)
-def classifier() -> Classifier:
-    return Classifier()
+@lru_cache(maxsize=4)
+def classifier(vocabulary: str | None = None, blocked: str = BLOCKED, allowed: str = ALLOWED) -> Classifier:
+    return Classifier(blocked, allowed, tuple(ranked_words(vocabulary)) if vocabulary else ())
 
 
-def judge(urls: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """Columns ``keep``, host, path, rule, verdict, score and words of each row.
+def judge(
+    urls: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), rules: tuple[tuple[str, str], ...] = RULES, vocabulary: str | None = None, blocked: str = BLOCKED, allowed: str = ALLOWED
+) -> DataFrame:
+    """Columns ``keep``, host, path, rule, verdict, score, words and known_words of each row.
 
     rule is the one that fits (null if none does), verdict its own or else the classifier's: block if
-    the score, log-odds over the words of host and path, is above the margin. Null urls and ones without
-    ``://`` have an empty host and path and are allowed. Repeated rows give repeated results, other
-    columns don't matter.
+    the score, log-odds over the words of host and path, is above the margin. known_words tells how many of
+    the words are in a class. ``vocabulary`` is the path of a vocabulary file on every worker, ``blocked`` and
+    ``allowed`` are hosts of the two classes, in words, parted by ``|``. Null urls and ones without ``://`` have an
+    empty host and path and are allowed. Repeated rows give repeated results, other columns don't matter,
+    a kept column named like a result's gets _given behind its name, an empty table gives no rows.
     """
     small_batches(urls.sparkSession)
-    source = urls.select(*[urls[c] for c in keep], urls[url].alias("_url"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    own = "host string, path string, rule string, verdict string, score double, words string, known_words int"
+    source, names, schema = narrowed(urls, keep, own, F.col(f"`{url}`"))
 
     def run(batches):
-        c = classifier()
+        c = classifier(vocabulary, blocked, allowed)
         for batch in batches:
             rows = []
-            for x in batch.column("_url").to_pylist():
+            for x in batch.column(len(names)).to_pylist():
                 host, path = host_and_path(x)
                 rule = rule_for(host, path, rules)
-                score = c.score(host, path)
-                rows.append((host, path, rule and rule[0], rule[1] if rule else "block" if score > MARGIN else "allow", score, " ".join(c.words(host, path))))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(v, t) for v, t in zip(columns, kinds))], names=[*keep, "host", "path", "rule", "verdict", "score", "words"])
-
-    return source.mapInArrow(run, f"{kept}, host string, path string, rule string, verdict string, score double, words string")
+                words = c.words(host, path)
+                score = c.score(words)
+                verdict = rule[1] if rule else "block" if score > MARGIN else "allow"
+                rows.append((host, path, rule and rule[0], verdict, score, " ".join(words), sum(w in c.odds for w in words)))
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(v, t) for v, t in zip(columns, kinds))], names=schema.names)
+
+    return source.mapInArrow(run, schema)
