@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,38 +186,25 @@ def formatted(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role:
     Turns stand in order of ``turn`` (null first), ties by role and text, repeated rows are repeated
     turns; a null role or text is empty. loss_spans lists start (from 0) and length, in code points of
     ``formatted``, of what the loss covers: the escaped texts of role ``learn``. Rows of a null key are a
-    conversation. A conversation is one string, so its rows meet in one task; whatever table share
-    one conversation holds, only its own role, text and turn are gathered.
+    conversation; an empty table gives no rows. A conversation is one string, so its rows meet in one task,
+    sorted there and not held: where a turn starts is a running sum, linear in the turns.
     """
-    rows = turns.select(
-        turns[key].alias("_key"),
-        F.struct(turns[turn].alias("turn"), F.coalesce(turns[role], F.lit("")).alias("role"), F.coalesce(turns[text], F.lit("")).alias("text")).alias("t"),
+    rows = turns.select(turns[key].alias("key"), turns[turn].alias("turn"), F.coalesce(turns[role], F.lit("")).alias("role"), F.coalesce(turns[text], F.lit("")).alias("text"))
+    lengths = (F.length(escaped(F.col("role"))) + len(START) + len(SEP)).cast("long"), F.length(escaped(F.col("text"))).cast("long")
+    order = Window.partitionBy("key").orderBy("turn", "role", "text")
+    ends = F.sum(F.col("head") + F.col("body") + len(END)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumns({"head": lengths[0], "body": lengths[1]}).withColumns({"n": F.row_number().over(order), "end": ends})
+    whole = F.concat(F.lit(START), escaped(F.col("role")), F.lit(SEP), escaped(F.col("text")), F.lit(END))
+    start = F.col("end") - F.col("body") - len(END)
+    lists = rows.groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("n", whole.alias("whole")))).alias("parts"),
+        F.sort_array(F.collect_list(F.when(F.col("role") == learn, F.struct(start.alias("start"), F.col("body").alias("length"))))).alias("loss_spans"),
     )
-    lists = rows.groupBy("_key").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    parts = F.transform(
-        "ts",
-        lambda t: F.struct(
-            F.concat(F.lit(START), escaped(t["role"]), F.lit(SEP)).alias("head"),
-            escaped(t["text"]).alias("body"),
-            (t["role"] == learn).alias("learned"),
-        ),
-    )
-    lists = lists.select("_key", parts.alias("parts"))
-    spans = F.aggregate(
-        F.transform("parts", lambda p: F.struct(F.length(p["head"]).cast("long").alias("head"), F.length(p["body"]).cast("long").alias("body"), p["learned"].alias("learned"))),
-        F.expr("named_struct('at', 0L, 'spans', cast(array() as array<struct<start: bigint, length: bigint>>))"),
-        lambda s, p: F.struct(
-            (s["at"] + p["head"] + p["body"] + len(END)).alias("at"),
-            F.when(p["learned"], F.concat(s["spans"], F.array(F.struct((s["at"] + p["head"]).alias("start"), p["body"].alias("length"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
-    whole = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    return lists.select(F.col("_key").alias(key), whole.alias("formatted"), spans.alias("loss_spans"))
+    return lists.select(F.col("key").alias(key), F.array_join(F.transform("parts", lambda p: p["whole"]), "").alias("formatted"), "loss_spans")
 
 
 def read_back(chats: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Columns ``key``, turns array<struct<role, text>> and loss_text, read from formatted and loss_spans alone."""
+    """Columns ``key``, turns array<struct<role, text>> and loss_text, read from formatted and loss_spans alone; a null ``formatted`` has null turns."""
     marked = F.filter(F.split("formatted", r"<\|end\|>"), lambda x: x != "")
     turns = F.transform(
         marked,
