@@ -31,7 +31,7 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), vocabulary=tokenizer_path("word_bpe_49k.json"))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,9 @@ def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    """Counts outlive the session in the folder that spark.docmill.tokenCache names; unset, every run counts anew."""
+    cache = spark.conf.get("spark.docmill.tokenCache", None)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), cache)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,16 +8,16 @@ their counts to the cache and joins every row with its digest's count.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches
+from .common import narrowed, new_path, small_batches
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens bigint"
-#: Control characters that Python takes for white space, and the tokenizers do not or do.
-SEPARATORS = "\x1c\x1d\x1e\x1f\x85"
+_CUT = re.compile(r"(?<!\s)(?= \S)")
 #: Parts whose counts a worker remembers.
 MEMO_PARTS = 400_000
 
@@ -63,22 +63,8 @@ class Counter:
             )
 
     def parts(self, text: str) -> list[str]:
-        """Parts of a text whose counts add up to its count: cut before each space that a visible character follows."""
-        words = text.split(" ")
-        first, rest = words[0], words[1:]
-        out = [first] if first else []
-        for w in rest:
-            if not w or w[0].isspace() or w[0] in SEPARATORS:
-                # white space in a row belongs to the part before it
-                if out:
-                    out[-1] += " " + w
-                else:
-                    out.append(" " + w)
-            elif out and out[-1][-1].isspace():
-                out[-1] += " " + w
-            else:
-                out.append(" " + w)
-        return out
+        """Parts of a text whose counts add up to its count: cut before each space that a visible character follows and no white space precedes."""
+        return [x for x in _CUT.split(text) if x]
 
     def count(self, texts: list[str]) -> list[int]:
         if not self.by_part:
@@ -101,7 +87,7 @@ def _count_texts(path: str):
     def run(batches):
         counter = _counters.get(path) or _counters.setdefault(path, Counter(path))
         for batch in batches:
-            counts = counter.count([x or "" for x in batch.column("_text").to_pylist()])
+            counts = counter.count([x or "" for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array(counts, pa.int64())], names=["content_digest", "n_tokens"])
 
     return run
@@ -118,25 +104,28 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
     ``tokenizer`` is the path of a tokenizer file on every worker; no special tokens are added,
     nothing is cut or padded, special strings in a text count as the library has them by default.
     ``cache`` is a Parquet folder of CACHE_SCHEMA: read where it exists, and the counts of all
-    new contents are appended to it. Without one the counts live in the shared folder. Equal texts
-    are encoded once; repeated rows give repeated results; a null text counts as empty (0 tokens).
+    new contents are appended to it. Without one the counts live in the shared folder until Python ends. Equal
+    texts are encoded once; repeated rows give repeated results; a null text counts as empty (0 tokens); a kept
+    column named like a result's gets _given behind its name; an empty table gives no rows.
     Only digests and counts are joined, and the text of each distinct miss is shuffled once.
     """
     spark = docs.sparkSession
     small_batches(spark)
     version = tokenizer_digest(tokenizer)
     path = cache or new_path(spark, "token-cache")
-    contents = docs.select(content_digest(docs[text]).alias("content_digest"), F.coalesce(docs[text], F.lit("")).alias("_text"))
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    contents = docs.select(content_digest(whole).alias("content_digest"), whole.alias("text"))
     if cache and _exists(spark, cache):
         known = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer_digest") == version)
         contents = contents.join(known.select("content_digest"), "content_digest", "left_anti")
-    misses = contents.groupBy("content_digest").agg(F.first("_text").alias("_text"))
+    misses = contents.groupBy("content_digest").agg(F.first("text").alias("text"))
     counted = misses.mapInArrow(_count_texts(tokenizer), "content_digest string, n_tokens bigint")
     counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(path)
     known = spark.read.schema(CACHE_SCHEMA).parquet(path).filter(F.col("tokenizer_digest") == version)
-    counts = (known.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")) if cache else known).withColumnRenamed("content_digest", "_digest").select("_digest", "n_tokens")
-    rows = docs.select(*[docs[c] for c in keep], content_digest(docs[text]).alias("_digest"), F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.join(counts, "_digest").select(*keep, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = (known.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")) if cache else known).select("content_digest", F.col("n_tokens").alias("count"))
+    rows, names, _ = narrowed(docs, keep, "n_bytes bigint, n_tokens bigint, over_limit boolean", content_digest(whole), F.octet_length(whole).cast("long"))
+    met = rows.join(counts, F.col("input_0") == F.col("content_digest"))
+    return met.select(*[F.col(f"kept_{k}").alias(n) for k, n in enumerate(names)], F.col("input_1").alias("n_bytes"), F.col("count").alias("n_tokens"), (F.col("count") > limit).alias("over_limit"))
 
 
 def _exists(spark, path: str) -> bool:
