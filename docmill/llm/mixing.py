@@ -11,7 +11,7 @@ next level: a reduction tree of logarithmic depth whatever share of the rows a s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -27,28 +27,41 @@ def sizes(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     return docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), words.alias("size"))
 
 
+def _ranked(rows: DataFrame, order: list[Column], sums: list[str], name: str) -> DataFrame:
+    """``rows`` with n, their place in ``order`` (a total one), and sum_<c> for each of ``sums``, over all rows up to their own.
+
+    Rows are sorted into ranges; a range's rows meet in one task, and only one row for each range in a single one.
+    """
+    at = F.monotonically_increasing_id()  # in sorted rows: the range's number, and the place within the range
+    rows = written(rows.orderBy(*order).withColumn("at", at), name).withColumn("range", F.shiftright("at", 33))
+    own = Window.partitionBy("range").orderBy("at")
+    here = rows.withColumns({f"sum_{c}": F.sum(c).over(own) for c in sums} | {"n": F.row_number().over(own).cast("long")})
+    each = rows.groupBy("range").agg(F.count("*").alias("rows_n"), *[F.sum(c).alias(f"rows_{c}") for c in sums])
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select(F.col("range").alias("r"), *[F.coalesce(F.sum(f"rows_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in ["n", *sums]])
+    met = here.join(each, F.col("range") == F.col("r"))
+    return met.withColumns({f"sum_{c}": F.col(f"sum_{c}") + F.col(f"before_{c}") for c in sums} | {"n": F.col("n") + F.col("before_n")}).drop("at", "range", "r", "before_n", *[f"before_{c}" for c in sums])
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Columns source, source_size, source_rows, target: ``share`` of all words dealt out by weight, none above ``most`` times its source.
 
     Sources in code-point order (null last) take the weights in turn. What would lie above a
     source's limit is dealt to the others by weight until none is above: a level at which
-    every target is the smaller of its limit and weight times level.
+    every target is the smaller of its limit and weight times level. Sources may be many: places and
+    running sums go by ranges.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    in_turn = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(in_turn) - 1) % len(weights) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("ratio", F.col("cap") / F.col("weight"))
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    per = (
-        per.withColumn("n", F.row_number().over(order))
-        .withColumn("before", F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("rest", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("all", F.sum("source_size").over(everything) * F.lit(share))
-        .withColumn("level", (F.col("all") - F.col("before")) / F.col("rest"))
-    )
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("n", "level"))).over(everything)
-    return per.withColumn("level", first["level"]).select("source", "source_size", "source_rows", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    per = _ranked(per, [F.col("source").asc_nulls_last()], [], "sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("n") - 1) % len(weights) + 1).cast("int"))
+    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("ratio", F.col("cap") / F.col("weight")).drop("n")
+    per = _ranked(per, [F.col("ratio"), F.col("source").asc_nulls_last()], ["cap", "weight"], "sources")
+    every = per.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights"))  # one row
+    rest = F.col("weights") - F.col("sum_weight") + F.col("weight")
+    per = per.crossJoin(every).withColumn("level", (F.col("words") * F.lit(share) - F.col("sum_cap") + F.col("cap")) / rest)
+    first = per.filter(F.col("level") <= F.col("ratio")).agg(F.min_by("level", "n").alias("first"))  # one row
+    per = per.crossJoin(first)
+    return per.select("source", "source_size", "source_rows", F.least("cap", F.coalesce(F.col("first") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
 _ITEM = "struct<s: double, h: bigint, doc_id: bigint, size: bigint, rows: bigint, p: double>"
@@ -127,10 +140,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, none that it leaves out."""
+    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, none that it leaves out; columns of any name stay."""
     taken = mix(docs, doc_id=doc_id, source=source, text=text, **options).filter("copies > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
+    taken = taken.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words"), "copies")
     size = F.regexp_count(F.coalesce(docs[text], F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.withColumn("_words", size)
-    met = rows.join(taken, F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), docs[doc_id].alias("own_id"), docs[source].alias("own_source"), size.alias("own_words"))
+    met = rows.join(taken, F.col("own_id").eqNullSafe(F.col("id")) & F.col("own_source").eqNullSafe(F.col("of")) & (F.col("own_words") == F.col("words")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
