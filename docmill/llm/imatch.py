@@ -1,8 +1,9 @@
 """I-Match fingerprints: terms within a band of inverse document frequency, hashed in randomised lexicon subsets.
 
 Document frequencies count all documents. The band's lexicon is small whatever the corpus: a term in
-at least ``rare`` of n documents, of which no more than ``LEXICON`` can exist, as their frequencies
-add up to the number of (document, term) pairs; where that bound would be passed the edge rises.
+at least ``rare`` of n documents, and their frequencies add up to the number of (document, term) pairs. So
+there are no more than (mean number of distinct terms of a document) / ``rare`` of them, 300,000 if a document
+has 300 on average, and that is what is broadcast: 16 bytes a term.
 A fingerprint has one hash for each of several random subsets of the lexicon: of a text's sorted
 distinct terms within that subset. Subsets of many rates make it tell exact, near and distant texts
 apart; a subset in which a text has no term says nothing and is left blank.
@@ -15,22 +16,24 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, small_batches, written
+from .common import narrowed, small_batches
 
 #: The band, as shares of all documents: inverse document frequencies from ln 4 to ln 1000.
 RARE, COMMON = 0.001, 0.25
-#: Terms of the lexicon at most.
-LEXICON = 400_000
+#: Rows of a range that one task edits, on average, and ids looked at to find the ranges; beyond that ranges get longer.
+RANGE_ROWS, MOST_PICKED = 10_000, 4_000_000
 #: Subsets of each rate; rate k keeps a term with probability 2**-k.
 PER_RATE, RATES = 6, 10
 SUBSETS = PER_RATE * RATES
 BLANK = "-" * 8
 _TERM = re.compile(r"[^\W_]+")
+_BITS = np.arange(SUBSETS, dtype=np.uint64)
 MEMO_WORDS = 300_000
 
 
@@ -63,18 +66,16 @@ def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def lexicon(docs: DataFrame, text: str = "text", rare: float = RARE, common: float = COMMON, most: int = LEXICON) -> np.ndarray:
-    """Sorted hashes of the terms within the band: at least 2 and ``rare`` of all documents, at most ``common`` of them (or 2)."""
+def lexicon(docs: DataFrame, text: str = "text", rare: float = RARE, common: float = COMMON) -> np.ndarray:
+    """Sorted hashes of the terms within the band: in at least 2 and ``rare`` of all documents, in at most ``common`` of them (or 2).
+
+    Repeated rows count as often as they come; null texts have no terms; an empty table has an empty lexicon.
+    """
     small_batches(docs.sparkSession)
     n = docs.count()
-    counted = written(frequencies(docs, text).filter("df > 1"), "frequencies")
-    # no more than most terms can each be in pairs / most documents
-    pairs = n and counted.filter(F.col("df") >= max(2.0, rare * n)).agg(F.sum("df")).first()[0] or 0
-    least = max(2.0, rare * n, pairs / most)
-    band = counted.filter((F.col("df") >= least) & (F.col("df") <= max(2.0, common * n)))
-    found = band.select("term").toArrow()["term"].to_numpy().astype(np.int64)
-    forget(counted)
-    return np.sort(found)
+    counted = frequencies(docs, text)
+    band = counted.filter((F.col("df") >= max(2.0, rare * n)) & (F.col("df") <= max(2.0, common * n)))
+    return np.sort(band.select("term").toArrow()["term"].to_numpy().astype(np.int64))
 
 
 class Printer:
@@ -83,10 +84,13 @@ class Printer:
     def __init__(self, known: np.ndarray, seed: int):
         self.known, self.codes = known, {}
         bits = known.view(np.uint64)
-        mixed = [(bits ^ np.uint64(seed * 1000003 + k)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k) for k in range(SUBSETS)]
-        mixed = [(x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) for x in mixed]
+        mixed = ((bits ^ np.uint64(seed * 1000003 + k)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k) for k in range(SUBSETS))
+        mixed = ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) for x in mixed)
         rates = np.repeat(np.arange(1, RATES + 1), PER_RATE)
-        self.inside = np.stack([(x >> np.uint64(64 - r)) == 0 for x, r in zip(mixed, rates.tolist())], 1) if len(known) else np.zeros((0, SUBSETS), bool)
+        # bit k of a term tells whether it is in subset k
+        self.inside = np.zeros(len(known), np.uint64)
+        for k, (x, r) in enumerate(zip(mixed, rates.tolist())):
+            self.inside |= ((x >> np.uint64(64 - r)) == 0).astype(np.uint64) << np.uint64(k)
         self.value = (bits ^ (bits >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
 
     def code(self, term: str) -> int:
@@ -101,7 +105,7 @@ class Printer:
         """Hash of each subset's terms, and how many they are."""
         codes = self.codes
         found = sorted({c for t in text_terms(text) if (c := codes[t] if t in codes else self.code(t)) >= 0})
-        inside, value = self.inside[found], self.value[found]
+        inside, value = (self.inside[found][:, None] >> _BITS & np.uint64(1)).astype(bool), self.value[found]
         # terms are sorted and distinct, so a mixed sum of their values is a hash of the sequence
         out = np.zeros(SUBSETS, np.uint64)
         counts = inside.sum(0)
@@ -127,25 +131,34 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprints(docs: DataFrame, known: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",), seed: int = 9) -> DataFrame:
-    """Columns ``keep`` and fingerprint of each whole text (null: empty, whose fingerprint is blank)."""
+    """Columns ``keep`` and fingerprint of each whole text (null: empty, whose fingerprint is blank).
+
+    A kept column of that name gets _given behind its own; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    shared = docs.sparkSession.sparkContext.broadcast(known)  # at most LEXICON numbers
+    source, names, schema = narrowed(docs, keep, "fingerprint string", F.col(f"`{text}`"))
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # see the bound above
 
     def run(batches):
         printer = Printer(shared.value, seed)
         for batch in batches:
-            prints = [printer.fingerprint(x or "") for x in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(prints, pa.string())], names=[*keep, "fingerprint"])
+            prints = [printer.fingerprint(x or "") for x in batch.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(prints, pa.string())], names=schema.names)
+
+    return source.mapInArrow(run, schema)
 
-    return source.mapInArrow(run, f"{kept}, fingerprint string")
 
+def _starts(rows: DataFrame) -> tuple[np.ndarray, bool]:
+    """Smallest ids of ranges of about RANGE_ROWS rows, and whether null ids come before them.
 
-def _ranges(docs: DataFrame, parts: int) -> list[int]:
-    """Smallest ids of ``parts`` ranges of about as many rows; no more than ``parts`` numbers."""
-    cuts = docs.filter("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(parts)], 0.2 / parts)
-    return sorted({int(x) for x in cuts})
+    Every tenth of the ids that a hash picks, one in RANGE_ROWS / 10 or in as many as give MOST_PICKED.
+    """
+    about = rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.coalesce(F.max(F.col("doc_id").isNull()), F.lit(False)).alias("nulls")).first()
+    every = max(RANGE_ROWS // 10, -(-about["n"] // MOST_PICKED))
+    picked = rows.select("doc_id").filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(every)) == 0).distinct()
+    ids = np.sort(picked.dropna().toArrow()["doc_id"].to_numpy())[9::10]  # at most about MOST_PICKED numbers
+    least = about["least"] if about["least"] is not None else 0
+    return np.concatenate([[least], ids[ids > least]]).astype(np.int64), about["nulls"]
 
 
 def edited_texts(docs: DataFrame, known: np.ndarray, seed: int = 9) -> DataFrame:
@@ -160,29 +173,23 @@ def edited_texts(docs: DataFrame, known: np.ndarray, seed: int = 9) -> DataFrame
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = _ranges(rows, 2 * parts)
-    shared = spark.sparkContext.broadcast(known)  # at most LEXICON numbers
-    # the range of a row, and its first row: the smallest (doc_id, text) of the range
-    at = F.coalesce(F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<bigint>"), lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    ranged = rows.withColumn("part", at)
-    firsts = ranged.groupBy("part").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("nulls")).collect()  # a row for each range
-    firsts = sorted(firsts, key=lambda r: r["part"])
-    if not firsts:
-        order: list[tuple[int, int | None]] = []
-    else:
-        order = [(r["part"], None if r["nulls"] else r["first"]) for r in firsts]
-    # the range before each one, by what its first row's id is
-    before = {first: order[k - 1][0] for k, (_, first) in enumerate(order)}
-    also = F.lit(None).cast("int")
-    if before:
-        pairs = [x for first, part in before.items() if first is not None for x in (F.lit(first).cast("long"), F.lit(part))]
-        also = F.create_map(*pairs)[F.col("doc_id")] if pairs else also
-        if None in before:
-            also = F.when(F.col("doc_id").isNull(), F.lit(before[None])).otherwise(also)
-    copies = F.filter(F.array(F.struct(F.col("part"), F.lit(False).alias("guest")), F.struct(also.alias("part"), F.lit(True).alias("guest"))), lambda x: x["part"].isNotNull())
+    starts, nulls = _starts(rows)
+    bounds, shared = spark.sparkContext.broadcast(starts), spark.sparkContext.broadcast(known)  # see the bounds above
+
+    @F.pandas_udf("long")
+    def place(ids: pd.Series) -> pd.Series:
+        """Twice the number of an id's range, and one more if the id is where the range starts."""
+        at = np.searchsorted(bounds.value, ids.to_numpy(), "right") - 1
+        return pd.Series(2 * at + (bounds.value[at] == ids.to_numpy()))
+
+    ranged = rows.withColumn("place", place(F.coalesce("doc_id", F.lit(int(starts[0])))))
+    part = F.shiftright("place", 1).cast("int")
+    # the first rows of a range are guests of the range before it, those of the table of the last one
+    very_first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == int(starts[0])
+    also = F.when(very_first, F.lit(len(starts) - 1)).when(F.col("doc_id").isNotNull() & (F.col("place") % 2 == 1) & (part > 0), part - 1)
+    copies = F.filter(F.array(F.struct(part.alias("part"), F.lit(False).alias("guest")), F.struct(also.alias("part"), F.lit(True).alias("guest"))), lambda x: x["part"].isNotNull())
     dealt = ranged.select("doc_id", "text", F.explode(copies).alias("p")).select("p.part", "p.guest", "doc_id", "text")
-    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = dealt.repartitionById(len(starts), F.col("part")).sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
         printer = Printer(shared.value, seed)
