@@ -10,56 +10,73 @@ from .text import collapsed, number_ratio, sentence_count, tokens, upper_ratio
 # Words that make a number-heavy chunk worth keeping, and length limits.
 KEYWORDS = "standards development growth efficiency trade".split()
 SHORTEST, LONG, LONGER = 50, 180, 320
+# Fixed value: the running head of the report's pages.
+PAGE_HEADER = "\\bworld development report +[0-9]{4} +[0-9]+\\b"
 
 
-def metadata_like(c: Column) -> Column:
-    """Mostly short lines, a few words without an end, or shouted."""
-    clean = collapsed(c)
-    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+def measured(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """``chunks`` with a struct ``q`` of what the rules look at; each pattern runs over a text once."""
+    chunks = chunks.withColumn("_clean", collapsed(F.col(text)))
+    clean = F.col("_clean")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     short = F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit("[^ \\t\\r\\f]+")) <= 4))
-    words = F.regexp_count(clean, F.lit("[A-Za-z]+"))
-    return (
-        (clean == "")
-        | ((F.size(lines) >= 3) & (short >= 0.7 * F.size(lines)))
-        | ((words <= 12) & (F.regexp_count(clean, F.lit("[.!?]")) == 0))
-        | ((upper_ratio(clean) > 0.6) & (words >= 5))
+    found = F.struct(
+        F.length(clean).alias("length"),
+        sentence_count(F.col(text)).alias("sentences"),
+        number_ratio(clean).alias("numbers"),
+        upper_ratio(clean).alias("upper"),
+        F.regexp_count(clean, F.lit("[A-Za-z]+")).alias("words"),
+        F.regexp_count(clean, F.lit("[.!?]")).alias("ends"),
+        F.size(F.array_intersect(tokens(clean), F.array(*map(F.lit, KEYWORDS)))).alias("known"),
+        F.size(lines).alias("lines"),
+        short.alias("short"),
+        F.lower(clean).alias("low"),
     )
+    return chunks.withColumn("q", found).drop("_clean")
+
+
+def metadata_like(q: Column) -> Column:
+    """Mostly short lines, a few words without an end, or shouted."""
+    return (q["length"] == 0) | ((q["lines"] >= 3) & (q["short"] >= 0.7 * q["lines"])) | ((q["words"] <= 12) & (q["ends"] == 0)) | ((q["upper"] > 0.6) & (q["words"] >= 5))
 
 
-def reason(c: Column) -> Column:
-    """First reason to reject a chunk of text, or null."""
-    clean = collapsed(c)
-    low, sentences = F.lower(clean), sentence_count(c)
-    known = F.arrays_overlap(tokens(clean), F.array(*map(F.lit, KEYWORDS)))
+def reason(q: Column) -> Column:
+    """First reason to reject a measured chunk, or null."""
+    low = q["low"]
     return (
-        F.when(F.length(clean) < SHORTEST, "too_short")
+        F.when(q["length"] < SHORTEST, "too_short")
         .when(low.rlike("https?://|www[.]"), "url")
         .when(low.rlike("source:|notes:"), "source_or_notes")
         .when(low.rlike("\\b(?:figure|table) +[0-9]+\\b"), "figure_or_table")
-        .when(low.rlike("\\b(?:contents|references|foreword)\\b") & (sentences < 2), "toc_or_references")
-        .when((number_ratio(clean) > 0.3) & ~known, "number_heavy")
-        .when(metadata_like(c) & (sentences == 0), "metadata_like")
+        .when(low.rlike("\\b(?:contents|references|foreword)\\b") & (q["sentences"] < 2), "toc_or_references")
+        .when(low.rlike(PAGE_HEADER) & (q["sentences"] < 2), "report_page_header")
+        .when((q["numbers"] > 0.3) & (q["known"] == 0), "number_heavy")
+        .when(metadata_like(q) & (q["sentences"] == 0), "metadata_like")
     )
 
 
-def score(c: Column) -> Column:
-    clean = collapsed(c)
-    sentences = sentence_count(c)
-    known = F.size(F.array_intersect(F.array_distinct(tokens(clean)), F.array(*map(F.lit, KEYWORDS))))
+def score(q: Column) -> Column:
     return (
-        F.least(sentences, F.lit(3)) * 3
-        + F.least(known, F.lit(4)) * 2
-        + F.when(F.length(clean) >= LONG, 2).otherwise(0)
-        + F.when(F.length(clean) >= LONGER, 1).otherwise(0)
-        - F.when(sentences < 2, 2).otherwise(0)
-        - F.when(number_ratio(clean) > 0.2, 2).otherwise(0)
-        - F.when(metadata_like(c), 3).otherwise(0)
+        F.least(q["sentences"], F.lit(3)) * 3
+        + F.least(q["known"], F.lit(4)) * 2
+        + F.when(q["length"] >= LONG, 2).otherwise(0)
+        + F.when(q["length"] >= LONGER, 1).otherwise(0)
+        - F.when(q["sentences"] < 2, 2).otherwise(0)
+        - F.when(q["numbers"] > 0.2, 2).otherwise(0)
+        - F.when(metadata_like(q), 3).otherwise(0)
     )
 
 
 def judged(chunks: DataFrame) -> DataFrame:
-    """doc_id, reason, quality, tier: 0 kept (score of 2 or more, or not a pdf), 1 fallback, 2 rejected."""
-    out = chunks.select("doc_id", "source_type", reason(F.col("text")).alias("reason"), score(F.col("text")).alias("quality"))
+    """doc_id, reason, quality, tier: 0 kept (score of 2 or more, or not a pdf), 1 fallback, 2 rejected.
+
+    A chunk whose content_type (if there is such a column) is visual is never rejected.
+    """
+    q = F.col("q")
+    why = reason(q)
+    if "content_type" in chunks.columns:
+        why = F.when(F.lower(F.coalesce("content_type", F.lit(""))) == "visual", F.lit(None)).otherwise(why)
+    out = measured(chunks).select("doc_id", "source_type", why.alias("reason"), score(q).alias("quality"))
     tier = F.when((F.col("source_type") != "pdf") | (F.col("reason").isNull() & (F.col("quality") >= 2)), 0).when(F.col("reason").isNull(), 1).otherwise(2)
     return out.withColumn("tier", tier)
 
@@ -73,7 +90,7 @@ _META = f"""(clean = '' OR (len({_LINES}) >= 3 AND len(list_filter({_LINES}, lam
  OR (len(regexp_extract_all(clean, '[A-Za-z]+')) <= 12 AND len(regexp_extract_all(clean, '[.!?]')) = 0)
  OR (len(regexp_extract_all(clean, '[A-Za-z]')) > 0 AND len(regexp_extract_all(clean, '[A-Z]')) / len(regexp_extract_all(clean, '[A-Za-z]')) > 0.6 AND len(regexp_extract_all(clean, '[A-Za-z]+')) >= 5))"""
 REASON_SQL = f"""CASE WHEN length(clean) < {SHORTEST} THEN 'too_short' WHEN regexp_matches(lower(clean), 'https?://|www[.]') THEN 'url' WHEN regexp_matches(lower(clean), 'source:|notes:') THEN 'source_or_notes'
- WHEN regexp_matches(lower(clean), '\\b(?:figure|table) +[0-9]+\\b') THEN 'figure_or_table' WHEN regexp_matches(lower(clean), '\\b(?:contents|references|foreword)\\b') AND {_SENTENCES} < 2 THEN 'toc_or_references'
+ WHEN regexp_matches(lower(clean), '\\b(?:figure|table) +[0-9]+\\b') THEN 'figure_or_table' WHEN regexp_matches(lower(clean), '\\b(?:contents|references|foreword)\\b') AND {_SENTENCES} < 2 THEN 'toc_or_references' WHEN regexp_matches(lower(clean), '{PAGE_HEADER}') AND {_SENTENCES} < 2 THEN 'report_page_header'
  WHEN {_RATIO} > 0.3 AND NOT list_has_any(regexp_extract_all(lower(clean), '[a-z0-9]+'), {_KNOWN}) THEN 'number_heavy' WHEN {_META} AND {_SENTENCES} = 0 THEN 'metadata_like' END"""
 SCORE_SQL = f"""(least({_SENTENCES}, 3) * 3 + least(len(list_intersect(regexp_extract_all(lower(clean), '[a-z0-9]+'), {_KNOWN})), 4) * 2 + CASE WHEN length(clean) >= {LONG} THEN 2 ELSE 0 END + CASE WHEN length(clean) >= {LONGER} THEN 1 ELSE 0 END
  - CASE WHEN {_SENTENCES} < 2 THEN 2 ELSE 0 END - CASE WHEN {_RATIO} > 0.2 THEN 2 ELSE 0 END - CASE WHEN {_META} THEN 3 ELSE 0 END)"""

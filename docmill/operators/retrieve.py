@@ -2,19 +2,33 @@
 
 Every ranking has a total order, score descending and then id ascending; scores are rounded before they
 are compared, so that equal candidates tie however their sums were added up.
+
+Sparse scores of a question set that is small enough (its size is checked) are matrix products in Arrow
+batches: a task keeps the best of each question, and only these are shuffled. Larger sets join postings.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sparse_index, tokens
+from ..workers import ship
 
 K1, B, RRF_K = 1.5, 0.75, 60
 DIGITS = 6
+#: Distinct terms times questions up to which their weights go to every task, as a dense matrix (64 MB).
+MOST_WEIGHTS = 8_000_000
+#: Numbers of a dense block of documents, and of a block of cosines.
+BLOCK_VALUES = 4_000_000
 
 
 def top_k(scored: DataFrame, k: int, by: list[str] = ["query_id"], score: str = "score", tie: str = "doc_id", rank: str = "rank") -> DataFrame:
@@ -22,11 +36,9 @@ def top_k(scored: DataFrame, k: int, by: list[str] = ["query_id"], score: str =
     return scored.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
 
 
-def query_terms(queries: DataFrame, most: int | None = None) -> DataFrame:
-    """query_id, term, qtf of each query's (first ``most``) tokens."""
-    words = tokens(F.col("text"))
-    words = F.slice(words, 1, most) if most else words
-    return queries.select("query_id", F.explode(words).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, qtf of each query's tokens."""
+    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -39,13 +51,132 @@ def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
-    """One row: number of documents n and mean length avgdl."""
-    return docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
-def bm25(queries: DataFrame, docs: DataFrame, k: int, most_terms: int | None = None) -> DataFrame:
-    """query_id, doc_id, score, rank by Okapi BM25 with non-negative idf; ``k`` best for each query."""
-    wanted = query_terms(queries, most_terms)
+    """One row: number of documents n and mean length avgdl; a null text has no tokens."""
+    return docs.select(F.size(tokens(F.coalesce("text", F.lit("")))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+@dataclass(frozen=True)
+class Leg:
+    """How texts become terms, and how often a term is in a text becomes its weight there."""
+
+    pattern: str
+    hashed: bool
+    weight: Callable[[np.ndarray, np.ndarray, float], np.ndarray]
+    asked: Callable[[np.ndarray], np.ndarray]
+
+
+def _gain(tf: np.ndarray, dl: np.ndarray, avgdl: float) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[:, None] / avgdl))
+
+
+BM25 = Leg("[a-z0-9]+", False, _gain, lambda n: np.ones_like(n))
+SPARSE = Leg("[a-z0-9_]+", True, lambda tf, dl, avgdl: np.where(tf > 0, 1 + np.sqrt(tf), 0.0), lambda n: 1 + np.sqrt(n))
+
+
+class _Places(dict):
+    """Word -> place of its term among the asked ones, or -1; words met are remembered (bounded)."""
+
+    def __init__(self, places: dict, hashed: bool):
+        self.places, self.hashed = places, hashed
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        term = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) if self.hashed else word
+        out = self[word] = self.places.get(term, -1)
+        return out
+
+
+def _frequency_blocks(leg: Leg, places: dict):
+    """Of an Arrow batch (doc_id, text) blocks of ids, numbers of words and a matrix of how often each term is in each text."""
+    find, place, width = re.compile(leg.pattern).findall, _Places(places, leg.hashed), len(places)
+
+    def blocks(batch: pa.RecordBatch):
+        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        step = max(1, BLOCK_VALUES // max(1, width))
+        for k in range(0, len(texts), step):
+            words = [find((t or "").lower()) for t in texts[k : k + step]]
+            dl = np.array([len(w) for w in words], np.int64)
+            at = np.fromiter((place[w] for ws in words for w in ws), np.int64, int(dl.sum()))
+            line = np.repeat(np.arange(len(words)), dl)
+            asked = at >= 0
+            tf = np.bincount(line[asked] * width + at[asked], minlength=len(words) * width).reshape(len(words), width)
+            yield ids[k : k + step], dl, tf.astype(float)
+
+    return blocks
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best positive scores, ties to smaller ids."""
+    at = np.flatnonzero(scores > 0)
+    if len(at) > k:
+        at = at[scores[at] >= np.partition(scores[at], -k)[-k]]
+    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+
+
+def _in_batches(queries: DataFrame, docs: DataFrame, k: int, leg: Leg, asked: list, places: dict) -> DataFrame:
+    """The ``k`` best documents of each question; ``asked`` are (query_id, term, count) rows, ``places`` their terms' columns."""
+    spark = docs.sparkSession
+    ship(spark)
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    names = list(dict.fromkeys(q for q, _, _ in asked))
+    column = {q: j for j, q in enumerate(names)}
+
+    def count(batches):
+        blocks = _frequency_blocks(leg, places)
+        df, n, words = np.zeros(len(places), np.int64), 0, 0
+        for batch in batches:
+            for ids, dl, tf in blocks(batch):
+                df += (tf > 0).sum(0)
+                n, words = n + len(ids), words + int(dl.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *range(len(places))]), pa.array([n, words, *df.tolist()])], names=["place", "n"])
+
+    told = {r["place"]: r["n"] for r in texts.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()}  # a row a term
+    n, words = told.get(-2, 0), told.get(-1, 0)
+    df = np.array([told.get(j, 0) for j in range(len(places))], float)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    weights = np.zeros((len(places), len(names)))
+    for q, term, times in asked:
+        weights[places[term], column[q]] = leg.asked(np.array([times], float))[0] * idf[places[term]]
+    shared = spark.sparkContext.broadcast(weights)  # no more than MOST_WEIGHTS numbers
+
+    def score(batches):
+        blocks = _frequency_blocks(leg, places)
+        kept = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
+        for batch in batches:
+            for ids, dl, tf in blocks(batch):
+                found = np.round(leg.weight(tf, dl, words / max(n, 1) or 1.0) @ shared.value, DIGITS)
+                for j in np.flatnonzero((found > 0).any(0)).tolist():
+                    scores, mine = np.concatenate([kept[j][0], found[:, j]]), np.concatenate([kept[j][1], ids])
+                    best = _best(scores, mine, k)
+                    kept[j] = scores[best], mine[best]
+        out = [names[j] for j, (s, _) in enumerate(kept) for _ in range(len(s))]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(np.concatenate([x for _, x in kept])), pa.array(np.concatenate([s for s, _ in kept]))], names=["query_id", "doc_id", "score"])
+
+    return top_k(texts.mapInArrow(score, "query_id long, doc_id long, score double"), k)
+
+
+def _small(queries: DataFrame, leg: Leg) -> tuple[list, dict] | None:
+    """(query_id, term, count) rows and the terms' places, if questions and terms are few enough to be handed out."""
+    words = tokens(F.col("text"), leg.pattern)
+    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(words).alias("term"))
+    rows = rows.groupBy("query_id", (sparse_index(F.col("term")) if leg.hashed else F.col("term")).alias("term")).agg(F.count("*").alias("n"))
+    size = rows.agg(F.approx_count_distinct("term").alias("terms"), F.approx_count_distinct("query_id").alias("asked")).first()
+    if size["terms"] * size["asked"] > MOST_WEIGHTS / 2 or not size["terms"]:
+        return None
+    asked = sorted((r["query_id"], r["term"], r["n"]) for r in rows.collect())
+    return asked, {t: j for j, t in enumerate(sorted({t for _, t, _ in asked}))}
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, score, rank by Okapi BM25 with non-negative idf; ``k`` best for each query (ids are numbers)."""
+    small = _small(queries, BM25)
+    return _in_batches(queries, docs, k, BM25, *small) if small else bm25_joined(queries, docs, k)
+
+
+def bm25_joined(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``bm25`` of any number of questions: a join of their terms with the postings."""
+    wanted = query_terms(queries)
     found = postings(docs, wanted)
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -62,12 +193,17 @@ def sparse_vectors(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return words.groupBy(id_col, sparse_index(F.col("token")).alias("idx")).agg((1 + F.sqrt(F.count("*"))).alias("weight"))
 
 
-def sparse_top_k(queries: DataFrame, docs: DataFrame, k: int, most_terms: int | None = None) -> DataFrame:
-    """Sparse dot product, each dimension weighed by its inverse document frequency."""
-    words = tokens(F.col("text"), "[a-z0-9_]+")
-    words = F.slice(words, 1, most_terms) if most_terms else words
+def sparse_top_k(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Sparse dot product, each dimension weighed by its inverse document frequency; ``k`` best for each query (ids are numbers)."""
+    small = _small(queries, SPARSE)
+    return _in_batches(queries, docs, k, SPARSE, *small) if small else sparse_joined(queries, docs, k)
+
+
+def sparse_joined(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``sparse_top_k`` of any number of questions: a join by dimension."""
+    words = tokens(F.col("text"), SPARSE.pattern)
     q = queries.select("query_id", F.explode(words).alias("t")).groupBy("query_id", sparse_index(F.col("t")).alias("idx")).agg((1 + F.sqrt(F.count("*"))).alias("qw"))
-    rows = docs.select("doc_id", F.explode(tokens(F.col("text"), "[a-z0-9_]+")).alias("t")).select("doc_id", sparse_index(F.col("t")).alias("idx"))
+    rows = docs.select("doc_id", F.explode(words).alias("t")).select("doc_id", sparse_index(F.col("t")).alias("idx"))
     d = rows.join(q.select("idx").distinct(), "idx", "left_semi").groupBy("doc_id", "idx").agg((1 + F.sqrt(F.count("*"))).alias("dw"))
     n = docs.agg(F.count("*").alias("n"))
     df = d.groupBy("idx").agg(F.count("*").alias("df")).crossJoin(n)  # one row
@@ -92,18 +228,58 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
-def cosine_scores(queries: DataFrame, vectors: DataFrame, keep: Column | None = None, block: int = 256) -> DataFrame:
-    """query_id, doc_id, score for a stated query set (query_id, qv) against all vectors (doc_id, v), in blocks of queries.
+Judge = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _packed(rows: DataFrame, key: str, vector: str, label: str | None, blocks: int, name: str) -> DataFrame:
+    """dim, ``name`` (a block's number) and of its rows the keys, labels and vectors, behind one another."""
+    cells = F.struct(F.col(key).cast("long").alias("key"), (F.col(label) if label else F.lit(0)).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    rows = rows.filter(F.col(vector).isNotNull()).select(F.size(vector).alias("dim"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(name), cells.alias("c"))
+    lists = rows.groupBy("dim", name).agg(F.collect_list("c").alias("cs"))
+    return lists.select("dim", name, *[F.transform("cs", lambda c: c[k]).alias(f"{name}_{k}") for k in ("key", "label")], F.flatten(F.transform("cs", lambda c: c["v"])).alias(f"{name}_v"))
+
+
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, judge: Judge | None = None, itself: bool = True) -> DataFrame:
+    """query_id, tier, doc_id, score, rank: the ``k`` vectors (doc_id, v and, if any, label) of highest cosine for each query (query_id, qv).
 
-    The exact scan reads the vectors once per block of queries; ``keep`` filters vectors before.
+    The exact scan of a stated query set: blocks of queries meet blocks of vectors, each pair of blocks is
+    one matrix product, and only the best of a pair of blocks are shuffled. ``judge`` turns rounded cosines (queries
+    by vectors) and the vectors' labels into scores and tiers (-1: no candidate); each tier has its own ``k``. Vectors
+    that are null or of another length than the query's are no candidates, a zero vector has the cosine 0;
+    ``itself`` tells whether a vector with the query's own id is one.
     """
-    vectors = vectors.filter(keep) if keep is not None else vectors
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    q = queries.withColumn("blk", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("blk").agg(F.collect_list(F.struct("query_id", normalised_vector(F.col("qv")).alias("qv"))).alias("qs"))
-    unit = vectors.withColumn("v", normalised_vector(F.col("v"))).withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    met = unit.join(q, "blk").withColumn("q", F.explode("qs"))
-    return met.select(F.col("q.query_id").alias("query_id"), *[c for c in vectors.columns if c != "v"], F.round(dot(F.col("q.qv"), F.col("v")), DIGITS).alias("score"))
+    ship(vectors.sparkSession)
+    label = "label" if "label" in vectors.columns else None
+    dim = max(1, vectors.agg(F.max(F.size("v"))).first()[0] or 1)
+    per_block = max(1, min(4096, BLOCK_VALUES // dim))
+    counts = queries.count(), vectors.count()
+    blocks = [max(1, -(-n // per_block)) for n in counts]
+    asked = _packed(queries, "query_id", "qv", None, blocks[0], "q")
+    stored = _packed(vectors, "doc_id", "v", label, blocks[1], "b")
+    met = asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1)))).join(stored, ["dim", "b"])
+
+    def unit(flat, width: int) -> np.ndarray:
+        x = np.asarray(flat, float).reshape(-1, width)
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, labels = np.array(row["b_key"], np.int64), np.array(row["b_label"], float)
+                score = np.round(unit(row["q_v"], row["dim"]) @ unit(row["b_v"], row["dim"]).T, DIGITS)
+                score, tier = judge(score, labels) if judge else (score, np.zeros(score.shape, int))
+                out = []
+                for j, q in enumerate(row["q_key"]):
+                    for t in np.unique(tier[j]).tolist():
+                        at = np.flatnonzero((tier[j] == t) & ((ids != q) | itself)) if t >= 0 else ()
+                        at = [] if not len(at) else at[np.lexsort((ids[at], -score[j, at]))[:k]]
+                        out += [(q, t, int(ids[x]), float(score[j, x])) for x in at]
+                columns = list(zip(*out)) or [()] * 4
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query_id", "tier", "doc_id", "score"])
+
+    return top_k(met.mapInArrow(run, "query_id long, tier long, doc_id long, score double"), k, by=["query_id", "tier"])
 
 
 def rrf(ranked: list[tuple[str, DataFrame]], k: int, weights: Column | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +10,6 @@ from ..functions import quality, text
 from ..operators import index, retrieve
 from .registry import query, read
 
-#: Of the SQL only; the queries take whole questions.
-QUERY_TOKENS = 12
-
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -27,14 +25,14 @@ TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 BM25_SQL = f"""
 toks AS (SELECT doc_id, {TOK} AS ws FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM toks),
-qt AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOK}[1:{QUERY_TOKENS}]) AS term FROM benchmark) GROUP BY ALL),
+qt AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOK}) AS term FROM benchmark) GROUP BY ALL),
 post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM toks) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM qt JOIN df USING (term) JOIN post USING (term) CROSS JOIN stats GROUP BY ALL),
 bm_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm)"""
 SPARSE_SQL = f"""
-sq AS (SELECT item_id AS query_id, idx, 1 + sqrt(count(*)) AS qw FROM (SELECT item_id, ('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')[1:{QUERY_TOKENS}])), 1, 8))::BIGINT AS idx FROM benchmark) GROUP BY ALL),
+sq AS (SELECT item_id AS query_id, idx, 1 + sqrt(count(*)) AS qw FROM (SELECT item_id, ('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '[a-z0-9_]+'))), 1, 8))::BIGINT AS idx FROM benchmark) GROUP BY ALL),
 sd AS (SELECT doc_id, idx, 1 + sqrt(count(*)) AS dw FROM (SELECT doc_id, ('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '[a-z0-9_]+'))), 1, 8))::BIGINT AS idx FROM documents) GROUP BY ALL),
 sdf AS (SELECT idx, count(*) AS df FROM sd GROUP BY idx),
 sp AS (SELECT query_id, doc_id, round(sum(qw * dw * ln(1 + (n - df + 0.5) / (df + 0.5))), 6) AS score FROM sq JOIN sdf USING (idx) JOIN sd USING (idx) CROSS JOIN (SELECT count(*) AS n FROM documents) GROUP BY ALL),
@@ -79,7 +77,8 @@ SELECT query_id, doc_id, score, CAST(tier AS BIGINT) AS tier, new_rank FROM (SEL
 def hybrid_rrf_topk(spark, sf_dir):
     """Flagship: both legs, fusion, quality filter with its fallback, five best."""
     fused = retrieve.rrf(_legs(spark, sf_dir), 20)
-    judged = fused.join(quality.judged(chunks(spark, sf_dir)), "doc_id").filter("tier < 2")
+    found = chunks(spark, sf_dir).join(fused.select("doc_id").distinct(), "doc_id", "left_semi")
+    judged = fused.join(quality.judged(found), "doc_id").filter("tier < 2")
     kept = retrieve.cascade(judged.withColumnRenamed("tier", "grade"), [F.col("grade") == 0, F.col("grade") == 1])
     order = Window.partitionBy("query_id").orderBy("rank")
     out = kept.withColumn("new_rank", F.row_number().over(order).cast("long")).filter(F.col("new_rank") <= F.when(F.col("tier") == 0, 5).otherwise(2))
@@ -113,48 +112,56 @@ def keyword_fallback(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    """Every vector is a query and a candidate."""
+    """Queries are the vectors whose id 100 divides, candidates all vectors."""
     e = read(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
+    return e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
 
 
-COS_SQL = "cs AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, b.label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 10)"
+COS_SQL = "cs AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, b.label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)"
 
 
 @query(f"WITH {COS_SQL} SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cs) WHERE rank <= 10")
 def cosine_topk(spark, sf_dir):
     q, v = _vectors(spark, sf_dir)
-    return retrieve.top_k(retrieve.cosine_scores(q, v), 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return retrieve.cosine_top_k(q, v, 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {COS_SQL} SELECT query_id, arg_max(doc_id, (score, -doc_id)) AS doc_id, max(score) AS score FROM cs WHERE score >= 0.95 AND doc_id <> query_id GROUP BY query_id")
+@query(f"WITH {COS_SQL} SELECT query_id, arg_max(doc_id, (score, -doc_id)) AS doc_id, max(score) AS score, max(score) >= 0.95 AS hit FROM cs WHERE doc_id <> query_id GROUP BY query_id")
 def cache_lookup(spark, sf_dir):
-    """Semantic cache: the nearest stored entry, if it is near enough."""
+    """Semantic cache: the nearest stored entry of each query, and whether it is near enough to answer it."""
     q, v = _vectors(spark, sf_dir)
-    near = retrieve.cosine_scores(q, v).filter("score >= 0.95 AND doc_id <> query_id")
-    return near.groupBy("query_id").agg(F.max_by("doc_id", F.struct(F.col("score"), -F.col("doc_id"))).alias("doc_id"), F.max("score").alias("score"))
+    return retrieve.cosine_top_k(q, v, 1, itself=False).select("query_id", "doc_id", "score", (F.col("score") >= 0.95).alias("hit"))
+
+
+def _by_label(score, label):
+    return np.round(score * np.where(label % 2 == 0, 2.0, 0.65), 5), np.zeros(score.shape, int)
 
 
 @query(f"WITH {COS_SQL}, w AS (SELECT query_id, doc_id, round(score * CASE WHEN label % 2 = 0 THEN 2.0 ELSE 0.65 END, 5) AS score FROM cs) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM w) WHERE rank <= 5")
 def weighted_cosine(spark, sf_dir):
     q, v = _vectors(spark, sf_dir)
-    s = retrieve.cosine_scores(q, v).withColumn("score", F.round(F.col("score") * F.when(F.col("label") % 2 == 0, 2.0).otherwise(0.65), 5))
-    return retrieve.top_k(s, 5).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return retrieve.cosine_top_k(q, v, 5, _by_label).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _tiers(score, label):
+    third = np.broadcast_to(label == 3, score.shape)
+    return score, np.where(score <= 0.2, -1, np.where(third & (score > 0.3), 0, np.where(third, 1, 2)))
 
 
 @query(f"WITH {COS_SQL}, c AS (SELECT *, CASE WHEN label = 3 AND score > 0.3 THEN 0 WHEN label = 3 THEN 1 ELSE 2 END AS tier FROM cs WHERE score > 0.2), k AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS least FROM c) SELECT query_id, CAST(tier AS BIGINT) AS tier, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM k WHERE tier = least) WHERE rank <= 5")
 def filter_cascade(spark, sf_dir):
     """Strict filter, relaxed filter, none: the first that leaves something."""
     q, v = _vectors(spark, sf_dir)
-    c = retrieve.cosine_scores(q, v).filter("score > 0.2")
-    kept = retrieve.cascade(c, [(F.col("label") == 3) & (F.col("score") > 0.3), F.col("label") == 3])
-    return retrieve.top_k(kept, 5).select("query_id", F.col("tier").cast("long").alias("tier"), "doc_id", "score")
+    best = retrieve.cosine_top_k(q, v, 5, _tiers).withColumnRenamed("tier", "filter")
+    kept = retrieve.cascade(best, [F.col("filter") == 0, F.col("filter") == 1])
+    return kept.select("query_id", F.col("tier").cast("long").alias("tier"), "doc_id", "score")
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (2 * x::DOUBLE) * (2 * x::DOUBLE))), 4) AS squared, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings")
+@query("SELECT vec_id, k, round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 6) AS x FROM (SELECT vec_id, embedding, unnest(embedding) AS x, unnest(range(len(embedding))) AS k FROM embeddings)")
 def l2_normalise(spark, sf_dir):
+    """Every component of twice each vector, brought to unit length."""
     e = read(spark, sf_dir, "embeddings").withColumn("d", F.transform("embedding", lambda x: 2 * x.cast("double")))
-    return e.select("vec_id", F.round(retrieve.dot(F.col("d"), F.col("d")), 4).alias("squared"), F.round(retrieve.normalised_vector(F.col("d"))[0], 6).alias("first"))
+    return e.select("vec_id", F.posexplode(retrieve.normalised_vector(F.col("d"))).alias("k", "x")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("x", 6).alias("x"))
 
 
 @query("SELECT doc_id, idx, weight FROM (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS idx, round(1 + sqrt(count(*)), 6) AS weight FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM documents) GROUP BY ALL)")
@@ -169,10 +176,10 @@ def corpus_stats(spark, sf_dir):
     return d.agg(F.count("*").alias("n"), F.round(F.avg(words), 6).alias("avgdl"), F.sum(words).cast("long").alias("tokens"))
 
 
-@query(f"SELECT w AS term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOK}) AS w FROM documents) GROUP BY w HAVING count(DISTINCT doc_id) >= 5")
+@query(f"SELECT w AS term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOK}) AS w FROM documents) GROUP BY w")
 def document_frequency(spark, sf_dir):
     words = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
-    return words.groupBy("term").agg(F.count("*").alias("df")).filter("df >= 5")
+    return words.groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(f"WITH {QUALITY_SQL} SELECT doc_id, coalesce(reason, 'none') AS reason, CAST(quality AS BIGINT) AS quality FROM qual")
@@ -224,8 +231,10 @@ def composite_dedupe(spark, sf_dir):
     return index.keep_first(d, ["source", "lang", "head"], "doc_id").select("doc_id", "source", "lang")
 
 
-@query("""WITH n AS (SELECT query_id, rank, lower(text) AS t FROM (SELECT conv_id AS query_id, turn AS rank, left(text, 40) AS text FROM conversations))
-SELECT query_id, rank FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.query_id = a.query_id AND b.rank < a.rank AND (contains(a.t, b.t) OR contains(b.t, a.t)))""")
+@query("""WITH RECURSIVE n AS (SELECT conv_id AS query_id, turn AS rank, trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) <> ''),
+f AS (SELECT query_id, k, rank, true AS stays, [t] AS kept FROM n WHERE k = 1 UNION ALL
+ SELECT query_id, k, rank, stays, CASE WHEN stays THEN list_append(kept, t) ELSE kept END AS kept FROM (SELECT n.query_id, n.k, n.rank, n.t, f.kept, len(list_filter(f.kept, lambda x: contains(x, n.t) OR contains(n.t, x))) = 0 AS stays FROM f JOIN n ON n.query_id = f.query_id AND n.k = f.k + 1))
+SELECT query_id, rank FROM f WHERE stays""")
 def containment_dedupe(spark, sf_dir):
     """Among a query's candidates, in order, those that neither contain a kept one nor are part of one."""
     c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), "text")
