@@ -17,32 +17,34 @@ REDACTIONS = (
     ("\\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\\b", "[REDACTED_AADHAAR]"),
 )
 PHONE = "(?<![A-Za-z0-9_])(?:\\+?[0-9]{1,3}[\\s.-]?)?(?:\\(?[0-9]{3}\\)?[\\s.-]?)?[0-9]{3}[\\s.-]?[0-9]{4}(?![A-Za-z0-9_])"
-_SOURCE = "(?:retrieved|provided|source|uploaded)\\s+(?:documents?|context|chunks?|evidence|sources?)\\b"
+# 26 patterns of injected instructions.
 INJECTION = (
-    "\\bignore\\s+(?:all\\s+)?previous\\s+instructions\\b",
-    "\\bdisregard\\s+(?:all\\s+)?(?:prior|previous)\\s+instructions\\b",
-    "\\b(?:ignore|disregard|forget|bypass|skip)\\s+(?:the\\s+)?" + _SOURCE,
-    "\\b(?:answer|respond)\\s+(?:without|outside\\s+of|regardless\\s+of)\\s+(?:the\\s+)?" + _SOURCE,
-    "\\bdo\\s+not\\s+(?:use|follow|consider|look\\s+at)\\s+(?:the\\s+)?" + _SOURCE,
-    "\\b(?:use|follow)\\s+(?:only\\s+)?(?:my|the\\s+user'?s)\\s+(?:instructions?|claims?|facts?)\\s+(?:instead\\s+of|over)\\s+(?:the\\s+)?" + _SOURCE,
-    "\\bsystem\\s+override\\b",
-    "\\bdeveloper\\s+mode\\b",
-    "\\byou\\s+are\\s+now\\s+(?:an?\\s+)?(?:unconstrained|unrestricted|uncensored)\\s+ai\\b",
-    "\\bshow\\s+me\\s+(?:your\\s+)?system\\s+prompt\\b",
-    "\\b(?:reveal|print)\\s+(?:the\\s+)?(?:system|developer)\\s+(?:prompt|message|instructions)\\b",
-    "\\b(?:hidden|internal|backend)\\s+(?:prompt|message|instructions)\\b",
-    "\\b(?:system|developer)\\s+prompts?\\b",
-    "\\b(?:internal|hidden|backend)\\s+(?:rules|instructions|controls|policy|policies)\\b",
-    "\\b(?:safety\\s+mechanisms?|guardrails?|system\\s+controls?)\\b",
-    "\\b(?:database|qdrant|vector\\s+store|collection)\\s+(?:schema|structure|contents?|metadata|payload|fields?)\\b",
-    "\\bpretend\\s+(?:that\\s+)?you\\s+are\\s+(?:the\\s+)?(?:administrator|admin|root|system)\\b",
-    "\\bact\\s+as\\s+(?:the\\s+)?(?:administrator|admin|root|system)\\b",
-    "\\bdatabase\\s+password\\b",
-    "\\b(?:api|secret|private)\\s+key\\b",
-    "\\bexfiltrate\\b|\\bdata\\s+exfiltration\\b",
-    "\\b(?:sudo|rm\\s+-rf|curl\\s+.*\\|\\s*sh|wget\\s+.*\\|\\s*sh)\\b",
-    "<\\s*(?:script|iframe|object|embed|meta|link)\\b",
-    "```[\\s\\S]*?(?:system|developer|override|ignore|password|secret)[\\s\\S]*?```",
+    r"\bignore\s+(?:all\s+)?previous\s+instructions\b",
+    r"\bdisregard\s+(?:all\s+)?(?:prior|previous)\s+instructions\b",
+    r"\b(?:ignore|disregard|forget|bypass|skip)\s+(?:the\s+)?(?:retrieved|provided|source|uploaded)\s+(?:documents?|context|chunks?|evidence|sources?)\b",
+    r"\b(?:answer|respond)\s+(?:without|outside\s+of|regardless\s+of)\s+(?:the\s+)?(?:retrieved|provided|source|uploaded)\s+(?:documents?|context|chunks?|evidence|sources?)\b",
+    r"\bdo\s+not\s+(?:use|follow|consider|look\s+at)\s+(?:the\s+)?(?:retrieved|provided|source|uploaded)\s+(?:documents?|context|chunks?|evidence|sources?)\b",
+    r"\b(?:use|follow)\s+(?:only\s+)?(?:my|the\s+user'?s)\s+(?:instructions?|claims?|facts?)\s+(?:instead\s+of|over)\s+(?:the\s+)?(?:retrieved|provided|source|uploaded)\s+(?:documents?|context|chunks?|evidence|sources?)\b",
+    r"\bsystem\s+override\b",
+    r"\bdeveloper\s+mode\b",
+    r"\byou\s+are\s+now\s+(?:an?\s+)?(?:unconstrained|unrestricted|uncensored)\s+ai\b",
+    r"\bshow\s+me\s+(?:your\s+)?system\s+prompt\b",
+    r"\breveal\s+(?:the\s+)?(?:system|developer)\s+(?:prompt|message|instructions)\b",
+    r"\bprint\s+(?:the\s+)?(?:system|developer)\s+(?:prompt|message|instructions)\b",
+    r"\b(?:tell|show|give)\s+me\s+(?:the\s+)?(?:hidden|internal|backend)\s+(?:prompt|message|instructions)\b",
+    r"\b(?:hidden|internal|backend)\s+(?:prompt|message|instructions)\b",
+    r"\b(?:system|developer)\s+prompts?\b",
+    r"\b(?:internal|hidden|backend)\s+(?:rules|instructions|controls|policy|policies)\b",
+    r"\b(?:safety\s+mechanisms?|guardrails?|system\s+controls?)\b",
+    r"\b(?:database|qdrant|vector\s+store|collection)\s+(?:schema|structure|contents?|metadata|payload|fields?)\b",
+    r"\bpretend\s+(?:that\s+)?you\s+are\s+(?:the\s+)?(?:administrator|admin|root|system)\b",
+    r"\bact\s+as\s+(?:the\s+)?(?:administrator|admin|root|system)\b",
+    r"\bdatabase\s+password\b",
+    r"\b(?:api|secret|private)\s+key\b",
+    r"\bexfiltrate\b|\bdata\s+exfiltration\b",
+    r"\b(?:sudo|rm\s+-rf|curl\s+.*\|\s*sh|wget\s+.*\|\s*sh)\b",
+    r"<\s*(?:script|iframe|object|embed|meta|link)\b",
+    r"```[\s\S]*?(?:system|developer|override|ignore|password|secret)[\s\S]*?```",
 )
 MARKERS = ("```", "<script", "</", "{{", "}}", "$(", "${")
 PROMPT_LEAK = (
@@ -66,7 +68,7 @@ DATA_LEAK = (
     "\\b(?:10|172[.](?:1[6-9]|2[0-9]|3[01])|192[.]168)[.][0-9]{1,3}[.][0-9]{1,3}\\b",
 )
 WHOLE_DOCUMENT = "\\b(?:entire|whole|complete|full|all)\\s+(?:pdf|document|report|file|uploaded\\s+document|uploaded\\s+file)\\b"
-EXHAUSTIVE = "\\b(?:every|all)\\s+(?:chapters?|tables?|figures?|box|boxes|citations?|footnotes?|pages?|sections?)\\b"
+EXHAUSTIVE = "\\b(?:every|all)\\s+(?:chapter|chapters|table|tables|figure|figures|box|boxes|citation|citations|footnote|footnotes|page|pages|section|sections)\\b"
 WHOLE_CHAPTER = "\\b(?:whole|entire|full|complete)\\s+chapter(?:\\s+[0-9]+)?\\b"
 CHAPTER_DUMP = "\\b(?:give|print|show|display|return|provide)\\s+(?:me\\s+)?(?:(?:the\\s+)?(?:whole|entire|full|complete)\\s+)?chapter(?:\\s+[0-9]+)?\\b"
 LARGE_OUTPUT = "\\b([0-9]{1,3}(?:,[0-9]{3})+|[0-9]{4,})\\s*(?:words?|tokens?|pages?)\\b"
@@ -166,13 +168,15 @@ def over_coverage(c: Column) -> Column:
 
 
 def faithfulness(answer: Column, sources: Column) -> Column:
-    """Share of the answer's content tokens that its sources have; 1 without source tokens, null for an answer without any."""
+    """Share of the answer's content tokens that its sources have; null for an answer without any, else 1 without source tokens."""
     a, s = content_tokens(answer), content_tokens(sources)
-    return F.when(F.size(s) == 0, F.lit(1.0)).when(F.size(a) > 0, overlap(a, s))
+    return F.when(F.size(a) == 0, F.lit(None).cast("double")).when(F.size(s) == 0, F.lit(1.0)).otherwise(overlap(a, s))
 
 
 QUOTE = '"([^"\\n]{4,500})"'
-NUMBER = "[0-9]{1,3}(?:,[0-9]{3})+(?:[.][0-9]+)?|[0-9]+(?:[.][0-9]+)?%"
+# Numbers that state a fact, by grouping, sign, unit or currency.
+UNITS = "percent|percentage\\s+points|pp|million|billion|trillion|kg|km|tons?|years?|days?|months?"
+NUMBER = "(?i)(?<![A-Za-z0-9_])(?:[0-9]{1,3}(?:,[0-9]{3})+(?:[.][0-9]+)?|[0-9]+(?:[.][0-9]+)?%|[0-9]+(?:[.][0-9]+)?\\s*(?:" + UNITS + ")|\\$\\s?[0-9]+(?:,[0-9]{3})*(?:[.][0-9]+)?)(?![A-Za-z0-9_])"
 STRUCTURAL = "(?i)\\b(?:figure|fig[.]?|chart|table|diagram|panel)\\s+[A-Za-z]?[0-9]+(?:[.-][0-9]+)*[A-Za-z]?\\b"
 PROPER = "\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){1,4}\\b"
 

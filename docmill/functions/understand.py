@@ -85,14 +85,13 @@ def orchestrated(c: Column) -> Column:
 
 
 def route(c: Column, has_constraints: Column) -> Column:
-    """structured, hybrid, visual or pdf."""
+    """structured, hybrid, visual or pdf: the first rule that holds."""
     n = normalised(c)
     visual = has_any(F.split(n, " "), VISUAL)
-    explains = n.rlike("|".join(ROUTE_EXPLANATORY))
-    shaped = n.rlike("gdp|co2|carbon dioxide|emission") & n.rlike("[0-9]")
-    structured = has_constraints | (shaped & ~explains & ~visual)
-    pdf = explains | visual | ~shaped
-    return F.when(shaped & ~has_constraints & ~explains & ~visual, "structured").when(structured & (pdf | visual), "hybrid").when(structured, "structured").when(visual, "visual").otherwise("pdf")
+    about_numbers = n.rlike("gdp|co2|carbon dioxide|emission") & n.rlike("[0-9]")
+    only_numbers = about_numbers & ~visual & ~n.rlike("|".join(ROUTE_EXPLANATORY))
+    rules = ((only_numbers, "structured"), (has_constraints, "hybrid"), (visual, "visual"))
+    return F.coalesce(*[F.when(holds, F.lit(name)) for holds, name in rules], F.lit("pdf"))
 
 
 def namespace_route(c: Column) -> Column:

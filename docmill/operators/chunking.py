@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,30 +198,46 @@ def lines_once(c: Column) -> Column:
     return F.array_join(F.array_distinct(ls), ", ")
 
 
+# Fixed value: where a long text is cut, the first that it has.
+SEPARATORS = ("\n\n", "\n", ". ", " ")
+
+
+def split_spans(text: str, size: int) -> list[tuple[int, int]]:
+    """Start and end of the parts of a text, none longer than ``size``; parts of parts have no white space around them.
+
+    A stretch that is too long is cut where its first separator is found, and runs of its pieces that fit
+    stay together, separators included; one without any is cut anywhere. The text itself is sliced once.
+    """
+    marks = [re.compile(re.escape(s)) for s in SEPARATORS]
+    todo, out = [(0, len(text))], []
+    while todo:
+        start, end = todo.pop()
+        if end - start <= size:
+            out.append((start, end))
+            continue
+        cuts = next((found for m in marks if (found := [x.span() for x in m.finditer(text, start, end)])), None)
+        if cuts is None:
+            out += [(k, min(k + size, end)) for k in range(start, end, size)]
+            continue
+        runs: list[list[int]] = []
+        for a, b in zip([start, *(b for _, b in cuts)], [*(a for a, _ in cuts), end]):
+            if runs and runs[-1][0] == runs[-1][1]:
+                runs[-1] = [a, b]  # nothing stands before the separator
+            elif runs and b - runs[-1][0] <= size:
+                runs[-1][1] = b
+            else:
+                runs.append([a, b])
+        for a, b in reversed(runs):
+            piece = text[a:b]
+            todo.append((a + len(piece) - len(piece.lstrip()), b - len(piece) + len(piece.rstrip())))
+    return [(a, b) for a, b in out if a < b]
+
+
 def recursive_split(size: int = CHUNK):
     """An Arrow function text -> array of parts: cut at paragraphs, lines, sentences, words, at last anywhere."""
 
-    def cut(text: str) -> list[str]:
-        if len(text) <= size:
-            return [text] if text else []
-        for sep in ("\n\n", "\n", ". ", " "):
-            parts = text.split(sep)
-            if len(parts) < 2:
-                continue
-            out, now = [], ""
-            for p in parts:
-                longer = f"{now}{sep}{p}" if now else p
-                if len(longer) > size and now:
-                    out.append(now)
-                    now = p
-                else:
-                    now = longer
-            out.append(now)
-            return [y for x in out for y in cut(x.strip())]
-        return [text[k : k + size] for k in range(0, len(text), size)]
-
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(texts):
-        return texts.map(lambda x: cut(x) if x else [])
+        return texts.map(lambda x: [x[a:b] for a, b in split_spans(x, size)] if x else [])
 
     return split
