@@ -63,11 +63,16 @@ def prefix_points(text: Column, words: Column, points: float = 3.5) -> Column:
 
 
 def resolved(candidates: DataFrame, registry: DataFrame, key: str) -> DataFrame:
-    """The best path of each request (key, label, kind): exact label, then kind, registered ones first; only paths that exist."""
-    r = registry.select(F.col("label").alias("r_label"), F.col("kind"), "path", "registered", "exists").filter("exists")
-    met = candidates.join(r, "kind")
-    score = F.when(F.col("label") == F.col("r_label"), EXACT).otherwise(KIND) + F.when(F.col("registered"), REGISTERED).otherwise(0)
-    return met.withColumn("score", score).groupBy(key).agg(F.max_by("path", F.struct(F.col("score"), F.col("path"))).alias("path"), F.max("score").alias("score"))
+    """The best path of each request (key, label, kind): exact label, then kind, registered ones first; only paths that exist.
+
+    The registry is brought down to its best path of each label and of each kind, so that a request meets two rows.
+    """
+    r = registry.filter("exists").select("label", "kind", "path", F.when(F.col("registered"), REGISTERED).otherwise(0).alias("bonus"))
+    best = lambda points: F.max(F.struct((F.col("bonus") + points).alias("score"), F.col("path")))
+    exact = r.groupBy("kind", "label").agg(best(EXACT).alias("exact"))
+    like = r.groupBy("kind").agg(best(KIND).alias("like"))
+    met = candidates.join(like, "kind").join(exact, ["kind", "label"], "left").select(key, F.greatest("exact", "like").alias("b"))
+    return met.groupBy(key).agg(F.max("b").alias("b")).select(key, F.col("b.path").alias("path"), F.col("b.score").alias("score"))
 
 
 def bound_image(*choices: Column) -> Column:

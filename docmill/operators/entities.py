@@ -24,18 +24,26 @@ def companions(rows: DataFrame, key: str, identifier: str, kind: str) -> DataFra
 
 
 def co_retrieved(candidates: DataFrame, store: DataFrame, by: str, k: int) -> DataFrame:
-    """Up to ``k`` rows of the store that share an entity with a query's candidates and aren't among them."""
-    wanted = candidates.select(by, "entity").distinct().join(store, "entity").select(by, "chunk_id").distinct()
+    """Up to ``k`` rows of the store that share an entity with a query's candidates and aren't among them, smallest ids first.
+
+    Of an entity that many rows share only the first k + (most candidates of a query) are looked at: more of them can't be wanted.
+    """
+    most = candidates.groupBy(by).agg(F.count_distinct("chunk_id").alias("n")).agg(F.max("n")).first()[0] or 0
+    first = store.select("entity", "chunk_id").distinct().withColumn("n", F.row_number().over(Window.partitionBy("entity").orderBy("chunk_id")))
+    wanted = candidates.select(by, "entity").distinct().join(first.filter(F.col("n") <= k + most), "entity").select(by, "chunk_id").distinct()
     new = wanted.join(candidates.select(by, "chunk_id"), [by, "chunk_id"], "left_anti")
     return new.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy("chunk_id"))).filter(F.col("n") <= k)
 
 
 def tiered_unique(candidates: DataFrame, assets: DataFrame, key: str, tiers: list[list[str]]) -> DataFrame:
-    """The asset of the first tier (a list of join columns) in which a candidate has exactly one."""
+    """The asset of the first tier (a list of join columns) in which a candidate has exactly one.
+
+    Assets are counted by the columns of a tier first, so that a candidate meets one row and not each asset.
+    """
     parts = []
     for n, columns in enumerate(tiers):
-        met = candidates.select(key, *columns).join(assets.select(*columns, "asset"), columns)
-        parts.append(met.groupBy(key).agg(F.count("*").alias("hits"), F.min("asset").alias("asset")).filter("hits = 1").withColumn("tier", F.lit(n)))
+        alone = assets.groupBy(*columns).agg(F.count("*").alias("hits"), F.min("asset").alias("asset")).filter("hits = 1")
+        parts.append(candidates.select(key, *columns).join(alone, columns).select(key, "asset", F.lit(n).alias("tier")))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

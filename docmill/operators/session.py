@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import jaccard
 
 # Prices per million tokens (in, out), request cap and window of the limiter.
 PRICES = {"large": (5.0, 15.0), "small": (0.15, 0.60)}
@@ -46,22 +52,53 @@ def repeats(rows: DataFrame, by: str, order: str, key: str) -> DataFrame:
     return rows.withColumn("repeated", F.coalesce(F.col(key) == F.last(key, ignorenulls=True).over(w), F.lit(False)))
 
 
-def rate_limited(events: DataFrame, by: str, ts: str, key: str, cap: int = CAP, seconds: int = SECONDS) -> DataFrame:
-    """key, accepted: at most ``cap`` accepted requests within ``seconds``; only accepted ones count.
+# Words that name no topic, and the likeness under which a repeated result is a stuck one.
+TOPICLESS = "show chart figure figures table visual diagram about what does from world development report".split()
+STUCK = 0.35
 
-    The decision depends on earlier ones, so each session's times are folded in order. A session's state is
-    the ``cap`` times accepted last, its output a flag for each request.
-    """
-    lists = events.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).cast("timestamp").cast("double").alias("t"), F.col(key).alias("k")))).alias("xs"))
-    state = F.struct(F.array().cast("array<double>").alias("recent"), F.array().cast("array<boolean>").alias("ok"))
 
-    def step(s: Column, x: Column) -> Column:
-        recent = F.filter(s["recent"], lambda t: x["t"] - t <= seconds)
-        fits = F.size(recent) < cap
-        return F.struct(F.when(fits, F.concat(recent, F.array(x["t"]))).otherwise(recent).alias("recent"), F.concat(s["ok"], F.array(fits)).alias("ok"))
+def topic_likeness(a: Column, b: Column) -> Column:
+    """Jaccard likeness of the words of two questions, 0 if one of them names no topic."""
+
+    def words(c: Column) -> Column:
+        every = F.split(F.trim(F.regexp_replace(F.lower(c), "[\\s-]+", " ")), " ")
+        return F.array_distinct(F.filter(every, lambda w: (F.length(w) > 2) & ~w.isin(*TOPICLESS)))
+
+    x, y = words(a), words(b)
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(jaccard(x, y))
+
 
-    flags = F.aggregate("xs", state, step, lambda s: s["ok"])
-    return lists.select(by, F.explode(F.arrays_zip(F.transform("xs", lambda x: x["k"]).alias("k"), flags.alias("ok"))).alias("z")).select(by, F.col("z.k").alias(key), F.col("z.ok").alias("accepted"))
+def stuck(rows: DataFrame, by: str, order: str, key: str, asked: str) -> DataFrame:
+    """``repeats``, and whether a repeated key answers a question (``asked``) unlike the one it was shown for before."""
+    rows = repeats(rows, by, order, key)
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col(key).isNotNull(), F.col(asked)), ignorenulls=True).over(w)
+    return rows.withColumn("_before", before).withColumn("stuck", F.coalesce(F.col("repeated") & (topic_likeness(F.col("_before"), F.col(asked)) < STUCK), F.lit(False))).drop("_before")
+
+
+def rate_limited(events: DataFrame, by: str, ts: str, key: str, cap: int = CAP, seconds: int = SECONDS) -> DataFrame:
+    """by, key, accepted: at most ``cap`` accepted requests within ``seconds``; only accepted ones count.
+
+    The decision depends on earlier ones, so each session's requests are read in order, ties by key. They pass by
+    as a sorted stream: what is held is the ``cap`` times accepted last, however many requests a session has.
+    """
+    rows = events.select(F.col(by).alias(by), F.col(key).alias(key), F.col(ts).cast("timestamp").cast("double").alias("t"))
+    ordered = rows.repartition(by).sortWithinPartitions(by, "t", key)
+
+    def run(batches):
+        now, recent = None, deque(maxlen=cap)
+        for batch in batches:
+            flags = []
+            for session, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if (session,) != now:
+                    now, recent = (session,), deque(maxlen=cap)
+                fits = len(recent) < cap or t - recent[0] > seconds
+                if fits:
+                    recent.append(t)
+                flags.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(flags)], names=[by, key, "accepted"])
+
+    return ordered.mapInArrow(run, T.StructType([*rows.schema.fields[:2], T.StructField("accepted", T.BooleanType())]))
 
 
 def counts_within(events: DataFrame, by: str, ts: str, seconds: int = SECONDS) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +24,20 @@ def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES)
 
 
 def csv_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    """file, row, cells: every cell as a trimmed string, whatever the header; a byte-order mark goes."""
-    raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.csv").withColumn("file", F.input_file_name())
-    body = F.regexp_replace("value", "^\ufeff", "")
-    # line ends inside quotes belong to a cell
-    rows = raw.select("file", F.posexplode(F.split(body, '\r?\n(?=(?:[^"]*"[^"]*")*[^"]*$)')).alias("row", "line")).filter(F.trim("line") != "")
-    cells = F.transform(F.split("line", ',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.trim(F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"'))))
-    return rows.select("file", "row", cells.alias("cells"))
+    """file, row, cells: every cell as a trimmed string, whatever the header; a byte-order mark goes, empty rows have no number.
+
+    Line ends and commas inside quotes belong to a cell. A file is read once from its start to its end.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(folder).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lines = csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""))
+                rows = [[c.strip() for c in line] for line in lines if any(c.strip() for c in line) or len(line) > 1]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["file", "row", "cells"])
+
+    return raw.mapInArrow(run, "file string, row int, cells array<string>")
 
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,11 +75,42 @@ def asset_gaps(chunks: DataFrame, registry: DataFrame) -> DataFrame:
     return said.join(registry.select("path").distinct(), "path", "left_anti").groupBy("page").agg(F.count("*").alias("missing"))
 
 
+def namespace_write(vectors: DataFrame, path: str, namespace: str) -> None:
+    """A vector store by namespace: a namespace is a folder, and writing one replaces what it held."""
+    vectors.withColumn("namespace", F.lit(namespace)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(path)
+
+
+def namespace_read(spark: SparkSession, path: str, namespace: str) -> DataFrame:
+    """The vectors of one namespace; files of others aren't read."""
+    return spark.read.parquet(path).filter(F.col("namespace") == namespace).drop("namespace")
+
+
+def namespace_clear(spark: SparkSession, path: str, namespace: str) -> None:
+    """Remove a namespace; the others, and the store, stay."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/namespace={namespace}")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def namespace_stats(spark: SparkSession, path: str) -> DataFrame:
+    """namespace, vectors of each namespace."""
+    return spark.read.parquet(path).groupBy("namespace").agg(F.count("*").alias("vectors"))
+
+
 def append_turns(turns: DataFrame, path: str) -> None:
     """Session store: turns are appended, nothing is rewritten."""
     turns.write.mode("append").parquet(path)
 
 
+def turns_of(spark: SparkSession, path: str, session_id: str) -> DataFrame:
+    """The turns of one session, in order."""
+    return spark.read.parquet(path).filter(F.col("session_id") == session_id).orderBy("turn")
+
+
+def forget_session(spark: SparkSession, path: str, to: str, session_id: str) -> None:
+    """The store without one session, written to ``to``: files are never changed in place."""
+    spark.read.parquet(path).filter(~F.col("session_id").eqNullSafe(session_id)).write.mode("overwrite").parquet(to)
+
+
 def write_scores(scores: DataFrame, path: str) -> None:
     scores.select("metric", "score").write.mode("overwrite").option("header", "true").csv(path)
 

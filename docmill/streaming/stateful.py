@@ -67,9 +67,12 @@ def append_turns(turns: DataFrame, sink: str, checkpoint: str) -> None:
 
 
 def cached_answers(entries: DataFrame, sink: str, checkpoint: str) -> None:
-    """Semantic cache: batches of (query_id, qv, response) are appended and then found by the cosine lookup."""
+    """Semantic cache: batches of (query_id, qv, response) are kept by batch and then found by the cosine lookup.
 
-    def store(batch: DataFrame, _: int) -> None:
-        batch.dropDuplicates(["query_id"]).write.mode("append").parquet(sink)
+    A batch is a folder of its own, so one that is replayed replaces itself.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.dropDuplicates(["query_id"]).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     entries.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
