@@ -22,7 +22,7 @@ def payload_normalise(spark, sf_dir):
     return p.select("page_id", out["page"].alias("page"), out["source"].alias("source"), understand.source_type(F.lit(None).cast("string"), out["source"]).alias("source_type"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND len(regexp_extract_all(left(text, 12), '[^ \\t\\n\\r\\f]+')) < 3 THEN true ELSE false END AS low_value, lang <> 'fr' AND n_chars / 10000 >= 0.3 AS gated FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) < 3 THEN true ELSE false END AS low_value, lang <> 'fr' AND n_chars / 10000 >= 0.3 AS gated FROM documents")
 def visual_gates(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     none = F.lit(None).cast("string")

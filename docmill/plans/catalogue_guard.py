@@ -103,7 +103,7 @@ def answers(spark, sf_dir):
     return a.join(u, ["conv_id", "turn"])
 
 
-@query(f"WITH {PAIRS_SQL}, f AS (SELECT conv_id, turn, CASE WHEN len(u) = 0 THEN 1.0 WHEN len(a) > 0 THEN len(list_intersect(a, u)) / len(a) END AS v FROM pairs) SELECT conv_id, turn, round(coalesce(v, -1), 6)::DOUBLE AS faithful, coalesce(v, -1) < 0.4 AS violated FROM f")
+@query(f"WITH {PAIRS_SQL}, f AS (SELECT conv_id, turn, CASE WHEN len(a) = 0 THEN NULL WHEN len(u) = 0 THEN 1.0 ELSE len(list_intersect(a, u)) / len(a) END AS v FROM pairs) SELECT conv_id, turn, round(coalesce(v, -1), 6)::DOUBLE AS faithful, coalesce(v, -1) < 0.4 AS violated FROM f")
 def faithfulness(spark, sf_dir):
     v = F.coalesce(guard.faithfulness(F.col("answer"), F.col("question")), F.lit(-1.0))
     return answers(spark, sf_dir).select("conv_id", "turn", F.round(v, 6).alias("faithful"), (v < guard.FAITHFUL).alias("violated"))
@@ -117,10 +117,16 @@ def rag_triad(spark, sf_dir):
     return answers(spark, sf_dir).select("conv_id", "turn", F.round(text.overlap(u, a), 6).alias("answer_relevance"), F.round(text.jaccard(a, u), 6).alias("jaccard"))
 
 
-@query(f"""WITH {ASKED_SQL}, q AS (SELECT query_id, text, unnest(regexp_extract_all(text, {G(guard.QUOTE)}, 1)) AS quote FROM asked) SELECT query_id, quote, contains(lower(text), lower(quote)) AS anchored FROM q""")
+_QUOTING = "'He said \"' || CASE turn % 3 WHEN 0 THEN left(replace(text, '\"', ''), 40) WHEN 1 THEN translate(left(replace(text, '\"', ''), 30), 'aeiou', 'AEIOU') ELSE 'words of nobody ' || conv_id END || '\" and \"abc\"'"
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, text, {_QUOTING} AS said FROM conversations), q AS (SELECT conv_id, turn, text, unnest(regexp_extract_all(said, {G(guard.QUOTE)}, 1)) AS quote FROM s)
+SELECT conv_id, turn, quote, contains(text, quote) AS exact, contains(lower(text), lower(quote)) AS anchored FROM q""")
 def quote_anchor(spark, sf_dir):
-    q = asked(spark, sf_dir).select("query_id", "text", F.explode(guard.quotes(F.col("text"))).alias("quote"))
-    return q.select("query_id", "quote", F.contains(F.lower("text"), F.lower("quote")).alias("anchored"))
+    """Quotes of true, of shouted and of made-up words, against the turn they are said to be from."""
+    s = read(spark, sf_dir, "conversations").withColumn("said", F.expr(_QUOTING))
+    q = s.select("conv_id", "turn", "text", F.explode(guard.quotes(F.col("said"))).alias("quote"))
+    return q.select("conv_id", "turn", "quote", F.contains("text", "quote").alias("exact"), F.contains(F.lower("text"), F.lower("quote")).alias("anchored"))
 
 
 @query(f"""WITH {PAIRS_SQL}, n AS (SELECT conv_id, turn, list_transform(regexp_extract_all(answer, '[0-9]+(?:[.][0-9]+)?'), lambda x: x::DOUBLE) AS a, list_transform(regexp_extract_all(question, '[0-9]+(?:[.][0-9]+)?'), lambda x: x::DOUBLE) AS q FROM pairs)
@@ -129,12 +135,9 @@ def numeric_anchor(spark, sf_dir):
     return answers(spark, sf_dir).select("conv_id", "turn", guard.numbers_close(F.col("answer"), F.col("question")).alias("close"))
 
 
-_ENT = f"list_concat(list_concat(regexp_extract_all(text, {G(guard.NUMBER)}), regexp_extract_all(text, {G(guard.STRUCTURAL)})), regexp_extract_all(text, {G(guard.PROPER)}))"
-
-
-@query(f"""WITH p AS (SELECT query_id, text FROM ({ASKED_SQL[len('asked AS ('):-1]}) WHERE query_id < 100), e AS (SELECT query_id, {_ENT} AS es FROM p),
-x AS (SELECT query_id, unnest(es) AS entity, generate_subscripts(es, 1) AS k FROM e) SELECT query_id, entity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(entity) ORDER BY k) AS r FROM x) WHERE r = 1""")
+@query()
 def entity_extract(spark, sf_dir):
+    """Facts that an answer states; the patterns look around, which the check's engine can't. Tests restate them."""
     return asked(spark, sf_dir).select("query_id", F.explode(guard.entities(F.col("text"))).alias("entity"))
 
 
@@ -258,14 +261,17 @@ def self_query_hints(spark, sf_dir):
     return asked(spark, sf_dir).select("query_id", blank("page"), blank("file"), blank("metric"), h["confidence"].alias("confidence"))
 
 
-@query(f"""WITH {ASKED_SQL}, c AS (SELECT query_id, nullif(lower(regexp_extract(text, '(?i)\\bchapter\\s+([0-9]{{1,3}}|[ivx]+)\\b', 1)), '') AS s FROM asked)
-SELECT query_id, CAST(coalesce(TRY_CAST(s AS INT), MAP {{'i':1,'ii':2,'iii':3,'iv':4,'v':5,'vi':6,'vii':7,'viii':8,'ix':9,'x':10}}[s]) AS BIGINT) AS chapter FROM c WHERE s IS NOT NULL""")
+_CHAPTERS = "CASE c_custkey % 5 WHEN 0 THEN 'see Chapter ' || c_custkey || ' there' WHEN 1 THEN c_name || ' in chapter VIII and chapter 2' WHEN 2 THEN 'CHAPTER ix' WHEN 3 THEN 'chapters 3' ELSE 'chapter  ' || c_nationkey || '.' END"
+
+
+@query(f"""WITH c AS (SELECT c_custkey, nullif(lower(regexp_extract({_CHAPTERS}, '(?i)\\bchapter\\s+([0-9]{{1,3}}|[ivx]+)\\b', 1)), '') AS s FROM customer)
+SELECT c_custkey, CAST(coalesce(TRY_CAST(s AS INT), MAP {{'i':1,'ii':2,'iii':3,'iv':4,'v':5,'vi':6,'vii':7,'viii':8,'ix':9,'x':10}}[s]) AS BIGINT) AS chapter FROM c WHERE s IS NOT NULL""")
 def chapter_filter(spark, sf_dir):
-    c = asked(spark, sf_dir).select("query_id", understand.chapter(F.col("text")).cast("long").alias("chapter"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", understand.chapter(F.expr(_CHAPTERS)).cast("long").alias("chapter"))
     return c.filter("chapter is not null")
 
 
-@query(f"""WITH {ASKED_SQL}, p AS (SELECT query_id, {_METRICS} AS ms, CASE WHEN len({_YEARS}) = 1 THEN {_YEARS}[1] END AS y, list_filter(['india','china','brazil'], lambda x: list_contains({_TOKS}, x)) AS es FROM asked WHERE query_id < 100)
+@query(f"""WITH {ASKED_SQL}, p AS (SELECT query_id, {_METRICS} AS ms, CASE WHEN len({_YEARS}) = 1 THEN {_YEARS}[1] END AS y, list_filter(['india','china','brazil'], lambda x: list_contains({_TOKS}, x)) AS es FROM asked)
 SELECT query_id, m || ' of ' || e || coalesce(' ' || y, '') AS step FROM (SELECT query_id, y, unnest(ms) AS m, es FROM p) CROSS JOIN unnest(es) AS u(e)""")
 def plan_steps(spark, sf_dir):
     t = F.col("text")

@@ -107,10 +107,11 @@ def merged_windows(spark, sf_dir):
     return chunking.merged_windows(e, "k", "at")
 
 
-@query(f"""WITH {ASKED_SQL} SELECT query_id, trim(regexp_replace(regexp_replace(text || chr(10) || 'Source: x' || chr(10) || '[id:7] () tail', '\\[\\s*(?:-?[0-9.]+\\s*,\\s*){{3}}-?[0-9.]+\\s*\\]|\\[\\s*\\]|\\(\\s*\\)', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS plain,
- 'Source: x' AS notes FROM asked WHERE query_id < 100""")
+@query(f"""WITH {ASKED_SQL}, m AS (SELECT query_id, text || chr(10) || CASE WHEN query_id % 2 = 0 THEN 'Source: x' ELSE 'Notes: y' || chr(10) || ' source : z' END || chr(10) || '[id:7] () tail' AS t FROM asked)
+SELECT query_id, trim(regexp_replace(regexp_replace(t, '\\[\\s*(?:-?[0-9.]+\\s*,\\s*){{3}}-?[0-9.]+\\s*\\]|\\[\\s*\\]|\\(\\s*\\)', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS plain,
+ array_to_string(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(lower(trim(x)), '^(?:source|notes?) *:')), chr(10)) AS notes FROM m""")
 def strip_brackets(spark, sf_dir):
-    t = F.concat("text", F.lit("\nSource: x\n[id:7] () tail"))
+    t = F.concat("text", F.when(F.col("query_id") % 2 == 0, F.lit("\nSource: x")).otherwise("\nNotes: y\n source : z"), F.lit("\n[id:7] () tail"))
     return asked(spark, sf_dir).select("query_id", chunking.without_brackets(t).alias("plain"), chunking.source_notes(t)["notes"].alias("notes"))
 
 
@@ -141,14 +142,14 @@ def html_to_text(spark, sf_dir):
     return p.select("page_id", collapsed(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), body.alias("body"))
 
 
-_TBL = "'intro' || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || c_name || ' | ' || c_nationkey || ' |' || chr(10) || '| x |  |' || chr(10) || 'end'"
+_TBL = "'intro' || chr(10) || '| a' || c_nationkey || ' | b |' || chr(10) || '|---|:-:|' || chr(10) || '| ' || c_name || ' | ' || c_nationkey || ' |' || chr(10) || repeat('| x1 |  |' || chr(10), CAST(c_custkey % 4 AS INT)) || 'end'"
 
 
-@query("SELECT c_custkey, 'a, b' AS headers, 2 AS n, c_name AS first FROM customer")
+@query("SELECT c_custkey, 'a' || c_nationkey || ', b' AS headers, c_custkey % 4 + 1 AS n, c_name AS first, CASE WHEN c_custkey % 4 > 0 THEN 'x1' ELSE '-' END AS second FROM customer")
 def md_table_parse(spark, sf_dir):
     c = read(spark, sf_dir, "customer").withColumn("md", F.expr(_TBL.replace("chr(10)", "char(10)")))
     s = tabular.table_summary(F.col("md"))
-    return c.select("c_custkey", s["headers"].alias("headers"), s["rows"].alias("n"), tabular.markdown_rows(F.col("md"))[1][0].alias("first"))
+    return c.select("c_custkey", s["headers"].alias("headers"), s["rows"].cast("long").alias("n"), tabular.markdown_rows(F.col("md"))[1][0].alias("first"), F.coalesce(F.get(F.get(tabular.markdown_rows(F.col("md")), F.lit(2)), F.lit(0)), F.lit("-")).alias("second"))
 
 
 @query("SELECT n_nationkey, '| id | name | more |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |  |' AS md FROM nation")
