@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,11 +106,31 @@ def token_windows(c: Column, most: int = WINDOW) -> Column:
 
 
 def char_overlap(chunks: DataFrame, by: str, order: str, text: str = "text", overlap: int = OVERLAP) -> DataFrame:
-    """Each chunk behind the last ``overlap`` characters of the one before it, unless it starts with them."""
-    before = F.lag(text).over(Window.partitionBy(by).orderBy(order))
-    prefix = F.trim(F.right(before, F.lit(overlap)))
-    joined = F.when(before.isNull() | (prefix == "") | F.col(text).startswith(prefix), F.col(text)).otherwise(F.concat_ws("\n\n", prefix, F.col(text)))
-    return chunks.withColumn("overlapped", joined)
+    """Each chunk (trimmed) behind the last ``overlap`` characters of what the one before it became, unless it starts with them; empty chunks go.
+
+    A chunk depends on the one before, so a group's chunks pass by as a sorted stream, one held at a time.
+    """
+    names = chunks.columns
+    place, group = names.index(text), names.index(by)
+    ordered = chunks.repartition(by).sortWithinPartitions(by, order)
+
+    def run(batches):
+        now, before = None, ""
+        for batch in batches:
+            out, kept = [], []
+            for k, (key, x) in enumerate(zip(batch.column(group).to_pylist(), batch.column(place).to_pylist())):
+                if (key,) != now:
+                    now, before = (key,), ""
+                x = (x or "").strip()
+                if not x:
+                    continue
+                prefix = before[-overlap:].strip() if overlap > 0 else ""
+                before = f"{prefix}\n\n{x}" if prefix and not x.startswith(prefix) else x
+                out.append(before)
+                kept.append(k)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(kept, pa.int64())).columns, pa.array(out, pa.string())], names=[*names, "overlapped"])
+
+    return ordered.mapInArrow(run, T.StructType([*chunks.schema.fields, T.StructField("overlapped", T.StringType())]))
 
 
 def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

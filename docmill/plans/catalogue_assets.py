@@ -91,7 +91,7 @@ def image_binding(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", pick.alias("image"))
 
 
-_CAP = "'Figure ' || (turn + 1) || '.' || conv_id || ': ' || left(text, 60) || ' Source: x'"
+_CAP = "'Figure ' || (turn + 1) || '.' || conv_id || ': ' || text || ' Source: x'"
 
 
 @query(f"""WITH c AS (SELECT conv_id, turn, {_CAP} AS cap FROM conversations) SELECT conv_id, turn, trim(regexp_replace(regexp_replace(trim(regexp_replace(cap, '[ \\t\\n\\r\\f]+', ' ', 'g')), '(?i)^(?:figure|fig[.]?|table|chart|box|map)\\s+[0-9]+(?:[.][0-9]+)?[a-z]?\\s*[:.-]?\\s*', ''), '(?i)\\s*source:.*$', '')) AS clean, (turn + 1) || '.' || conv_id AS figure FROM c""")

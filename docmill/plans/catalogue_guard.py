@@ -117,14 +117,14 @@ def rag_triad(spark, sf_dir):
     return answers(spark, sf_dir).select("conv_id", "turn", F.round(text.overlap(u, a), 6).alias("answer_relevance"), F.round(text.jaccard(a, u), 6).alias("jaccard"))
 
 
-_QUOTING = "'He said \"' || CASE turn % 3 WHEN 0 THEN left(replace(text, '\"', ''), 40) WHEN 1 THEN translate(left(replace(text, '\"', ''), 30), 'aeiou', 'AEIOU') ELSE 'words of nobody ' || conv_id END || '\" and \"abc\"'"
+_QUOTING = "'He said \"' || CASE turn % 3 WHEN 0 THEN replace(replace(text, '\"', ''), chr(10), ' ') WHEN 1 THEN translate(replace(replace(text, '\"', ''), chr(10), ' '), 'aeiou', 'AEIOU') ELSE 'words of nobody ' || conv_id END || '\" and \"abc\"'"
 
 
 @query(f"""WITH s AS (SELECT conv_id, turn, text, {_QUOTING} AS said FROM conversations), q AS (SELECT conv_id, turn, text, unnest(regexp_extract_all(said, {G(guard.QUOTE)}, 1)) AS quote FROM s)
 SELECT conv_id, turn, quote, contains(text, quote) AS exact, contains(lower(text), lower(quote)) AS anchored FROM q""")
 def quote_anchor(spark, sf_dir):
     """Quotes of true, of shouted and of made-up words, against the turn they are said to be from."""
-    s = read(spark, sf_dir, "conversations").withColumn("said", F.expr(_QUOTING))
+    s = read(spark, sf_dir, "conversations").withColumn("said", F.expr(_QUOTING.replace("chr(10)", "char(10)")))
     q = s.select("conv_id", "turn", "text", F.explode(guard.quotes(F.col("said"))).alias("quote"))
     return q.select("conv_id", "turn", "quote", F.contains("text", "quote").alias("exact"), F.contains(F.lower("text"), F.lower("quote")).alias("anchored"))
 
@@ -151,30 +151,55 @@ def bbox_valid(spark, sf_dir):
 _OPEN = {m: f"((length(text) - length(replace(text, {G(m)}, ''))) // {len(m)})" for m in ("**", "`", "[", "]", "(", ")")}
 
 
-@query(f"""WITH {ASKED_SQL} SELECT query_id, text || CASE WHEN {_OPEN['**']} % 2 = 1 THEN '**' ELSE '' END || CASE WHEN {_OPEN['`']} % 2 = 1 THEN '`' ELSE '' END
- || repeat(']', greatest({_OPEN['[']} - {_OPEN[']']}, 0)) || repeat(')', greatest({_OPEN['(']} - {_OPEN[')']}, 0)) AS repaired FROM asked""")
+_ROW = "CASE WHEN starts_with({0}, '|') OR length({0}) - length(replace({0}, '|', '')) >= 2 THEN trim(regexp_replace(CASE WHEN starts_with({0}, '|') THEN '' ELSE '| ' END || {0} || CASE WHEN ends_with({0}, '|') THEN '' ELSE ' |' END, '\\s*\\|\\s*', ' | ', 'g')) ELSE x END".replace("{0}", "trim(x, ' ' || chr(9))")
+_TABLED = "text || CASE query_id % 4 WHEN 0 THEN chr(10) || 'a | b|c' || chr(10) || '|--|' WHEN 1 THEN ' one | pipe' WHEN 2 THEN chr(10) || '  |x' ELSE '' END"
+
+
+@query(f"""WITH {ASKED_SQL}, t AS (SELECT query_id, {_TABLED} AS text FROM asked), r AS (SELECT query_id, text || CASE WHEN {_OPEN['**']} % 2 = 1 THEN '**' ELSE '' END || CASE WHEN {_OPEN['`']} % 2 = 1 THEN '`' ELSE '' END
+ || repeat(']', greatest({_OPEN['[']} - {_OPEN[']']}, 0)) || repeat(')', greatest({_OPEN['(']} - {_OPEN[')']}, 0)) AS r FROM t), l AS (SELECT query_id, string_split(r, chr(10)) AS ls FROM r)
+SELECT query_id, array_to_string(list_transform(CASE WHEN len(ls) > 1 AND ls[-1] = '' THEN ls[:-2] ELSE ls END, lambda x: {_ROW}), chr(10)) AS repaired FROM l""")
 def markdown_repair(spark, sf_dir):
-    return asked(spark, sf_dir).select("query_id", guard.repaired_markdown(F.col("text")).alias("repaired"))
+    t = asked(spark, sf_dir).withColumn("text", F.expr(_TABLED.replace("chr(10)", "char(10)")))
+    return t.select("query_id", guard.repaired_markdown(F.col("text")).alias("repaired"))
+
+
+_LAYERS = (
+    ("injection", True, f"{_any(guard.INJECTION)} OR ({_MARKS}) >= 2"),
+    ("budget", True, f"length(text) > 2000 OR {_EST} > 500"),
+    ("content", False, "trim(text) = ''"),
+    ("paths", True, "query_id % 17 = 3"),
+    ("markdown", True, "query_id % 13 = 5"),
+    ("prompt_leak", True, _any(guard.PROMPT_LEAK)),
+    ("data_leak", True, _any(guard.DATA_LEAK)),
+)
+_FAILED = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, critical, c in _LAYERS if critical) + " ELSE 'none' END"
+_WARNED = " OR ".join(f"({c})" for _, critical, c in _LAYERS if not critical)
 
 
-@query(f"""WITH {ASKED_SQL} SELECT query_id, CASE WHEN {_any(guard.INJECTION)} OR ({_MARKS}) >= 2 THEN 'injection' WHEN length(text) > 2000 OR {_EST} > 500 THEN 'budget' WHEN trim(text) = '' THEN 'content' WHEN {_any(guard.DATA_LEAK)} THEN 'data_leak' WHEN {_any(guard.PROMPT_LEAK)} THEN 'prompt_leak' ELSE 'none' END AS failed,
- CASE WHEN {_any(guard.INJECTION)} OR ({_MARKS}) >= 2 OR length(text) > 2000 OR {_EST} > 500 OR trim(text) = '' OR {_any(guard.DATA_LEAK)} OR {_any(guard.PROMPT_LEAK)} THEN 0.0 WHEN {_OPEN['**']} % 2 = 1 OR {_COUNT} > 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM asked""")
+@query(f"WITH {ASKED_SQL} SELECT query_id, {_FAILED} AS failed, CASE WHEN {_FAILED} <> 'none' THEN 0.0 WHEN {_WARNED} THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM asked")
 def gauntlet_verdict(spark, sf_dir):
-    """Layers in order: critical ones short-circuit, warnings cap the confidence."""
+    """Layers that SQL can say, in their order: critical ones short-circuit, warnings cap the confidence."""
     t = F.col("text")
-    layers = [
-        ("injection", True, guard.injected(t)),
-        ("budget", True, guard.over_length(t) | guard.over_tokens(t)),
-        ("content", True, F.trim(t) == ""),
-        ("data_leak", True, guard.data_leak(t)),
-        ("prompt_leak", True, guard.prompt_leak(t)),
-        ("markdown", False, guard.occurrences(t, "**") % 2 == 1),
-        ("pii", False, guard.redaction_count(t, phones=False) > 0),
-    ]
-    v = guard.verdict(layers)
+    holds = {
+        "injection": guard.injected(t), "budget": guard.over_length(t) | guard.over_tokens(t), "content": F.trim(t) == "", "paths": F.col("query_id") % 17 == 3,
+        "markdown": F.col("query_id") % 13 == 5, "prompt_leak": guard.prompt_leak(t), "data_leak": guard.data_leak(t),
+    }
+    v = guard.verdict([(n, critical, holds[n]) for n, critical in guard.LAYERS.items() if n in holds])
     return asked(spark, sf_dir).select("query_id", F.coalesce(v["failed_layer"], F.lit("none")).alias("failed"), v["confidence"].alias("confidence"))
 
 
+@query()
+def gauntlet_full(spark, sf_dir):
+    """All thirteen layers on answers of the conversations, with payloads of paths and boxes; tests say the verdicts of each layer."""
+    a = answers(spark, sf_dir)
+    box = F.when(F.col("turn") % 3 == 0, F.array(*map(F.lit, (0.1, 0.2, 0.7, 0.9)))).otherwise(F.array(*map(F.lit, (0.9, 0.2, 0.7, 0.9))))
+    path = F.when(F.col("turn") % 5 == 0, "img/none.png").otherwise("img/a.png")
+    json = F.to_json(F.struct(F.struct(path.alias("image_path"), F.array(box).alias("boxes")).alias("metadata")))
+    h = guard.harvested(json)
+    v = guard.gauntlet(F.col("question"), F.col("answer"), F.concat_ws("\n", "answer", "question"), h["paths"], F.array(F.lit("img/a.png")), h["boxes"], F.lit(True), F.col("turn") < 100)
+    return a.select("conv_id", "turn", F.coalesce(v["failed_layer"], F.lit("none")).alias("failed"), v["warnings"].alias("warnings"), v["confidence"].alias("confidence"))
+
+
 @query("""SELECT conv_id, turn, CASE WHEN json_valid(j) THEN CASE WHEN json_extract(j, '$.answer') IS NULL THEN 'missing_answer' WHEN json_type(j, '$.answer') <> 'VARCHAR' THEN 'type_answer' WHEN json_type(j, '$.sources') IS NULL THEN 'missing_sources' WHEN json_type(j, '$.sources') <> 'ARRAY' THEN 'type_sources' ELSE 'ok' END ELSE 'not_json' END AS fault
 FROM (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '{"answer": "a", "sources": ["s"]}' WHEN 1 THEN '{"answer": 3, "sources": ["s"]}' WHEN 2 THEN '{"sources": []}' WHEN 3 THEN 'plain' ELSE '{"answer": "a", "sources": "s"}' END AS j FROM conversations)""")
 def output_schema(spark, sf_dir):

@@ -62,13 +62,14 @@ def token_windows(spark, sf_dir):
     return d.select("doc_id", F.posexplode(chunking.token_windows(F.col("text"))).alias("part", "body")).withColumn("part", F.col("part").cast("long"))
 
 
-@query("""WITH c AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), p AS (SELECT *, trim(right(before, 150)) AS prefix FROM c)
-SELECT conv_id, turn, CASE WHEN before IS NULL OR prefix = '' OR starts_with(text, prefix) THEN text ELSE prefix || chr(10) || chr(10) || text END AS overlapped FROM p""")
+@query("""WITH RECURSIVE n AS (SELECT conv_id, turn, trim(text) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE trim(text) <> ''),
+f AS (SELECT conv_id, turn, k, t AS overlapped FROM n WHERE k = 1 UNION ALL SELECT conv_id, turn, k, CASE WHEN p = '' OR starts_with(t, p) THEN t ELSE p || chr(10) || chr(10) || t END FROM (SELECT n.*, trim(right(f.overlapped, 150), ' ' || chr(10)) AS p FROM f JOIN n ON n.conv_id = f.conv_id AND n.k = f.k + 1))
+SELECT conv_id, turn, overlapped FROM f""")
 def char_overlap(spark, sf_dir):
     return chunking.char_overlap(read(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "overlapped")
 
 
-_MD = "CASE turn % 6 WHEN 0 THEN '# Part ' || conv_id WHEN 1 THEN '## Sub ' || turn WHEN 2 THEN '### Deep ' || turn WHEN 4 THEN '## Other' ELSE left(text, 20) END"
+_MD = "CASE turn % 6 WHEN 0 THEN '# Part ' || conv_id WHEN 1 THEN '## Sub ' || turn WHEN 2 THEN '### Deep ' || turn WHEN 4 THEN '## Other' ELSE text END"
 
 
 @query(f"""WITH l AS (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 2 ELSE 0 END AS level, trim(regexp_replace(regexp_replace({_MD}, '\\n', ' ', 'g'), '^#+ *', '')) AS title FROM conversations),
@@ -79,7 +80,7 @@ SELECT conv_id, CAST(section AS BIGINT) AS section, coalesce(arg_min(h3, turn),
 def section_fill(spark, sf_dir):
     """Markdown made of the turns: sections and the headings they inherit."""
     c = read(spark, sf_dir, "conversations")
-    line = F.regexp_replace(F.expr(_MD.replace("left(text, 20)", "left(text, 20)")), "\n", " ")
+    line = F.regexp_replace(F.expr(_MD), "\n", " ")
     docs = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
     return chunking.sections(docs, "conv_id").select("conv_id", F.col("section").cast("long").alias("section"), F.coalesce("title", F.lit("")).alias("title"))
 

@@ -27,7 +27,8 @@ def index_tables(chunks: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]
 def guarded(questions: DataFrame) -> DataFrame:
     """Questions with redacted text and the verdict of the input layers."""
     t = F.col("text")
-    layers = [("injection", True, guard.injected(t)), ("budget", True, guard.over_length(t) | guard.over_tokens(t)), ("content", True, guard.weak_content(t).isNotNull()), ("coverage", True, guard.over_coverage(t))]
+    holds = {"injection": guard.injected(t), "budget": guard.over_length(t) | guard.over_tokens(t), "coverage": guard.over_coverage(t), "content": guard.weak_content(t).isNotNull()}
+    layers = [(name, guard.LAYERS[name], violated) for name, violated in holds.items()]
     return questions.withColumn("verdict", guard.verdict(layers)).withColumn("text", guard.redacted(t))
 
 
@@ -52,13 +53,14 @@ def answer_contexts(questions: DataFrame, docs: DataFrame, k: int = 5) -> DataFr
 def checked_answers(answers: DataFrame) -> DataFrame:
     """Answers (answer, source) with the verdict of the output layers, and the fallback text where one is violated."""
     a, s = F.col("answer"), F.col("source")
-    layers = [
-        ("data_leak", True, guard.data_leak(a)),
-        ("prompt_leak", True, guard.prompt_leak(a)),
-        ("entities", True, F.size(guard.ungrounded(guard.entities(a), s)) > 0),
-        ("quotes", True, F.size(guard.ungrounded(guard.quotes(a), s)) > 0),
-        ("faithfulness", False, F.coalesce(guard.faithfulness(a, s), F.lit(0.0)) < guard.FAITHFUL),
-        ("markdown", False, guard.repaired_markdown(a) != a),
-    ]
+    unfaithful = F.coalesce(guard.faithfulness(a, s), F.lit(0.0)) < guard.FAITHFUL
+    holds = {
+        "entities": F.size(guard.ungrounded(guard.entities(a), s)) > 0,
+        "quotes": F.exists(guard.quotes(a), lambda q: ~F.contains(s, q)),
+        "prompt_leak": guard.prompt_leak(a),
+        "data_leak": guard.data_leak(a),
+        "faithfulness": unfaithful,
+    }
+    layers = [(name, critical, holds[name]) for name, critical in guard.LAYERS.items() if name in holds]
     v = answers.withColumn("verdict", guard.verdict(layers))
     return v.withColumn("safe_answer", F.when(F.col("verdict.passed"), guard.repaired_markdown(a)).otherwise(F.lit("I do not have sufficient data to answer this question.")))
