@@ -34,7 +34,8 @@ SLACK = 4.5
 BLOCK, BLOCK_SHINGLES, MOST_BLOCKS = 1024, 1_000_000, 32
 #: Slots in which shingles are counted to tell rare from frequent ones; any count gives the same links.
 SLOT_BITS = 16
-MEMO_WORDS = 400_000
+#: Words whose hashes a task remembers.
+MEMO_WORDS = 150_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -142,6 +143,7 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> DataF
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), _lists(keys.reshape(-1).view(np.int64), bands, pa.int64()), _lists(minima.astype(np.uint16).reshape(-1).view(np.int16), bands * rows, pa.int16())],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "minima"],
             )
+        _words.clear()  # the worker goes on to other tasks
 
     return docs.mapInArrow(run, _SIGNED)
 
@@ -153,6 +155,7 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
             offsets = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "shingles"])
+        _words.clear()
 
     return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 

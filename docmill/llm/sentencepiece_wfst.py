@@ -43,7 +43,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: SentencePiece's distance of an unknown character below the worst piece of a unigram model.
 UNKNOWN_PENALTY = 10.0
 #: Parts, and pairs of pieces, that a worker remembers; longer parts are not remembered.
-MEMO_PARTS, MEMO_PAIRS, MEMO_LENGTH = 500_000, 1_000_000, 200
+MEMO_PARTS, MEMO_PAIRS, MEMO_LENGTH = 100_000, 250_000, 200
 NO_PIECE = float("inf")
 #: Ids whose surfaces are gathered at a time.
 GATHERED = 500_000
@@ -126,17 +126,24 @@ def piece_states(ids: dict[str, int]) -> dict:
 
 
 class Paths(dict):
-    """Part of an input -> its shortest path, as little-endian int32 piece ids."""
+    """Part of an input -> its shortest path, as little-endian int32 piece ids.
+
+    Once MEMO_PARTS are held they become the old ones, of which those met again are taken over.
+    """
 
     def __init__(self, codec: Codec, prefix: str):
-        self.codec, self.prefix = codec, prefix
+        self.codec, self.prefix, self.old = codec, prefix, {}
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= MEMO_PARTS:
+            self.old = dict(self)
             self.clear()
-        if len(part) > MEMO_LENGTH:
-            return self.codec.path(self.prefix + part)
-        out = self[part] = self.codec.path(self.prefix + part)
+        out = self.old.get(part)
+        if out is None:
+            out = self.codec.path(self.prefix + part)
+            if len(part) > MEMO_LENGTH:
+                return out
+        self[part] = out
         return out
 
 

@@ -29,7 +29,7 @@ LEXICON = 3000
 STRONG = 2.5
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 #: Seed lexicon, used beside the learnt one.
 SEED = frozenset("bastard bastards clown crap disgusting dumb fool freak garbage hate hateful idiot idiotic idiots imbecile kill loser losers moron moronic morons pathetic pig scum scumbag shut stupid sucker trash ugly vermin worthless".split())
 SECOND_PERSON = frozenset("you your yours yourself youre ya ur u tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer usted ustedes ti vosotros vuestro".split())
