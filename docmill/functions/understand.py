@@ -121,17 +121,26 @@ def comparative(c: Column) -> Column:
     return F.lower(c).rlike("\\b(?:compare|comparison|versus|vs|difference between|higher than|lower than)\\b")
 
 
-def hints(c: Column) -> Column:
-    """struct of the filters that a question implies, and how many of nine signals it gives."""
+def hints(c: Column, countries: list[str] | None = None, visual: Column | None = None) -> Column:
+    """struct of the filters that a question implies, and how many of nine signals it gives.
+
+    ``countries`` are names to look for (one alone is a signal), ``visual`` tells whether only visuals are wanted.
+    """
     page = F.nullif(F.regexp_extract(normalised(c), "\\bpage ([0-9]{1,4})\\b", 1), F.lit(""))
     file = F.nullif(F.regexp_extract(c, "(?i)([A-Za-z0-9_-]+[.]pdf)", 1), F.lit(""))
     y, m, t = year(c), metrics(c), F.nullif(topic(c), F.lit(""))
     labels = entity_labels(c)
     figure = F.when(F.size(labels) > 0, labels[0])
     metric = F.when(F.size(m) == 1, m[0])
-    signals = sum((x.isNotNull().cast("int") for x in (y, metric, t, figure, page, file)), F.lit(1))
+    padded = F.concat(F.lit(" "), normalised(c), F.lit(" "))
+    named = F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(f" {x.lower()} ")), F.lit(x)) for x in countries or [""]]))
+    country = F.when(F.size(named) == 1, named[0])
+    wants = F.when(F.coalesce(visual, F.lit(False)), F.lit("visual")) if visual is not None else F.lit(None).cast("string")
+    signals = sum((x.isNotNull().cast("int") for x in (country, y, metric, t, figure, page, file, wants)), F.lit(1))
     confidence = F.when(signals == 1, F.lit(0.25)).otherwise(F.round(F.greatest(signals / 9, F.lit(0.35)), 2))
-    return F.struct(y.alias("year"), metric.alias("metric"), t.alias("topic"), figure.alias("figure"), page.alias("page"), file.alias("file"), confidence.alias("confidence"))
+    return F.struct(
+        country.alias("country"), y.alias("year"), metric.alias("metric"), t.alias("topic"), figure.alias("figure"), page.alias("page"), file.alias("file"), wants.alias("visual_type"), confidence.alias("confidence")
+    )
 
 
 def plan_steps(entities: Column, metrics_: Column, year_: Column) -> Column:
@@ -154,3 +163,50 @@ def filter_from(hints_: dict[str, object]) -> Column | None:
         for p in parts:
             out = p if out is None else out & p
     return out
+
+
+# The planner's countries and indicators by their canonical names, and words of a comparison.
+COUNTRIES = {"india": "India", "china": "China", "united states": "United States", "usa": "United States", "us": "United States", "uk": "United Kingdom", "united kingdom": "United Kingdom", "uae": "United Arab Emirates"}
+COMPARING = r"(?i)\b(?:compare|contrast|versus|vs\.?|difference|differences|compared)\b"
+COUNTRY_NAMED = r"(?i)\b(india|china|united states|usa|us|uk|united kingdom|uae)\b"
+INDICATOR_NAMED = r"(?i)\b(gdp|co2|carbon dioxide|emissions)\b"
+PARTED = r"(?i)\b(?:and|vs\.?|versus|compare|contrast)\b"
+
+
+def compared_steps(c: Column) -> Column:
+    """One question for each country and indicator of a comparison of two countries or more, else none."""
+    known = F.create_map(*[x for k, v in COUNTRIES.items() for x in (F.lit(k), F.lit(v))])
+    places = F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(COUNTRY_NAMED), 1), lambda x: known[F.lower(x)]))
+    what = F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(INDICATOR_NAMED), 1), lambda x: F.when(F.lower(x) == "gdp", "GDP").otherwise("CO2 emissions")))
+    years = F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b([0-9]{4})\b"), 1))
+    when = F.when(F.size(years) == 1, F.concat(F.lit(" in "), years[0])).otherwise("")
+    steps = F.flatten(F.transform(places, lambda p: F.transform(what, lambda w: F.concat(F.lit("What was "), p, F.lit(" "), w, when, F.lit("?")))))
+    return F.when(c.rlike(COMPARING) & (F.size(places) >= 2), steps).otherwise(F.array().cast("array<string>"))
+
+
+def split_steps(c: Column) -> Column:
+    """The parts of a question between and, versus, compare ... as questions, each once (whatever its case)."""
+    parts = F.transform(F.split(F.trim(c), PARTED), lambda p: F.regexp_replace(p, "^[ ,?]+|[ ,?]+$", ""))
+    asked = F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.concat(p, F.lit("?")))
+    return F.filter(asked, lambda x, k: F.array_position(F.transform(asked, lambda y: F.lower(y)), F.lower(x)) == k + 1)
+
+
+def planned(c: Column) -> Column:
+    """The steps of a comparison, else the parts of the question; the one year that a comparison names is added to steps without one."""
+    steps = compared_steps(c)
+    steps = F.when(F.size(steps) > 0, steps).otherwise(split_steps(c))
+    years = F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b([0-9]{4})\b"), 1))
+    dated = F.transform(steps, lambda s: F.when(s.rlike(r"\b[0-9]{4}\b"), s).otherwise(F.concat(F.regexp_replace(s, "[ ?]+$", ""), F.lit(" in "), years[0], F.lit("?"))))
+    return F.when(c.rlike(COMPARING) & (F.size(years) == 1), dated).otherwise(steps)
+
+
+def hint_filter(hints_: dict[str, object], relaxed: bool = False) -> Column | None:
+    """The metadata filter of hints: a country's code beats its name, any visual is no type, and a relaxed one keeps the broad fields only."""
+    names = {"source_type": "source_type", "country_iso3": "country_iso3", "country_name": "country_name", "year": "year", "content_type": "content_type"}
+    strict = {"indicator_family": "metric_family", "page": "page", "source_filename": "source_files", "topic": "topic", "figure_id": "figure_id", "visual_type": "visual_type"}
+    wanted = {column: hints_[name] for name, column in (names | ({} if relaxed else strict)).items() if hints_.get(name)}
+    if "country_iso3" in wanted:
+        wanted.pop("country_name", None)
+    if wanted.get("visual_type") == "visual":
+        del wanted["visual_type"]
+    return filter_from(wanted)

@@ -28,14 +28,39 @@ def low_value_visual(text: Column, image: Column, caption: Column) -> Column:
     return none(image) & none(caption) & (F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \\t\\n\\r\\f]+")) < 3)
 
 
-def visual_gate(kind: Column, quality: Column, least: float = 0.3) -> Column:
-    return (kind != "paragraph") & (F.coalesce(quality, F.lit(1.0)) >= least)
+def visual_gate(kind: Column, score: Column, quality: Column | None = None, least: float = 0.3) -> Column:
+    """Whether a visual is shown: no paragraph, no poor crop, and no figure that is only a region of the layout."""
+    good = (kind != "paragraph") & (F.coalesce(score, F.lit(1.0)) >= least)
+    if quality is None:
+        return good
+    return good & F.coalesce((quality != "chart_expanded_low_quality") & ~((kind == "figure") & (quality == "figure_layout_region_accepted")), F.lit(True))
 
 
-def relevant_enough(intent: Column, asked: Column, said: Column, has_asset: Column) -> Column:
-    """Per intent: numbers on both sides, an asset, or a shared word."""
-    shared = F.arrays_overlap(tokens(asked), tokens(said))
-    return F.when(intent == "numerical", asked.rlike("[0-9]") & said.rlike("[0-9]")).when(intent == "visual", has_asset).otherwise(shared)
+# Words by which a question on tables is told from others, and words that don't make texts relevant.
+TABULAR_WORDS = "gdp emission emissions co2 revenue metric indicator table timeline statistics stats percent percentage income group india ind lka timor-leste tls nauru nru bangladesh nepal bhutan maldives".split()
+TABULAR_STOPWORDS = "the and for what is of in to are with by at".split()
+RELEVANCE_STOPWORDS = (
+    "about above after again against also and any are because before between both can contents could data database document documents does explain find for from give have how into more not pdf qdrant retrieved show "
+    "source tell than that the their there this uploaded was what when where which with would your"
+).split()
+
+
+def relevant_enough(intent: Column, asked: Column, said: Column, has_asset: Column, labels: Column | None = None) -> Column:
+    """Per structural intent: a telling word or digits on both sides, an asset, else an asked label or a meaningful word.
+
+    ``labels`` are the entities that the question names; if there are any, one of them must be in the text.
+    """
+    word = lambda c, p: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(p), 0))
+    own, here = word(asked, "[a-z0-9_-]+"), word(said, "[a-z0-9_-]+")
+    telling = F.filter(own, lambda w: w.isin(*TABULAR_WORDS))
+    plain = F.filter(own, lambda w: ~w.isin(*TABULAR_STOPWORDS) & (F.length(w) > 2))
+    telling = F.when(F.size(telling) > 0, telling).otherwise(plain)
+    tabular = F.arrays_overlap(telling, here) | (asked.rlike("[0-9]") & said.rlike("[0-9]"))
+    meaning = F.filter(word(asked, "[a-z][a-z0-9_-]{2,}"), lambda w: ~w.isin(*RELEVANCE_STOPWORDS))
+    textual = F.arrays_overlap(meaning, word(said, "[a-z][a-z0-9_-]{2,}"))
+    if labels is not None:
+        textual = F.when(F.size(labels) > 0, F.exists(labels, lambda x: F.contains(F.lower(said), F.lower(x)))).otherwise(textual)
+    return F.when(intent == "TABULAR_NUMERIC", tabular).when(intent == "ASSET_VISUAL", has_asset).otherwise(textual)
 
 
 def unless_empty(rows: DataFrame, keep: Column, by: str = "query_id") -> DataFrame:
@@ -97,10 +122,33 @@ def caption_score(c: Column) -> Column:
     return F.lit(100) - penalty
 
 
-def best_anchor(rows: DataFrame, by: str, order: str, points: Column, reach: int = 2) -> DataFrame:
-    """Rows within ``reach`` places of each group's best row, the first among equals."""
+# Blocks that say nothing about a visual, notes, mentions, and the points of an anchor.
+BOILERPLATE = r"(?i)\b(?:http|www\.|reproducibility|replication|github|bibliography|references|copyright|doi|isbn|issn)\b"
+NOTE_LINE = r"(?i)^(?:Source|Sources|Note|Notes)\s*:\s*.+$"
+MENTION = r"(?i)\b(?:figure|table|chart|diagram|image|map)\s+[0-9]"
+ANCHOR_ENTITY, ANCHOR_MENTION, ANCHOR_KIND, ANCHOR_NOTE = 10, 3, 2, 1
+
+
+def anchor_points(text: Column, entity: Column, kind: Column) -> Column:
+    """How much a block is about an entity: its name, any label, its kind, a source note."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9.]+", " "))
+    holds = lambda x: F.coalesce((x != "") & F.contains(plain(text), x), F.lit(False))
+    points = ((holds(plain(entity)), ANCHOR_ENTITY), (text.rlike(MENTION), ANCHOR_MENTION), (holds(kind), ANCHOR_KIND), (text.rlike(NOTE_LINE), ANCHOR_NOTE))
+    return sum((F.when(c, p).otherwise(0) for c, p in points), F.lit(0))
+
+
+def best_anchor(rows: DataFrame, by: str, order: str, points: Column, reach: int = 2, boilerplate: Column | None = None) -> DataFrame:
+    """Rows within ``reach`` places of each group's best row, the first among equals.
+
+    Rows of ``boilerplate`` go, unless all do: then the best row stays.
+    """
     best = rows.withColumn("_p", points).groupBy(by).agg(F.max_by(order, F.struct(F.col("_p"), -F.col(order))).alias("anchor"))
-    return rows.join(best, by).filter(F.abs(F.col(order) - F.col("anchor")) <= reach)
+    near = rows.join(best, by).filter(F.abs(F.col(order) - F.col("anchor")) <= reach)
+    if boilerplate is None:
+        return near
+    near = near.withColumn("_b", F.coalesce(boilerplate, F.lit(False)))
+    some = F.max((~F.col("_b")).cast("int")).over(Window.partitionBy(by))
+    return near.withColumn("_some", some).filter(~F.col("_b") | ((F.col("_some") == 0) & (F.col(order) == F.col("anchor")))).drop("_b", "_some")
 
 
 def parsed_json(c: Column, schema: str) -> Column:
@@ -159,12 +207,14 @@ def packed_tokens(parts: Column, most: int) -> Column:
 
 
 def visual_rates(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rates over expected and returned assets: top-1, hit, false positive, none found, to three digits."""
+    """Rates over expected and returned assets: top-1, hit, expected ones hit, false positive, none found, repeated in the list, to three digits."""
     rate = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 3)
     e, r = F.col("expected"), F.col("returned")
     return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), rate(F.get(r, F.lit(0)) == e).alias("top1"), rate(F.array_contains(r, e)).alias("hit"), rate(e.isNull() & (F.size(r) > 0)).alias("false_positive"), rate(F.size(r) == 0).alias("no_match")
-    )
+        F.count("*").alias("n"), rate(F.get(r, F.lit(0)) == e).alias("top1"), rate(F.array_contains(r, e)).alias("hit"),
+        F.coalesce(F.round(F.avg(F.when(e.isNotNull(), F.array_contains(r, e).cast("double"))), 3), F.lit(0.0)).alias("expected_hit"),
+        rate(e.isNull() & (F.size(r) > 0)).alias("false_positive"), rate(F.size(r) == 0).alias("no_match"), rate(F.size(F.array_distinct(r)) < F.size(r)).alias("repeated"),
+    )
 
 
 def isolated(c: Column, label: str, reach: int) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,3 +209,68 @@ def series_text(name: Column, code: Column, indicator: Column, indicator_code: C
         F.lit(" within a source series spanning "), total, F.lit(" years."),
     )
     return F.concat(head, F.when(F.size(years) > 0, some).otherwise(F.lit("The source CSV contains the row structure, but all annual values in the detected year columns are missing.")))
+
+
+PROBE, PROBE_WORDS, LONG_WORD = 160, 10, 5
+
+
+def inferred_pages(texts: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc, n, page of texts (doc, n, text), by the pages (doc, page, page_text) of their document.
+
+    The first page, from the one found last on and then from the start, that holds the text's normalised beginning, else
+    one with most of its first long words, else the page found last. It depends on the texts before, so a document's
+    texts are read in order; documents without pages have page 1.
+    """
+
+    def plain(x: str | None) -> str:
+        return re.sub("[^a-z0-9]+", " ", (x or "").lower()).strip()
+
+    def run(key, mine: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        known = {p: plain(" ".join(map(str, g))) for p, g in stored.sort_values("page").groupby("page")["page_text"]}
+        numbers, last, found = sorted(known), 1, []
+        mine = mine.sort_values("n")
+        for text in mine["text"]:
+            probe = plain(text)[:PROBE].strip()
+            if probe and numbers:
+                order = [p for p in numbers if p >= last] + [p for p in numbers if p < last]
+                words = [w for w in probe.split() if len(w) >= LONG_WORD][:PROBE_WORDS]
+                need = max(2, min(4, len(words)))
+                hit = next((p for p in order if probe in known[p]), None)
+                if hit is None and words:
+                    hit = next((p for p in order if sum(w in known[p] for w in words) >= need), None)
+                last = hit if hit is not None else last if last in known else numbers[0]
+            found.append(last)
+        return pd.DataFrame({"doc": [key[0]] * len(mine), "n": mine["n"].to_numpy(), "page": found}, columns=["doc", "n", "page"])
+
+    return texts.select("doc", "n", "text").groupBy("doc").cogroup(pages.select("doc", "page", "page_text").groupBy("doc")).applyInPandas(run, "doc long, n long, page long")
+
+
+def cross_references(records: DataFrame) -> DataFrame:
+    """doc, n, entities, references of records (doc, n, page, text, entities like 'Table 4.1').
+
+    A row of a table without a label takes the table named last in its source. References are the other
+    kind's entity of the same identifier, wherever it is, and those of the other kind on the same page.
+    """
+    w = Window.partitionBy("doc").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tables = F.filter("entities", lambda e: e.startswith("Table "))
+    last = F.last(F.when(F.size(tables) > 0, F.element_at(tables, -1)), ignorenulls=True).over(w)
+    inherits = (F.size(tables) == 0) & F.contains("text", F.lit("|"))
+    rows = records.withColumn("_last", last).withColumn("entities", F.when(inherits & F.col("_last").isNotNull(), F.array_distinct(F.concat("entities", F.array("_last")))).otherwise(F.col("entities")))
+    each = rows.select("doc", "n", "page", F.posexplode("entities").alias("k", "entity")).withColumn("other", F.when(F.col("entity").startswith("Table "), "Figure").otherwise("Table"))
+    each = each.withColumn("mate", F.concat_ws(" ", "other", F.substring_index("entity", " ", -1)))
+    named = each.select(F.col("entity").alias("mate")).distinct()
+    same = each.join(named, "mate").select("doc", "n", F.struct(F.col("k"), F.lit(0).alias("r"), F.col("mate").alias("e")).alias("x"))
+    # entities of a page, each once
+    on_page = each.filter("page is not null").select("doc", "page", F.substring_index("entity", " ", 1).alias("other"), F.col("entity").alias("near")).distinct()
+    near = each.join(on_page, ["doc", "page", "other"]).select("doc", "n", F.struct(F.col("k"), F.lit(1).alias("r"), F.col("near").alias("e")).alias("x"))
+    refs = same.unionByName(near).groupBy("doc", "n").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    refs = refs.select("doc", "n", F.array_distinct(F.transform("xs", lambda x: x["e"])).alias("references"))
+    return rows.select("doc", "n", "entities").join(refs, ["doc", "n"], "left").withColumn("references", F.coalesce("references", F.array().cast("array<string>")))
+
+
+def snippets(rows: DataFrame, by: str, order: str, text: Column, skip: Column, reach: int = 3, most: int = 3) -> DataFrame:
+    """``rows`` with snippets: the first ``most`` texts up to ``reach`` rows before and behind each, skipped ones left out."""
+    w = Window.partitionBy(by).orderBy(order)
+    said = F.when(~skip & (text != ""), text)
+    before, after = F.collect_list(said).over(w.rowsBetween(-reach, -1)), F.collect_list(said).over(w.rowsBetween(1, reach))
+    return rows.withColumn("snippets", F.array_join(F.slice(F.concat(before, after), 1, most), " "))

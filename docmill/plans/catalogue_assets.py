@@ -22,22 +22,37 @@ def payload_normalise(spark, sf_dir):
     return p.select("page_id", out["page"].alias("page"), out["source"].alias("source"), understand.source_type(F.lit(None).cast("string"), out["source"]).alias("source_type"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) < 3 THEN true ELSE false END AS low_value, lang <> 'fr' AND n_chars / 10000 >= 0.3 AS gated FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) < 3 THEN true ELSE false END AS low_value,
+ lang <> 'fr' AND n_chars / 10000 >= 0.3 AND NOT (doc_id % 3 = 0) AND NOT (lang = 'en' AND doc_id % 3 = 1) AS gated FROM documents""")
 def visual_gates(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     none = F.lit(None).cast("string")
     low = assets.low_value_visual(F.col("text"), none, F.when(F.col("doc_id") % 2 == 1, F.lit("caption")))
-    gate = assets.visual_gate(F.when(F.col("lang") == "fr", "paragraph").otherwise("figure"), F.col("n_chars") / 10000)
+    quality = F.when(F.col("doc_id") % 3 == 0, "chart_expanded_low_quality").when(F.col("doc_id") % 3 == 1, "figure_layout_region_accepted")
+    gate = assets.visual_gate(F.when(F.col("lang") == "fr", "paragraph").when(F.col("lang") == "en", "figure").otherwise("chart"), F.col("n_chars") / 10000, quality)
     return d.select("doc_id", low.alias("low_value"), gate.alias("gated"))
 
 
-@query("""WITH p AS (SELECT a.conv_id, a.turn, u.text AS asked, a.text AS said FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1)
-SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN regexp_matches(asked, '[0-9]') AND regexp_matches(said, '[0-9]') WHEN 1 THEN conv_id % 2 = 0 ELSE list_has_any(regexp_extract_all(lower(asked), '[a-z0-9]+'), regexp_extract_all(lower(said), '[a-z0-9]+')) END AS relevant FROM p""")
+_RWORD = "list_distinct(regexp_extract_all(lower({0}), '{1}'))"
+_TAB = "[" + ", ".join(f"'{w}'" for w in assets.TABULAR_WORDS) + "]"
+_TSTOP = "[" + ", ".join(f"'{w}'" for w in assets.TABULAR_STOPWORDS) + "]"
+_RSTOP = "[" + ", ".join(f"'{w}'" for w in assets.RELEVANCE_STOPWORDS) + "]"
+
+
+@query(f"""WITH p AS (SELECT a.conv_id, a.turn, u.text || CASE WHEN a.turn % 2 = 0 THEN ' Table ' || a.conv_id ELSE '' END AS asked, a.text || CASE WHEN a.conv_id % 3 = 0 THEN ' table ' || a.conv_id ELSE '' END AS said FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1),
+w AS (SELECT *, {_RWORD.format('asked', '[a-z0-9_-]+')} AS own, {_RWORD.format('said', '[a-z0-9_-]+')} AS here, list_filter({_RWORD.format('asked', '[a-z][a-z0-9_-]{2,}')}, lambda x: NOT list_contains({_RSTOP}, x)) AS meaning, {_RWORD.format('said', '[a-z][a-z0-9_-]{2,}')} AS words FROM p)
+SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN list_has_any(CASE WHEN list_has_any(own, {_TAB}) THEN list_intersect(own, {_TAB}) ELSE list_filter(own, lambda x: NOT list_contains({_TSTOP}, x) AND length(x) > 2) END, here) OR (regexp_matches(asked, '[0-9]') AND regexp_matches(said, '[0-9]'))
+ WHEN 1 THEN conv_id % 2 = 0 ELSE CASE WHEN turn % 2 = 0 THEN contains(lower(said), 'table ' || conv_id) ELSE list_has_any(meaning, words) END END AS relevant FROM w""")
 def minimum_relevance(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
     u = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("asked"))
-    intent = F.element_at(F.array(F.lit("numerical"), F.lit("visual"), F.lit("other")), (F.col("turn") % 3 + 1).cast("int"))
-    return c.join(u, ["conv_id", "turn"]).select("conv_id", "turn", assets.relevant_enough(intent, F.col("asked"), F.col("text"), F.col("conv_id") % 2 == 0).alias("relevant"))
+    intent = F.element_at(F.array(F.lit("TABULAR_NUMERIC"), F.lit("ASSET_VISUAL"), F.lit("CONCEPTUAL_TEXTUAL")), (F.col("turn") % 3 + 1).cast("int"))
+    p = c.join(u, ["conv_id", "turn"])
+    label = F.concat(F.lit("Table "), F.col("conv_id"))
+    asked_ = F.when(F.col("turn") % 2 == 0, F.concat("asked", F.lit(" "), label)).otherwise(F.col("asked"))
+    said = F.when(F.col("conv_id") % 3 == 0, F.concat("text", F.lit(" "), F.lower(label))).otherwise(F.col("text"))
+    labels = F.when(F.col("turn") % 2 == 0, F.array(label)).otherwise(F.array().cast("array<string>"))
+    return p.select("conv_id", "turn", assets.relevant_enough(intent, asked_, said, F.col("conv_id") % 2 == 0, labels).alias("relevant"))
 
 
 @query(f"WITH {BM25_SQL}, r AS (SELECT *, doc_id % 4 = 0 AS ok FROM bm_ranked WHERE rank <= 4), e AS (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS hit FROM r) SELECT query_id, doc_id FROM e WHERE ok OR NOT hit")
@@ -105,11 +120,19 @@ def caption_scores(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", assets.caption_score(F.col("text")).alias("score"))
 
 
-@query("""WITH p AS (SELECT *, length(text) % 10 + CASE WHEN role = 'assistant' THEN 3 ELSE 0 END AS pts FROM conversations), b AS (SELECT conv_id, arg_max(turn, (pts, -turn)) AS anchor FROM p GROUP BY conv_id) SELECT conv_id, turn, anchor FROM p JOIN b USING (conv_id) WHERE abs(turn - anchor) <= 2""")
+_ANCHORED = "CASE turn % 5 WHEN 1 THEN 'As Figure 2.' || conv_id || ' shows' WHEN 2 THEN 'Source: chart 3 of it' WHEN 3 THEN 'see www.example.org doi' ELSE text END"
+
+
+@query(f"""WITH b AS (SELECT conv_id, turn, {_ANCHORED} AS t FROM conversations), n AS (SELECT *, trim(regexp_replace(lower(t), '[^a-z0-9.]+', ' ', 'g')) AS nt FROM b),
+p AS (SELECT *, CASE WHEN contains(nt, 'figure 2.' || conv_id) THEN 10 ELSE 0 END + CASE WHEN regexp_matches(t, '(?i)\\b(?:figure|table|chart|diagram|image|map)\\s+[0-9]') THEN 3 ELSE 0 END + CASE WHEN contains(nt, 'chart') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(t, '(?i)^(?:Source|Sources|Note|Notes)\\s*:\\s*.+$') THEN 1 ELSE 0 END AS pts,
+ regexp_matches(t, '(?i)\\b(?:http|www\\.|reproducibility|replication|github|bibliography|references|copyright|doi|isbn|issn)\\b') AS boiler FROM n),
+a AS (SELECT conv_id, arg_max(turn, (pts, -turn)) AS anchor FROM p GROUP BY conv_id), w AS (SELECT p.conv_id, turn, anchor, boiler, bool_or(NOT boiler) OVER (PARTITION BY p.conv_id) AS other FROM p JOIN a ON a.conv_id = p.conv_id WHERE abs(turn - anchor) <= 2)
+SELECT conv_id, turn, anchor FROM w WHERE NOT boiler OR (NOT other AND turn = anchor)""")
 def anchor_window(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations")
-    points = F.length("text") % 10 + F.when(F.col("role") == "assistant", 3).otherwise(0)
-    return assets.best_anchor(c, "conv_id", "turn", points).select("conv_id", "turn", "anchor")
+    """Blocks around the one that is most about a figure, without boilerplate."""
+    c = read(spark, sf_dir, "conversations").withColumn("t", F.expr(_ANCHORED))
+    points = assets.anchor_points(F.col("t"), F.concat(F.lit("Figure_2."), F.col("conv_id")), F.lit("chart"))
+    return assets.best_anchor(c, "conv_id", "turn", points, boilerplate=F.col("t").rlike(assets.BOILERPLATE)).select("conv_id", "turn", "anchor")
 
 
 @query("SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN NULL ELSE conv_id END AS a FROM conversations")
@@ -136,11 +159,11 @@ def chart_inference(spark, sf_dir):
     return asked(spark, sf_dir).select("query_id", c["kind"].alias("kind"), F.coalesce(c["title"], F.lit("")).alias("title"), understand.comparative(F.col("text")).alias("comparative"))
 
 
-@query("""WITH t AS (SELECT lang, CASE WHEN doc_id % 5 > 0 THEN doc_id % 7 END AS e, list_filter([CASE WHEN doc_id % 2 = 0 THEN doc_id % 7 END, CASE WHEN doc_id % 3 = 0 THEN (doc_id + 1) % 7 END], lambda x: x IS NOT NULL) AS r FROM documents)
-SELECT lang, count(*) AS n, round(avg(coalesce(r[1] = e, false)::INT), 3)::DOUBLE AS top1, round(avg(coalesce(list_contains(r, e), false)::INT), 3)::DOUBLE AS hit, round(avg((e IS NULL AND len(r) > 0)::INT), 3)::DOUBLE AS false_positive, round(avg((len(r) = 0)::INT), 3)::DOUBLE AS no_match FROM t GROUP BY lang""")
+@query("""WITH t AS (SELECT lang, CASE WHEN doc_id % 5 > 0 THEN doc_id % 7 END AS e, list_filter([CASE WHEN doc_id % 2 = 0 THEN doc_id % 7 END, CASE WHEN doc_id % 3 = 0 THEN (doc_id + CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END) % 7 END], lambda x: x IS NOT NULL) AS r FROM documents)
+SELECT lang, count(*) AS n, round(avg(coalesce(r[1] = e, false)::INT), 3)::DOUBLE AS top1, round(avg(coalesce(list_contains(r, e), false)::INT), 3)::DOUBLE AS hit, coalesce(round(avg(CASE WHEN e IS NOT NULL THEN list_contains(r, e)::INT END), 3), 0)::DOUBLE AS expected_hit, round(avg((e IS NULL AND len(r) > 0)::INT), 3)::DOUBLE AS false_positive, round(avg((len(r) = 0)::INT), 3)::DOUBLE AS no_match, round(avg((len(list_distinct(r)) < len(r))::INT), 3)::DOUBLE AS repeated FROM t GROUP BY lang""")
 def visual_rates(spark, sf_dir):
     k = F.col("doc_id")
-    returned = F.array_compact(F.array(F.when(k % 2 == 0, k % 7), F.when(k % 3 == 0, (k + 1) % 7)))
+    returned = F.array_compact(F.array(F.when(k % 2 == 0, k % 7), F.when(k % 3 == 0, (k + F.when(k % 4 == 0, 0).otherwise(1)) % 7)))
     d = read(spark, sf_dir, "documents").select("lang", F.when(k % 5 > 0, k % 7).alias("expected"), returned.alias("returned"))
     return assets.visual_rates(d, ["lang"])
 

@@ -277,13 +277,13 @@ def entity_labels(spark, sf_dir):
     return asked(spark, sf_dir).select("query_id", F.explode(understand.entity_labels(F.col("text"))).alias("label"))
 
 
-@query(f"""WITH {ASKED_SQL}, h AS (SELECT query_id, nullif(regexp_extract({_N}, '\\bpage ([0-9]{{1,4}})\\b', 1), '') AS page, nullif(regexp_extract(text, '(?i)([A-Za-z0-9_-]+[.]pdf)', 1), '') AS file, CASE WHEN len({_YEARS}) = 1 THEN {_YEARS}[1] END AS year, CASE WHEN len({_METRICS}) = 1 THEN {_METRICS}[1] END AS metric, nullif({_TOPIC}, '') AS topic, CASE WHEN regexp_matches(text, {G(understand.ENTITY)}) THEN 1 END AS fig FROM asked),
-s AS (SELECT *, 1 + (page IS NOT NULL)::INT + (file IS NOT NULL)::INT + (year IS NOT NULL)::INT + (metric IS NOT NULL)::INT + (topic IS NOT NULL)::INT + (fig IS NOT NULL)::INT AS n FROM h)
-SELECT query_id, coalesce(page, '') AS page, coalesce(file, '') AS file, coalesce(metric, '') AS metric, CASE WHEN n = 1 THEN 0.25 ELSE round(greatest(n / 9, 0.35), 2) END::DOUBLE AS confidence FROM s""")
+@query(f"""WITH {ASKED_SQL}, h AS (SELECT query_id, nullif(regexp_extract({_N}, '\\bpage ([0-9]{{1,4}})\\b', 1), '') AS page, nullif(regexp_extract(text, '(?i)([A-Za-z0-9_-]+[.]pdf)', 1), '') AS file, CASE WHEN len({_YEARS}) = 1 THEN {_YEARS}[1] END AS year, CASE WHEN len({_METRICS}) = 1 THEN {_METRICS}[1] END AS metric, nullif({_TOPIC}, '') AS topic, CASE WHEN regexp_matches(text, {G(understand.ENTITY)}) THEN 1 END AS fig, CASE WHEN len(list_filter(['India', 'China', 'New Delhi'], lambda x: contains(' ' || {_N} || ' ', ' ' || lower(x) || ' '))) = 1 THEN list_filter(['India', 'China', 'New Delhi'], lambda x: contains(' ' || {_N} || ' ', ' ' || lower(x) || ' '))[1] END AS country, CASE WHEN query_id % 2 = 0 THEN 1 END AS vis FROM asked),
+s AS (SELECT *, 1 + (page IS NOT NULL)::INT + (file IS NOT NULL)::INT + (year IS NOT NULL)::INT + (metric IS NOT NULL)::INT + (topic IS NOT NULL)::INT + (fig IS NOT NULL)::INT + (country IS NOT NULL)::INT + (vis IS NOT NULL)::INT AS n FROM h)
+SELECT query_id, coalesce(country, '') AS country, coalesce(page, '') AS page, coalesce(file, '') AS file, coalesce(metric, '') AS metric, CASE WHEN n = 1 THEN 0.25 ELSE round(greatest(n / 9, 0.35), 2) END::DOUBLE AS confidence FROM s""")
 def self_query_hints(spark, sf_dir):
-    h = understand.hints(F.col("text"))
+    h = understand.hints(F.col("text"), ["India", "China", "New Delhi"], F.col("query_id") % 2 == 0)
     blank = lambda c: F.coalesce(h[c], F.lit("")).alias(c)
-    return asked(spark, sf_dir).select("query_id", blank("page"), blank("file"), blank("metric"), h["confidence"].alias("confidence"))
+    return asked(spark, sf_dir).select("query_id", blank("country"), blank("page"), blank("file"), blank("metric"), h["confidence"].alias("confidence"))
 
 
 _CHAPTERS = "CASE c_custkey % 5 WHEN 0 THEN 'see Chapter ' || c_custkey || ' there' WHEN 1 THEN c_name || ' in chapter VIII and chapter 2' WHEN 2 THEN 'CHAPTER ix' WHEN 3 THEN 'chapters 3' ELSE 'chapter  ' || c_nationkey || '.' END"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, understand
 from ..operators import evaluate, exact, session, structure, tabular
 from .catalogue_retrieval import BM25_SQL, questions
 from .probes import ASKED_SQL, asked
@@ -291,3 +291,58 @@ def padded_rows(spark, sf_dir):
     cells = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d"))).otherwise(F.array("n_name"))
     width = F.when(F.col("n_nationkey") % 2 == 0, 2).otherwise(3)
     return n.select("n_nationkey", F.array_join(F.slice(tabular.padded(cells, 3), 1, width), " | ").alias("cells"))
+
+
+# questions and records
+
+_COMPARES = "CASE c_custkey % 4 WHEN 0 THEN 'Compare GDP and emissions of India, the US and us in ' || (1990 + c_custkey % 30) WHEN 1 THEN c_name || ' and c vs. D, versus d and ' || c_nationkey WHEN 2 THEN 'difference of co2 in China and Usa' ELSE 'Compare ' || c_mktsegment || ' and it in 2001 ?' END"
+
+
+@query("""WITH q AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey, c_custkey % 4 AS k, (1990 + c_custkey % 30)::VARCHAR AS y FROM customer)
+SELECT c_custkey, CASE k WHEN 0 THEN array_to_string(['What was India GDP in ' || y || '?', 'What was India CO2 emissions in ' || y || '?', 'What was United States GDP in ' || y || '?', 'What was United States CO2 emissions in ' || y || '?'], '|')
+ WHEN 1 THEN array_to_string([c_name || '?', 'c?', '. D?', 'd?', c_nationkey || '?'], '|') WHEN 2 THEN 'What was China CO2 emissions?|What was United States CO2 emissions?' ELSE c_mktsegment || ' in 2001?|it in 2001?' END AS steps FROM q""")
+def planned_steps(spark, sf_dir):
+    """Comparisons as steps by country and indicator, other questions as their parts, with the shared year."""
+    return read(spark, sf_dir, "customer").select("c_custkey", F.array_join(understand.planned(F.expr(_COMPARES)), "|").alias("steps"))
+
+
+@query("SELECT c_custkey, CAST(coalesce(c_mktsegment = 'BUILDING' AND c_nationkey = 3, false) AS BOOLEAN) AS strict, CAST(coalesce(c_nationkey = 3, false) AS BOOLEAN) AS relaxed FROM customer")
+def hint_filters(spark, sf_dir):
+    """A strict and a relaxed filter from the same hints: a code beats a name, any visual is no type."""
+    c = read(spark, sf_dir, "customer").withColumns({"country_iso3": F.col("c_nationkey"), "country_name": F.lit("x"), "topic": F.col("c_mktsegment"), "visual_type": F.lit("none")})
+    hints = {"country_iso3": 3, "country_name": "other", "topic": "BUILDING", "visual_type": "visual", "page": None}
+    return c.select("c_custkey", F.coalesce(understand.hint_filter(hints), F.lit(False)).alias("strict"), F.coalesce(understand.hint_filter(hints, relaxed=True), F.lit(False)).alias("relaxed"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS doc, l_linenumber AS n, CASE WHEN l_linenumber % 4 > 0 THEN l_linenumber % 2 END AS page, CASE l_linenumber % 3 WHEN 0 THEN 'a|b' ELSE 'words' END AS text, CASE l_linenumber % 4 WHEN 0 THEN ['Figure ' || (l_orderkey % 20)] WHEN 1 THEN ['Table ' || (l_orderkey % 30), 'Figure 9' ] ELSE [] END AS es FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
+t AS (SELECT *, last_value(list_filter(es, lambda e: starts_with(e, 'Table '))[-1] IGNORE NULLS) OVER (PARTITION BY doc ORDER BY n ROWS UNBOUNDED PRECEDING) AS lt FROM r),
+f AS (SELECT doc, n, page, CASE WHEN len(list_filter(es, lambda e: starts_with(e, 'Table '))) = 0 AND contains(text, '|') AND lt IS NOT NULL AND NOT list_contains(es, lt) THEN list_append(es, lt) ELSE es END AS es FROM t),
+x AS (SELECT doc, n, page, unnest(es) AS e FROM f), m AS (SELECT *, CASE WHEN starts_with(e, 'Table ') THEN 'Figure' ELSE 'Table' END AS other FROM x),
+refs AS (SELECT doc, n, other || ' ' || split_part(e, ' ', 2) AS ref FROM m WHERE other || ' ' || split_part(e, ' ', 2) IN (SELECT e FROM x) UNION SELECT m.doc, m.n, p.e FROM m JOIN x p ON p.doc = m.doc AND p.page = m.page AND split_part(p.e, ' ', 1) = m.other)
+SELECT f.doc, f.n, array_to_string(es, ',') AS entities, coalesce((SELECT string_agg(ref, ',' ORDER BY ref) FROM refs WHERE refs.doc = f.doc AND refs.n = f.n), '') AS refs FROM f""")
+def cross_references(spark, sf_dir):
+    """Tables and figures of records, inherited by rows of tables, and what they refer to."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    k = F.col("l_linenumber")
+    none = F.array().cast("array<string>")
+    es = F.when(k % 4 == 0, F.array(F.concat(F.lit("Figure "), F.col("l_orderkey") % 20))).when(k % 4 == 1, F.array(F.concat(F.lit("Table "), F.col("l_orderkey") % 30), F.lit("Figure 9"))).otherwise(none)
+    rows = li.select(F.col("l_orderkey").alias("doc"), k.alias("n"), F.when(k % 4 > 0, k % 2).alias("page"), F.when(k % 3 == 0, "a|b").otherwise("words").alias("text"), es.alias("entities"))
+    out = structure.cross_references(rows)
+    return out.select("doc", "n", F.array_join("entities", ",").alias("entities"), F.array_join(F.array_sort("references"), ",").alias("refs"))
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_concat(coalesce(list(s) FILTER (s IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []), coalesce(list(s) FILTER (s IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), []))[1:3], ' ') AS snippets
+FROM (SELECT conv_id, turn, CASE WHEN role <> 'system' AND length(text) % 5 > 0 AND text <> '' THEN text END AS s FROM conversations)""")
+def nearby_snippets(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    return structure.snippets(c, "conv_id", "turn", F.col("text"), (F.col("role") == "system") | (F.length("text") % 5 == 0)).select("conv_id", "turn", "snippets")
+
+
+@query()
+def inferred_pages(spark, sf_dir):
+    """The page of each line of a document, from pages of 50 words; a fold, which tests restate."""
+    d = read(spark, sf_dir, "documents")
+    words = d.select(F.col("doc_id").alias("doc"), text.tokens(F.col("text")).alias("t")).filter("size(t) > 0")
+    pages = words.select("doc", "t", F.explode(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / 50))).alias("p")).select("doc", (F.col("p") + 1).cast("long").alias("page"), F.array_join(F.slice("t", (F.col("p") * 50 + 1).cast("int"), 50), " ").alias("page_text"))
+    lines = d.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "text")).withColumn("n", F.col("n").cast("long"))
+    return structure.inferred_pages(lines, pages)

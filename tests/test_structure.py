@@ -205,3 +205,13 @@ def test_a_replayed_batch_replaces_itself(spark, tmp_path):
         stream = spark.readStream.schema(entries.schema).parquet(str(tmp_path / "in"))
         stateful.cached_answers(stream, str(tmp_path / "cache"), str(tmp_path / f"checkpoint{_}"))
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 2
+
+
+def test_pages_follow_the_texts_before(spark):
+    pages = [(1, 1, "Alpha beta gamma delta epsilon zeta"), (1, 2, "harbour closed winter shipping because"), (1, 3, "Alpha beta gamma again"), (2, 5, "other")]
+    texts = [
+        (1, 0, "harbour closed"), (1, 1, "Alpha, beta GAMMA"), (1, 2, "alpha beta gamma delta"), (1, 3, "winter because shipping"), (1, 4, ""), (1, 5, "unknown words altogether"),
+        (2, 0, "nothing here"), (3, 0, "no pages"),
+    ]
+    got = {(r.doc, r.n): r.page for r in structure.inferred_pages(spark.createDataFrame(texts, "doc long, n long, text string"), spark.createDataFrame(pages, "doc long, page long, page_text string")).collect()}
+    assert got == {(1, 0): 2, (1, 1): 3, (1, 2): 1, (1, 3): 2, (1, 4): 2, (1, 5): 2, (2, 0): 5, (3, 0): 1}
