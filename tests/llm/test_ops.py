@@ -370,6 +370,22 @@ def test_recall_and_scores(spark):
     assert hits / (10 * len(got)) >= 0.95
 
 
+def test_recall_on_the_table(spark, sf):
+    """Recall at 10 of the query against brute force over all vectors of the table."""
+    larger = sf.replace("sf0.001", "sf0.1")
+    rows = spark.read.parquet(f"{larger}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in queries.op5_hnsw(spark, larger).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = [k for k in ids.tolist() if k % 100 == 0]
+    hits = 0
+    for q in asked:
+        d = ((x - x[ids == q][0]) ** 2).sum(1)
+        hits += len(got[q] & set([int(k) for k in ids[np.lexsort((ids, d))] if k != q][:10]))
+    assert hits >= 0.95 * 10 * len(asked)
+
+
 def test_vectors_that_take_no_part(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [None, 1.0]), (5, [float("inf"), 1.0]), (6, [1.0, 1.0]), (6, [1.0, 1.0]), (7, [3.0, 0.0]), (None, [1.0, 2.0]), (8, [1.0, 0.0, 0.0]), (9, [])]
@@ -413,6 +429,18 @@ def test_cache_is_used_and_extended(spark, tmp_path):
     assert token_counts.count_tokens(no_docs(spark), path).count() == 0
 
 
+def test_a_second_run_of_the_query_counts_nothing(spark, sf, tmp_path, monkeypatch):
+    cache = str(tmp_path / "counts")
+    spark.conf.set("spark.docmill.tokenCache", cache)
+    try:
+        first = sorted(queries.op6_token_counts(spark, sf).collect())
+        known = spark.read.parquet(cache).count()
+        monkeypatch.setattr(token_counts, "_count_texts", lambda path: lambda batches: (1 // 0 for _ in batches))  # encoding anything fails
+        assert sorted(queries.op6_token_counts(spark, sf).collect()) == first and spark.read.parquet(cache).count() == known
+    finally:
+        spark.conf.unset("spark.docmill.tokenCache")
+
+
 # 7 toxicity
 
 
