@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import collapsed, number_ratio, sentence_count, tokens, upper_ratio
+from .text import SENTENCE, collapsed, upper_ratio
 
 # Words that make a number-heavy chunk worth keeping, and length limits.
 KEYWORDS = "standards development growth efficiency trade".split()
@@ -19,20 +21,25 @@ def measured(chunks: DataFrame, text: str = "text") -> DataFrame:
     chunks = chunks.withColumn("_clean", collapsed(F.col(text)))
     clean = F.col("_clean")
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    short = F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit("[^ \\t\\r\\f]+")) <= 4))
+    short = F.size(F.filter(lines, lambda x: ~x.rlike("^[ \\t\\r\\f]*+(?:[^ \\t\\r\\f]++[ \\t\\r\\f]++){4}[^ \\t\\r\\f]")))
+    low = F.lower(clean)
+    known = sum((F.when(F.contains(low, F.lit(w)), low.rlike(f"(?<![a-z0-9]){w}(?![a-z0-9])").cast("int")).otherwise(0) for w in KEYWORDS), F.lit(0))
     found = F.struct(
         F.length(clean).alias("length"),
-        sentence_count(F.col(text)).alias("sentences"),
-        number_ratio(clean).alias("numbers"),
+        F.regexp_count(clean, F.lit(SENTENCE)).cast("long").alias("sentences"),
+        F.regexp_count(clean, F.lit("[0-9]+(?:[.,][0-9]+)*")).alias("figures"),
         upper_ratio(clean).alias("upper"),
         F.regexp_count(clean, F.lit("[A-Za-z]+")).alias("words"),
         F.regexp_count(clean, F.lit("[.!?]")).alias("ends"),
-        F.size(F.array_intersect(tokens(clean), F.array(*map(F.lit, KEYWORDS)))).alias("known"),
+        known.alias("known"),
         F.size(lines).alias("lines"),
         short.alias("short"),
-        F.lower(clean).alias("low"),
+        low.alias("low"),
     )
-    return chunks.withColumn("q", found).drop("_clean")
+    chunks = chunks.withColumn("q", found)
+    every = F.col("q.figures") + F.col("q.words")
+    numbers = F.when(every == 0, F.lit(0.0)).otherwise(F.col("q.figures") / every)
+    return chunks.withColumn("q", F.col("q").withField("numbers", numbers)).drop("_clean")
 
 
 def metadata_like(q: Column) -> Column:
@@ -43,13 +50,18 @@ def metadata_like(q: Column) -> Column:
 def reason(q: Column) -> Column:
     """First reason to reject a measured chunk, or null."""
     low = q["low"]
+
+    def says(pattern: str, *words: str) -> Column:
+        """A pattern, tried only where one of the words is that any match has."""
+        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]) & low.rlike(pattern)
+
     return (
         F.when(q["length"] < SHORTEST, "too_short")
-        .when(low.rlike("https?://|www[.]"), "url")
-        .when(low.rlike("source:|notes:"), "source_or_notes")
-        .when(low.rlike("\\b(?:figure|table) +[0-9]+\\b"), "figure_or_table")
-        .when(low.rlike("\\b(?:contents|references|foreword)\\b") & (q["sentences"] < 2), "toc_or_references")
-        .when(low.rlike(PAGE_HEADER) & (q["sentences"] < 2), "report_page_header")
+        .when(says("https?://|www[.]", "http", "www."), "url")
+        .when(says("source:|notes:", "source:", "notes:"), "source_or_notes")
+        .when(says("\\b(?:figure|table) +[0-9]+\\b", "figure ", "table "), "figure_or_table")
+        .when(says("\\b(?:contents|references|foreword)\\b", "contents", "references", "foreword") & (q["sentences"] < 2), "toc_or_references")
+        .when(says(PAGE_HEADER, "world development report") & (q["sentences"] < 2), "report_page_header")
         .when((q["numbers"] > 0.3) & (q["known"] == 0), "number_heavy")
         .when(metadata_like(q) & (q["sentences"] == 0), "metadata_like")
     )
@@ -67,8 +79,8 @@ def score(q: Column) -> Column:
     )
 
 
-def judged(chunks: DataFrame) -> DataFrame:
-    """doc_id, reason, quality, tier: 0 kept (score of 2 or more, or not a pdf), 1 fallback, 2 rejected.
+def judged(chunks: DataFrame, keep: tuple[str, ...] = ("doc_id", "source_type")) -> DataFrame:
+    """Columns ``keep``, reason, quality, tier: 0 kept (score of 2 or more, or not a pdf), 1 fallback, 2 rejected.
 
     A chunk whose content_type (if there is such a column) is visual is never rejected.
     """
@@ -76,9 +88,9 @@ def judged(chunks: DataFrame) -> DataFrame:
     why = reason(q)
     if "content_type" in chunks.columns:
         why = F.when(F.lower(F.coalesce("content_type", F.lit(""))) == "visual", F.lit(None)).otherwise(why)
-    out = measured(chunks).select("doc_id", "source_type", why.alias("reason"), score(q).alias("quality"))
-    tier = F.when((F.col("source_type") != "pdf") | (F.col("reason").isNull() & (F.col("quality") >= 2)), 0).when(F.col("reason").isNull(), 1).otherwise(2)
-    return out.withColumn("tier", tier)
+    out = measured(chunks).select(*keep, (F.col("source_type") != "pdf").alias("_other"), why.alias("reason"), score(q).alias("quality"))
+    tier = F.when(F.col("_other") | (F.col("reason").isNull() & (F.col("quality") >= 2)), 0).when(F.col("reason").isNull(), 1).otherwise(2)
+    return out.withColumn("tier", tier).drop("_other")
 
 
 CLEAN_SQL = "trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'))"

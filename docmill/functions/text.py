@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 MISSING = ("", "nan", "none", "null", "..", "...", "n/a", "na")
 #: Words that carry no content when tokens of answers and sources are compared.
 ANSWER_STOPWORDS = "the and for that this with from into are was were has have not but your you our can will about source context answer".split()
+#: A capital, at least 25 more characters and an end; possessive, so that it is linear where no end comes.
+SENTENCE = "[A-Z][^.!?]{25,}+[.!?]"
 NAMESPACE_DNS = uuid.NAMESPACE_DNS.hex
 
 
@@ -42,17 +44,18 @@ def token_estimate(c: Column) -> Column:
 
 def sentence_count(c: Column) -> Column:
     """Runs that start with a capital, hold at least 25 more characters and end like a sentence."""
-    return F.regexp_count(collapsed(c), F.lit("[A-Z][^.!?]{25,}[.!?]")).cast("long")
+    return F.regexp_count(collapsed(c), F.lit(SENTENCE)).cast("long")
 
 
 def number_ratio(c: Column) -> Column:
-    every = F.regexp_count(c, F.lit("[A-Za-z]+|[0-9]+(?:[.,][0-9]+)*"))
+    """Share of numbers among words and numbers."""
+    words = F.regexp_count(c, F.lit("[A-Za-z]+"))
     numbers = F.regexp_count(c, F.lit("[0-9]+(?:[.,][0-9]+)*"))
-    return F.when(every == 0, F.lit(0.0)).otherwise(numbers / every)
+    return F.when(words + numbers == 0, F.lit(0.0)).otherwise(numbers / (words + numbers))
 
 
 def upper_ratio(c: Column) -> Column:
-    letters = F.regexp_count(c, F.lit("[A-Za-z]"))
+    letters = F.length(c) - F.length(F.regexp_replace(c, "[A-Za-z]+", ""))
     return F.when(letters == 0, F.lit(0.0)).otherwise(F.regexp_count(c, F.lit("[A-Z]")) / letters)
 
 

@@ -187,6 +187,15 @@ def bm25_joined(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return top_k(scored, k)
 
 
+#: Rows of ranked lists up to which they are broadcast: what is found is then met by its texts in the scan.
+MOST_HANDED_OUT = 500_000
+
+
+def handed_out(ranked: DataFrame, k: int, queries: DataFrame) -> DataFrame:
+    """``ranked`` lists of ``k`` rows a query, marked to be broadcast if there can't be many of them."""
+    return F.broadcast(ranked) if k * queries.count() <= MOST_HANDED_OUT else ranked
+
+
 def sparse_vectors(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, idx, weight: hashed sparse vectors with weights 1 + sqrt(tf)."""
     words = docs.select(id_col, F.explode(tokens(F.col("text"), "[a-z0-9_]+")).alias("token"))

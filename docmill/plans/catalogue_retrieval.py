@@ -76,8 +76,8 @@ kept AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS least FROM cand WHE
 SELECT query_id, doc_id, score, CAST(tier AS BIGINT) AS tier, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS new_rank FROM kept WHERE tier = least) WHERE new_rank <= CASE WHEN tier = 0 THEN 5 ELSE 2 END""")
 def hybrid_rrf_topk(spark, sf_dir):
     """Flagship: both legs, fusion, quality filter with its fallback, five best."""
-    fused = retrieve.rrf(_legs(spark, sf_dir), 20)
-    found = chunks(spark, sf_dir).join(fused.select("doc_id").distinct(), "doc_id", "left_semi")
+    fused = retrieve.rrf(_legs(spark, sf_dir), 20).persist()  # read twice: 20 rows a question
+    found = chunks(spark, sf_dir).join(retrieve.handed_out(fused.select("doc_id").distinct(), 20, questions(spark, sf_dir)), "doc_id", "left_semi")
     judged = fused.join(quality.judged(found), "doc_id").filter("tier < 2")
     kept = retrieve.cascade(judged.withColumnRenamed("tier", "grade"), [F.col("grade") == 0, F.col("grade") == 1])
     order = Window.partitionBy("query_id").orderBy("rank")
