@@ -47,9 +47,9 @@ def text_files(spark: SparkSession, folder: str) -> DataFrame:
     return parts.filter(F.length("text") >= SHORTEST_CHUNK).select("path", "n", "text")
 
 
-def json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a JSON cache, a list or an object with ``documents``; empty texts are left out."""
-    raw = spark.read.text(path, wholetext=True)
+def json_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Documents of a JSON cache, a list or an object with ``documents``, as a file or (``lines``) as each line of one; empty texts are left out."""
+    raw = spark.read.text(path, wholetext=not lines)
     listed = F.from_json("value", "array<struct<id: string, text: string, metadata: map<string, string>>>")
     held = F.from_json("value", "documents array<struct<id: string, text: string, metadata: map<string, string>>>")["documents"]
     docs = raw.select(F.explode(F.when(F.ltrim("value").startswith("["), listed).otherwise(held)).alias("d")).select("d.*")
