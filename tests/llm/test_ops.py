@@ -457,6 +457,8 @@ def test_labels_of_held_out_rows_are_not_learnt(spark, documents, sf):
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.fit(documents, labels), toxicity.fit(documents, flipped)
     assert a.lexicon == b.lexicon
+    scores = [{r.doc_id: r.score for r in toxicity.score(documents, m).collect()} for m in (a, b)]  # trees and calibration too
+    assert scores[0] == scores[1]
 
 
 def test_toxicity_odd_tables(spark):
@@ -564,6 +566,27 @@ def test_edited_texts(spark, sf):
     assert np.mean([g.near_edited for g in got.values()]) > 3 * np.mean([g.near_next for g in got.values()])
 
 
+def test_ranges_hold_all_neighbours(spark, monkeypatch):
+    """Many small ranges, repeated ids and null ids give the same neighbours as one."""
+    rng = random.Random(12)
+    rows = [(rng.choice([None, *range(0, 4000, 7)]), " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 6))) or None) for _ in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = imatch.lexicon(df)
+    whole = sorted(map(str, imatch.edited_texts(df, known).collect()))
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 20)
+    assert len(imatch._starts(df.select("doc_id"))[0]) > 5
+    assert sorted(map(str, imatch.edited_texts(df, known).collect())) == whole and len(whole) == 900
+
+
+def test_sources_may_be_many(spark):
+    """Places and running sums by ranges equal a plain restatement for thousands of sources."""
+    sizes = {f"s{k:05d}": 1 + k * 7 % 13 for k in range(3000)} | {None: 5}
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").repartition(5)
+    got = {r.source: r.target for r in mixing.targets(rows).collect()}
+    want = brute_targets(sizes)
+    assert set(got) == set(want) and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
 def test_band_of_frequencies(spark, documents):
     counts = Counter(t for r in documents.collect() for t in imatch.text_terms(r.text or ""))
     n = documents.count()
