@@ -12,7 +12,10 @@ NUMERICAL = "gdp co2 emissions growth value amount number numeric percent percen
 EXPLANATORY = "explain why how affect impact procedure procedural process policy regulation regulations requirement requirements responsibilities standard standards guidelines definition describe report kyc cdd cip beneficial owner".split()
 VISUAL = "chart charts graph graphs figure figures table tables trend visual visuals diagram".split()
 ROUTE_EXPLANATORY = ("explain", "describe", "why", "how", "what does", "report", "regulation", "standard", "growth", "impact", "effect", "support")
-WEIGHTS = {"numerical": {"csv": 3.0, "pdf": 0.35, "unknown": 0.75}, "explanatory": {"csv": 0.65, "pdf": 2.0, "unknown": 0.9}, "mixed": {"csv": 1.2, "pdf": 1.2, "unknown": 1.0}, "balanced": {"csv": 1.0, "pdf": 1.0, "unknown": 1.0}}
+WEIGHTS = {
+    "numerical": {"csv": 3.0, "pdf": 0.35, "unknown": 0.75}, "explanatory": {"csv": 0.65, "pdf": 2.0, "unknown": 0.9},
+    "mixed": {"csv": 1.2, "pdf": 1.2, "unknown": 1.0}, "balanced": {"csv": 1.0, "pdf": 1.0, "unknown": 1.0},
+}
 ASSET_WORDS = "figure|fig |fig[.]|chart|diagram|image|visual|picture|illustration"
 TABLE_WORDS = "gdp|emission|co2|revenue|metric|indicator|table|timeline|statistics|stats|percent|percentage|income group"
 CSV_MARKERS = "gdp|co2|emission|spreadsheet|indicator|statistics|tabular|csv"
@@ -98,7 +101,9 @@ def namespace_route(c: Column) -> Column:
     n = normalised(c)
     exact = year(c).isNotNull() & (F.size(metrics(c)) > 0) & ~n.rlike("explain|why|how|describe")
     return (
-        F.when(exact, "structured_exact").when(c.rlike(ENTITY), "visual_exact").when(has_any(F.split(n, " "), VISUAL), "visual_semantic").when(F.size(F.split(n, " ")) <= 3, "hybrid_short").otherwise("text_semantic")
+        F.when(exact, "structured_exact").when(c.rlike(ENTITY), "visual_exact").when(
+            has_any(F.split(n, " "), VISUAL), "visual_semantic",
+        ).when(F.size(F.split(n, " ")) <= 3, "hybrid_short").otherwise("text_semantic")
     )
 
 
@@ -166,7 +171,10 @@ def filter_from(hints_: dict[str, object]) -> Column | None:
 
 
 # The planner's countries and indicators by their canonical names, and words of a comparison.
-COUNTRIES = {"india": "India", "china": "China", "united states": "United States", "usa": "United States", "us": "United States", "uk": "United Kingdom", "united kingdom": "United Kingdom", "uae": "United Arab Emirates"}
+COUNTRIES = {
+    "india": "India", "china": "China", "united states": "United States", "usa": "United States", "us": "United States", "uk": "United Kingdom",
+    "united kingdom": "United Kingdom", "uae": "United Arab Emirates",
+}
 COMPARING = r"(?i)\b(?:compare|contrast|versus|vs\.?|difference|differences|compared)\b"
 COUNTRY_NAMED = r"(?i)\b(india|china|united states|usa|us|uk|united kingdom|uae)\b"
 INDICATOR_NAMED = r"(?i)\b(gdp|co2|carbon dioxide|emissions)\b"

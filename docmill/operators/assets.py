@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.text import collapsed, normalised, tokens
 
 # Alias keys of payload fields, points and limits.
-ALIASES = {"page": ("page_no", "page", "source_page"), "source": ("source_file", "source", "filename"), "title": ("visual_title", "title", "caption_title"), "caption": ("caption_text", "caption", "description")}
+ALIASES = {
+    "page": ("page_no", "page", "source_page"), "source": ("source_file", "source", "filename"), "title": ("visual_title", "title", "caption_title"),
+    "caption": ("caption_text", "caption", "description"),
+}
 LONGEST_FIELD, EXACT, KIND, REGISTERED = 500, 100, 20, 90
 BOOST_SUMMARY, BOOST_ASSET = 0.05, 25.0
 CHARTS = (("scatter", "scatter"), ("bar", "bar"), ("line|trend", "line"), ("pie|share", "pie"))
@@ -118,7 +121,9 @@ def figure_of_caption(c: Column) -> Column:
 def caption_score(c: Column) -> Column:
     """100 minus penalties: short, no sentence end, repeated words, odd signs."""
     words = tokens(c)
-    penalty = F.when(F.length(c) < 40, 30).otherwise(0) + F.when(~c.rlike("[.!?]\\s*$"), 10).otherwise(0) + F.when(F.size(F.array_distinct(words)) * 2 < F.size(words), 25).otherwise(0) + F.when(c.rlike("[#{}|]{2,}"), 20).otherwise(0)
+    penalty = F.when(F.length(c) < 40, 30).otherwise(0) + F.when(~c.rlike("[.!?]\\s*$"), 10).otherwise(0) + F.when(
+        F.size(F.array_distinct(words)) * 2 < F.size(words), 25,
+    ).otherwise(0) + F.when(c.rlike("[#{}|]{2,}"), 20).otherwise(0)
     return F.lit(100) - penalty
 
 

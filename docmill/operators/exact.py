@@ -62,7 +62,10 @@ def asset_priority(image: Column, chart: Column) -> Column:
     """struct to sort by: with an image first, then with a chart, cuttings before whole pages."""
     name = F.trim(F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(image, F.lit("")), "([^/]+?)(?:[.][^./]*)?$", 1)), "[^a-z0-9]+", "_"), F.lit("_"))
     none = F.coalesce(F.trim(image), F.lit("")) == ""
-    return F.struct(none.cast("int").alias("no_image"), (~F.coalesce(chart, F.lit(False))).cast("int").alias("no_chart"), (~none & (F.contains(name, F.lit("full_page")) | F.contains(name, F.lit("fallback")))).cast("int").alias("whole_page"))
+    return F.struct(
+        none.cast("int").alias("no_image"), (~F.coalesce(chart, F.lit(False))).cast("int").alias("no_chart"),
+        (~none & (F.contains(name, F.lit("full_page")) | F.contains(name, F.lit("fallback")))).cast("int").alias("whole_page"),
+    )
 
 
 def exact_scan(questions: DataFrame, store: DataFrame, k: int, cross: bool = False) -> DataFrame:
@@ -110,8 +113,13 @@ def exact_values(questions: DataFrame, facts: DataFrame, aliases: DataFrame, ord
     n = normalised(F.col("text"))
     metric = F.when(F.contains(n, F.lit("gdp")), "gdp").when(n.rlike("co2|emission"), "co2")
     q = questions.select("query_id", n.alias("n"), understand.first_year(F.col("text")).alias("year"), metric.alias("metric")).filter("year is not null and metric is not null")
-    grams = q.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("n", " ")) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(F.split("n", " "), i, k), " ")))))).alias("alias"))
-    known = grams.join(aliases.select(normalised(F.col("alias")).alias("alias"), normalised(F.col("value")).alias("value")).distinct(), "alias").groupBy("query_id").agg(F.collect_set("value").alias("known"))
+    grams = q.select(
+        "query_id",
+        F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("n", " ")) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(F.split("n", " "), i, k), " ")))))).alias("alias"),
+    )
+    known = grams.join(
+        aliases.select(normalised(F.col("alias")).alias("alias"), normalised(F.col("value")).alias("value")).distinct(), "alias",
+    ).groupBy("query_id").agg(F.collect_set("value").alias("known"))
     short = F.filter(F.split("n", " "), lambda w: F.length(w) == 3)
     q = q.join(known, "query_id", "left").withColumn("names", F.array_distinct(F.concat(F.coalesce("known", F.array().cast("array<string>")), short)))
     f = facts.filter(F.lower("source_type") == "csv").withColumns({"_name": normalised(F.col("name")), "_code": normalised(F.col("code"))})
@@ -168,7 +176,9 @@ def strict_gate(asked: Column, kind: Column, identifier: Column, companions: Col
     own = F.exists(asked, lambda e: (e["kind"] == kind) & (e["identifier"] == identifier))
     other = F.exists(asked, lambda e: (e["kind"] != kind) & (e["identifier"] == identifier))
     beside = F.exists(asked, lambda e: F.array_contains(companions, e["label"]))
-    reason = F.when(F.size(asked) == 0, F.lit("none_asked")).when(own, F.lit("asked")).when(F.coalesce(beside, F.lit(False)), F.lit("companion")).when(other, F.lit("kind_conflict")).otherwise(F.lit("other_entity"))
+    reason = F.when(F.size(asked) == 0, F.lit("none_asked")).when(own, F.lit("asked")).when(
+        F.coalesce(beside, F.lit(False)), F.lit("companion"),
+    ).when(other, F.lit("kind_conflict")).otherwise(F.lit("other_entity"))
     return F.struct(reason.isin("none_asked", "asked", "companion").alias("keep"), reason.alias("reason"))
 
 

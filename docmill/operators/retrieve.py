@@ -151,7 +151,10 @@ def _in_batches(queries: DataFrame, docs: DataFrame, k: int, leg: Leg, asked: li
                     best = _best(scores, mine, k)
                     kept[j] = scores[best], mine[best]
         out = [names[j] for j, (s, _) in enumerate(kept) for _ in range(len(s))]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(np.concatenate([x for _, x in kept])), pa.array(np.concatenate([s for s, _ in kept]))], names=["query_id", "doc_id", "score"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(out, pa.int64()), pa.array(np.concatenate([x for _, x in kept])), pa.array(np.concatenate([s for s, _ in kept]))],
+            names=["query_id", "doc_id", "score"],
+        )
 
     return top_k(texts.mapInArrow(score, "query_id long, doc_id long, score double"), k)
 

@@ -38,8 +38,12 @@ def headings(blocks: DataFrame) -> DataFrame:
     chapter = chapter.when(counted.isNotNull() & (F.col("place") <= 2) & plain(counted), F.struct(F.lit("Chapter").alias("label"), part(NUMBERED_CHAPTER, 1).alias("number"), counted.alias("title")))
     rows = blocks.withColumn("_c", chapter).withColumn("_s", part(SECTION, 1))
     deep = F.size(F.split("_s", "[.]")) >= 3
-    kind = F.when(F.col("_c").isNotNull(), "chapter").when(F.col("_s").isNotNull() & deep, "subsection").when(F.col("_s").isNotNull(), "section").when(t.rlike(VISUAL_LABEL) | t.rlike(SOURCE_NOTE), "skipped").otherwise("text")
-    whole = F.when(F.col("_c").isNotNull(), F.concat(F.col("_c.label"), F.lit(" "), F.col("_c.number"), F.lit(": "), F.col("_c.title"))).when(F.col("_s").isNotNull(), F.concat_ws(" ", "_s", collapsed(part(SECTION, 2))))
+    kind = F.when(F.col("_c").isNotNull(), "chapter").when(F.col("_s").isNotNull() & deep, "subsection").when(F.col("_s").isNotNull(), "section").when(
+        t.rlike(VISUAL_LABEL) | t.rlike(SOURCE_NOTE), "skipped",
+    ).otherwise("text")
+    whole = F.when(
+        F.col("_c").isNotNull(), F.concat(F.col("_c.label"), F.lit(" "), F.col("_c.number"), F.lit(": "), F.col("_c.title")),
+    ).when(F.col("_s").isNotNull(), F.concat_ws(" ", "_s", collapsed(part(SECTION, 2))))
     return rows.withColumn("kind", kind).withColumn("number", F.coalesce("_c.number", "_s")).withColumn("title", whole).drop("_c", "_s")
 
 
@@ -86,7 +90,9 @@ def section_chunks(blocks: DataFrame, limit: int = TOKEN_LIMIT) -> DataFrame:
         ).otherwise(F.struct((s["held"] + x["tokens"]).alias("held"), s["done"].alias("done"), F.concat(s["now"], F.array(x["text"])).alias("now"))),
         lambda s: F.concat(s["done"], F.array(s["now"])),
     )
-    parts = lists.withColumn("first", F.col("xs")[0]["n"]).select("doc", "first", "page", "chapter_number", "chapter_title", "section_title", "subsection_title", F.posexplode(fold).alias("k", "texts"))
+    parts = lists.withColumn("first", F.col("xs")[0]["n"]).select(
+        "doc", "first", "page", "chapter_number", "chapter_title", "section_title", "subsection_title", F.posexplode(fold).alias("k", "texts"),
+    )
     order = Window.partitionBy("doc").orderBy("first", "k")
     return parts.withColumn("n", F.row_number().over(order).cast("long")).withColumn("text", F.trim(F.array_join("texts", "\n\n"))).drop("first", "k", "texts")
 
@@ -150,7 +156,10 @@ def country_chunks(rows: DataFrame) -> DataFrame:
 
 def indicator_chunks(rows: DataFrame) -> DataFrame:
     """code, text of rows (code, name, note); rows without a code are none."""
-    text = F.concat(F.lit("Indicator metadata: "), F.col("code"), F.lit(" = "), F.coalesce(_or(F.col("name")), F.lit("")), F.lit(". Source note: "), F.coalesce(_or(F.col("note")), F.lit("not provided")), F.lit("."))
+    text = F.concat(
+        F.lit("Indicator metadata: "), F.col("code"), F.lit(" = "), F.coalesce(_or(F.col("name")), F.lit("")), F.lit(". Source note: "),
+        F.coalesce(_or(F.col("note")), F.lit("not provided")), F.lit("."),
+    )
     return rows.filter(_or(F.col("code")).isNotNull()).select("code", text.alias("text"))
 
 
@@ -255,7 +264,10 @@ def cross_references(records: DataFrame) -> DataFrame:
     tables = F.filter("entities", lambda e: e.startswith("Table "))
     last = F.last(F.when(F.size(tables) > 0, F.element_at(tables, -1)), ignorenulls=True).over(w)
     inherits = (F.size(tables) == 0) & F.contains("text", F.lit("|"))
-    rows = records.withColumn("_last", last).withColumn("entities", F.when(inherits & F.col("_last").isNotNull(), F.array_distinct(F.concat("entities", F.array("_last")))).otherwise(F.col("entities")))
+    rows = records.withColumn("_last", last).withColumn(
+        "entities",
+        F.when(inherits & F.col("_last").isNotNull(), F.array_distinct(F.concat("entities", F.array("_last")))).otherwise(F.col("entities")),
+    )
     each = rows.select("doc", "n", "page", F.posexplode("entities").alias("k", "entity")).withColumn("other", F.when(F.col("entity").startswith("Table "), "Figure").otherwise("Table"))
     each = each.withColumn("mate", F.concat_ws(" ", "other", F.substring_index("entity", " ", -1)))
     named = each.select(F.col("entity").alias("mate")).distinct()

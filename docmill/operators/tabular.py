@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.text import is_missing, normalised
 
 # Header names that tell the kinds of files apart, and markers of aggregate rows.
-HEADERS = {"world_bank_wide": ("country name", "country code", "indicator name", "indicator code"), "country_metadata": ("country code", "region", "incomegroup"), "indicator_metadata": ("indicator_code", "indicator_name")}
+HEADERS = {
+    "world_bank_wide": ("country name", "country code", "indicator name", "indicator code"),
+    "country_metadata": ("country code", "region", "incomegroup"), "indicator_metadata": ("indicator_code", "indicator_name"),
+}
 LEAST = {"world_bank_wide": 3, "country_metadata": 2, "indicator_metadata": 2}
-AGGREGATES = ("income", "world", "africa", "europe", "asia", "middle east", "north america", "latin america", "caribbean", "union", "fragile", "small states", "dividend", "ida", "ibrd", "total", "countries", "economies", "aggregate")
+AGGREGATES = (
+    "income", "world", "africa", "europe", "asia", "middle east", "north america", "latin america", "caribbean", "union", "fragile", "small states",
+    "dividend", "ida", "ibrd", "total", "countries", "economies", "aggregate",
+)
 
 
 def header_row(cells: DataFrame, file: str = "file", row: str = "row", values: str = "cells", scan: int = 25) -> DataFrame:
@@ -58,7 +64,10 @@ def decades(long: DataFrame, keys: list[str]) -> DataFrame:
 
 def summaries(long: DataFrame, keys: list[str], total: int) -> DataFrame:
     """keys, available, first_year, last_year, missing of each series."""
-    return long.groupBy(*keys).agg(F.count_distinct("year").alias("available"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), (F.lit(total) - F.count_distinct("year")).alias("missing"))
+    return long.groupBy(*keys).agg(
+        F.count_distinct("year").alias("available"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
+        (F.lit(total) - F.count_distinct("year")).alias("missing"),
+    )
 
 
 def aggregate_entity(name: Column, code: Column) -> Column:
@@ -89,7 +98,9 @@ def with_metadata(facts: DataFrame, metadata: DataFrame, key: str, defaults: dic
 def extremes(rows: DataFrame, by: list[str], name: str, value: str) -> DataFrame:
     """Largest, smallest and sum of a value and who has them, over all rows."""
     return rows.groupBy(*by).agg(
-        F.max_by(name, F.struct(F.col(value), -F.col(name))).alias("most"), F.max(value).alias("largest"), F.min_by(name, F.struct(value, name)).alias("least"), F.min(value).alias("smallest"), F.round(F.sum(value), 2).alias("total")
+        F.max_by(
+            name, F.struct(F.col(value), -F.col(name)),
+        ).alias("most"), F.max(value).alias("largest"), F.min_by(name, F.struct(value, name)).alias("least"), F.min(value).alias("smallest"), F.round(F.sum(value), 2).alias("total")
     )
 
 

@@ -17,7 +17,10 @@ G = quoted
 def payload_normalise(spark, sf_dir):
     p = read(spark, sf_dir, "pages")
     k = F.col("page_id") % 3
-    raw = F.create_map(F.lit("page_no"), F.when(k == 0, F.col("url")).otherwise(""), F.lit("page"), F.when(k == 1, F.col("html")), F.lit("source_page"), F.concat(F.lit("p"), "page_id"), F.lit("filename"), F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise("unknown.csv"))
+    raw = F.create_map(
+        F.lit("page_no"), F.when(k == 0, F.col("url")).otherwise(""), F.lit("page"), F.when(k == 1, F.col("html")), F.lit("source_page"),
+        F.concat(F.lit("p"), "page_id"), F.lit("filename"), F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise("unknown.csv"),
+    )
     out = assets.payload(raw)
     return p.select("page_id", out["page"].alias("page"), out["source"].alias("source"), understand.source_type(F.lit(None).cast("string"), out["source"]).alias("source_type"))
 
@@ -95,7 +98,10 @@ SELECT c_custkey, arg_max(path, (score, path)) AS path, max(score)::INT AS score
 def asset_resolution(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("L"), F.col("c_custkey") % 5).alias("label"), F.col("c_nationkey").alias("kind"))
     s = read(spark, sf_dir, "supplier")
-    r = s.select(F.concat(F.lit("L"), F.col("s_suppkey") % 5).alias("label"), F.col("s_nationkey").alias("kind"), F.col("s_name").alias("path"), (F.col("s_suppkey") % 2 == 0).alias("registered"), (F.col("s_suppkey") % 7 != 0).alias("exists"))
+    r = s.select(
+        F.concat(F.lit("L"), F.col("s_suppkey") % 5).alias("label"), F.col("s_nationkey").alias("kind"), F.col("s_name").alias("path"),
+        (F.col("s_suppkey") % 2 == 0).alias("registered"), (F.col("s_suppkey") % 7 != 0).alias("exists"),
+    )
     return assets.resolved(c, r, "c_custkey")
 
 
@@ -177,7 +183,10 @@ def page_inference(spark, sf_dir):
 
     d = read(spark, sf_dir, "documents")
     words = d.select("doc_id", tokens(F.col("text")).alias("t")).filter("size(t) > 0")
-    pages = words.select("doc_id", "t", F.explode(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / 50))).alias("page")).select("doc_id", F.col("page").cast("long").alias("page"), F.array_join(F.slice("t", (F.col("page") * 50 + 1).cast("int"), 50), " ").alias("page_text"))
+    pages = words.select("doc_id", "t", F.explode(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / 50))).alias("page")).select(
+        "doc_id", F.col("page").cast("long").alias("page"),
+        F.array_join(F.slice("t", (F.col("page") * 50 + 1).cast("int"), 50), " ").alias("page_text"),
+    )
     return assets.pages_of(d.select("doc_id", F.lit(1).alias("one"), "text"), pages.withColumnRenamed("doc_id", "doc_id"), "doc_id", "one").select("doc_id", "page")
 
 

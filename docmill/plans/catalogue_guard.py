@@ -151,7 +151,9 @@ def bbox_valid(spark, sf_dir):
 _OPEN = {m: f"((length(text) - length(replace(text, {G(m)}, ''))) // {len(m)})" for m in ("**", "`", "[", "]", "(", ")")}
 
 
-_ROW = "CASE WHEN starts_with({0}, '|') OR length({0}) - length(replace({0}, '|', '')) >= 2 THEN trim(regexp_replace(CASE WHEN starts_with({0}, '|') THEN '' ELSE '| ' END || {0} || CASE WHEN ends_with({0}, '|') THEN '' ELSE ' |' END, '\\s*\\|\\s*', ' | ', 'g')) ELSE x END".replace("{0}", "trim(x, ' ' || chr(9))")
+_ROW = "CASE WHEN starts_with({0}, '|') OR length({0}) - length(replace({0}, '|', '')) >= 2 THEN trim(regexp_replace(CASE WHEN starts_with({0}, '|') THEN '' ELSE '| ' END || {0} || CASE WHEN ends_with({0}, '|') THEN '' ELSE ' |' END, '\\s*\\|\\s*', ' | ', 'g')) ELSE x END".replace(
+    "{0}", "trim(x, ' ' || chr(9))",
+)
 _TABLED = "text || CASE query_id % 4 WHEN 0 THEN chr(10) || 'a | b|c' || chr(10) || '|--|' WHEN 1 THEN ' one | pipe' WHEN 2 THEN chr(10) || '  |x' ELSE '' END"
 
 
@@ -203,7 +205,10 @@ def gauntlet_full(spark, sf_dir):
 @query("""SELECT conv_id, turn, CASE WHEN json_valid(j) THEN CASE WHEN json_extract(j, '$.answer') IS NULL THEN 'missing_answer' WHEN json_type(j, '$.answer') <> 'VARCHAR' THEN 'type_answer' WHEN json_type(j, '$.sources') IS NULL THEN 'missing_sources' WHEN json_type(j, '$.sources') <> 'ARRAY' THEN 'type_sources' ELSE 'ok' END ELSE 'not_json' END AS fault
 FROM (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '{"answer": "a", "sources": ["s"]}' WHEN 1 THEN '{"answer": 3, "sources": ["s"]}' WHEN 2 THEN '{"sources": []}' WHEN 3 THEN 'plain' ELSE '{"answer": "a", "sources": "s"}' END AS j FROM conversations)""")
 def output_schema(spark, sf_dir):
-    j = F.element_at(F.array(*[F.lit(x) for x in ('{"answer": "a", "sources": ["s"]}', '{"answer": 3, "sources": ["s"]}', '{"sources": []}', "plain", '{"answer": "a", "sources": "s"}')]), (F.col("turn") % 5 + 1).cast("int"))
+    j = F.element_at(
+        F.array(*[F.lit(x) for x in ('{"answer": "a", "sources": ["s"]}', '{"answer": 3, "sources": ["s"]}', '{"sources": []}', "plain", '{"answer": "a", "sources": "s"}')]),
+        (F.col("turn") % 5 + 1).cast("int"),
+    )
     c = read(spark, sf_dir, "conversations").withColumn("j", j)
     return c.select("conv_id", "turn", F.coalesce(guard.schema_fault(F.col("j"), {"answer": "STRING", "sources": "ARRAY"}), F.lit("ok")).alias("fault"))
 
@@ -248,7 +253,10 @@ _TOPIC = f"CASE WHEN regexp_matches({_N}, 'regulation|regulatory') THEN 'regulat
 @query(f"WITH {ASKED_SQL} SELECT query_id, coalesce(CASE WHEN len({_YEARS}) = 1 THEN {_YEARS}[1] END, '') AS year, array_to_string({_METRICS}, ',') AS metrics, {_TOPIC} AS topic FROM asked")
 def constraints_of_question(spark, sf_dir):
     t = F.col("text")
-    return asked(spark, sf_dir).select("query_id", F.coalesce(understand.year(t), F.lit("")).alias("year"), F.array_join(understand.metrics(t), ",").alias("metrics"), understand.topic(t).alias("topic"))
+    return asked(spark, sf_dir).select(
+        "query_id", F.coalesce(understand.year(t), F.lit("")).alias("year"), F.array_join(understand.metrics(t), ",").alias("metrics"),
+        understand.topic(t).alias("topic"),
+    )
 
 
 _SHAPED = f"(regexp_matches({_N}, 'gdp|co2|carbon dioxide|emission') AND regexp_matches({_N}, '[0-9]'))"
@@ -309,7 +317,10 @@ def plan_steps(spark, sf_dir):
 @query("""SELECT doc_id, sha1(text) AS sha1_id, md5(text) AS md5_id, substr(sha1(text), 1, 12) AS short_id, 'parent-' || substr(sha256(source || '|' || lang), 1, 24) AS parent_id FROM documents""")
 def stable_ids(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.sha1("text").alias("sha1_id"), F.md5("text").alias("md5_id"), text.short_sha1(F.col("text")).alias("short_id"), text.parent_key(F.col("source"), F.col("lang")).alias("parent_id"))
+    return d.select(
+        "doc_id", F.sha1("text").alias("sha1_id"), F.md5("text").alias("md5_id"), text.short_sha1(F.col("text")).alias("short_id"),
+        text.parent_key(F.col("source"), F.col("lang")).alias("parent_id"),
+    )
 
 
 @query()

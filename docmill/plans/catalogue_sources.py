@@ -21,7 +21,9 @@ def csv_cells(spark, sf_dir):
     n = read(spark, sf_dir, "nation")
     said = F.when(F.col("n_nationkey") % 3 == 0, 'a, "b"\nc').when(F.col("n_nationkey") % 3 == 1, " ").otherwise("x ")
     path = _folder(spark, "csv")
-    n.select("n_nationkey", "n_name", said.alias("said")).coalesce(1).sortWithinPartitions("n_nationkey").write.option("header", "true").option("escape", '"').option("quoteAll", "true").option("ignoreTrailingWhiteSpace", "false").option("ignoreLeadingWhiteSpace", "false").csv(path)
+    n.select(
+        "n_nationkey", "n_name", said.alias("said"),
+    ).coalesce(1).sortWithinPartitions("n_nationkey").write.option("header", "true").option("escape", '"').option("quoteAll", "true").option("ignoreTrailingWhiteSpace", "false").option("ignoreLeadingWhiteSpace", "false").csv(path)
     return files.csv_matrix(spark, path).select(F.col("row").cast("long").alias("row"), F.array_join("cells", "|").alias("cells"))
 
 

@@ -58,7 +58,9 @@ def country_chunks(spark, sf_dir):
     c = read(spark, sf_dir, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey"))
     rows = c.select(
         F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("N"), "c_custkey")).otherwise(" ").alias("code"), F.when(F.col("n_name") != "CHINA", F.col("n_name")).otherwise("").alias("name"),
-        F.concat(F.lit("T"), "n_nationkey").alias("table_name"), F.when(F.col("c_custkey") % 3 != 0, F.col("r_name")).alias("region"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(" ").alias("income"),
+        F.concat(F.lit("T"), "n_nationkey").alias("table_name"), F.when(F.col("c_custkey") % 3 != 0, F.col("r_name")).alias("region"), F.when(
+            F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"),
+        ).otherwise(" ").alias("income"),
     )
     return structure.country_chunks(rows).select(F.substring("code", 2, 20).cast("long").alias("k"), "text")
 
@@ -66,7 +68,10 @@ def country_chunks(spark, sf_dir):
 @query("SELECT p_partkey AS k, 'Indicator metadata: P.' || p_partkey || ' = ' || p_name || '. Source note: ' || CASE WHEN p_size % 4 = 0 THEN 'not provided' ELSE p_brand END || '.' AS text FROM part WHERE p_partkey % 9 <> 0")
 def indicator_chunks(spark, sf_dir):
     p = read(spark, sf_dir, "part")
-    rows = p.select(F.when(F.col("p_partkey") % 9 != 0, F.concat(F.lit("P."), "p_partkey")).alias("code"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 4 != 0, F.col("p_brand")).otherwise("").alias("note"))
+    rows = p.select(
+        F.when(F.col("p_partkey") % 9 != 0, F.concat(F.lit("P."), "p_partkey")).alias("code"), F.col("p_name").alias("name"),
+        F.when(F.col("p_size") % 4 != 0, F.col("p_brand")).otherwise("").alias("note"),
+    )
     return structure.indicator_chunks(rows).select(F.substring("code", 3, 20).cast("long").alias("k"), "text")
 
 
@@ -77,9 +82,15 @@ UNION ALL SELECT l_orderkey, 'tablecsv::Table_' || id || '::row::' || r, 'Extrac
 def table_chunks(spark, sf_dir):
     """Each order's lines as an extracted table, half of them with a page and a number in the file's name."""
     li = read(spark, sf_dir, "lineitem")
-    row = F.array(F.when(F.col("l_linenumber") % 3 > 0, F.col("l_partkey").cast("string")).otherwise(".."), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" "), "l_returnflag")).otherwise("n/a"), F.lit("7"))
+    row = F.array(
+        F.when(F.col("l_linenumber") % 3 > 0, F.col("l_partkey").cast("string")).otherwise(".."),
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" "), "l_returnflag")).otherwise("n/a"), F.lit("7"),
+    )
     t = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("r")))).alias("xs"))
-    name = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("page_"), F.col("l_orderkey") % 90, F.lit("_Table_"), F.col("l_orderkey") % 50, F.lit("."), "l_orderkey", F.lit(".csv"))).otherwise(F.concat(F.lit("x"), "l_orderkey", F.lit(".csv")))
+    name = F.when(
+        F.col("l_orderkey") % 2 == 0,
+        F.concat(F.lit("page_"), F.col("l_orderkey") % 90, F.lit("_Table_"), F.col("l_orderkey") % 50, F.lit("."), "l_orderkey", F.lit(".csv")),
+    ).otherwise(F.concat(F.lit("x"), "l_orderkey", F.lit(".csv")))
     tables = t.select(F.concat(F.lit("dir/"), name).alias("file"), F.array(F.lit("Part"), F.lit(" Flag"), F.lit(" ")).alias("headers"), F.transform("xs", lambda x: x["r"]).alias("rows"), "l_orderkey")
     keys = tables.select("file", "l_orderkey")
     return structure.table_chunks(tables.drop("l_orderkey")).join(keys, "file").select("l_orderkey", "chunk_id", "text")
@@ -90,7 +101,10 @@ FROM (SELECT doc_id, lang, text || CASE WHEN doc_id % 3 = 0 THEN ' [CHART DESCRI
 def enrichment_flags(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     t = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " [CHART DESCRIPTION] a Diagram").when(F.col("doc_id") % 4 == 0, " |---|").otherwise(""))
-    m = F.create_map(F.lit("contains_chart"), (F.col("doc_id") % 5 == 0).cast("string"), F.lit("contains_table"), (F.col("doc_id") % 7 == 0).cast("string"), F.lit("source_type"), F.when(F.col("lang") == "en", "csv").otherwise("pdf"), F.lit("type"), F.when(F.col("lang") == "fr", "diagram"))
+    m = F.create_map(
+        F.lit("contains_chart"), (F.col("doc_id") % 5 == 0).cast("string"), F.lit("contains_table"), (F.col("doc_id") % 7 == 0).cast("string"),
+        F.lit("source_type"), F.when(F.col("lang") == "en", "csv").otherwise("pdf"), F.lit("type"), F.when(F.col("lang") == "fr", "diagram"),
+    )
     e = structure.enrichment(t, m)
     return d.select("doc_id", e["contains_chart"].alias("chart"), e["contains_table"].alias("tbl"), e["contains_csv_semantic_sentence"].alias("csv"), e["contains_diagram"].alias("diagram"))
 
@@ -112,7 +126,9 @@ def lookup_lines(spark, sf_dir):
 @query("""SELECT n_nationkey, 'Country: ' || n_name || ' (N' || n_nationkey || '). Indicator: orders, code O.1. ' || CASE WHEN len(ys) > 0 THEN 'Annual values are available for ' || len(ys) || ' years from ' || ys[1] || ' to ' || ys[-1] || ' within a source series spanning 9 years.' ELSE 'The source CSV contains the row structure, but all annual values in the detected year columns are missing.' END AS text
 FROM (SELECT n_nationkey, n_name, coalesce(list_sort(list_distinct(list(CASE WHEN c_custkey % 3 = 0 AND n_nationkey > 2 THEN year(o_orderdate) END))), []) AS ys FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)""")
 def series_texts(spark, sf_dir):
-    j = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(read(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    j = read(spark, sf_dir, "nation").join(
+        read(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left",
+    ).join(read(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
     year = F.when((F.col("c_custkey") % 3 == 0) & (F.col("n_nationkey") > 2), F.year("o_orderdate"))
     g = j.groupBy("n_nationkey", "n_name").agg(F.array_sort(F.collect_set(year)).alias("ys"))
     return g.select("n_nationkey", structure.series_text(F.col("n_name"), F.concat(F.lit("N"), "n_nationkey"), F.lit("orders"), F.lit("O.1"), F.col("ys"), F.lit(9)).alias("text"))
@@ -134,8 +150,14 @@ def _asks(spark, sf_dir):
 
 def _store(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
-    payload = F.create_map(F.lit("label"), F.when(F.col("c_custkey") % 2 == 0, F.expr(_LABEL)), F.lit("metadata.entity_ids"), F.when(F.col("c_custkey") % 2 == 1, F.concat(F.lit("none|"), F.expr(_LABEL))), F.lit("metadata.other"), F.expr(_LABEL))
-    return c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 11 != 0, F.col("c_name")).otherwise(" ").alias("text"), payload.alias("payload"), F.expr(_IMAGE).alias("image"), (F.col("c_mktsegment") == "BUILDING").alias("chart"), (F.col("c_custkey") % 100).alias("parent_id"))
+    payload = F.create_map(
+        F.lit("label"), F.when(F.col("c_custkey") % 2 == 0, F.expr(_LABEL)), F.lit("metadata.entity_ids"),
+        F.when(F.col("c_custkey") % 2 == 1, F.concat(F.lit("none|"), F.expr(_LABEL))), F.lit("metadata.other"), F.expr(_LABEL),
+    )
+    return c.select(
+        F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 11 != 0, F.col("c_name")).otherwise(" ").alias("text"), payload.alias("payload"),
+        F.expr(_IMAGE).alias("image"), (F.col("c_mktsegment") == "BUILDING").alias("chart"), (F.col("c_custkey") % 100).alias("parent_id"),
+    )
 
 
 @query(f"WITH {_ENT_SQL} SELECT query_id, kind, id AS identifier, upper(kind[1]) || kind[2:] || ' ' || id AS label FROM ent")
@@ -169,8 +191,14 @@ def step_three(spark, sf_dir):
 
 @query("""SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, c_custkey, row_number() OVER (PARTITION BY s_suppkey, c_nationkey, c_custkey % 3 ORDER BY c_custkey) AS r FROM supplier JOIN customer ON s_suppkey % 30 = c_custkey % 25 WHERE s_suppkey % 30 > 0) WHERE r = 1""")
 def exact_figures(spark, sf_dir):
-    q = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.when(F.col("s_suppkey") % 30 > 0, F.concat(F.lit(" FIG-"), F.col("s_suppkey") % 30)).otherwise("  ").alias("figure_id"))
-    d = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("fig-"), F.col("c_custkey") % 25).alias("figure_id"), F.col("c_nationkey").cast("string").alias("source"), (F.col("c_custkey") % 3).cast("string").alias("page"))
+    q = read(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("query_id"),
+        F.when(F.col("s_suppkey") % 30 > 0, F.concat(F.lit(" FIG-"), F.col("s_suppkey") % 30)).otherwise("  ").alias("figure_id"),
+    )
+    d = read(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat(F.lit("fig-"), F.col("c_custkey") % 25).alias("figure_id"), F.col("c_nationkey").cast("string").alias("source"),
+        (F.col("c_custkey") % 3).cast("string").alias("page"),
+    )
     return exact.exact_figures(q, d, "c_custkey").select(F.col("query_id").alias("s_suppkey"), "c_custkey")
 
 
@@ -181,11 +209,16 @@ def exact_values(spark, sf_dir):
     """Questions of a nation, a year and a metric, against a fact for each order."""
     n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     c = read(spark, sf_dir, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey"))
-    said = F.concat(F.lit("What were "), F.when(F.col("c_custkey") % 2 == 0, "GDP").otherwise("emissions"), F.lit(" of "), "n_name", F.lit(" in "), F.when(F.col("c_custkey") % 5 != 0, (1992 + F.col("c_custkey") % 8).cast("string")).otherwise("some year"))
+    said = F.concat(
+        F.lit("What were "), F.when(F.col("c_custkey") % 2 == 0, "GDP").otherwise("emissions"), F.lit(" of "), "n_name", F.lit(" in "),
+        F.when(F.col("c_custkey") % 5 != 0, (1992 + F.col("c_custkey") % 8).cast("string")).otherwise("some year"),
+    )
     q = c.select(F.col("c_custkey").alias("query_id"), said.alias("text"))
     o = read(spark, sf_dir, "orders").join(c.select("c_custkey", "n_name"), F.col("o_custkey") == F.col("c_custkey"))
     facts = o.select(
-        F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderkey") % 4 != 0, "CSV").otherwise("pdf").alias("source_type"), F.col("n_name").alias("name"), F.lit("zz").alias("code"), F.year("o_orderdate").cast("string").alias("year"),
+        F.col("o_orderkey").alias("ord"), F.when(
+            F.col("o_orderkey") % 4 != 0, "CSV",
+        ).otherwise("pdf").alias("source_type"), F.col("n_name").alias("name"), F.lit("zz").alias("code"), F.year("o_orderdate").cast("string").alias("year"),
         F.when(F.col("o_orderkey") % 3 == 0, "gdp").otherwise("co2").alias("metric"),
     )
     aliases = n.select(F.col("n_name").alias("alias"), F.col("n_name").alias("value"))
@@ -267,7 +300,9 @@ def crop_usability(spark, sf_dir):
 @query("SELECT reason, count(*) AS n FROM (SELECT unnest(CASE l_linenumber % 3 WHEN 0 THEN ['blurred', l_linestatus] WHEN 1 THEN ['blurred'] ELSE ['unknown'] END) AS reason FROM lineitem WHERE l_quantity < 10) GROUP BY reason")
 def crop_reasons(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").withColumn("usable", F.col("l_quantity") >= 10)
-    why = F.when(F.col("l_linenumber") % 3 == 0, F.array(F.lit("blurred"), F.col("l_linestatus"))).when(F.col("l_linenumber") % 3 == 1, F.array(F.lit("blurred"))).otherwise(F.array().cast("array<string>"))
+    why = F.when(
+        F.col("l_linenumber") % 3 == 0, F.array(F.lit("blurred"), F.col("l_linestatus")),
+    ).when(F.col("l_linenumber") % 3 == 1, F.array(F.lit("blurred"))).otherwise(F.array().cast("array<string>"))
     return evaluate.failed_reasons(li.withColumn("reasons", why))
 
 
@@ -325,7 +360,9 @@ def cross_references(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     k = F.col("l_linenumber")
     none = F.array().cast("array<string>")
-    es = F.when(k % 4 == 0, F.array(F.concat(F.lit("Figure "), F.col("l_orderkey") % 20))).when(k % 4 == 1, F.array(F.concat(F.lit("Table "), F.col("l_orderkey") % 30), F.lit("Figure 9"))).otherwise(none)
+    es = F.when(k % 4 == 0, F.array(F.concat(F.lit("Figure "), F.col("l_orderkey") % 20))).when(
+        k % 4 == 1, F.array(F.concat(F.lit("Table "), F.col("l_orderkey") % 30), F.lit("Figure 9")),
+    ).otherwise(none)
     rows = li.select(F.col("l_orderkey").alias("doc"), k.alias("n"), F.when(k % 4 > 0, k % 2).alias("page"), F.when(k % 3 == 0, "a|b").otherwise("words").alias("text"), es.alias("entities"))
     out = structure.cross_references(rows)
     return out.select("doc", "n", F.array_join("entities", ",").alias("entities"), F.array_join(F.array_sort("references"), ",").alias("refs"))
@@ -343,6 +380,9 @@ def inferred_pages(spark, sf_dir):
     """The page of each line of a document, from pages of 50 words; a fold, which tests restate."""
     d = read(spark, sf_dir, "documents")
     words = d.select(F.col("doc_id").alias("doc"), text.tokens(F.col("text")).alias("t")).filter("size(t) > 0")
-    pages = words.select("doc", "t", F.explode(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / 50))).alias("p")).select("doc", (F.col("p") + 1).cast("long").alias("page"), F.array_join(F.slice("t", (F.col("p") * 50 + 1).cast("int"), 50), " ").alias("page_text"))
+    pages = words.select("doc", "t", F.explode(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / 50))).alias("p")).select(
+        "doc", (F.col("p") + 1).cast("long").alias("page"),
+        F.array_join(F.slice("t", (F.col("p") * 50 + 1).cast("int"), 50), " ").alias("page_text"),
+    )
     lines = d.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "text")).withColumn("n", F.col("n").cast("long"))
     return structure.inferred_pages(lines, pages)

@@ -48,8 +48,14 @@ def _lookup(spark, sf_dir):
     nation = read(spark, sf_dir, "nation")
     years = F.explode(F.sequence(F.lit(1992), F.lit(2000)))
     c = nation.select("n_nationkey", "n_name", years.alias("year"))
-    c = c.select((F.col("n_nationkey") * 10 + F.col("year") - 1992).alias("cid"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey")).otherwise(-1).alias("code"), F.lower("n_name").alias("name"), F.lit("v").alias("metric"), "year")
-    facts = _long(spark, sf_dir).join(nation, F.col("k") == F.col("n_nationkey")).select(F.col("k").alias("code"), F.col("n_name").alias("name"), F.lit("v").alias("metric"), "year", "value", F.col("year").alias("ord"))
+    c = c.select(
+        (F.col("n_nationkey") * 10 + F.col("year") - 1992).alias("cid"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey")).otherwise(-1).alias("code"), F.lower("n_name").alias("name"),
+        F.lit("v").alias("metric"), "year",
+    )
+    facts = _long(spark, sf_dir).join(nation, F.col("k") == F.col("n_nationkey")).select(
+        F.col("k").alias("code"), F.col("n_name").alias("name"), F.lit("v").alias("metric"), "year", "value", F.col("year").alias("ord"),
+    )
     return c, tabular.lookup(c, facts)
 
 
@@ -101,9 +107,14 @@ def alias_match(spark, sf_dir):
 @query("""SELECT n_nationkey AS file, n_nationkey % 4 AS row, CASE n_regionkey % 3 WHEN 0 THEN 'world_bank_wide' WHEN 1 THEN 'country_metadata' ELSE 'indicator_metadata' END AS kind FROM nation""")
 def header_detect(spark, sf_dir):
     """A table for each nation: title, blank and data rows around the header of one of three kinds."""
-    named = F.element_at(F.array(F.array(*map(F.lit, ("Country Name", " country code", "Indicator Name", "1960"))), F.array(*map(F.lit, ("Country Code", "Region", "IncomeGroup"))), F.array(*map(F.lit, ("INDICATOR_CODE", "INDICATOR_NAME", "note")))), (F.col("n_regionkey") % 3 + 1).cast("int"))
+    named = F.element_at(
+        F.array(F.array(*map(F.lit, ("Country Name", " country code", "Indicator Name", "1960"))), F.array(*map(F.lit, ("Country Code", "Region", "IncomeGroup"))), F.array(*map(F.lit, ("INDICATOR_CODE", "INDICATOR_NAME", "note")))),
+        (F.col("n_regionkey") % 3 + 1).cast("int"),
+    )
     rows = read(spark, sf_dir, "nation").withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
-    other = F.when(F.col("row") == 0, F.array(F.lit("Data Source"), F.lit("Country Code"), F.lit("Region"))).when(F.col("row") % 2 == 1, F.array(F.lit(""), F.lit(" "))).otherwise(F.array("n_name", F.lit("region"), F.lit("7")))
+    other = F.when(
+        F.col("row") == 0, F.array(F.lit("Data Source"), F.lit("Country Code"), F.lit("Region")),
+    ).when(F.col("row") % 2 == 1, F.array(F.lit(""), F.lit(" "))).otherwise(F.array("n_name", F.lit("region"), F.lit("7")))
     cells = F.when(F.col("row") == F.col("n_nationkey") % 4, named).otherwise(other)
     return tabular.header_row(rows.select(F.col("n_nationkey").alias("file"), "row", cells.alias("cells")))
 
@@ -190,7 +201,9 @@ def page_windows(spark, sf_dir):
 def nearest_caption(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     rows = e.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
-    return session.nearest_within(rows, "user_id", "pos", F.col("event_type") == "view", F.col("event_type") == "click").select("user_id", F.col("at").cast("long").alias("at"), F.col("nearest").cast("long").alias("nearest"))
+    return session.nearest_within(rows, "user_id", "pos", F.col("event_type") == "view", F.col("event_type") == "click").select(
+        "user_id", F.col("at").cast("long").alias("at"), F.col("nearest").cast("long").alias("nearest"),
+    )
 
 
 @query("SELECT event_id AS row_id, coalesce('s' || (event_id % 100 // 20), '') AS section FROM events WHERE event_id % 100 % 20 < 15 UNION ALL SELECT event_id, '' FROM events WHERE event_id % 100 % 20 >= 15")
@@ -235,7 +248,10 @@ def tiered_unique_match(spark, sf_dir):
 @query("SELECT c_custkey, arg_max(v, (ver, v)) AS value FROM (SELECT c_custkey, s_suppkey AS ver, s_name AS v FROM customer JOIN supplier ON c_custkey = s_suppkey UNION ALL SELECT c_custkey, s_suppkey, s_name FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 5 = s_suppkey % 5) GROUP BY 1")
 def either_key_update(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("path"), F.col("c_nationkey").alias("figure"), (F.col("c_custkey") % 5).alias("page"))
-    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("path"), F.col("s_nationkey").alias("figure"), (F.col("s_suppkey") % 5).alias("page"), F.col("s_suppkey").alias("version"), F.col("s_name").alias("value"))
+    s = read(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("path"), F.col("s_nationkey").alias("figure"), (F.col("s_suppkey") % 5).alias("page"),
+        F.col("s_suppkey").alias("version"), F.col("s_name").alias("value"),
+    )
     return entities.either_update(c, s, "c_custkey", [["path"], ["figure", "page"]])
 
 
@@ -289,7 +305,9 @@ def coverage_audit(spark, sf_dir):
 
 @query("WITH m AS (SELECT source, avg(n_chars) FILTER (lang = 'en') AS base, avg(n_chars) FILTER (lang <> 'en') AS other FROM documents GROUP BY source) SELECT source, round(CASE WHEN base = 0 THEN 0 ELSE (other - base) / base * 100 END, 4)::DOUBLE AS delta FROM m")
 def ab_delta(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").groupBy("source").agg(F.avg(F.when(F.col("lang") == "en", F.col("n_chars"))).alias("base"), F.avg(F.when(F.col("lang") != "en", F.col("n_chars"))).alias("other"))
+    d = read(spark, sf_dir, "documents").groupBy("source").agg(
+        F.avg(F.when(F.col("lang") == "en", F.col("n_chars"))).alias("base"), F.avg(F.when(F.col("lang") != "en", F.col("n_chars"))).alias("other"),
+    )
     return d.select("source", F.round(evaluate.delta_percent(F.col("base"), F.col("other")), 4).alias("delta"))
 
 

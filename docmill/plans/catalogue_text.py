@@ -120,7 +120,10 @@ def strip_brackets(spark, sf_dir):
 def asset_sentences(spark, sf_dir):
     """Sentences on competing assets masked, parts with a keyword, pruned tags; look-around keeps them from SQL here."""
     t = F.col("text")
-    return asked(spark, sf_dir).select("query_id", chunking.competing_masked(t, "figure", ["table", "chart", "box"]).alias("masked"), F.size(chunking.keyword_parts(t, F.lit("gdp"))).alias("parts"), chunking.pruned(t).alias("pruned"), chunking.clean_text(t).alias("clean"))
+    return asked(spark, sf_dir).select(
+        "query_id", chunking.competing_masked(t, "figure", ["table", "chart", "box"]).alias("masked"),
+        F.size(chunking.keyword_parts(t, F.lit("gdp"))).alias("parts"), chunking.pruned(t).alias("pruned"), chunking.clean_text(t).alias("clean"),
+    )
 
 
 @query("SELECT doc_id, array_to_string(list(l ORDER BY k), ', ') AS once FROM (SELECT doc_id, l, min(k) AS k FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS l, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents) WHERE l <> '' GROUP BY ALL) GROUP BY doc_id")
@@ -150,7 +153,10 @@ _TBL = "'intro' || chr(10) || '| a' || c_nationkey || ' | b |' || chr(10) || '|-
 def md_table_parse(spark, sf_dir):
     c = read(spark, sf_dir, "customer").withColumn("md", F.expr(_TBL.replace("chr(10)", "char(10)")))
     s = tabular.table_summary(F.col("md"))
-    return c.select("c_custkey", s["headers"].alias("headers"), s["rows"].cast("long").alias("n"), tabular.markdown_rows(F.col("md"))[1][0].alias("first"), F.coalesce(F.get(F.get(tabular.markdown_rows(F.col("md")), F.lit(2)), F.lit(0)), F.lit("-")).alias("second"))
+    return c.select(
+        "c_custkey", s["headers"].alias("headers"), s["rows"].cast("long").alias("n"), tabular.markdown_rows(F.col("md"))[1][0].alias("first"),
+        F.coalesce(F.get(F.get(tabular.markdown_rows(F.col("md")), F.lit(2)), F.lit(0)), F.lit("-")).alias("second"),
+    )
 
 
 @query("SELECT n_nationkey, '| id | name | more |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |  |' AS md FROM nation")

@@ -35,7 +35,10 @@ def csv_matrix(spark: SparkSession, folder: str) -> DataFrame:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lines = csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""))
                 rows = [[c.strip() for c in line] for line in lines if any(c.strip() for c in line) or len(line) > 1]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["file", "row", "cells"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))],
+                    names=["file", "row", "cells"],
+                )
 
     return raw.mapInArrow(run, "file string, row int, cells array<string>")
 
