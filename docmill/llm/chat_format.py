@@ -66,7 +66,10 @@ LAYOUTS = (
     Layout("instruction", ("instruction:string", "output:string"), (("user", "instruction"), ("assistant", "output"))),
     Layout("instruction-input", ("instruction:string", "input:string", "output:string"), (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("system-instruction", ("system:string", "instruction:string", "output:string"), (("system", "system"), ("user", "instruction"), ("assistant", "output"))),
-    Layout("system-instruction-input", ("system:string", "instruction:string", "input:string", "output:string"), (("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Layout(
+        "system-instruction-input", ("system:string", "instruction:string", "input:string", "output:string"),
+        (("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")),
+    ),
     Layout("messages", ("messages[].role:string", "messages[].content:string"), messages="messages", role="role", text="content"),
     Layout("conversations", ("conversations[].from:string", "conversations[].value:string"), messages="conversations", role="from", text="value"),
     Layout("turns", ("turns[].role:string", "turns[].text:string"), messages="turns", role="role", text="text"),

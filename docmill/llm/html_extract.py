@@ -201,7 +201,11 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
-_KINDS = ({"article", "main"}, {"nav", "header", "footer", "aside", "form", "fieldset", "dialog", "menu"}, {"div", "section", "center"}, {"p", "blockquote", "pre", "figcaption"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "li", "dl", "dt", "dd"}, {"table", "tr", "td", "th", "tbody"}, {"text"})
+_KINDS = (
+    {"article", "main"}, {"nav", "header", "footer", "aside", "form", "fieldset", "dialog", "menu"}, {"div", "section", "center"},
+    {"p", "blockquote", "pre", "figcaption"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "li", "dl", "dt", "dd"},
+    {"table", "tr", "td", "th", "tbody"}, {"text"},
+)
 _KIND = {tag: k for k, tags in enumerate(_KINDS) for tag in tags}
 WIDTH = 16 + len(_KINDS)
 

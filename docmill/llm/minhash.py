@@ -140,7 +140,11 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> DataF
             set_a = np.array([np.bitwise_xor.reduce(_mixed(s ^ _GOLDEN)) if len(s) else 0 for s in sets], np.uint64)
             set_b = np.array([_mixed(s + _MIX).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), _lists(keys.reshape(-1).view(np.int64), bands, pa.int64()), _lists(minima.astype(np.uint16).reshape(-1).view(np.int16), bands * rows, pa.int16())],
+                [
+                    batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_a.view(np.int64)),
+                    pa.array(set_b.view(np.int64)), _lists(keys.reshape(-1).view(np.int64), bands, pa.int64()),
+                    _lists(minima.astype(np.uint16).reshape(-1).view(np.int16), bands * rows, pa.int16()),
+                ],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "minima"],
             )
         _words.clear()  # the worker goes on to other tasks

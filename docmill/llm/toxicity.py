@@ -149,7 +149,10 @@ def _term_counts(batches):
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
             counts[y].update({t for w in {plain(w)[0] for w in (text or "").split()} if w for t in terms(w)})
         names = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][x] for x in names], pa.int64()), pa.array([counts[0][x] for x in names], pa.int64())], names=["term", "toxic", "other"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array([counts[1][x] for x in names], pa.int64()), pa.array([counts[0][x] for x in names], pa.int64())],
+            names=["term", "toxic", "other"],
+        )
 
 
 def _features_of(lexicon: dict[str, float]):
