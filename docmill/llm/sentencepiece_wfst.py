@@ -43,7 +43,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: SentencePiece's distance of an unknown character below the worst piece of a unigram model.
 UNKNOWN_PENALTY = 10.0
 #: Parts, and pairs of pieces, that a worker remembers; longer parts are not remembered.
-MEMO_PARTS, MEMO_PAIRS, MEMO_LENGTH = 100_000, 250_000, 200
+MEMO_PARTS, MEMO_PAIRS, MEMO_LENGTH = 200_000, 400_000, 200
 NO_PIECE = float("inf")
 #: Ids whose surfaces are gathered at a time.
 GATHERED = 500_000
