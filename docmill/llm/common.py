@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,5 +122,21 @@ def parted(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataF
     return met.filter(maybe).select("row.*"), met.filter(~maybe).select("row.*")
 
 
+def ranked(rows: DataFrame, order: list[Column], sums: list[str], name: str) -> DataFrame:
+    """``rows`` with n, their place in ``order`` (a total one), and sum_<c> for each of ``sums``, over all rows up to their own.
+
+    Rows are sorted into ranges; a range's rows meet in one task, and only one row for each range in a single one.
+    """
+    at = F.monotonically_increasing_id()  # in sorted rows: the range's number, and the place within the range
+    rows = written(rows.orderBy(*order).withColumn("at", at), name).withColumn("range", F.shiftright("at", 33))
+    own = Window.partitionBy("range").orderBy("at")
+    here = rows.withColumns({f"sum_{c}": F.sum(c).over(own) for c in sums} | {"n": F.row_number().over(own).cast("long")})
+    each = rows.groupBy("range").agg(F.count("*").alias("rows_n"), *[F.sum(c).alias(f"rows_{c}") for c in sums])
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select(F.col("range").alias("r"), *[F.coalesce(F.sum(f"rows_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in ["n", *sums]])
+    met = here.join(each, F.col("range") == F.col("r"))
+    return met.withColumns({f"sum_{c}": F.col(f"sum_{c}") + F.col(f"before_{c}") for c in sums} | {"n": F.col("n") + F.col("before_n")}).drop("at", "range", "r", "before_n", *[f"before_{c}" for c in sums])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

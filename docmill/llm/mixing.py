@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ranked, written
 
 WEIGHTS = (5, 2, 1)
 #: Documents of a chunk on average.
@@ -27,22 +27,6 @@ def sizes(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     return docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), words.alias("size"))
 
 
-def _ranked(rows: DataFrame, order: list[Column], sums: list[str], name: str) -> DataFrame:
-    """``rows`` with n, their place in ``order`` (a total one), and sum_<c> for each of ``sums``, over all rows up to their own.
-
-    Rows are sorted into ranges; a range's rows meet in one task, and only one row for each range in a single one.
-    """
-    at = F.monotonically_increasing_id()  # in sorted rows: the range's number, and the place within the range
-    rows = written(rows.orderBy(*order).withColumn("at", at), name).withColumn("range", F.shiftright("at", 33))
-    own = Window.partitionBy("range").orderBy("at")
-    here = rows.withColumns({f"sum_{c}": F.sum(c).over(own) for c in sums} | {"n": F.row_number().over(own).cast("long")})
-    each = rows.groupBy("range").agg(F.count("*").alias("rows_n"), *[F.sum(c).alias(f"rows_{c}") for c in sums])
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.select(F.col("range").alias("r"), *[F.coalesce(F.sum(f"rows_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in ["n", *sums]])
-    met = here.join(each, F.col("range") == F.col("r"))
-    return met.withColumns({f"sum_{c}": F.col(f"sum_{c}") + F.col(f"before_{c}") for c in sums} | {"n": F.col("n") + F.col("before_n")}).drop("at", "range", "r", "before_n", *[f"before_{c}" for c in sums])
-
-
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Columns source, source_size, source_rows, target: ``share`` of all words dealt out by weight, none above ``most`` times its source.
 
@@ -52,10 +36,10 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     running sums go by ranges.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    per = _ranked(per, [F.col("source").asc_nulls_last()], [], "sources")
+    per = ranked(per, [F.col("source").asc_nulls_last()], [], "sources")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("n") - 1) % len(weights) + 1).cast("int"))
     per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("ratio", F.col("cap") / F.col("weight")).drop("n")
-    per = _ranked(per, [F.col("ratio"), F.col("source").asc_nulls_last()], ["cap", "weight"], "sources")
+    per = ranked(per, [F.col("ratio"), F.col("source").asc_nulls_last()], ["cap", "weight"], "sources")
     every = per.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights"))  # one row
     rest = F.col("weights") - F.col("sum_weight") + F.col("weight")
     per = per.crossJoin(every).withColumn("level", (F.col("words") * F.lit(share) - F.col("sum_cap") + F.col("cap")) / rest)

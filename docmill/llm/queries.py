@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, hnsw, html_extract, imatch, minhash, mixing, sentencepiece_wfst, token_counts, toxicity, url_filter
+from . import chat_format, hnsw, html_extract, imatch, impact_index, minhash, mixing, nbsvm, prefix_trie, sentencepiece_wfst, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -72,6 +72,21 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_impact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = impact_index.build(table(spark, sf_dir, "documents"))
+    return impact_index.search(index, impact_index.asked_terms(table(spark, sf_dir, "benchmark")))
+
+
+def op12_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = nbsvm.score(docs, nbsvm.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", nbsvm.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -96,6 +111,17 @@ t AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM t"""
 
 
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+LEXICAL_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ws FROM documents),
+s AS (SELECT count(*) FILTER (len(ws) > 0) AS n, sum(len(ws))::BIGINT AS l FROM d),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS len, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p CROSS JOIN s GROUP BY term, n),
+c AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len * n) // l))))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term) CROSS JOIN s GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0) WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators whose whole result it can express."""
-    return {"op2_minhash": NEAR_SQL, "op4_chat_format": CHAT_SQL}
+    return {"op2_minhash": NEAR_SQL, "op4_chat_format": CHAT_SQL, "op11_impact_index": LEXICAL_SQL}
