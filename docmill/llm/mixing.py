@@ -4,21 +4,30 @@ A source whose target is r times its size takes every document floor(r) times fo
 more with the probability r - floor(r). Rounding these probabilities independently would leave a
 source's words far from its target; so two documents at a time trade probability, weighed by their
 words, until one of them is 0 or 1: the expected copies of each and the words of both stay as they
-were. The one left over goes on to the next document of its chunk. Chunks of a source hold a bounded
-number of documents (picked by hash, long ones first, so that the last one is short), each leaves one document, and these meet in the chunks of the
+were. The one left over goes on to the next document of its chunk. Chunks hold a bounded
+number of documents (picked by hash), each leaves one document, and these meet in the chunks of the
 next level: a reduction tree of logarithmic depth whatever share of the rows a source holds.
+
+In a trade the shorter document is settled first as a rule, so what a tree leaves is one of its longest. Documents
+are therefore rounded by classes of size, the longest first, and only documents of like size trade. The one that a class
+leaves is drawn; the words by which the class then differs from its expectation are made up for by all shorter
+documents, whose probability is what is left of the target over what is left of the words. That keeps every
+document's expected copies (unless shorter documents are too few to make up for it), and a source ends off its target by
+a document of the smallest class that it has, not by its longest.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ranked, written
 
 WEIGHTS = (5, 2, 1)
-#: Documents of a chunk on average.
-CHUNK = 256
+#: Documents of a chunk on average; the longest documents of a class have up to so many times the words of its shortest.
+CHUNK, CLASS = 256, 8
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -76,51 +85,72 @@ def _fold(seed: int) -> str:
     )
 
 
+def _tree(pending: DataFrame, most_chunks: int, seed: int, name: str) -> DataFrame:
+    """source, item and more (0 or 1) of all documents ``pending`` (source, chunks, x): a reduction tree for each source, its last one drawn."""
+    level, done = 0, []
+    while True:
+        chunk = F.pmod(F.xxhash64(F.lit(seed + level), F.col("x.h")), F.col("chunks"))
+        folded = pending.groupBy("source", "chunks", chunk.alias("chunk")).agg(F.sort_array(F.collect_list("x"), asc=False).alias("xs"))
+        folded = folded.select("source", "chunks", F.expr(f"aggregate(xs, {_STATE}, (st, x) -> {_fold(seed)})").alias("st"))
+        folded = written(folded, f"{name}-{level}")
+        done.append(folded.select("source", F.explode("st.done").alias("d")).select("source", "d.item.*", F.col("d.more").alias("more")))
+        pending = folded.select("source", F.ceil(F.col("chunks") / CHUNK).alias("chunks"), F.col("st.left").alias("x"))
+        if most_chunks <= 1:
+            break
+        most_chunks, level = -(-most_chunks // CHUNK), level + 1
+    last = F.pmod(F.xxhash64(F.lit(seed), "h"), F.lit(9007199254740992)) / F.lit(9007199254740992.0) < F.col("p")
+    done.append(pending.select("source", "x.*").withColumn("more", last.cast("int")))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 8, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """How often the mix takes each document: doc_id, source, size, source_size, target, rows, copies.
 
     One row for each distinct (doc_id, source, size); ``rows`` tells how many rows of ``docs`` have
     it, and each of them is taken ``copies`` times. A source's words taken differ from its target by
-    less than one such document; copies never exceed ``most``. Sizes are numbers of words (null text:
+    less than one such document of the smallest class of sizes (1 to 7 words, 8 to 63, ...) that it has, if the shorter
+    documents of a source can make up for its longer ones; copies never exceed ``most``. Sizes are numbers of words (null text:
     0). Documents without words trade with nobody and are drawn alone. A null source is a source, a
-    null doc_id an id. All draws are hashes of ids, so that reruns agree. An empty table gives no rows.
+    null doc_id an id. All draws are hashes of ids, so that reruns agree. An empty table gives no rows. The classes
+    are rounded one after the other, by jobs at plan time.
     """
     sized = written(sizes(docs, doc_id, source, text), "sizes")
     goal = written(targets(sized, weights, share, most).withColumnRenamed("source", "goal_source"), "targets")
-    most_chunks = -(-(goal.agg(F.max("source_rows")).first()[0] or 1) // CHUNK)
     items = sized.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "source", "size").agg(F.count("*").alias("rows"))
-    items = items.join(goal, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
+    items = items.join(goal, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source", "source_rows")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # within rounding errors of an integer nothing is left to draw
     items = items.withColumn("sure", F.floor(rate + 1e-9).cast("int")).withColumn("p", F.greatest(rate - F.col("sure"), F.lit(0.0)))
-    items = items.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    items = items.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("s", (F.col("size") * F.col("rows")).cast("double"))
+    items = written(items.withColumn("class", F.floor(F.log(F.greatest("s", F.lit(1.0)) + 0.5) / math.log(CLASS)).cast("int")), "items")
     fixed = (F.col("p") < 1e-9) | (F.col("size") == 0)
     alone = F.when(F.col("p") < 1e-9, F.lit(0)).otherwise((F.pmod(F.xxhash64(F.lit(seed), "h"), F.lit(9007199254740992)) / F.lit(9007199254740992.0) < F.col("p")).cast("int"))
     out = ["doc_id", "source", "size", "source_size", "target", "rows", "copies"]
     decided = items.filter(fixed).withColumn("copies", F.col("sure") + alone).select(*out)
 
-    pending = items.filter(~fixed).select(
-        "source", F.ceil(F.col("source_rows") / CHUNK).alias("chunks"), F.struct((F.col("size") * F.col("rows")).cast("double").alias("s"), "h", "doc_id", "size", "rows", "p").alias("x")
-    )
-    level, done = 0, []
-    while True:
-        chunk = F.pmod(F.xxhash64(F.lit(seed + level), F.col("x.h")), F.col("chunks"))
-        folded = pending.groupBy("source", "chunks", chunk.alias("chunk")).agg(F.sort_array(F.collect_list("x"), asc=False).alias("xs"))
-        folded = folded.select("source", "chunks", F.expr(f"aggregate(xs, {_STATE}, (st, x) -> {_fold(seed)})").alias("st"))
-        folded = written(folded, f"mixed-{level}")
-        done.append(folded.select("source", F.explode("st.done").alias("d")).select("source", "d.item.*", F.col("d.more").alias("more")))
-        pending = folded.select("source", F.ceil(F.col("chunks") / CHUNK).alias("chunks"), F.col("st.left").alias("x"))
-        if most_chunks == 1:
-            break
-        most_chunks, level = -(-most_chunks // CHUNK), level + 1
-    last = F.pmod(F.xxhash64(F.lit(seed), "h"), F.lit(9007199254740992)) / F.lit(9007199254740992.0) < F.col("p")
-    done.append(pending.select("source", "x.*").withColumn("more", last.cast("int")))
-    rounded = done[0]
-    for part in done[1:]:
-        rounded = rounded.unionByName(part)
-    rounded = rounded.join(goal, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
-    rounded = rounded.withColumn("copies", F.floor(F.col("target") / F.col("source_size") + 1e-9).cast("int") + F.col("more"))
-    return decided.unionByName(rounded.select(*out))
+    open_ = items.filter(~fixed)
+    per = written(open_.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("s").alias("words"), F.sum(F.col("s") * F.col("p")).alias("due")), "classes")
+    # what is left of each source: words it has to take, and words there are
+    left = per.groupBy(F.col("source").alias("of")).agg(F.sum("due").alias("due"), F.sum("words").alias("words"))
+    rounded: list[DataFrame] = []
+    for at, n in sorted(((r["class"], r["n"]) for r in per.groupBy("class").agg(F.max("n").alias("n")).collect()), reverse=True):  # some twenty classes at most
+        chunks = per.filter(F.col("class") == at).select("source", F.ceil(F.col("n") / CHUNK).alias("chunks"), F.col("words").alias("own"))
+        here = chunks.join(left, F.col("source").eqNullSafe(F.col("of")))
+        here = here.select(F.col("source").alias("own_source"), "chunks", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("due") / F.col("words"))).alias("rate"))
+        met = open_.filter(F.col("class") == at).join(here, F.col("source").eqNullSafe(F.col("own_source")))
+        pending = met.select("source", "chunks", F.struct("s", "h", "doc_id", "size", "rows", F.col("rate").alias("p")).alias("x"))
+        rounded.append(_tree(pending, -(-n // CHUNK), seed, f"mixed-{at}"))
+        taken = rounded[-1].groupBy(F.col("source").alias("now")).agg(F.sum(F.col("s") * F.col("more")).alias("took"), F.sum("s").alias("gone"))
+        left = left.join(taken, F.col("of").eqNullSafe(F.col("now")), "left")
+        left = left.select("of", *[(F.col(c) - F.coalesce(x, F.lit(0.0))).alias(c) for c, x in (("due", "took"), ("words", "gone"))])
+    for part in rounded:
+        part = part.join(goal, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
+        part = part.withColumn("copies", F.floor(F.col("target") / F.col("source_size") + 1e-9).cast("int") + F.col("more"))
+        decided = decided.unionByName(part.select(*out))
+    return decided
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:

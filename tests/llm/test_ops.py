@@ -521,6 +521,31 @@ def test_mix(spark, sf):
     assert {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {r.doc_id: r.copies for r in rows if r.copies}
 
 
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_every_source_ends_near_its_target(spark, table):
+    docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+    sizes, taken, target = {}, Counter(), {}
+    for r in mixing.mix(docs).collect():
+        sizes.setdefault(r.source, []).append(r["size"])
+        taken[r.source] += r.copies * r["size"]
+        target[r.source] = r.target
+    assert len(target) == 20
+    assert all(abs(taken[s] - t) <= max(0.01 * t, np.median(sizes[s])) for s, t in target.items())
+
+
+def test_a_document_of_a_third_of_its_source(spark):
+    """Whether it is taken or not, the shorter ones make up for it, and it is taken as often as they are."""
+    rows = [(0, "w " * 1000, "a")] + [(k, "w " * (1 + k % 40), "a") for k in range(1, 101)] + [(200, "w " * 3000, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    times = []
+    for seed in range(8):
+        got = mixing.mix(docs, weights=(1, 1), share=0.5, seed=seed).filter("source = 'a'").collect()
+        assert abs(sum(r.copies * r["size"] for r in got) - got[0].target) <= 8
+        times.append(sum(r.copies for r in got if r.doc_id == 0))
+    rate = got[0].target / got[0].source_size
+    assert 1 / 3 < rate < 2 / 3 and abs(np.mean(times) - rate) < 0.4 and set(times) == {0, 1}
+
+
 def test_copies_are_unbiased(spark):
     """Over many seeds each document is taken as often as its source's rate says."""
     rows = [(k, "w " * (1 + k % 7), "a" if k < 30 else "b") for k in range(60)]
