@@ -84,7 +84,8 @@ def parse(page: str) -> Node:
     opened: list[tuple[str, Node | None]] = []  # open elements; inline ones without a node
     parts: list[tuple[str, bool]] = []
     links = skipping = heads = 0  # open elements of these kinds
-    held: dict[str, int] = {}  # open elements of each name, so that nobody looks for one that isn't there
+    held: dict[str, list[int]] = {}  # places in ``opened`` of the elements of each name, so that nobody has to look for one
+    solid: list[int] = []  # places of those with a node
 
     def flush() -> None:
         if parts:
@@ -100,8 +101,9 @@ def parse(page: str) -> Node:
         nonlocal at, links, skipping, heads
         while len(opened) > k:
             tag, node = opened.pop()
-            held[tag] -= 1
+            held[tag].pop()
             if node is not None:
+                solid.pop()
                 flush()
                 at = node.parent
             links -= tag == "a"
@@ -109,7 +111,10 @@ def parse(page: str) -> Node:
             heads -= tag == "head"
 
     def leave_head() -> None:
-        close(next(k for k, (tag, _) in enumerate(opened) if tag == "head"))
+        close(held["head"][0])
+
+    def last(tags) -> int:
+        return max((held[t][-1] for t in tags if held.get(t)), default=-1)
 
     # behind the last ">" no tag ends: what looks like the start of one there is dropped, the text before it stays
     n = page.rfind(">") + 1
@@ -132,12 +137,9 @@ def parse(page: str) -> Node:
             continue
         tag, ending = tag.lower(), bool(m[1] or m[4])
         if ending:
-            for k in range(len(opened) - 1, -1, -1) if held.get(tag) else ():
-                if opened[k][0] == tag:
-                    close(k)
-                    break
-                if tag not in BLOCKS and opened[k][1] is not None:
-                    break  # an inline end tag doesn't close blocks
+            k = last((tag,))
+            if k >= 0 and (tag in BLOCKS or not solid or k >= solid[-1]):  # an inline end tag doesn't close blocks
+                close(k)
             continue
         if heads and tag not in IN_HEAD:
             leave_head()
@@ -151,20 +153,13 @@ def parse(page: str) -> Node:
             continue
         if tag in VOID and tag != "hr":
             continue
-        if tag in NO_P and held.get("p"):
-            for k in range(len(opened) - 1, -1, -1):
-                if opened[k][0] == "p":
-                    close(k)
-                    break
-                if opened[k][1] is not None:
-                    break
-        if tag in CLOSES and any(map(held.get, CLOSES[tag])):
-            for k in range(len(opened) - 1, -1, -1):
-                if opened[k][0] in CLOSES[tag]:
-                    close(k)
-                    if tag != "tr":
-                        break
-                elif opened[k][0] in HOLDERS and not (tag == "tr" and opened[k][0] in ("td", "th")):
+        if tag in NO_P and (k := last(("p",))) >= 0 and (not solid or k >= solid[-1]):
+            close(k)
+        if tag in CLOSES:
+            holder = last(t for t in HOLDERS if t not in CLOSES[tag] and not (tag == "tr" and t in ("td", "th")))
+            while (k := last(CLOSES[tag])) > holder:
+                close(k)
+                if tag != "tr":
                     break
         if tag == "a":
             links += 1
@@ -182,10 +177,11 @@ def parse(page: str) -> Node:
             at = Node(tag, at)
             _attributes(at, m[3] or m[6] or "")
             opened.append((tag, at))
-            held[tag] = held.get(tag, 0) + 1
+            solid.append(len(opened) - 1)
+            held.setdefault(tag, []).append(len(opened) - 1)
         elif tag == "head" or not (m[3] or m[6] or "").endswith("/"):
             opened.append((tag, None))
-            held[tag] = held.get(tag, 0) + 1
+            held.setdefault(tag, []).append(len(opened) - 1)
             if tag not in SKIPPED:
                 at.tags += 1
     flush()

@@ -85,3 +85,20 @@ def test_uneven_json_records_keep_their_turns(spark):
         got.setdefault(r.id, []).append((r.role, r.text))
         assert (r.layout is None) == (r.role is None)
     assert list(got.values()) == list(said.values())
+
+
+@pytest.mark.parametrize("pattern", ["<i><div>{b}{end}", "<ul><li><ul>{b}{items}", "<p><div>{b}{blocks}", "<a><table>{b}{cells}"])
+def test_stray_and_open_tags_take_linear_time(pattern):
+    """Four times the page takes about four times the time; a way that looks through what is open would take sixteen times."""
+    import time
+
+    def took(n):
+        page = pattern.format(b="<b>" * n, end="</i>" * n, items="<li></li>" * n, blocks="<div></div>" * n, cells="<td></td>" * n)
+        times = []
+        for _ in range(3):
+            began = time.perf_counter()
+            html_extract.parse(page)
+            times.append(time.perf_counter() - began)
+        return min(times)
+
+    assert took(16_000) < 9 * max(took(4_000), 0.005)
