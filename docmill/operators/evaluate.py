@@ -2,46 +2,10 @@
 
 from __future__ import annotations
 
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Characters of passages that are looked for at a time.
-PASSAGE_CHARS = 4_000_000
-
-
-def containing(passages: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, doc_id of the documents that hold a passage (query_id, text) as it is.
-
-    All passages of a block are found in one pass over each text; blocks are bounded, whatever their number.
-    Empty passages are in none.
-    """
-    size = passages.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // PASSAGE_CHARS))
-    out = None
-    for block in range(blocks):
-        own: dict[str, list[int]] = {}
-        for r in passages.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).select(F.col("query_id").cast("long"), "text").toLocalIterator():
-            if r["text"]:
-                own.setdefault(r["text"], []).append(r["query_id"])
-
-        def run(batches, own=own):
-            machine = ahocorasick.Automaton()
-            for text, ids in own.items():
-                machine.add_word(text, ids)
-            if own:
-                machine.make_automaton()
-            for batch in batches:
-                found = [(q, doc) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text and own for q in {q for _, ids in machine.iter(text) for q in ids}]
-                yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in found], pa.int64()), pa.array([d for _, d in found], pa.int64())], names=["query_id", "doc_id"])
-
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "query_id long, doc_id long")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def recall_at_k(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """query_id, recall: share of a query's relevant documents among its ``k`` best."""
     hits = ranked.filter(F.col("rank") <= k).select("query_id", "doc_id").distinct().withColumn("hit", F.lit(1))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import quality, text
+from ..functions import quality, text, understand
 from ..operators import index, retrieve
 from .registry import query, read
 
@@ -85,28 +85,43 @@ def hybrid_rrf_topk(spark, sf_dir):
     return out.select("query_id", "doc_id", "score", F.col("tier").cast("long").alias("tier"), "new_rank")
 
 
+_NUMERICAL = f"(regexp_matches(text, '[0-9]') OR list_has_any({TOK}, {list(understand.NUMERICAL)}))"
+_EXPLAIN = f"(list_has_any({TOK}, {list(understand.EXPLANATORY)}) OR (regexp_matches(lower(text), '^what (is|are) ') AND NOT {_NUMERICAL}))"
+_WEIGHT = "CASE intent " + " ".join(f"WHEN '{i}' THEN CASE WHEN lang = 'en' THEN {w['csv']}::DOUBLE ELSE {w['pdf']}::DOUBLE END" for i, w in understand.WEIGHTS.items()) + " END"
+
+
 @query(f"""WITH {BM25_SQL}, {SPARSE_SQL},
 legs AS (SELECT query_id, doc_id, rank FROM bm_ranked WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM sp_ranked WHERE rank <= 20),
-w AS (SELECT query_id, doc_id, round(sum(CASE WHEN lang = 'en' THEN 3.0::DOUBLE ELSE 0.35 END / (60 + rank)), 8) AS score FROM legs JOIN documents USING (doc_id) GROUP BY ALL)
+said AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN text || ' Why?' WHEN item_id % 3 = 1 THEN 'How many? ' || text ELSE text END AS text FROM benchmark),
+intents AS (SELECT query_id, CASE WHEN numerical AND explains THEN 'mixed' WHEN numerical THEN 'numerical' WHEN explains THEN 'explanatory' ELSE 'balanced' END AS intent FROM (SELECT query_id, {_NUMERICAL} AS numerical, {_EXPLAIN} AS explains FROM said)),
+w AS (SELECT query_id, doc_id, round(sum({_WEIGHT} / (60 + rank)), 8) AS score FROM legs JOIN documents USING (doc_id) JOIN intents USING (query_id) GROUP BY ALL)
 SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM w) WHERE rank <= 10""")
 def weighted_rrf(spark, sf_dir):
-    from ..functions.understand import source_weight
-
+    """Fusion weighed by the source's type and by what each question is after."""
     types = chunks(spark, sf_dir).select("doc_id", "source_type")
     a, b = _legs(spark, sf_dir)
     both = a[1].select("query_id", "doc_id", "rank").unionByName(b[1].select("query_id", "doc_id", "rank")).join(types, "doc_id")
-    w = source_weight(F.lit("numerical"), F.col("source_type"))
+    said = F.when(F.col("query_id") % 3 == 0, F.concat("text", F.lit(" Why?"))).when(F.col("query_id") % 3 == 1, F.concat(F.lit("How many? "), "text")).otherwise(F.col("text"))
+    both = both.join(questions(spark, sf_dir).select("query_id", understand.intent(said).alias("intent")), "query_id")
+    w = understand.source_weight(F.col("intent"), F.col("source_type"))
     scored = both.groupBy("query_id", "doc_id").agg(F.round(F.sum(w / (60 + F.col("rank"))), 8).alias("score"))
     return retrieve.top_k(scored, 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {BM25_SQL}, dense AS (SELECT query_id, doc_id, rank FROM bm_ranked WHERE rank <= 10 AND query_id % 2 = 0), kw AS (SELECT query_id, doc_id, rank FROM bm_ranked WHERE rank <= 10)
+NEAR_ENOUGH = 0.4
+
+
+@query(f"""WITH {BM25_SQL}, cq AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN benchmark ON item_id = a.vec_id JOIN embeddings b ON b.vec_id <> a.vec_id),
+dense AS (SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cq WHERE score >= {NEAR_ENOUGH}) WHERE rank <= 10), kw AS (SELECT query_id, doc_id, rank FROM bm_ranked WHERE rank <= 10)
 SELECT query_id, doc_id, round(1.0::DOUBLE / (60 + rank), 8) AS score, 'dense' AS path FROM dense UNION ALL SELECT query_id, doc_id, round(1.0::DOUBLE / (60 + rank), 8), 'keyword' FROM kw WHERE query_id NOT IN (SELECT query_id FROM dense)""")
 def keyword_fallback(spark, sf_dir):
-    """Where the first leg (here: of even queries) finds nothing, the keyword list stands in."""
-    kw = retrieve.bm25(questions(spark, sf_dir), read(spark, sf_dir, "documents"), 10)
-    dense = kw.filter("query_id % 2 = 0").withColumn("path", F.lit("dense"))
-    both = dense.unionByName(kw.withColumn("path", F.lit("keyword")))
+    """Questions whose vector (that of their number) has no near neighbour take the keyword list instead."""
+    q, e = questions(spark, sf_dir), read(spark, sf_dir, "embeddings")
+    asked = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")).join(q, "query_id", "left_semi")
+    dense = retrieve.cosine_top_k(asked, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), 10, itself=False)
+    dense = dense.filter(F.col("score") >= NEAR_ENOUGH).select("query_id", "doc_id", "score", "rank", F.lit("dense").alias("path"))
+    kw = retrieve.bm25(q, read(spark, sf_dir, "documents"), 10)
+    both = dense.unionByName(kw.select("query_id", "doc_id", "score", "rank", F.lit("keyword").alias("path")))
     out = retrieve.cascade(both, [F.col("path") == "dense", F.col("path") == "keyword"])
     return out.select("query_id", "doc_id", F.round(F.lit(1.0) / (60 + F.col("rank")), 8).alias("score"), "path")
 

@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources import files
-from ..workers import shared_dir
+from ..workers import new_path
 from .registry import query, read
 
 
-def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/docmill-{name}-{uuid.uuid4().hex}"
-
-
 @query("""SELECT 0 AS row, 'n_nationkey|n_name|said' AS cells UNION ALL SELECT row_number() OVER (ORDER BY n_nationkey), n_nationkey || '|' || n_name || '|' || CASE WHEN n_nationkey % 3 = 0 THEN 'a, "b"' || chr(10) || 'c' WHEN n_nationkey % 3 = 1 THEN '' ELSE 'x' END FROM nation""")
 def csv_cells(spark, sf_dir):
     """Cells of a CSV file with quotes, commas and line ends in them."""
     n = read(spark, sf_dir, "nation")
     said = F.when(F.col("n_nationkey") % 3 == 0, 'a, "b"\nc').when(F.col("n_nationkey") % 3 == 1, " ").otherwise("x ")
-    path = _folder(spark, "csv")
+    path = new_path(spark, "csv")
     n.select(
         "n_nationkey", "n_name", said.alias("said"),
     ).coalesce(1).sortWithinPartitions("n_nationkey").write.option("header", "true").option("escape", '"').option("quoteAll", "true").option("ignoreTrailingWhiteSpace", "false").option("ignoreLeadingWhiteSpace", "false").csv(path)
@@ -31,7 +25,7 @@ def csv_cells(spark, sf_dir):
 def text_paragraphs(spark, sf_dir):
     """Paragraphs of plain text files, found by a scan of the folder; short ones are left out."""
     r = read(spark, sf_dir, "region").withColumn("value", F.concat(F.lit("Region  "), "r_name", F.lit("\n is here\n\nand its second part\n \nshort")))
-    path = _folder(spark, "text")
+    path = new_path(spark, "text")
     r.select("value", F.col("r_regionkey").alias("k")).write.partitionBy("k").text(path)
     parts = files.text_files(spark, path)
     key = F.regexp_extract("path", "k=([0-9]+)", 1).cast("long")
@@ -43,7 +37,7 @@ def text_paragraphs(spark, sf_dir):
 def namespace_counts(spark, sf_dir):
     """A vector store by namespace after some have been written twice and some cleared."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.concat(F.lit("label "), F.col("label")).alias("namespace"), "label")
-    path = _folder(spark, "vectors")
+    path = new_path(spark, "vectors")
     for _ in range(2):  # writing a namespace again replaces it
         e.drop("label").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(path)
     for r in e.filter("label % 4 = 2").select("namespace").distinct().collect():  # a row a label
@@ -55,7 +49,7 @@ def namespace_counts(spark, sf_dir):
 def stored_turns(spark, sf_dir):
     """The session store without a forgotten session."""
     c = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "turn", "text")
-    path, less = _folder(spark, "turns"), _folder(spark, "turns")
+    path, less = new_path(spark, "turns"), new_path(spark, "turns")
     files.append_turns(c.filter("turn % 2 = 0"), path)
     files.append_turns(c.filter("turn % 2 = 1"), path)
     files.forget_session(spark, path, less, "3")
@@ -67,7 +61,7 @@ def json_cache(spark, sf_dir):
     """Documents of a JSON cache; empty texts are left out."""
     d = read(spark, sf_dir, "documents")
     entry = F.struct(F.col("doc_id").cast("string").alias("id"), "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
-    path = _folder(spark, "json")
+    path = new_path(spark, "json")
     d.select(F.to_json(F.array(entry)).alias("value")).write.text(path)
     docs = files.json_documents(spark, path, lines=True)
     return docs.select(F.col("id").cast("long").alias("doc_id"), F.col("metadata")["lang"].alias("lang"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import entities, evaluate, retrieve, session, tabular
+from ..operators import anchored, entities, evaluate, retrieve, session, tabular
 from ..streaming import windows
 from .catalogue_retrieval import BM25_SQL, questions
 from .probes import probes, PROBES_SQL
@@ -282,7 +282,7 @@ RELEVANT = "rel AS (SELECT DISTINCT b.item_id AS query_id, d.doc_id FROM benchma
 def recall_at_k(spark, sf_dir):
     """Recall at 5 of BM25, where the documents that hold a question's whole text are the relevant ones."""
     q, d = questions(spark, sf_dir), read(spark, sf_dir, "documents")
-    return evaluate.recall_at_k(retrieve.bm25(q, d, 5), evaluate.containing(q, d), 5).withColumn("recall", F.round("recall", 6))
+    return evaluate.recall_at_k(retrieve.bm25(q, d, 5), anchored.contained(q, d), 5).withColumn("recall", F.round("recall", 6))
 
 
 @query("SELECT source, count(*) AS n, round(avg((quality = 1)::INT), 3)::DOUBLE AS good, round(avg((toxic = 1)::INT), 3)::DOUBLE AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY source")

@@ -48,6 +48,61 @@ def rate_limited_stream(events: DataFrame, by: str, ts: str, key: str, cap: int
     return rows.groupBy(by).transformWithStateInPandas(RateLimiter(by, key, cap, seconds), schema, "Append", "None")
 
 
+class InTimeOrder(StatefulProcessor):
+    """Holds the requests of a key until the watermark has passed them, and then decides them in order of time.
+
+    Requests may come late and in any order, as far as the watermark allows; state is those that wait and the machine's own.
+    """
+
+    def __init__(self, by: str, key: str, machine, facts: int):
+        self.by, self.key, self.machine, self.facts = by, key, machine, facts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t double, key bigint, facts array<double>")
+        self.now = handle.getValueState("now", "numbers array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        facts = batch[[f"fact_{k}" for k in range(self.facts)]].to_numpy(float)
+        self.waiting.appendList([(float(t), int(k), [float(x) for x in f]) for t, k, f in zip(batch["t"], batch[self.key], facts)])
+        self.handle.registerTimer(int(batch["t"].min() * 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = sorted((t, k, list(f)) for t, k, f in self.waiting.get()) if self.waiting.exists() else []
+        due, later = [x for x in held if x[0] * 1000 <= mark], [x for x in held if x[0] * 1000 > mark]
+        if not due:
+            return
+        state = list(self.now.get()[0]) if self.now.exists() else self.machine.start()
+        answers = []
+        for t, _, f in due:
+            state, answer = self.machine.step(state, t, *f)
+            answers.append(answer)
+        self.now.update(([float(x) for x in state],))
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(int(later[0][0] * 1000))
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame({self.by: [key[0]] * len(due), self.key: [k for _, k, _ in due], "answer": answers})
+
+    def close(self) -> None:
+        pass
+
+
+def decided_stream(events: DataFrame, by: str, ts: str, key: str, machine, facts: list[str] = [], late: str = "10 minutes") -> DataFrame:
+    """by, key (a number), answer: ``operators.decisions.decided`` of a stream whose events are late by ``late`` at most.
+
+    A request is answered once the watermark has passed it; one that comes later than that is dropped, as the watermark
+    says. A key's state is what waits within that time, and the machine's few numbers.
+    """
+    rows = events.select(by, key, F.col(ts).cast("timestamp").alias("at"), F.col(ts).cast("timestamp").cast("double").alias("t"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"fact_{k}") for k, c in enumerate(facts)])
+    schema = f"{by} {rows.schema[by].dataType.simpleString()}, {key} bigint, answer string"
+    return rows.withWatermark("at", late).groupBy(by).transformWithStateInPandas(InTimeOrder(by, key, machine, len(facts)), schema, "Append", "EventTime")
+
+
 def delivered_once(chunks: DataFrame, key: str = "chunk_id", ts: str | None = None, late: str = "1 hour") -> DataFrame:
     """Drops redelivered chunks; with an event time only ids within the watermark are remembered."""
     if ts:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.functions import guard
-from docmill.operators import chunking, evaluate, index, retrieve
+from docmill.operators import anchored, chunking, index, retrieve
 from docmill.plans.catalogue import QUERIES
 
 
@@ -51,9 +51,9 @@ def test_batches_equal_joins(spark, sf, batched, joined):
 def test_contained_passages(spark):
     d = spark.createDataFrame([(1, "a cat sat"), (2, "cat"), (3, None), (4, "concat")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "cat"), (2, "cat"), (3, "a cat"), (4, "dog"), (5, ""), (6, None)], "query_id long, text string")
-    got = sorted(tuple(r) for r in evaluate.containing(q, d).collect())
+    got = sorted(tuple(r) for r in anchored.contained(q, d).collect())
     assert got == sorted([(1, 1), (2, 1), (3, 1), (1, 2), (2, 2), (1, 4), (2, 4)])
-    assert evaluate.containing(q.limit(0), d).count() == 0
+    assert anchored.contained(q.limit(0), d).count() == 0
 
 
 BY_QUESTION = "hybrid_rrf_topk bm25_topk sparse_topk rrf_fusion weighted_rrf keyword_fallback merge_sub_queries expand_parents promotion_overrides prerank_filter score_boosts co_retrieval".split()
