@@ -67,6 +67,7 @@ def test_words_behind_the_twelfth_count(spark, tmp_path, name):
     docs = [(k, prose * (k % 3 + 1) if k < 30 else "Nothing about ships is written here, only a line on trees and rivers of the north.", "en", "s", 100) for k in range(120)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, question)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(5, [1.0, 0.0]), (6, [0.0, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")  # none of the question's
     assert QUERIES[name](spark, str(tmp_path)).count() > 0
 
 
