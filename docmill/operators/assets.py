@@ -17,6 +17,9 @@ ALIASES = {
 LONGEST_FIELD, EXACT, KIND, REGISTERED = 500, 100, 20, 90
 BOOST_SUMMARY, BOOST_ASSET = 0.05, 25.0
 CHARTS = (("scatter", "scatter"), ("bar", "bar"), ("line|trend", "line"), ("pie|share", "pie"))
+# Words of captions that say much or little of their picture.
+TOLD_WELL = " (?:main|summary|compliance|recommendations|typology|evidence) "
+TOLD_BADLY = " (?:panel|yields|chapter|this is|based on|cannot convert) "
 
 
 def payload(raw: Column) -> Column:
@@ -90,6 +93,25 @@ def prefix_points(text: Column, words: Column, points: float = 3.5) -> Column:
     return F.size(F.filter(words, hit)) * points
 
 
+def visual_quality(area: Column, exists: Column, caption: Column) -> Column:
+    """Points of a picture: its size, that its file exists, and what its caption says and how it ends."""
+    said, low = F.coalesce(caption, F.lit("")), F.concat(F.lit(" "), normalised(F.coalesce(caption, F.lit(""))), F.lit(" "))
+    ends = F.trim(said)
+    cut = F.contains(said, F.lit(").")) | ends.endswith("com-") | ends.endswith("sev-")
+    return (
+        F.least(F.coalesce(area, F.lit(0)) / 10000.0, F.lit(80.0))
+        + F.when(F.coalesce(exists, F.lit(False)), 25.0).otherwise(0.0)
+        + F.when(low.rlike(TOLD_WELL), 12.0).otherwise(0.0)
+        - F.when(low.rlike(TOLD_BADLY), 25.0).otherwise(0.0)
+        - F.when(cut, 18.0).otherwise(0.0)
+    )
+
+
+def topic_points(text: Column, words: Column, quality: Column) -> Column:
+    """Ten points for each word that some word of the text starts with (one if nothing is asked for), and a twentieth of the picture's quality."""
+    return quality * 0.05 + prefix_points(text, words, 10.0) + F.when(F.size(words) == 0, 1.0).otherwise(0.0)
+
+
 def resolved(candidates: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     """The best path of each request (key, label, kind): exact label, then kind, registered ones first; only paths that exist.
 

@@ -14,6 +14,8 @@ from ..functions.text import collapsed
 # Patterns of lines and paragraphs that carry no prose, and size limits.
 URL = "\\b(?:https?://|www[.])[^ \\t\\n\\r]+"
 TOC = "\\b(?:contents|table of contents|references|bibliography|acknowledge?ments|foreword)\\b"
+CITATION = "(?i)\\b(?:doi|journal|press|vol[.]?|no[.]?|pp[.]?|isbn|issn|retrieved|available at)\\b"
+REPORT_HEADER = "^world development report +[0-9]{4} +[0-9]{1,4}$"
 CHUNK, OVERLAP, SHORTEST_PARAGRAPH, WINDOW = 1200, 150, 45, 768
 
 
@@ -38,15 +40,20 @@ def noisy_line(c: Column) -> Column:
     low = F.lower(line)
     letters, digits = F.regexp_count(line, F.lit("[A-Za-z]+")), F.regexp_count(line, F.lit("[0-9]+"))
     return (line != "") & (
-        low.rlike(URL) | page_number(line) | low.rlike(TOC) | line.rlike("[.]{4,}") | low.rlike("^(?:chapter|section|figure|table) +[0-9]+[a-z]?$") | ((digits > 0) & (digits >= F.greatest(letters, F.lit(3))))
+        low.rlike(URL) | page_number(line) | low.rlike(TOC) | line.rlike("[.]{4,}") | low.rlike(REPORT_HEADER) | low.rlike("^(?:chapter|section|figure|table) +[0-9]+[a-z]?$") | ((digits > 0) & (digits >= F.greatest(letters, F.lit(3))))
     )
 
 
+def cited(c: Column) -> Column:
+    """Words of a citation and no more than one end of a sentence."""
+    return c.rlike(CITATION) & (F.regexp_count(c, F.lit("[.!?]")) <= 1)
+
+
 def noisy_paragraph(c: Column) -> Column:
     p = collapsed(c)
     low = F.lower(p)
     words, numbers = F.regexp_count(p, F.lit("[A-Za-z]+|[0-9]+(?:[.][0-9]+)?")), F.regexp_count(p, F.lit("[0-9]+(?:[.][0-9]+)?"))
-    return (F.length(p) < SHORTEST_PARAGRAPH) | low.rlike(URL) | page_number(p) | low.rlike(TOC) | low.rlike("\\b(?:figure|table) +[0-9]+\\b") | ((words > 0) & (numbers > 0.35 * words))
+    return (F.length(p) < SHORTEST_PARAGRAPH) | low.rlike(URL) | page_number(p) | cited(p) | low.rlike(TOC) | low.rlike("\\b(?:figure|table) +[0-9]+\\b") | ((words > 0) & (numbers > 0.35 * words))
 
 
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

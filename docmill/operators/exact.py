@@ -68,15 +68,17 @@ def asset_priority(image: Column, chart: Column) -> Column:
     )
 
 
-def exact_scan(questions: DataFrame, store: DataFrame, k: int, cross: bool = False) -> DataFrame:
+def exact_scan(questions: DataFrame, store: DataFrame, k: int | None, cross: bool = False) -> DataFrame:
     """query_id, id, rank: rows of the store (id, text, payload map, image, chart) that name an entity of a question.
 
     Spellings meet field values in an equi join. Of a question's matches the first max(8 k, 32) by id are ranked
-    by asset priority, and ``k`` stay; rows without text are none.
+    by asset priority, and ``k`` stay (None: all matches, in no window); rows without text are none.
     """
     wanted = questions.select("query_id", F.explode(F.flatten(F.transform(hard_entities(F.col("text")), lambda e: variants(e, not cross)))).alias("value")).distinct()
     cells = store.filter(F.trim("text") != "").select("id", F.explode(entity_values(F.col("payload"), cross)).alias("value"))
     hits = wanted.join(cells, "value").select("query_id", "id").distinct()
+    if k is None:
+        return hits
     first = Window.partitionBy("query_id").orderBy("id")
     hits = hits.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= max(SCANNED_TIMES * k, LEAST_SCANNED))
     ranked = hits.join(store.select("id", asset_priority(F.col("image"), F.col("chart")).alias("p")), "id")
@@ -89,7 +91,7 @@ def step_three(questions: DataFrame, store: DataFrame, k: int) -> DataFrame:
     ``k`` for each entity that a question names.
     """
     most = questions.select("query_id", F.size(hard_entities(F.col("text"))).alias("entities"))
-    found = exact_scan(questions, store, 10**6).join(store.select("id", F.coalesce("parent_id", "id").alias("parent_id"), asset_priority(F.col("image"), F.col("chart")).alias("p")), "id")
+    found = exact_scan(questions, store, None).join(store.select("id", F.coalesce("parent_id", "id").alias("parent_id"), asset_priority(F.col("image"), F.col("chart")).alias("p")), "id")
     parents = found.groupBy("query_id", "parent_id").agg(F.min("id").alias("id"), F.min_by("p", "id").alias("p"))
     order = Window.partitionBy("query_id").orderBy("p", "id")
     return parents.withColumn("rank", F.row_number().over(order)).join(most, "query_id").filter(F.col("rank") <= k * F.col("entities")).select("query_id", "parent_id", "id", "rank")

@@ -325,6 +325,19 @@ def expand_parents(ranked: DataFrame, parents: DataFrame) -> DataFrame:
     return best.join(parents, "parent_id")
 
 
+def parent_contexts(ranked: DataFrame, parents: DataFrame) -> DataFrame:
+    """query_id, parent_id, child_id, rank, text, support: one context for each parent, by its best child (query_id, child_id, parent_id, rank, text, keep).
+
+    The context is the parent's text (parent_id, text), or, where the child says ``keep``, the child's own with the
+    parent's as support. A child without a parent stands for itself.
+    """
+    home = F.coalesce(F.col("parent_id"), F.col("child_id"))
+    first = ranked.groupBy("query_id", home.alias("parent_id")).agg(F.min_by(F.struct("child_id", "rank", "text", F.coalesce("keep", F.lit(False)).alias("keep")), F.struct("rank", "child_id")).alias("c"))
+    met = first.join(parents.select("parent_id", F.col("text").alias("whole")), "parent_id", "left")
+    whole = F.coalesce(F.nullif(F.trim("whole"), F.lit("")), F.col("c.text"))
+    return met.select("query_id", "parent_id", "c.child_id", "c.rank", F.when(F.col("c.keep"), F.col("c.text")).otherwise(whole).alias("text"), F.when(F.col("c.keep"), whole).alias("support"))
+
+
 def promoted(scored: DataFrame, locked: Column, figure: Column, demoted: Column, k: int) -> DataFrame:
     """Named figures first, then locked entities, then the rest by rank, tables last."""
     group = F.when(figure, 0).when(locked, 1).when(demoted, 3).otherwise(2)

@@ -92,6 +92,23 @@ def keyword_points(spark, sf_dir):
     return b.join(c, F.col("item_id") == F.col("conv_id")).select("item_id", "conv_id", F.round(assets.prefix_points(F.col("text"), F.col("ws")), 2).alias("points"))
 
 
+@query("""WITH w AS (SELECT item_id, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and')), lambda x: CASE WHEN length(x) > 3 THEN regexp_replace(x, 's$', '') ELSE x END))) AS ws FROM benchmark),
+c AS (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' main evidence (see 1).' WHEN 1 THEN ' this is a panel com-' ELSE '' END AS said FROM conversations),
+n AS (SELECT *, ' ' || trim(regexp_replace(lower(said), '[^a-z0-9]+', ' ', 'g')) || ' ' AS low FROM c),
+q AS (SELECT *, least(length(said) * 1000 / 10000.0::DOUBLE, 80) + CASE WHEN turn % 2 = 0 THEN 25 ELSE 0 END + CASE WHEN regexp_matches(low, ' (main|summary|compliance|recommendations|typology|evidence) ') THEN 12 ELSE 0 END
+ - CASE WHEN regexp_matches(low, ' (panel|yields|chapter|this is|based on|cannot convert) ') THEN 25 ELSE 0 END - CASE WHEN contains(said, ').') OR said LIKE '%com-' OR said LIKE '%sev-' THEN 18 ELSE 0 END AS quality FROM n)
+SELECT item_id, turn, round(quality, 4) AS quality, round(quality * 0.05 + 10 * len(list_filter(CASE WHEN turn = 3 THEN [] ELSE ws END, lambda x: contains(low, ' ' || x))) + CASE WHEN turn = 3 THEN 1 ELSE 0 END, 4) AS points FROM w JOIN q ON item_id = conv_id""")
+def topic_points(spark, sf_dir):
+    """Quality of pictures (here turns of conversations) and their points for the question of the same number; the fourth turn is asked for nothing."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", assets.query_words(F.col("text"), ["the", "and"]).alias("ws"))
+    c = read(spark, sf_dir, "conversations")
+    said = F.concat("text", F.when(F.col("turn") % 3 == 0, " main evidence (see 1).").when(F.col("turn") % 3 == 1, " this is a panel com-").otherwise(""))
+    c = c.select("conv_id", "turn", said.alias("said")).join(b, F.col("item_id") == F.col("conv_id"))
+    quality = assets.visual_quality(F.length("said") * 1000, F.col("turn") % 2 == 0, F.col("said"))
+    words = F.when(F.col("turn") == 3, F.slice("ws", 1, 0)).otherwise(F.col("ws"))
+    return c.select("item_id", "turn", F.round(quality, 4).alias("quality"), F.round(assets.topic_points(F.col("said"), words, quality), 4).alias("points"))
+
+
 @query("""WITH r AS (SELECT 'L' || (s_suppkey % 5) AS label, s_nationkey AS kind, s_name AS path, s_suppkey % 2 = 0 AS reg FROM supplier WHERE s_suppkey % 7 <> 0),
 m AS (SELECT c_custkey, path, CASE WHEN 'L' || (c_custkey % 5) = r.label THEN 100 ELSE 20 END + CASE WHEN reg THEN 90 ELSE 0 END AS score FROM customer JOIN r ON kind = c_nationkey)
 SELECT c_custkey, arg_max(path, (score, path)) AS path, max(score)::INT AS score FROM m GROUP BY c_custkey""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality, text, understand
 from ..operators import index, retrieve
+from ..workers import written
 from .registry import query, read
 
 
@@ -76,7 +77,7 @@ kept AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS least FROM cand WHE
 SELECT query_id, doc_id, score, CAST(tier AS BIGINT) AS tier, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS new_rank FROM kept WHERE tier = least) WHERE new_rank <= CASE WHEN tier = 0 THEN 5 ELSE 2 END""")
 def hybrid_rrf_topk(spark, sf_dir):
     """Flagship: both legs, fusion, quality filter with its fallback, five best."""
-    fused = retrieve.rrf(_legs(spark, sf_dir), 20).persist()  # read twice: 20 rows a question
+    fused = written(retrieve.rrf(_legs(spark, sf_dir), 20), "fused")  # read twice: 20 rows a question
     found = chunks(spark, sf_dir).join(retrieve.handed_out(fused.select("doc_id").distinct(), 20, questions(spark, sf_dir)), "doc_id", "left_semi")
     judged = fused.join(quality.judged(found), "doc_id").filter("tier < 2")
     kept = retrieve.cascade(judged.withColumnRenamed("tier", "grade"), [F.col("grade") == 0, F.col("grade") == 1])
@@ -227,6 +228,20 @@ def expand_parents(spark, sf_dir):
     return retrieve.expand_parents(r, parents).select("query_id", "parent_id", F.col("rank").cast("long").alias("rank"), "children", "size")
 
 
+@query(f"""WITH {BM25_SQL}, r AS (SELECT query_id, doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id - doc_id % 10 END AS home, rank FROM bm_ranked WHERE rank <= 20),
+f AS (SELECT query_id, coalesce(home, doc_id) AS parent_id, arg_min(doc_id, (rank, doc_id)) AS child_id, min(rank) AS rank FROM r GROUP BY ALL)
+SELECT query_id, parent_id, child_id, rank, length(CASE WHEN child_id % 4 = 0 THEN c.text ELSE coalesce(nullif(trim(p.text), ''), c.text) END) AS chars, CASE WHEN child_id % 4 = 0 THEN length(coalesce(nullif(trim(p.text), ''), c.text)) END AS support
+FROM f JOIN documents c ON c.doc_id = child_id LEFT JOIN documents p ON p.doc_id = parent_id""")
+def parent_contexts(spark, sf_dir):
+    """Contexts of questions: the first document of ten is the parent of the others; some children keep their own text, some have no parent."""
+    d = read(spark, sf_dir, "documents")
+    r = retrieve.bm25(questions(spark, sf_dir), d, 20).join(d.select("doc_id", "text"), "doc_id")
+    home = F.when(F.col("doc_id") % 9 != 0, F.col("doc_id") - F.col("doc_id") % 10)
+    r = r.select("query_id", F.col("doc_id").alias("child_id"), home.alias("parent_id"), "rank", "text", (F.col("doc_id") % 4 == 0).alias("keep"))
+    out = retrieve.parent_contexts(r, d.select(F.col("doc_id").alias("parent_id"), "text"))
+    return out.select("query_id", "parent_id", "child_id", F.col("rank").cast("long").alias("rank"), F.length("text").cast("long").alias("chars"), F.length("support").cast("long").alias("support"))
+
+
 @query(f"""WITH {BM25_SQL} SELECT query_id, doc_id, new_rank, promotion FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY promotion, rank, doc_id) AS new_rank FROM (
 SELECT query_id, doc_id, rank, CAST(CASE WHEN doc_id % 7 = 0 THEN 0 WHEN doc_id % 5 = 0 THEN 1 WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END AS BIGINT) AS promotion FROM bm_ranked WHERE rank <= 20)) WHERE new_rank <= 5""")
 def promotion_overrides(spark, sf_dir):

@@ -15,7 +15,7 @@ PAGE_NO = "^$|^(?:page +)?[0-9]{1,4} *(?:of *[0-9]{1,4})?$|^[ivxlcdm]{1,8}$"
 
 
 def _noisy(c: str) -> str:
-    return f"""({c} <> '' AND (regexp_matches(lower({c}), {G(chunking.URL)}) OR regexp_matches(lower({c}), {G(PAGE_NO)}) OR regexp_matches(lower({c}), {G(chunking.TOC)}) OR regexp_matches({c}, '[.]{{4,}}') OR regexp_matches(lower({c}), '^(?:chapter|section|figure|table) +[0-9]+[a-z]?$')
+    return f"""({c} <> '' AND (regexp_matches(lower({c}), {G(chunking.URL)}) OR regexp_matches(lower({c}), {G(PAGE_NO)}) OR regexp_matches(lower({c}), {G(chunking.TOC)}) OR regexp_matches({c}, '[.]{{4,}}') OR regexp_matches(lower({c}), '{chunking.REPORT_HEADER}') OR regexp_matches(lower({c}), '^(?:chapter|section|figure|table) +[0-9]+[a-z]?$')
  OR (len(regexp_extract_all({c}, '[0-9]+')) > 0 AND len(regexp_extract_all({c}, '[0-9]+')) >= greatest(len(regexp_extract_all({c}, '[A-Za-z]+')), 3))))"""
 
 
@@ -25,12 +25,23 @@ def noisy_lines(spark, sf_dir):
     return ls.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(chunking.noisy_line(F.col("line"))).alias("noisy"), F.count_if(chunking.page_number(F.col("line"))).alias("numbers"))
 
 
+@query(f"""WITH {LINES_SQL}, p AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 0 THEN 'Journal of ' || left(line, 60) WHEN pos % 4 = 1 THEN 'World Development Report 2021 ' || length(line) ELSE line END AS p FROM ls)
+SELECT doc_id, count(*) FILTER (regexp_matches(p, {G(chunking.CITATION)}) AND len(regexp_extract_all(p, '[.!?]')) <= 1 AND length(p) >= 45) AS cited, count(*) FILTER (regexp_matches(lower(p), '{chunking.REPORT_HEADER}')) AS headers FROM p GROUP BY doc_id""")
+def citation_lines(spark, sf_dir):
+    """Lines that only cite, and running heads of a report, among lines of which some were turned into such."""
+    ls = chunking.lines(read(spark, sf_dir, "documents"), "doc_id")
+    head = F.concat(F.lit("World Development Report 2021 "), F.length("line").cast("string"))
+    p = F.when(F.col("pos") % 4 == 0, F.concat(F.lit("Journal of "), F.substring("line", 1, 60))).when(F.col("pos") % 4 == 1, head).otherwise(F.col("line"))
+    cited = chunking.cited(p) & (F.length(p) >= 45)
+    return ls.groupBy("doc_id").agg(F.count_if(cited).alias("cited"), F.count_if(F.lower(p).rlike(chunking.REPORT_HEADER)).alias("headers"))
+
+
 PARA_SQL = f"""WITH {LINES_SQL}, c AS (SELECT *, line = '' OR {_noisy('line')} AS cut FROM ls),
 l AS (SELECT *, lag(line) OVER w AS before, coalesce(lag(cut) OVER w, true) AS cut_before FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 s AS (SELECT *, cut OR cut_before OR NOT (regexp_matches(before, '[-/,]$') OR NOT regexp_matches(before, '[.!?:]$') OR (lower(line[1]) = line[1] AND upper(line[1]) <> line[1])) AS start FROM l),
 g AS (SELECT *, sum(CASE WHEN start THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM s),
 p AS (SELECT doc_id, island, trim(regexp_replace(string_agg(line, ' ' ORDER BY pos), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS p FROM g WHERE NOT cut GROUP BY ALL),
-paras AS (SELECT doc_id, CAST(island AS BIGINT) AS n, p AS paragraph FROM p WHERE NOT (length(p) < 45 OR regexp_matches(lower(p), {G(chunking.URL)}) OR regexp_matches(lower(p), {G(PAGE_NO)}) OR regexp_matches(lower(p), {G(chunking.TOC)}) OR regexp_matches(lower(p), '\\b(?:figure|table) +[0-9]+\\b')
+paras AS (SELECT doc_id, CAST(island AS BIGINT) AS n, p AS paragraph FROM p WHERE NOT (length(p) < 45 OR regexp_matches(lower(p), {G(chunking.URL)}) OR regexp_matches(lower(p), {G(PAGE_NO)}) OR (regexp_matches(p, {G(chunking.CITATION)}) AND len(regexp_extract_all(p, '[.!?]')) <= 1) OR regexp_matches(lower(p), {G(chunking.TOC)}) OR regexp_matches(lower(p), '\\b(?:figure|table) +[0-9]+\\b')
  OR (len(regexp_extract_all(p, '[A-Za-z]+|[0-9]+(?:[.][0-9]+)?')) > 0 AND len(regexp_extract_all(p, '[0-9]+(?:[.][0-9]+)?')) > 0.35 * len(regexp_extract_all(p, '[A-Za-z]+|[0-9]+(?:[.][0-9]+)?')))))"""
 
 

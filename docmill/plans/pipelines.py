@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import guard, quality, text, understand
 from ..operators import chunking, index, retrieve
+from ..workers import written
 
 
 def ingest(docs: DataFrame, key: str = "doc_id", size: int = chunking.CHUNK, overlap: int = chunking.OVERLAP) -> DataFrame:
@@ -45,7 +46,7 @@ def answer_contexts(questions: DataFrame, docs: DataFrame, k: int = 5) -> DataFr
     w = understand.source_weight(F.col("intent"), F.col("source_type"))
     fused = ranked.join(intents, "query_id").join(types, "doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(w / (retrieve.RRF_K + F.col("rank"))), 8).alias("score"))
     best = retrieve.top_k(fused, 4 * k)
-    best = best.persist()  # read twice: 4 k rows a question
+    best = written(best, "best")  # read twice: 4 k rows a question
     found = docs.join(retrieve.handed_out(best.select("doc_id").distinct(), 4 * k, questions), "doc_id", "left_semi")
     judged = best.join(quality.judged(found).drop("source_type"), "doc_id").filter("tier < 2")
     kept = retrieve.cascade(judged.withColumnRenamed("tier", "grade"), [F.col("grade") == 0, F.col("grade") == 1])
