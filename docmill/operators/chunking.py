@@ -14,7 +14,7 @@ from ..functions.text import collapsed
 # Patterns of lines and paragraphs that carry no prose, and size limits.
 URL = "\\b(?:https?://|www[.])[^ \\t\\n\\r]+"
 TOC = "\\b(?:contents|table of contents|references|bibliography|acknowledge?ments|foreword)\\b"
-CITATION = "(?i)\\b(?:doi|journal|press|vol[.]?|no[.]?|pp[.]?|isbn|issn|retrieved|available at)\\b"
+CITATION = "(?i)(?:^|[^\\p{L}\\p{N}_])(?:doi|journal|press|vol|no|pp|isbn|issn|retrieved|available at)(?:$|[^\\p{L}\\p{N}_])"
 REPORT_HEADER = "^world development report +[0-9]{4} +[0-9]{1,4}$"
 CHUNK, OVERLAP, SHORTEST_PARAGRAPH, WINDOW = 1200, 150, 45, 768
 
