@@ -58,3 +58,11 @@ def test_exact_values_without_a_name(spark):
     assert [o for i, _, o in got if i == 2] == [4, 5, 5, 8, 9]
     assert [o for i, _, o in got if i == 3] == [2, 3, 4, 5, 5]
     assert not [o for i, _, o in got if i == 1]  # co2 itself is a word of three letters
+
+
+def test_exact_figures(spark):
+    asked = spark.range(N).select(F.col("id").alias("query_id"), F.concat(F.lit(" Fig-"), F.col("id") % 2).alias("figure_id"))
+    docs = spark.range(N).select("id", F.lit("fig-1").alias("figure_id"), F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("source"), F.lit("7").alias("page"))
+    df = exact.exact_figures(asked.unionByName(asked), docs, "id")
+    assert sorted((r.query_id, r.id) for r in df.collect()) == [(q, i) for q in range(1, N, 2) for i in range(3)]
+    assert most_joined(df) <= 3 * N
