@@ -66,3 +66,11 @@ def test_exact_figures(spark):
     df = exact.exact_figures(asked.unionByName(asked), docs, "id")
     assert sorted((r.query_id, r.id) for r in df.collect()) == [(q, i) for q in range(1, N, 2) for i in range(3)]
     assert most_joined(df) <= 3 * N
+
+
+def test_exact_scan(spark):
+    df = exact.exact_scan(_asks(spark), _store(spark), 3)
+    got = sorted((r.query_id, r["rank"], r.id) for r in df.collect())
+    assert got == [(q, n + 1, i) for q in range(N) for n, i in enumerate(sorted(_hits(q)[:32], key=_priority)[:3])]
+    assert most_joined(df) <= 5 * N
+    assert sorted((r.query_id, r.id) for r in exact.exact_scan(_asks(spark).limit(2), _store(spark), None).collect()) == sorted((q, i) for q in range(2) for i in _hits(q))
