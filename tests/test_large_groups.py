@@ -74,3 +74,16 @@ def test_exact_scan(spark):
     assert got == [(q, n + 1, i) for q in range(N) for n, i in enumerate(sorted(_hits(q)[:32], key=_priority)[:3])]
     assert most_joined(df) <= 5 * N
     assert sorted((r.query_id, r.id) for r in exact.exact_scan(_asks(spark).limit(2), _store(spark), None).collect()) == sorted((q, i) for q in range(2) for i in _hits(q))
+
+
+def test_step_three(spark):
+    df = exact.step_three(_asks(spark), _store(spark), 2)
+    want = []
+    for q in range(N):
+        first = {}
+        for i in _hits(q):
+            first.setdefault(i % 20, i)
+        best = sorted(first.values(), key=_priority)[: 4 if q % 2 == 0 else 2]
+        want += [(q, n + 1, i % 20, i) for n, i in enumerate(best)]
+    assert sorted((r.query_id, r["rank"], r.parent_id, r.id) for r in df.collect()) == want
+    assert most_joined(df) <= 4 * N
