@@ -51,12 +51,17 @@ def tiered_unique(candidates: DataFrame, assets: DataFrame, key: str, tiers: lis
 
 
 def either_update(rows: DataFrame, changes: DataFrame, key: str, paths: list[list[str]]) -> DataFrame:
-    """Latest change of each row that matches by one or another set of columns: an equi join for each, then the newest."""
-    parts = [rows.select(key, *cols).join(changes.select(*cols, "version", "value"), cols).select(key, "version", "value") for cols in paths]
+    """Latest change of each row that matches by one or another set of columns: an equi join for each, then the newest.
+
+    Of the changes with the same columns only the newest (of one version the one with the largest value) can be a row's, so
+    a row meets one change a path.
+    """
+    newest = F.max(F.struct("version", "value")).alias("newest")
+    parts = [rows.select(key, *cols).join(changes.groupBy(*cols).agg(newest), cols).select(key, "newest") for cols in paths]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy(key).agg(F.max_by("value", "version").alias("value"))
+    return every.groupBy(key).agg(F.max("newest").alias("newest")).select(key, F.col("newest.value").alias("value"))
 
 
 def exclusive_fields(kind: Column, fields: dict[str, Column]) -> Column:

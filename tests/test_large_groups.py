@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docmill.operators import exact
+from docmill.operators import entities, exact
 from tests.plans import most_joined
 
 N = 400
@@ -87,3 +87,12 @@ def test_step_three(spark):
         want += [(q, n + 1, i % 20, i) for n, i in enumerate(best)]
     assert sorted((r.query_id, r["rank"], r.parent_id, r.id) for r in df.collect()) == want
     assert most_joined(df) <= 4 * N
+
+
+def test_either_update(spark):
+    rows = spark.range(N).select("id", (F.col("id") % 2).alias("a"), (F.col("id") % 3).alias("b"))
+    changes = spark.range(N).select((F.col("id") % 2).alias("a"), (F.col("id") % 3).alias("b"), (F.col("id") % 50).alias("version"), F.concat(F.lit("v"), "id").alias("value"))
+    df = entities.either_update(rows, changes, "id", [["a"], ["b"]])
+    fits = lambda i: max((c % 50, f"v{c}") for c in range(N) if c % 2 == i % 2 or c % 3 == i % 3)[1]
+    assert sorted(tuple(r) for r in df.collect()) == [(i, fits(i)) for i in range(N)]
+    assert most_joined(df) <= N
