@@ -96,3 +96,13 @@ def test_either_update(spark):
     fits = lambda i: max((c % 50, f"v{c}") for c in range(N) if c % 2 == i % 2 or c % 3 == i % 3)[1]
     assert sorted(tuple(r) for r in df.collect()) == [(i, fits(i)) for i in range(N)]
     assert most_joined(df) <= N
+
+
+def test_spellings_are_made_once(spark):
+    """Rows that meet the same entities are compared with finished spellings."""
+    es = exact.hard_entities(F.lit("Figure 1.2, Table 3 and Figure O.4"))
+    for strict in (True, False):
+        said = spark.createDataFrame([(x,) for x in ["Figure 1.2", "figure_1.2", "1.2", "table 3", "Figure 0.4", "0.4", "Chart 3", None]], "said string")
+        wanted = spark.range(1).select(exact.spellings(es, strict).alias("w"))
+        got = said.crossJoin(wanted).select("said", exact.says([F.array("said")], F.col("w")).alias("x"), exact.names_entity([F.array("said")], es, strict).alias("y")).collect()
+        assert [r.x for r in got] == [r.y for r in got] and any(r.x for r in got)
