@@ -102,8 +102,8 @@ def rate_limited(events: DataFrame, by: str, ts: str, key: str, cap: int = CAP,
 
 
 def counts_within(events: DataFrame, by: str, ts: str, seconds: int = SECONDS) -> DataFrame:
-    """All requests, rejected ones too, of the last ``seconds``."""
-    w = Window.partitionBy(by).orderBy(F.col(ts).cast("timestamp").cast("long")).rangeBetween(-seconds, 0)
+    """All requests, rejected ones too, of the last ``seconds``; times count to the nearest second, halves to the even one."""
+    w = Window.partitionBy(by).orderBy(F.rint(F.col(ts).cast("timestamp").cast("double")).cast("long")).rangeBetween(-seconds, 0)
     return events.withColumn("within", F.count("*").over(w))
 
 

@@ -1,8 +1,9 @@
 """Many questions that meet many rows: what is joined grows with rows and questions, not with their product."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from docmill.operators import entities, exact
+from docmill.operators import entities, exact, session
 from tests.plans import most_joined
 
 N = 400
@@ -106,3 +107,13 @@ def test_spellings_are_made_once(spark):
         wanted = spark.range(1).select(exact.spellings(es, strict).alias("w"))
         got = said.crossJoin(wanted).select("said", exact.says([F.array("said")], F.col("w")).alias("x"), exact.names_entity([F.array("said")], es, strict).alias("y")).collect()
         assert [r.x for r in got] == [r.y for r in got] and any(r.x for r in got)
+
+
+@pytest.mark.parametrize("half", [0.5, 0.499999, 0.500001])
+def test_counts_within_rounds_seconds(spark, half):
+    """Seconds are rounded, halves to the even one, as the SQL's cast does it."""
+    at = [0.0, 3600 + half, 3601 + half, 7200.25, 7201 + half]
+    e = spark.createDataFrame([(k, 1, x) for k, x in enumerate(at)], "event_id long, user_id long, s double").withColumn("ts", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")))
+    got = [r.within for r in session.counts_within(e, "user_id", "ts", 3600).orderBy("event_id").collect()]
+    t = [round(x) for x in at]
+    assert got == [sum(0 <= y - x <= 3600 for x in t) for y in t]
