@@ -27,19 +27,21 @@ def headings(blocks: DataFrame) -> DataFrame:
     """``blocks`` (doc, n, page, place, text) with kind (chapter, section, subsection, skipped, text), number and title.
 
     A chapter is said so, or is a number and a title among the first two blocks of a page; its title is
-    short and no sentence. Labels of visuals and source notes are skipped.
+    short and no sentence. Labels of visuals and source notes are skipped. Where blocks tell by a column body that they are
+    body text, their form (an address like 28.68.191.238 before a sentence) makes no heading of them.
     """
     t = F.col("text")
+    free = ~F.coalesce("body", F.lit(False)) if "body" in blocks.columns else F.lit(True)
     part = lambda pattern, k: F.nullif(F.regexp_extract(t, pattern, k), F.lit(""))
     plain = lambda c: (F.length(c) <= LONGEST_TITLE) & (word_count(c) <= MOST_TITLE_WORDS) & ~c.rlike("[.?!]$")
     said, counted = collapsed(part(CHAPTER, 3)), collapsed(part(NUMBERED_CHAPTER, 2))
     # a text that says it is a chapter but isn't one may still be no numbered one: that starts with a digit
     chapter = F.when(said.isNotNull() & plain(said), F.struct(F.initcap(part(CHAPTER, 1)).alias("label"), part(CHAPTER, 2).alias("number"), said.alias("title")))
     chapter = chapter.when(counted.isNotNull() & (F.col("place") <= 2) & plain(counted), F.struct(F.lit("Chapter").alias("label"), part(NUMBERED_CHAPTER, 1).alias("number"), counted.alias("title")))
-    rows = blocks.withColumn("_c", chapter).withColumn("_s", part(SECTION, 1))
+    rows = blocks.withColumn("_c", F.when(free, chapter)).withColumn("_s", F.when(free, part(SECTION, 1)))
     deep = F.size(F.split("_s", "[.]")) >= 3
     kind = F.when(F.col("_c").isNotNull(), "chapter").when(F.col("_s").isNotNull() & deep, "subsection").when(F.col("_s").isNotNull(), "section").when(
-        t.rlike(VISUAL_LABEL) | t.rlike(SOURCE_NOTE), "skipped",
+        free & (t.rlike(VISUAL_LABEL) | t.rlike(SOURCE_NOTE)), "skipped",
     ).otherwise("text")
     whole = F.when(
         F.col("_c").isNotNull(), F.concat(F.col("_c.label"), F.lit(" "), F.col("_c.number"), F.lit(": "), F.col("_c.title")),
