@@ -54,11 +54,11 @@ def first_range(points: DataFrame, ranges: DataFrame, by: list[str], key: str, o
     """``key``, ``take``: for each point the range that holds it and comes first in ``order`` (null if none does).
 
     Of the ranges in one bin only the first can be the answer, so a bin keeps one row before the join, however many
-    ranges overlap there; a point meets one row a level and keeps the first of them.
+    ranges overlap there; a point meets one row a level and keeps the first of them. Points in one place are looked up once.
     """
     levels = _levels(ranges, start, end)
     best = F.min_by(F.struct(*take), F.struct(*order))
     bins = _binned(ranges, by, start, end, levels).groupBy(*by, "_level", "_bin").agg(F.min(F.struct(*order)).alias("_order"), best.alias("_take"))
-    met = _points(points.select(key, *by, at), at, levels).join(bins, [*by, "_level", "_bin"])
-    first = met.groupBy(key).agg(F.min_by("_take", "_order").alias("_take"))
-    return points.select(key).join(first, key, "left").select(key, *[F.col(f"_take.{c}").alias(c) for c in take])
+    met = _points(points.select(*by, at).distinct(), at, levels).join(bins, [*by, "_level", "_bin"])
+    first = met.groupBy(*by, at).agg(F.min_by("_take", "_order").alias("_take"))
+    return points.select(key, *by, at).join(first, [*by, at], "left").select(key, *[F.col(f"_take.{c}").alias(c) for c in take])
