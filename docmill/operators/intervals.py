@@ -62,3 +62,17 @@ def first_range(points: DataFrame, ranges: DataFrame, by: list[str], key: str, o
     met = _points(points.select(*by, at).distinct(), at, levels).join(bins, [*by, "_level", "_bin"])
     first = met.groupBy(*by, at).agg(F.min_by("_take", "_order").alias("_take"))
     return points.select(key, *by, at).join(first, [*by, at], "left").select(key, *[F.col(f"_take.{c}").alias(c) for c in take])
+
+
+def counted(points: DataFrame, ranges: DataFrame, by: list[str], value: str, at: str = "at", start: str = "start", end: str = "end") -> DataFrame:
+    """``ranges`` that hold a point, with n: how many they hold, and least: the smallest ``value`` of these.
+
+    The bins of a range share no point, so points are summed up by bin and a range adds its bins up: no point meets a range.
+    Equal ranges are looked up once.
+    """
+    levels = _levels(ranges, start, end)
+    places = points.groupBy(*by, at).agg(F.count("*").alias("n"), F.min(value).alias("least"))
+    added = F.sum("n").alias("n"), F.min("least").alias("least")
+    bins = _points(places, at, levels).groupBy(*by, "_level", "_bin").agg(*added)
+    met = _binned(ranges.select(*by, start, end).distinct(), by, start, end, levels).join(bins, [*by, "_level", "_bin"])
+    return ranges.join(met.groupBy(*by, start, end).agg(*added), [*by, start, end])

@@ -16,3 +16,7 @@ def test_points_in_one_place(spark):
     first = intervals.first_range(p, r, ["k"], "id", ["range_id"], ["range_id"])
     assert sorted(tuple(x) for x in first.collect()) == [(q[0], min((x[0] for x in ranges if holds(q, x)), default=None)) for q in points]
     assert most_joined(first) <= 600
+    counted = intervals.counted(p, r, ["k"], "id")
+    want = [(x[0], len(held), min(held)) for x in ranges if (held := [q[0] for q in points if holds(q, x)])]
+    assert sorted((x.range_id, x.n, x.least) for x in counted.collect()) == want
+    assert most_joined(counted) <= 600
