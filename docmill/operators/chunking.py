@@ -269,3 +269,24 @@ def recursive_split(size: int = CHUNK):
         return texts.map(lambda x: [x[a:b] for a, b in split_spans(x, size)] if x else [])
 
     return split
+
+
+#: Texts that a worker holds in parts at once.
+AT_ONCE = 256
+
+
+def recursive_parts(docs: DataFrame, key: str, text: str = "text", size: int = CHUNK) -> DataFrame:
+    """``key``, part (from 0), text: ``recursive_split`` as rows, which leave a worker some texts at a time."""
+    rows = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
+
+    def run(batches):
+        for batch in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
+            at, part, parts = [], [], []
+            for k, x in enumerate(batch.column(1).to_pylist()):
+                spans = split_spans(x, size) if x else []
+                at += [k] * len(spans)
+                part += range(len(spans))
+                parts += [x[a:b] for a, b in spans]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(part, pa.int32()), pa.array(parts, pa.string())], names=[key, "part", "text"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema[key], T.StructField("part", T.IntegerType()), T.StructField("text", T.StringType())]))

@@ -63,7 +63,7 @@ def pack_overlap(spark, sf_dir):
 def recursive_split(spark, sf_dir):
     """Separators from paragraphs down to words, at last anywhere; recursion runs in an Arrow function."""
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.posexplode(chunking.recursive_split()("text")).alias("part", "text"))
+    return chunking.recursive_parts(d, "doc_id")
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(12)), '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS ws FROM documents)

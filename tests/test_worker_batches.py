@@ -2,7 +2,10 @@
 
 import pyarrow as pa
 
-from docmill.operators import stored_index
+from pyspark.sql import functions as F
+
+from docmill.operators import chunking, stored_index
+from docmill.plans.catalogue import QUERIES
 
 
 def test_counts_leave_in_parts():
@@ -14,3 +17,12 @@ def test_counts_leave_in_parts():
         rows = [r for p in parts for r in zip(*(c.to_pylist() for c in p.columns))]
         assert sum(1 for r in rows if r[1] is None) == n and len(rows) == n + 2 * sum(k % 9 > 0 for k in range(n))
         assert {r[0]: r[3] for r in rows} == {k: 0 if k % 9 == 0 else 3 for k in range(n)}
+
+
+def test_recursive_parts(spark, sf):
+    d = spark.createDataFrame([(k, None if k % 7 == 0 else "" if k % 5 == 0 else f"one. two{k}\n\nthree " * (k % 40)) for k in range(2 * chunking.AT_ONCE + 3)], "doc_id long, text string").coalesce(1)
+    want = d.select("doc_id", F.posexplode(chunking.recursive_split(50)("text")).alias("part", "text"))
+    got = chunking.recursive_parts(d, "doc_id", size=50)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    t = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.posexplode(chunking.recursive_split()("text")).alias("part", "text"))
+    assert sorted(map(tuple, QUERIES["recursive_split"](spark, sf).collect())) == sorted(map(tuple, t.collect()))
