@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ K1, B, RRF_K = 1.5, 0.75, 60
 DIGITS = 6
 #: Distinct terms times questions up to which their weights go to every task, as a dense matrix (64 MB).
 MOST_WEIGHTS = 8_000_000
-#: Numbers of a dense block of documents, and of a block of cosines.
-BLOCK_VALUES = 4_000_000
+#: Numbers of a block of vectors; of a dense block of documents, and of cosines that are looked at together.
+BLOCK_VALUES, DENSE_VALUES = 4_000_000, 500_000
+#: Words whose hashes a worker remembers.
+MOST_WORDS = 50_000
 
 
 def top_k(scored: DataFrame, k: int, by: list[str] = ["query_id"], score: str = "score", tie: str = "doc_id", rank: str = "rank") -> DataFrame:
@@ -73,31 +76,32 @@ BM25 = Leg("[a-z0-9]+", False, _gain, lambda n: np.ones_like(n))
 SPARSE = Leg("[a-z0-9_]+", True, lambda tf, dl, avgdl: np.where(tf > 0, 1 + np.sqrt(tf), 0.0), lambda n: 1 + np.sqrt(n))
 
 
-class _Places(dict):
-    """Word -> place of its term among the asked ones, or -1; words met are remembered (bounded)."""
+class _Hashed(dict):
+    """Word -> place of its hash among the asked terms, or -1; words met are remembered (bounded)."""
 
-    def __init__(self, places: dict, hashed: bool):
-        self.places, self.hashed = places, hashed
+    def __init__(self, places: dict):
+        self.places = places
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) >= MOST_WORDS:
             self.clear()
-        term = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) if self.hashed else word
-        out = self[word] = self.places.get(term, -1)
+        out = self[word] = self.places.get(int(hashlib.md5(word.encode()).hexdigest()[:8], 16), -1)
         return out
 
 
 def _frequency_blocks(leg: Leg, places: dict):
     """Of an Arrow batch (doc_id, text) blocks of ids, numbers of words and a matrix of how often each term is in each text."""
-    find, place, width = re.compile(leg.pattern).findall, _Places(places, leg.hashed), len(places)
+    find, width = re.compile(leg.pattern).findall, len(places)
+    hashed = _Hashed(places)
+    placed = (lambda words: map(hashed.__getitem__, words)) if leg.hashed else (lambda words: map(places.get, words, repeat(-1)))
 
     def blocks(batch: pa.RecordBatch):
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-        step = max(1, BLOCK_VALUES // max(1, width))
+        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        step = max(1, DENSE_VALUES // max(1, width))
         for k in range(0, len(texts), step):
-            words = [find((t or "").lower()) for t in texts[k : k + step]]
+            words = [find((t or "").lower()) for t in texts.slice(k, step).to_pylist()]
             dl = np.array([len(w) for w in words], np.int64)
-            at = np.fromiter((place[w] for ws in words for w in ws), np.int64, int(dl.sum()))
+            at = np.fromiter(placed(chain.from_iterable(words)), np.int64, int(dl.sum()))
             line = np.repeat(np.arange(len(words)), dl)
             asked = at >= 0
             tf = np.bincount(line[asked] * width + at[asked], minlength=len(words) * width).reshape(len(words), width)
@@ -143,13 +147,16 @@ def _in_batches(queries: DataFrame, docs: DataFrame, k: int, leg: Leg, asked: li
     def score(batches):
         blocks = _frequency_blocks(leg, places)
         kept = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
+        reached = np.zeros(len(names))  # by k documents
         for batch in batches:
             for ids, dl, tf in blocks(batch):
                 found = np.round(leg.weight(tf, dl, words / max(n, 1) or 1.0) @ shared.value, DIGITS)
-                for j in np.flatnonzero((found > 0).any(0)).tolist():
+                most = found.max(0)
+                for j in np.flatnonzero((most > 0) & (most >= reached)).tolist():
                     scores, mine = np.concatenate([kept[j][0], found[:, j]]), np.concatenate([kept[j][1], ids])
                     best = _best(scores, mine, k)
                     kept[j] = scores[best], mine[best]
+                    reached[j] = scores[best[-1]] if len(best) == k else 0.0
         out = [names[j] for j, (s, _) in enumerate(kept) for _ in range(len(s))]
         yield pa.RecordBatch.from_arrays(
             [pa.array(out, pa.int64()), pa.array(np.concatenate([x for _, x in kept])), pa.array(np.concatenate([s for s, _ in kept]))],
@@ -277,19 +284,25 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, judge: Judge |
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, labels = np.array(row["b_key"], np.int64), np.array(row["b_label"], float)
-                score = np.round(unit(row["q_v"], row["dim"]) @ unit(row["b_v"], row["dim"]).T, DIGITS)
-                score, tier = judge(score, labels) if judge else (score, np.zeros(score.shape, int))
-                out = []
-                for j, q in enumerate(row["q_key"]):
-                    for t in np.unique(tier[j]).tolist():
-                        at = np.flatnonzero((tier[j] == t) & ((ids != q) | itself)) if t >= 0 else ()
-                        at = [] if not len(at) else at[np.lexsort((ids[at], -score[j, at]))[:k]]
-                        out += [(q, t, int(ids[x]), float(score[j, x])) for x in at]
-                columns = list(zip(*out)) or [()] * 4
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query_id", "tier", "doc_id", "score"])
+            for r in range(batch.num_rows):
+                cell = lambda name: batch.column(name).slice(r, 1).flatten().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                width, asking, ids, labels = batch.column("dim")[r].as_py(), cell("q_key"), cell("b_key"), cell("b_label").astype(float)
+                near = unit(cell("b_v"), width).T
+                asked = cell("q_v").reshape(-1, width)
+                # a part of the questions at a time: cosines of whole blocks would be a matrix of 128 MB, several times
+                step = max(1, DENSE_VALUES // max(1, len(ids)))
+                for first in range(0, len(asking), step):
+                    score = np.round(unit(asked[first : first + step], width) @ near, DIGITS)
+                    score, tier = judge(score, labels) if judge else (score, np.zeros(score.shape, int))
+                    out = []
+                    for j, q in enumerate(asking[first : first + step].tolist()):
+                        for t in np.unique(tier[j]).tolist():
+                            at = np.flatnonzero((tier[j] == t) & ((ids != q) | itself)) if t >= 0 else ()
+                            at = [] if not len(at) else at[np.lexsort((ids[at], -score[j, at]))[:k]]
+                            out += [(q, t, int(ids[x]), float(score[j, x])) for x in at]
+                    columns = list(zip(*out)) or [()] * 4
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query_id", "tier", "doc_id", "score"])
 
     return top_k(met.mapInArrow(run, "query_id long, tier long, doc_id long, score double"), k, by=["query_id", "tier"])
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
+#: Bytes of an Arrow batch handed to Python. Rows may be whole texts or blocks of vectors, so their number bounds nothing.
+BATCH_BYTES = 4 * 2**20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,7 +60,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package to the Python workers by way of the shared folder, wherever the driver found it."""
+    """Give the package to the Python workers by way of the shared folder, wherever the driver found it; and bound what they are handed at once."""
+    given = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    if not 0 < given <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_docmill_shipped", False):
         return
