@@ -3,7 +3,8 @@
 Where a piece of a file begins, nobody knows whether that is inside of a quoted cell. But quotes inside of quotes are doubled, so
 an odd number of quotes before a line means that it is. Each piece counts its quotes; the counts of a file's pieces,
 summed in their order (a row a piece), tell the state in which each begins, and with it which of its lines begin a record.
-Lines of a record then come together under its number, also those in later pieces.
+Lines of a record then come together under its number, also those in later pieces. What Spark reads of a file in one task is
+cut into pieces of a bounded number of lines, so a task sorts no more than these.
 """
 
 from __future__ import annotations
@@ -18,28 +19,36 @@ from pyspark.sql import functions as F
 from ..workers import ship
 
 
+#: Lines of a piece at most are 2 to this power.
+PIECE_BITS = 16
+
+
 def _lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """file, piece (where it begins), id (in order within a piece), line, quotes."""
+    """file, piece (a number that grows with the place in the file), id (in order within a piece), line, quotes."""
     rows = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
-    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    # the lower 33 bits of an id are the line's number in its task; a block of a file is read by one
+    part = F.shiftright(F.col("id").bitwiseAND((1 << 33) - 1), PIECE_BITS)
+    rows = rows.select("file", (F.shiftleft("start", 33 - PIECE_BITS) + part).alias("piece"), "id", "line")
     return rows.withColumn("quotes", (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))).cast("long"))
 
 
 def _records(lines: DataFrame) -> DataFrame:
-    """file, piece, n, text: whole records, by the piece they begin in and their number there."""
+    """file, piece (from 0), n (from 1), text: whole records, by the piece of the file that they begin in and their number there."""
     lines = lines.withColumn("before", F.coalesce(F.sum("quotes").over(Window.partitionBy("file", "piece").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # of each piece: quotes, and lines that begin a record if it is entered outside and inside of a cell
     parts = lines.groupBy("file", "piece").agg(F.sum("quotes").alias("all"), F.count_if(F.col("before") % 2 == 0).alias("outside"), F.count_if(F.col("before") % 2 == 1).alias("inside"))
     order = Window.partitionBy("file").orderBy("piece")
+    parts = parts.withColumn("k", (F.row_number().over(order) - 1).cast("long"))
     parts = parts.withColumn("state", F.coalesce(F.sum("all").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2)
     own = F.when(F.col("state") == 0, F.col("outside")).otherwise(F.col("inside"))
     # lines before a piece's first record belong to the last record of the last piece that has one
-    parts = parts.withColumn("last", F.last(F.when(own > 0, F.struct(F.col("piece").alias("piece"), own.alias("n"))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    met = lines.join(parts.select("file", "piece", "state", "last"), ["file", "piece"])
+    parts = parts.withColumn("last", F.last(F.when(own > 0, F.struct(F.col("k").alias("piece"), own.alias("n"))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    met = lines.join(parts.select("file", "piece", "k", "state", "last"), ["file", "piece"])
     begins = (F.col("before") + F.col("state")) % 2 == 0
     met = met.withColumn("n", F.count_if(begins).over(Window.partitionBy("file", "piece").orderBy("id")))
-    at = F.when(F.col("n") > 0, F.struct("piece", "n")).otherwise(F.col("last"))
-    met = met.select("file", at["piece"].alias("home"), at["n"].alias("n"), F.struct("piece", "id", "line").alias("l"))
+    at = F.when(F.col("n") > 0, F.struct(F.col("k").alias("piece"), "n")).otherwise(F.col("last"))
+    met = met.select("file", at["piece"].alias("home"), at["n"].alias("n"), F.struct("k", "id", "line").alias("l"))
     whole = met.groupBy("file", F.col("home").alias("piece"), "n").agg(F.array_sort(F.collect_list("l")).alias("ls"))
     return whole.select("file", "piece", "n", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"))
 
@@ -73,6 +82,15 @@ def csv_rows(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFr
     return met.select("file", F.posexplode("found").alias("k", "cells"), "here", "before").select("file", (F.col("before") + F.col("here") + F.col("k")).alias("row"), "cells")
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """``rows`` (file, row, ...) of files whose names sort in their order, with ``row`` counted from 1 through all of them."""
+    per = rows.groupBy("file").agg(F.count("*").alias("rows"), F.min("row").alias("least"))
+    # a row a file
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = per.select("file", (before - F.col("least") + 1).alias("shift"))
+    return rows.join(shifts, "file").withColumn("row", F.col("row") + F.col("shift")).drop("shift")
+
+
 # Ways to find a header: each gives file and row of the header of every file that has one
 
 

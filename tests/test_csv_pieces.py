@@ -59,3 +59,40 @@ def test_header_finders(spark):
         ("a", 2): {"Country Name": "Aruba", "Country Code": "ABW", "1960": "1"}, ("a", 3): {"Country Name": "Chad", "Country Code": "", "1960": ""},
         ("a", 4): {"Country Name": "Peru", "Country Code": "PER", "1960": "2"}, ("b", 2): {"Key": "2", "v": "3"},
     }
+
+
+def test_pieces_of_few_lines(spark, tmp_path, monkeypatch):
+    """Pieces end after a bounded number of lines, wherever Spark cuts; a mark within a file is no byte-order mark."""
+    monkeypatch.setattr(csv_pieces, "PIECE_BITS", 2)
+    rng = random.Random(7)
+    for name in ("a.csv", "b.csv"):
+        out = io.StringIO(newline="")
+        w = csv.writer(out, lineterminator="\n")
+        for k in range(90):
+            w.writerow([("﻿" if k % 4 == 0 else "") + "".join(rng.choice('ab ,"\n1é') for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 4))])
+        w.writerow(["x", 'line "one"\n' * 40, "y"])
+        (tmp_path / name).write_bytes(out.getvalue().encode())
+    lines = csv_pieces._lines(spark, f"file://{tmp_path}", "*.csv")
+    assert max(r["count"] for r in lines.groupBy("file", "piece").count().collect()) <= 4
+    assert rows_of(csv_pieces.csv_rows(spark, f"file://{tmp_path}")) == rows_of(files.csv_matrix(spark, f"file://{tmp_path}"))
+
+
+def test_orders_are_written_by_ranges(spark, sf, monkeypatch):
+    from docmill.plans import catalogue_stored
+
+    seen = []
+    real = csv_pieces.csv_rows
+
+    def spied(session, folder):
+        seen.append(session.read.text(folder).select("_metadata.file_path").distinct().count())
+        return real(session, folder)
+
+    monkeypatch.setattr(csv_pieces, "csv_rows", spied)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = sorted(catalogue_stored.csv_in_pieces(spark, sf).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert seen[0] > 1
+    assert [r.row for r in rows] == list(range(1, len(rows) + 1)) and [r.o_orderkey for r in rows] == sorted(r.o_orderkey for r in rows)
