@@ -29,6 +29,8 @@ LEVELS = 4
 ONE_OF = 16
 #: Bits of a bitmap for each gram, and at most.
 BITS_PER_GRAM, MOST_BITS = 16, 2**27
+#: Grams of texts that a task holds before it counts them.
+HELD = 250_000
 _FACTOR = 0x9E3779B97F4A7C15
 _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -126,9 +128,9 @@ def contained(passages: DataFrame, docs: DataFrame, passage: str = "query_id", d
                     h = np.unique(h[maybe(h)])
                     held.append(h)
                     size += len(h)
-            if size > 2_000_000:
-                yield out()
-                held, size = [], 0
+                if size > HELD:
+                    yield out()
+                    held, size = [], 0
         if held:
             yield out()
 
