@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, is_missing, word_count
+from ..workers import ship
 from . import chunking, tabular
 
 # Patterns of headings, visual labels and notes, names and limits.
@@ -223,6 +226,87 @@ def series_text(name: Column, code: Column, indicator: Column, indicator_code: C
 
 
 PROBE, PROBE_WORDS, LONG_WORD = 160, 10, 5
+#: Characters of a text that mostly hold its probe.
+PROBE_PART = 400
+_WORDS = re.compile("[a-z0-9]+").findall
+
+
+def _plain(x: str | None) -> str:
+    return " ".join(_WORDS((x or "").lower()))
+
+
+def _probe(x: str | None) -> str:
+    """The beginning of the normalised text; of a long text no more is normalised than that takes."""
+    start = _plain(x[:PROBE_PART]) if x else ""
+    return (start if len(start) >= PROBE or not x or len(x) <= PROBE_PART else _plain(x))[:PROBE].strip()
+
+
+class _Pages:
+    """Pages (number, normalised text), by number, of one document, behind one another, so that they are searched at once."""
+
+    def __init__(self, pages: list[tuple[int, str]]):
+        self.numbers = [p for p, _ in pages]
+        self.body = "\n".join(t for _, t in pages)  # no probe and no word has a line end
+        self.starts = np.cumsum([0, *(len(t) + 1 for _, t in pages[:-1])]).tolist()
+        self.held: dict[str, np.ndarray] = {}
+
+    def _at(self, place: int) -> int:
+        return bisect_right(self.starts, place) - 1
+
+    def holding(self, word: str) -> np.ndarray:
+        """Which pages hold ``word``; each is looked for once."""
+        out = self.held.get(word)
+        if out is None:
+            found, place = [], self.body.find(word)
+            while place >= 0:
+                found.append(self._at(place))
+                place = self.body.find(word, self.starts[found[-1] + 1]) if found[-1] + 1 < len(self.starts) else -1
+            out = self.held[word] = np.array(found, np.int64)
+        return out
+
+    def next(self, probe: str, last: int) -> int:
+        """The page of a text, from ``last`` on and then from the start."""
+        first = bisect_left(self.numbers, last)
+        start = self.starts[first] if first < len(self.starts) else len(self.body)
+        place = self.body.find(probe, start)
+        if place < 0 < start:
+            place = self.body.find(probe, 0, start)
+        if place >= 0:
+            return self.numbers[self._at(place)]
+        words = [w for w in probe.split() if len(w) >= LONG_WORD][:PROBE_WORDS]
+        need = max(2, min(4, len(words)))
+        if len(words) >= need:
+            n = np.zeros(len(self.numbers), np.int64)
+            for w in words:
+                n[self.holding(w)] += 1
+            enough = np.flatnonzero(n >= need)
+            if len(enough):
+                return self.numbers[enough[np.searchsorted(enough, first) % len(enough)]]
+        return last if first < len(self.numbers) and self.numbers[first] == last else self.numbers[0]
+
+
+def _paged(batches):
+    """doc, n, page of rows (doc, text?, n or page, text) that come by document, its pages first, both in order."""
+    doc, last, pages, known = object(), 1, [], None
+    for batch in batches:
+        docs, ns, found = [], [], []
+        for d, is_text, n, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if d != doc:
+                doc, last, pages, known = d, 1, [], None
+            if not is_text:
+                if pages and pages[-1][0] == n:
+                    pages[-1][1].append(_plain(text))
+                else:
+                    pages.append((n, [_plain(text)]))
+                continue
+            if known is None:
+                known = _Pages([(p, " ".join(filter(None, ts))) for p, ts in pages])
+            probe = _probe(text) if known.numbers else ""
+            last = known.next(probe, last) if probe else last
+            docs.append(d)
+            ns.append(n)
+            found.append(last)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, ns, found)], names=["doc", "n", "page"])
 
 
 def inferred_pages(texts: DataFrame, pages: DataFrame) -> DataFrame:
@@ -230,30 +314,13 @@ def inferred_pages(texts: DataFrame, pages: DataFrame) -> DataFrame:
 
     The first page, from the one found last on and then from the start, that holds the text's normalised beginning, else
     one with most of its first long words, else the page found last. It depends on the texts before, so a document's
-    texts are read in order; documents without pages have page 1.
+    texts are read in order, as a sorted stream behind its pages; documents without pages have page 1.
     """
-
-    def plain(x: str | None) -> str:
-        return re.sub("[^a-z0-9]+", " ", (x or "").lower()).strip()
-
-    def run(key, mine: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        known = {p: plain(" ".join(map(str, g))) for p, g in stored.sort_values("page").groupby("page")["page_text"]}
-        numbers, last, found = sorted(known), 1, []
-        mine = mine.sort_values("n")
-        for text in mine["text"]:
-            probe = plain(text)[:PROBE].strip()
-            if probe and numbers:
-                order = [p for p in numbers if p >= last] + [p for p in numbers if p < last]
-                words = [w for w in probe.split() if len(w) >= LONG_WORD][:PROBE_WORDS]
-                need = max(2, min(4, len(words)))
-                hit = next((p for p in order if probe in known[p]), None)
-                if hit is None and words:
-                    hit = next((p for p in order if sum(w in known[p] for w in words) >= need), None)
-                last = hit if hit is not None else last if last in known else numbers[0]
-            found.append(last)
-        return pd.DataFrame({"doc": [key[0]] * len(mine), "n": mine["n"].to_numpy(), "page": found}, columns=["doc", "n", "page"])
-
-    return texts.select("doc", "n", "text").groupBy("doc").cogroup(pages.select("doc", "page", "page_text").groupBy("doc")).applyInPandas(run, "doc long, n long, page long")
+    ship(texts.sparkSession)
+    kinds = [F.col("doc").cast("long").alias("doc"), F.lit(True).alias("is_text"), F.col("n").cast("long").alias("n"), "text"]
+    stored = pages.filter("page is not null").select(kinds[0], F.lit(False).alias("is_text"), F.col("page").cast("long").alias("n"), F.col("page_text").alias("text"))
+    rows = texts.select(*kinds).unionByName(stored).repartition("doc")
+    return rows.sortWithinPartitions("doc", "is_text", F.col("n").asc_nulls_last(), "text").mapInArrow(_paged, "doc long, n long, page long")
 
 
 def cross_references(records: DataFrame) -> DataFrame:

@@ -215,3 +215,38 @@ def test_pages_follow_the_texts_before(spark):
     ]
     got = {(r.doc, r.n): r.page for r in structure.inferred_pages(spark.createDataFrame(texts, "doc long, n long, text string"), spark.createDataFrame(pages, "doc long, page long, page_text string")).collect()}
     assert got == {(1, 0): 2, (1, 1): 3, (1, 2): 1, (1, 3): 2, (1, 4): 2, (1, 5): 2, (2, 0): 5, (3, 0): 1}
+
+
+def test_pages_of_many_documents_as_by_scans(spark, sf):
+    """Random documents, some without pages or with repeated ones, by plain scans of each page; no document is a frame of its own."""
+    rng = random.Random(5)
+    said = [f"{a}{b}" for a in ("alpha", "beta", "gamm", "x", "River") for b in ("", "s", "ing", " 7", "é", "-")]
+    some = lambda n: " ".join(rng.choice(said) for _ in range(n))
+    pages = [(d, p, None if rng.random() < 0.1 else some(rng.randint(0, 9))) for d in range(60) for p in rng.sample(range(1, 9), rng.randint(0, 6)) for _ in range(rng.choice((1, 1, 2)))]
+    texts = [(d, n, rng.choice([None, "", some(rng.randint(1, 3)), some(4), some(200), "- " * 300 + some(9)])) for d in range(70) for n in range(rng.randint(0, 12))]
+    # parts of pages are found, in part on several pages
+    texts += [(d, 100 + k, t[rng.randint(0, len(t) // 2) :]) for k, (d, _, t) in enumerate(pages) if t]
+    plain = lambda x: re.sub("[^a-z0-9]+", " ", (x or "").lower()).strip()
+    want = set()
+    for d in {t[0] for t in texts}:
+        known, last = {}, 1
+        for _, p, t in sorted((x for x in pages if x[0] == d), key=lambda x: (x[1], x[2] or "")):
+            known[p] = f"{known.get(p, '')} {plain(t)}".strip()
+        for _, n, t in sorted((x for x in texts if x[0] == d), key=lambda x: x[1]):
+            probe = plain(t)[: structure.PROBE].strip()
+            if probe and known:
+                order = sorted(known, key=lambda p: (p < last, p))
+                words = [w for w in probe.split() if len(w) >= structure.LONG_WORD][: structure.PROBE_WORDS]
+                hits = [p for p in order if probe in known[p]] + [p for p in order if sum(w in known[p] for w in words) >= max(2, min(4, len(words)))]
+                last = (hits + [last if last in known else min(known)])[0]
+            want.add((d, n, last))
+    t, p = spark.createDataFrame(texts, "doc long, n long, text string"), spark.createDataFrame(pages, "doc long, page long, page_text string")
+    # rows of one page are taken in the order of their texts
+    assert {tuple(r) for r in structure.inferred_pages(t, p).collect()} == want
+    assert "Groups" not in QUERIES["inferred_pages"](spark, sf)._jdf.queryExecution().toString()
+
+
+def test_a_word_is_looked_for_once():
+    pages = structure._Pages([(2, "alpha beta"), (3, ""), (5, "betas"), (9, "beta beta alpha")])
+    assert pages.holding("beta").tolist() == [0, 2, 3] and pages.holding("beta") is pages.holding("beta")
+    assert [pages.next("betas gamma", k) for k in (1, 5, 7)] == [2, 5, 2] and [pages.next("alpha", k) for k in (1, 2, 3, 10)] == [2, 2, 9, 2]
