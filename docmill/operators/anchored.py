@@ -29,7 +29,7 @@ LEVELS = 4
 ONE_OF = 16
 #: Bits of a bitmap for each gram, and at most.
 BITS_PER_GRAM, MOST_BITS = 16, 2**27
-#: Grams of texts that a task holds before it counts them.
+#: Grams of texts, or places of anchors, that a task holds before it hands them on.
 HELD = 250_000
 _FACTOR = 0x9E3779B97F4A7C15
 _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -93,24 +93,8 @@ def _filter(keys: DataFrame):
     return maybe
 
 
-def contained(passages: DataFrame, docs: DataFrame, passage: str = "query_id", doc: str = "doc_id", text: str = "text", by: str | None = None) -> DataFrame:
-    """(passage, doc) of the documents that hold a passage as it is, each pair once; with ``by`` only those of the same ``by``.
-
-    Empty and null passages are in none, null texts hold none; a repeated id has the passages of all its rows. Equal
-    passages are looked for once. Nothing but a bounded bitmap leaves the executors. Two of the steps start jobs at plan time.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    group = F.xxhash64(by).alias("of") if by else F.lit(0).cast("long").alias("of")
-    asked = written(passages.filter(F.col(text) != "").select(F.col(passage).cast("long").alias("qid"), F.col(text).alias("said"), group).distinct(), "passages")
-    distinct = written(asked.groupBy("said", "of").agg(F.xxhash64("said", "of").alias("pid")), "distinct-passages")
-    own = written(distinct.select("pid", "said", "of").mapInArrow(_of_passages, "pid long, gram long, at long, level int"), "passage-grams")
-    levels = sorted(r["level"] for r in own.select("level").distinct().collect())  # five at most
-    texts = docs.filter(F.col(text) != "").select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"), group)
-    if not levels:
-        return texts.select(F.col("id").alias(passage), F.col("id").alias(doc)).limit(0)
-
-    maybe = _filter(own.select("gram").distinct())
+def _counts(maybe, levels: list[int]):
+    """gram, n: how many of some texts (id, text, of) hold each gram that ``maybe`` lets through; no more than HELD and one text's are held."""
 
     def count(batches):
         held: list[np.ndarray] = []
@@ -134,16 +118,21 @@ def contained(passages: DataFrame, docs: DataFrame, passage: str = "query_id", d
         if held:
             yield out()
 
-    df = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("df"))
-    counted = own.join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rarest = counted.groupBy("pid").agg(F.min_by(F.struct("gram", "at", "level", "df"), F.struct("df", "at")).alias("a"))
-    anchors = written(rarest.select("pid", "a.*").filter("df > 0"), "anchors")
-    # by number and level: a gram of one level is no gram of another
-    found = _filter(anchors.select("gram").distinct())
+    return count
+
+
+def _places(found, levels: list[int]):
+    """id, gram, place of the grams that ``found`` lets through in texts (id, text, of); no more than HELD and one text's are held."""
 
     def places(batches):
+        ids, at, which = [], [], []
+        size = 0
+
+        def out():
+            joined = [np.concatenate(x) for x in (ids, which, at)]
+            return _batch((joined[0], pa.int64()), (joined[1].astype(np.uint64).view(np.int64), pa.int64()), (joined[2].astype(np.int64), pa.int64()), names=["id", "gram", "place"])
+
         for batch in batches:
-            ids, at, which = [], [], []
             for i, t, of in zip(*(c.to_pylist() for c in batch.columns)):
                 codes = _codes(t)
                 for level in levels:
@@ -152,10 +141,43 @@ def contained(passages: DataFrame, docs: DataFrame, passage: str = "query_id", d
                     ids.append(np.full(len(p), i, np.int64))
                     at.append(p)
                     which.append(h[p])
-            joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, which, at)]
-            yield _batch((joined[0], pa.int64()), (joined[1].astype(np.uint64).view(np.int64), pa.int64()), (joined[2].astype(np.int64), pa.int64()), names=["id", "gram", "place"])
+                    size += len(p)
+                if size > HELD:
+                    yield out()
+                    ids, at, which, size = [], [], [], 0
+        if ids:
+            yield out()
+
+    return places
+
+
+def contained(passages: DataFrame, docs: DataFrame, passage: str = "query_id", doc: str = "doc_id", text: str = "text", by: str | None = None) -> DataFrame:
+    """(passage, doc) of the documents that hold a passage as it is, each pair once; with ``by`` only those of the same ``by``.
+
+    Empty and null passages are in none, null texts hold none; a repeated id has the passages of all its rows. Equal
+    passages are looked for once. Nothing but a bounded bitmap leaves the executors. Two of the steps start jobs at plan time.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    group = F.xxhash64(by).alias("of") if by else F.lit(0).cast("long").alias("of")
+    asked = written(passages.filter(F.col(text) != "").select(F.col(passage).cast("long").alias("qid"), F.col(text).alias("said"), group).distinct(), "passages")
+    distinct = written(asked.groupBy("said", "of").agg(F.xxhash64("said", "of").alias("pid")), "distinct-passages")
+    own = written(distinct.select("pid", "said", "of").mapInArrow(_of_passages, "pid long, gram long, at long, level int"), "passage-grams")
+    levels = sorted(r["level"] for r in own.select("level").distinct().collect())  # five at most
+    texts = docs.filter(F.col(text) != "").select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"), group)
+    if not levels:
+        return texts.select(F.col("id").alias(passage), F.col("id").alias(doc)).limit(0)
+
+    maybe = _filter(own.select("gram").distinct())
+
+    df = texts.mapInArrow(_counts(maybe, levels), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("df"))
+    counted = own.join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = counted.groupBy("pid").agg(F.min_by(F.struct("gram", "at", "level", "df"), F.struct("df", "at")).alias("a"))
+    anchors = written(rarest.select("pid", "a.*").filter("df > 0"), "anchors")
+    # by number and level: a gram of one level is no gram of another
+    found = _filter(anchors.select("gram").distinct())
 
-    hits = texts.filter("id is not null").mapInArrow(places, "id long, gram long, place long")
+    hits = texts.filter("id is not null").mapInArrow(_places(found, levels), "id long, gram long, place long")
     starts = hits.join(anchors.select("gram", "pid", "at"), "gram").select("id", "pid", (F.col("place") - F.col("at")).alias("start")).filter("start >= 0").distinct()
     starts = starts.join(distinct, "pid")
     met = starts.join(texts, ["id", "of"]).filter(F.substring("text", F.col("start").cast("int") + 1, F.char_length("said")) == F.col("said"))

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from docmill import workers
-from docmill.operators import retrieve, stored_index
+from docmill.operators import anchored, retrieve, stored_index
 
 
 def test_batches_are_bounded_in_bytes(spark):
@@ -65,3 +65,18 @@ def test_index_counts_off_by_term_and_ranks_either_way(spark, tmp_path, monkeypa
     blocks = sorted(map(tuple, index.search(asked, 4).collect()))
     monkeypatch.setattr(stored_index, "MOST_WEIGHTS", 0)
     assert blocks == sorted(map(tuple, index.search(asked, 4).collect())) and len(blocks) == 8
+
+
+def test_grams_and_places_leave_in_parts(monkeypatch):
+    """A whole batch of texts that are full of an anchor is not held."""
+    monkeypatch.setattr(anchored, "HELD", 40)
+    texts = ["ab" * 100, "", "x", *(f"abab{k}" * 30 for k in range(40))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([0] * len(texts))], names=["id", "text", "of"])
+    every, most = lambda h: np.ones(len(h), bool), sum(max(0, 240 - 2**k + 1) for k in (1, 3))
+    for make in (anchored._counts, anchored._places):
+        parts, again = list(make(every, [1, 3])(iter([batch, batch.slice(0, 0)]))), list(make(every, [1, 3])(iter([batch.slice(k, 1) for k in range(len(texts))])))
+        assert len(parts) > 5 and max(p.num_rows for p in parts) <= 40 + most
+        assert [p.to_pylist() for p in parts] == [p.to_pylist() for p in again]  # however the texts are batched
+    rows = [(r["id"], r["place"], r["gram"]) for p in parts for r in p.to_pylist()]
+    want = [(i, at, h) for i, t in enumerate(texts) for k in (1, 3) for at, h in enumerate(anchored.grams(anchored._codes(t), k).astype(np.uint64).view(np.int64).tolist())]
+    assert rows == want
