@@ -37,8 +37,23 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * x @ pivots.T, 0))
 
 
-def _rows(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _rows(column: pa.Array, n: int) -> np.ndarray:
+    """The numbers of ``n`` vectors of one length, whether they are lists or lie behind one another; no object is made of any."""
+    flat = column.flatten() if pa.types.is_list(column.type) else column
+    return _numbers(flat).astype(float).reshape(n, -1)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _cell(batch: pa.RecordBatch, name: str, row: int) -> pa.Array:
+    """What the list in a row holds."""
+    return batch.column(name).slice(row, 1).flatten()
 
 
 def _by_dim(batch: pa.RecordBatch, at: int):
@@ -91,7 +106,7 @@ class VectorIndex:
             for batch in batches:
                 for dim, at in _by_dim(batch, 1):
                     own = batch.take(at)
-                    x = unit(_rows(own.column(1), dim))
+                    x = unit(_rows(own.column(1), own.num_rows))
                     d = distances(x, pivots[dim]) if dim in pivots else np.zeros((len(x), 1))
                     zero = ~x.any(1)
                     first = np.where(zero, -1, d.argmin(1))
@@ -106,12 +121,14 @@ class VectorIndex:
                 dim, pivot = kind
                 x = unit(np.array([v for _, v in held], float))
                 d = distances(x, pivots[dim]) if dim in pivots else np.zeros((len(x), 0))
-                columns = [place + made], [dim], [len(held)], [d.min(0).tolist()], [d.max(0).tolist()], [pivot < 0], [[i for i, _ in held]], [x.ravel().tolist()]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in _BLOCKS.split(", ")])
+                head = [pa.array([c], t) for c, t in ((place + made, pa.int64()), (dim, pa.int32()), (len(held), pa.int64()))]
+                columns = *head, _lists(d.min(0)[None]), _lists(d.max(0)[None]), pa.array([pivot < 0]), pa.array([[i for i, _ in held]], pa.list_(pa.int64())), _lists(x.reshape(1, -1))
+                return pa.RecordBatch.from_arrays(list(columns), names=[f.split()[0] for f in _BLOCKS.split(", ")])
 
             for batch in batches:
-                for i, v, dim, pivot in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                ends = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                vectors = np.split(_numbers(batch.column(1).flatten()), ends[:-1]) if batch.num_rows else []
+                for i, v, dim, pivot in zip(batch.column(0).to_pylist(), vectors, *(batch.column(k).to_pylist() for k in (2, 3))):
                     if held and ((dim, pivot) != kind or len(held) >= block):
                         yield out()
                         made, held = made + 1, []
@@ -147,10 +164,10 @@ class VectorIndex:
             for batch in batches:
                 for dim, at in _by_dim(batch, 1):
                     own = batch.take(at)
-                    x = unit(_rows(own.column(1), dim))
+                    x = unit(_rows(own.column(1), own.num_rows))
                     d = distances(x, pivots[dim]) if dim in pivots else np.zeros((len(x), 0))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), dim, np.int32)), own.column(0), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(d.tolist(), pa.list_(pa.float64()))], names=["dim", "query_id", "qv", "ds"]
+                        [pa.array(np.full(len(x), dim, np.int32)), own.column(0), _lists(x), _lists(d)], names=["dim", "query_id", "qv", "ds"]
                     )
 
         q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("qv").cast("array<double>").alias("qv")).filter("size(qv) > 0")
@@ -164,13 +181,14 @@ class VectorIndex:
 
         def run(batches):
             for batch in batches:
-                for r in batch.to_pylist():
-                    d = np.array([q["ds"] for q in r["qs"]], float).reshape(len(r["qs"]), -1)
-                    low, high = np.array(r["low"], float), np.array(r["high"], float)
+                for r in range(batch.num_rows):
+                    asking, d = _cell(batch, "qs", r).flatten()
+                    d = _rows(d, len(asking))
+                    low, high = (_numbers(_cell(batch, name, r)) for name in ("low", "high"))
                     gap = np.maximum(np.maximum(low - d, d - high), 0).max(1, initial=0.0)
                     # a zero vector's cosine is 0; so is that of a zero query
-                    bound = np.zeros(len(d)) if r["zeros"] else np.maximum(1 - np.maximum(gap - 1e-9, 0) ** 2 / 2, 0)
-                    yield pa.RecordBatch.from_arrays([pa.array([q["query_id"] for q in r["qs"]], pa.int64()), pa.array(np.full(len(d), r["block"], np.int64)), pa.array(bound)], names=["query_id", "block", "bound"])
+                    bound = np.zeros(len(d)) if batch.column("zeros")[r].as_py() else np.maximum(1 - np.maximum(gap - 1e-9, 0) ** 2 / 2, 0)
+                    yield pa.RecordBatch.from_arrays([asking, pa.array(np.full(len(d), batch.column("block")[r].as_py(), np.int64)), pa.array(bound)], names=["query_id", "block", "bound"])
 
         heads = self.blocks().select("block", "dim", "low", "high", "zeros")
         return heads.join(lists, "dim").select("block", "low", "high", "zeros", "qs").mapInArrow(run, "query_id long, block long, bound double")
@@ -180,12 +198,13 @@ class VectorIndex:
 
         def run(batches):
             for batch in batches:
-                for r in batch.to_pylist():
-                    q, ids = np.array([x["qv"] for x in r["qs"]], float), np.array(r["ids"], np.int64)
-                    score = np.round(q @ np.array(r["vectors"], float).reshape(len(ids), -1).T, DIGITS)
+                for r in range(batch.num_rows):
+                    asking, q = _cell(batch, "qs", r).flatten()
+                    q, ids = _rows(q, len(asking)), _numbers(_cell(batch, "ids", r))
+                    score = np.round(q @ _rows(_cell(batch, "vectors", r), len(ids)).T, DIGITS)
                     best = [np.lexsort((ids, -s))[:k] for s in score]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat([x["query_id"] for x in r["qs"]], [len(b) for b in best]), pa.int64()), pa.array(ids[np.concatenate(best)]), pa.array(np.concatenate([s[b] for s, b in zip(score, best)]))],
+                        [asking.take(pa.array(np.repeat(np.arange(len(asking)), [len(b) for b in best]))), pa.array(ids[np.concatenate(best)]), pa.array(np.concatenate([s[b] for s, b in zip(score, best)]))],
                         names=["query_id", "doc_id", "score"],
                     )
 

@@ -1,10 +1,12 @@
 """What a task holds at once is bounded in bytes and numbers, whatever its input."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
 from docmill import workers
-from docmill.operators import anchored, retrieve, stored_index
+from docmill.operators import anchored, retrieve, stored_index, stored_vectors
 
 
 def test_batches_are_bounded_in_bytes(spark):
@@ -80,3 +82,29 @@ def test_grams_and_places_leave_in_parts(monkeypatch):
     rows = [(r["id"], r["place"], r["gram"]) for p in parts for r in p.to_pylist()]
     want = [(i, at, h) for i, t in enumerate(texts) for k in (1, 3) for at, h in enumerate(anchored.grams(anchored._codes(t), k).astype(np.uint64).view(np.int64).tolist())]
     assert rows == want
+
+
+def test_vectors_become_no_objects(spark, tmp_path, monkeypatch):
+    """Neither a search nor a block makes a Python number of each component; ids, null components and lengths are as they were."""
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=3 if k % 7 else 5).tolist()) for k in range(700)] + [(900, [0.0] * 3), (901, [])]
+    df = spark.createDataFrame(rows, "doc_id long, v array<double>")
+    index = stored_vectors.VectorIndex.create(df.filter("doc_id % 3 > 0"), f"file://{tmp_path}/v", pivots=4, block=32)
+    index.add(df.filter("doc_id % 3 = 0"), block=32)
+    asked = df.filter("doc_id % 20 = 0").selectExpr("doc_id as query_id", "v as qv").unionByName(spark.createDataFrame([(None, [1.0, 2.0, 3.0])], "query_id long, qv array<double>"))
+    want = {(q, r + 1, d) for q, x in map(tuple, asked.collect()) if q is not None and x for r, d in enumerate(_nearest(x, rows, 4))}
+    got = index.search(asked, 4).filter("query_id is not null").collect()
+    assert {(r.query_id, r["rank"], r.doc_id) for r in got} == want
+    kind = pa.list_(pa.struct([("query_id", pa.int64()), ("qv", pa.list_(pa.float64()))]))
+    many = pa.RecordBatch.from_arrays([pa.array([[{"query_id": k, "qv": [float(k + x) for x in range(64)]} for k in range(n)] for n in (3, 500)], kind)], names=["qs"])
+    tracemalloc.start()
+    ids, vectors = stored_vectors._cell(many, "qs", 1).flatten()
+    x, most = stored_vectors._rows(vectors, len(ids)), tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert x.shape == (500, 64) and x[7, 5] == 12 and ids[7].as_py() == 7 and most < 2 * x.nbytes
+
+
+def _nearest(x, rows, k):
+    norm = lambda v: np.asarray(v) / (np.sqrt(np.dot(v, v)) or 1)
+    scores = [(-round(float(norm(x) @ norm(v)), retrieve.DIGITS), d) for d, v in rows if len(v) == len(x)]
+    return [d for _, d in sorted(scores)[:k]]
