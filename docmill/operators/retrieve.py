@@ -18,8 +18,10 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import sparse_index, tokens
 from ..workers import ship
@@ -32,6 +34,8 @@ MOST_WEIGHTS = 8_000_000
 BLOCK_VALUES, DENSE_VALUES = 4_000_000, 500_000
 #: Words whose hashes a worker remembers.
 MOST_WORDS = 50_000
+#: Bytes of texts (and one more text) whose words are counted together.
+COUNTED_BYTES = 2**20
 
 
 def top_k(scored: DataFrame, k: int, by: list[str] = ["query_id"], score: str = "score", tie: str = "doc_id", rank: str = "rank") -> DataFrame:
@@ -77,15 +81,16 @@ SPARSE = Leg("[a-z0-9_]+", True, lambda tf, dl, avgdl: np.where(tf > 0, 1 + np.s
 
 
 class _Hashed(dict):
-    """Word -> place of its hash among the asked terms, or -1; words met are remembered (bounded)."""
+    """Word -> place of its hash among the asked terms, or -1; without these, the hash. Words met are remembered (bounded)."""
 
-    def __init__(self, places: dict):
+    def __init__(self, places: dict | None):
         self.places = places
 
     def __missing__(self, word: str) -> int:
         if len(self) >= MOST_WORDS:
             self.clear()
-        out = self[word] = self.places.get(int(hashlib.md5(word.encode()).hexdigest()[:8], 16), -1)
+        out = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        out = self[word] = out if self.places is None else self.places.get(out, -1)
         return out
 
 
@@ -206,10 +211,36 @@ def handed_out(ranked: DataFrame, k: int, queries: DataFrame) -> DataFrame:
     return F.broadcast(ranked) if k * queries.count() <= MOST_HANDED_OUT else ranked
 
 
+def _hashed_counts(batches):
+    """row, idx, n of texts: how often the words of each hash are in a text; a word's hash is made once, and some texts are counted at a time."""
+    find, hashed = re.compile(SPARSE.pattern).findall, _Hashed(None)
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1)
+        sizes = np.cumsum(np.maximum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 1))
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + COUNTED_BYTES, "right")))
+            words = [find((t or "").lower()) for t in texts.slice(first, last - first).to_pylist()]
+            dl = np.array([len(w) for w in words], np.int64)
+            idx = np.fromiter(map(hashed.__getitem__, chain.from_iterable(words)), np.int64, int(dl.sum()))
+            # hashes have 32 bits
+            both, n = np.unique(np.repeat(np.arange(first, last), dl) << 32 | idx, return_counts=True)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(both >> 32)), pa.array(both & (2**32 - 1)), pa.array(n)], names=["id", "idx", "n"])
+            first = last
+
+
 def sparse_vectors(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, idx, weight: hashed sparse vectors with weights 1 + sqrt(tf)."""
-    words = docs.select(id_col, F.explode(tokens(F.col("text"), "[a-z0-9_]+")).alias("token"))
-    return words.groupBy(id_col, sparse_index(F.col("token")).alias("idx")).agg((1 + F.sqrt(F.count("*"))).alias("weight"))
+    """id, idx, weight: hashed sparse vectors with weights 1 + sqrt(tf); rows of one id (null too) are one text.
+
+    A text is counted where it is read. Only where an id comes in several rows, which is found out at plan time from the
+    ids alone, counts are shuffled to be summed.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), "text")
+    counts = rows.mapInArrow(_hashed_counts, StructType([rows.schema["id"], StructField("idx", LongType()), StructField("n", LongType())]))
+    if rows.groupBy("id").count().filter("count > 1").limit(1).count():
+        counts = counts.groupBy("id", "idx").agg(F.sum("n").alias("n"))
+    return counts.select(F.col("id").alias(id_col), "idx", (1 + F.sqrt("n")).alias("weight"))
 
 
 def sparse_top_k(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:

@@ -1,6 +1,9 @@
 """What a task holds at once is bounded in bytes and numbers, whatever its input."""
 
+import hashlib
+import re
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -108,3 +111,23 @@ def _nearest(x, rows, k):
     norm = lambda v: np.asarray(v) / (np.sqrt(np.dot(v, v)) or 1)
     scores = [(-round(float(norm(x) @ norm(v)), retrieve.DIGITS), d) for d, v in rows if len(v) == len(x)]
     return [d for _, d in sorted(scores)[:k]]
+
+
+def test_sparse_vectors_are_counted_where_texts_are_read(spark, monkeypatch):
+    """Ids in several rows and null ones are one text each; unique ones are not shuffled."""
+    rows = [(k, f"a b{k} A_1 été É{k} KK a" * (k % 4)) for k in range(40)] + [(3, "a a c"), (3, None), (None, "x a"), (None, "x"), (99, None), (98, "..")]
+    schema = "name long, text string"
+    want = Counter()
+    for k, t in rows:
+        want.update((k, int(hashlib.md5(w.encode()).hexdigest()[:8], 16)) for w in re.findall("[a-z0-9_]+", (t or "").lower()))
+    got = retrieve.sparse_vectors(spark.createDataFrame(rows, schema), "name")
+    assert got.columns == ["name", "idx", "weight"]
+    found = [tuple(r) for r in got.collect()]
+    assert {(k, i): w for k, i, w in found} == {k: 1 + n**0.5 for k, n in want.items()} and len(found) == len(want)
+    once = spark.createDataFrame([(str(k), t) for k, t in rows[:40]], "name string, text string")
+    got = retrieve.sparse_vectors(once, "name")
+    assert "Exchange" not in got._jdf.queryExecution().toString() and got.count() == len({k for k in want if k[0] is not None and k[0] < 40 and k[0] % 4} - {(3, int(hashlib.md5(b"c").hexdigest()[:8], 16))})
+    monkeypatch.setattr(retrieve, "COUNTED_BYTES", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([None, "", "a b " * 200, *["a b c"] * 47])], names=["id", "text"])
+    parts = list(retrieve._hashed_counts(iter([batch, batch.slice(0, 0)])))
+    assert len(parts) > 3 and sum(p.num_rows for p in parts) == 2 + 47 * 3 and max(p.num_rows for p in parts) <= 60
