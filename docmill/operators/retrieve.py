@@ -94,15 +94,18 @@ class _Hashed(dict):
         return out
 
 
-def _frequency_blocks(leg: Leg, places: dict):
-    """Of an Arrow batch (doc_id, text) blocks of ids, numbers of words and a matrix of how often each term is in each text."""
+def _frequency_blocks(leg: Leg, places: dict, asking: int = 0):
+    """Of an Arrow batch (doc_id, text) blocks of ids, numbers of words and a matrix of how often each term is in each text.
+
+    Neither this matrix nor that of the scores of ``asking`` questions has more than DENSE_VALUES numbers (or one text's).
+    """
     find, width = re.compile(leg.pattern).findall, len(places)
     hashed = _Hashed(places)
     placed = (lambda words: map(hashed.__getitem__, words)) if leg.hashed else (lambda words: map(places.get, words, repeat(-1)))
 
     def blocks(batch: pa.RecordBatch):
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-        step = max(1, DENSE_VALUES // max(1, width))
+        step = max(1, DENSE_VALUES // max(1, width, asking))
         for k in range(0, len(texts), step):
             words = [find((t or "").lower()) for t in texts.slice(k, step).to_pylist()]
             dl = np.array([len(w) for w in words], np.int64)
@@ -150,18 +153,19 @@ def _in_batches(queries: DataFrame, docs: DataFrame, k: int, leg: Leg, asked: li
     shared = spark.sparkContext.broadcast(weights)  # no more than MOST_WEIGHTS numbers
 
     def score(batches):
-        blocks = _frequency_blocks(leg, places)
+        blocks = _frequency_blocks(leg, places, len(names))
         kept = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
-        reached = np.zeros(len(names))  # by k documents
+        reached, last = np.zeros(len(names)), np.zeros(len(names), np.int64)  # by k documents: the least score, and the largest id that has it
         for batch in batches:
             for ids, dl, tf in blocks(batch):
                 found = np.round(leg.weight(tf, dl, words / max(n, 1) or 1.0) @ shared.value, DIGITS)
                 most = found.max(0)
-                for j in np.flatnonzero((most > 0) & (most >= reached)).tolist():
+                for j in np.flatnonzero((most > reached) | ((most == reached) & (most > 0) & (ids.min() < last))).tolist():
                     scores, mine = np.concatenate([kept[j][0], found[:, j]]), np.concatenate([kept[j][1], ids])
                     best = _best(scores, mine, k)
                     kept[j] = scores[best], mine[best]
-                    reached[j] = scores[best[-1]] if len(best) == k else 0.0
+                    if len(best) == k:
+                        reached[j], last[j] = scores[best[-1]], mine[best[-1]]
         out = [names[j] for j, (s, _) in enumerate(kept) for _ in range(len(s))]
         yield pa.RecordBatch.from_arrays(
             [pa.array(out, pa.int64()), pa.array(np.concatenate([x for _, x in kept])), pa.array(np.concatenate([s for s, _ in kept]))],
