@@ -79,8 +79,9 @@ def hybrid_rrf_topk(spark, sf_dir):
     """Flagship: both legs, fusion, quality filter with its fallback, five best."""
     fused = written(retrieve.rrf(_legs(spark, sf_dir), 20), "fused")  # read twice: 20 rows a question
     found = chunks(spark, sf_dir).join(retrieve.handed_out(fused.select("doc_id").distinct(), 20, questions(spark, sf_dir)), "doc_id", "left_semi")
-    judged = fused.join(quality.judged(found), "doc_id").filter("tier < 2")
-    kept = retrieve.cascade(judged.withColumnRenamed("tier", "grade"), [F.col("grade") == 0, F.col("grade") == 1])
+    judged = fused.join(quality.judged(found), "doc_id")
+    # rejected ones leave behind the window: before it, their filter would go below the join, into the scan, and judge every text
+    kept = retrieve.cascade(judged.withColumnRenamed("tier", "grade"), [F.col("grade") == 0, F.col("grade") == 1]).filter("tier < 2")
     order = Window.partitionBy("query_id").orderBy("rank")
     out = kept.withColumn("new_rank", F.row_number().over(order).cast("long")).filter(F.col("new_rank") <= F.when(F.col("tier") == 0, 5).otherwise(2))
     return out.select("query_id", "doc_id", "score", F.col("tier").cast("long").alias("tier"), "new_rank")

@@ -48,8 +48,9 @@ def answer_contexts(questions: DataFrame, docs: DataFrame, k: int = 5) -> DataFr
     best = retrieve.top_k(fused, 4 * k)
     best = written(best, "best")  # read twice: 4 k rows a question
     found = docs.join(retrieve.handed_out(best.select("doc_id").distinct(), 4 * k, questions), "doc_id", "left_semi")
-    judged = best.join(quality.judged(found).drop("source_type"), "doc_id").filter("tier < 2")
-    kept = retrieve.cascade(judged.withColumnRenamed("tier", "grade"), [F.col("grade") == 0, F.col("grade") == 1])
+    judged = best.join(quality.judged(found).drop("source_type"), "doc_id")
+    # rejected ones leave behind the window: before it, their filter would go below the join, into the scan, and judge every text
+    kept = retrieve.cascade(judged.withColumnRenamed("tier", "grade"), [F.col("grade") == 0, F.col("grade") == 1]).filter("tier < 2")
     return retrieve.top_k(kept.drop("rank"), k)
 
 
