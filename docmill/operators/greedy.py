@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import remove, written
-from .anchored import contained
+from .anchored import contained_in_others, keyed
 
 
 def first_independent(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -46,11 +46,18 @@ def containment_dedupe(rows: DataFrame, by: str, order: str, text: str) -> DataF
     Texts are compared in lower case with single spaces. Empty and null ones are no candidates, a place that is taken twice
     counts once, by its smallest text; of equal texts only the first can stay.
     """
-    plain = F.trim(F.regexp_replace(F.lower(text), "\\s+", " "))
-    rows = rows.select(F.col(by).alias("of_list"), F.col(order).alias("o"), plain.alias("t")).filter("t <> ''").groupBy("of_list", "o").agg(F.min("t").alias("t"))
+    plain = rows.select(F.col(by).alias("of_list"), F.col(order).alias("o"), F.trim(F.regexp_replace(F.lower(text), "\\s+", " ")).alias("text")).filter("text <> ''")
+    # the one copy of the texts; what follows moves digests
+    plain = written(plain.select("*", *keyed("text", "of_list")), "candidates", compression="zstd")
+    places = plain.select("of_list", "o", "digest", "pid")
+    twice = written(places.groupBy("of_list", "o").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select(F.col("of_list").alias("l"), F.col("o").alias("p")), "twice")
+    if twice.limit(1).count():
+        there = F.col("of_list").eqNullSafe(F.col("l")) & F.col("o").eqNullSafe(F.col("p"))
+        least = plain.join(twice, there, "left_semi").groupBy("of_list", "o").agg(F.min(F.struct("text", "digest", "pid")).alias("t"))
+        places = places.join(twice, there, "left_anti").unionByName(least.select("of_list", "o", "t.digest", "t.pid"))
     # equal texts: what drops the first of them drops the others
-    firsts = rows.groupBy("of_list", "t").agg(F.min("o").alias("o"))
-    nodes = written(firsts.withColumn("id", F.monotonically_increasing_id()), "candidates")
-    found = contained(nodes.withColumnRenamed("id", "a"), nodes.withColumnRenamed("id", "b"), passage="a", doc="b", text="t", by="of_list")
-    kept = first_independent(nodes.select("id", "o"), found)
-    return nodes.join(kept, "id", "left_semi").select(F.col("of_list").alias(by), F.col("o").alias(order))
+    nodes = written(places.groupBy("of_list", "digest", F.col("pid").alias("id")).agg(F.min("o").alias("o")), "nodes")
+    found = contained_in_others(plain)
+    kept = nodes if found is None else nodes.join(first_independent(nodes.select("id", "o"), found), "id", "left_semi")
+    remove(plain.sparkSession, plain._docmill_path)
+    return kept.select(F.col("of_list").alias(by), F.col("o").alias(order))

@@ -50,10 +50,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again. The files outlive any executor."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._docmill_path = path
     return out
